@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe
+from factloom.llm import bpe, shards, token_files
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -15,7 +15,17 @@ def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digests(documents(spark, sf_dir), WORD_BPE)
 
 
+def op3_minimax_shards(spark, sf_dir):
+    return shards.shard_documents(documents(spark, sf_dir), 24)
+
+
+def op4_rans_token_files(spark, sf_dir):
+    return token_files.token_file_digests(documents(spark, sf_dir), WORD_BPE, end_id=2)
+
+
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_minimax_shards": op3_minimax_shards,
+    "op4_rans_token_files": op4_rans_token_files,
 }
 ORACLES: dict[str, str] = {}
