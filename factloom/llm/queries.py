@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, shards, token_files
+from factloom.llm import bpe, shards, token_files, topk
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_exact_top_k(spark, sf_dir):
+    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digests(documents(spark, sf_dir), WORD_BPE)
 
@@ -24,8 +41,9 @@ def op4_rans_token_files(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_rans_token_files": op4_rans_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
