@@ -2,7 +2,9 @@
 
 A document is compared with its language's reference in two histograms: character classes, and the language's most
 common words (all other words are one more bin). The comparison is the Jensen-Shannon distance (the square root of the
-divergence in bits, 0 to 1). Short documents and short references are not judged. The references come from all documents.
+divergence in bits, 0 to 1). Short documents are not judged. The references come from all documents that pass the base
+rule: the median share of each character class, and the mean share of each common word. Every document counts alike, so
+neither long ones nor a minority of junk moves a reference. Shares are held as whole numbers, so reruns agree exactly.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ class Rules:
     least_words: int = 50
     least_chars: int = 200
     #: Distances above which a document is rejected.
-    most_class_distance: float = 0.16
-    most_word_distance: float = 0.52
+    most_class_distance: float = 0.18
+    most_word_distance: float = 0.42
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -108,6 +110,20 @@ def measures(docs: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def references(measured: DataFrame, rules: Rules) -> DataFrame:
+    """For each ``_key`` the reference histograms: ``_cref`` in thousandths, ``_wref`` in sums of millionths."""
+    total = "aggregate({0}, 0L, (s, y) -> s + y)"
+    share = measured.select("_key", F.posexplode(F.expr(f"transform(_classes, x -> CAST(1000 * x DIV {total.format('_classes')} AS INT))")).alias("pos", "share"))
+    counts = share.groupBy("_key", "pos", "share").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("_key", "pos")
+    counts = counts.withColumn("upto", F.sum("n").over(by.orderBy("share"))).withColumn("all", F.sum("n").over(by))
+    medians = counts.filter("2 * upto >= all").groupBy("_key", "pos").agg(F.min("share").alias("m"))
+    classes = medians.groupBy("_key").agg(F.expr("transform(array_sort(collect_list(struct(pos, m))), x -> x.m)").alias("_cref"))
+    parts = measured.select("_key", F.expr(f"transform(_words, x -> CAST(1000000 * x DIV {total.format('_words')} AS BIGINT))").alias("_p"))
+    words = parts.groupBy("_key").agg(F.array(*[F.sum(F.coalesce(F.get("_p", F.lit(i)), F.lit(0))) for i in range(rules.common_words + 1)]).alias("_wref"))
+    return classes.withColumnRenamed("_key", "_of").join(words, F.col("_of").eqNullSafe(F.col("_key"))).select("_of", "_cref", "_wref")
+
+
 def distance(p: str, q: str) -> str:
     """SQL for the Jensen-Shannon distance of two arrays of counts; null where either is empty."""
 
@@ -129,19 +145,16 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     if clash := [c for c in docs.columns if c in added or c.startswith("_")]:
         raise ValueError(f"columns exist already: {clash}")
-    measured = stage(measures(docs, rules), "quality-measures")
-    bins, words = len(CLASSES) + 1, rules.common_words + 1
-
-    # one row for each language with a reference of its own, and one for the rest
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    # a language with a reference of its own, or null for all others
     key = F.when(~F.col("_pooled"), F.struct(F.col("lang")))
-    reference = stage(measured.withColumn("_key", key).groupBy("_key").agg(
-        F.array(*[F.sum(F.get("_classes", F.lit(i))) for i in range(bins)]).alias("_cref"),
-        F.array(*[F.sum(F.coalesce(F.get("_words", F.lit(i)), F.lit(0))) for i in range(words)]).alias("_wref"),
-    ), "quality-references").withColumnRenamed("_key", "_of")
-    rows = measured.withColumn("_key", key).join(F.broadcast(reference), F.col("_key").eqNullSafe(F.col("_of")), "left")
+    measured = measures(docs, rules).withColumn("base_failed", failed).withColumn("_key", key)
+    measured = stage(measured, "quality-measures")
+    # one row for each of at most rules.languages + 1 references
+    reference = stage(references(measured.filter("NOT base_failed"), rules), "quality-references")
+    rows = measured.join(F.broadcast(reference), F.col("_key").eqNullSafe(F.col("_of")), "left")
     rows = rows.withColumn("_wref", F.expr("slice(_wref, 1, size(_words))"))
     rows = rows.withColumn("class_distance", F.when(F.col("_chars") >= rules.least_chars, F.expr(distance("_classes", "_cref"))))
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= rules.least_words, F.expr(distance("_words", "_wref"))))
-    rows = rows.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.most_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.most_word_distance)
     return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*docs.columns, *added)
