@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, quality, shards, token_files, topk
+from factloom.llm import bpe, mixing, quality, shards, simhash, token_files, topk
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -45,11 +45,22 @@ def op5_quality_divergence(spark, sf_dir):
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_simhash_groups(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_entropy_mix(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_rans_token_files": op4_rans_token_files,
     "op5_quality_divergence": op5_quality_divergence,
+    "op9_simhash_groups": op9_simhash_groups,
+    "op10_entropy_mix": op10_entropy_mix,
 }
 ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
