@@ -1,10 +1,68 @@
-"""A corpus through the operators, one stage after another."""
+"""A corpus through the operators, one stage after another: reject, one document of each near-duplicate group, repeated
+passages out, sources mixed to their targets, and the tokens of what is left."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import bpe, mixing, quality, repeats, simhash
+from factloom.llm.shared import documents, stage
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.judge(docs).filter("kept").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one that the group is named by. Rows with the same id and
+    those of a group without any id are told apart by their texts; of equal rows one stays."""
+    keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
+    found = simhash.groups(keyed.select("doc_id", "text", "_digest"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("_digest").alias("_digest"))
+    stays = keyed.join(first.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that are repeated anywhere in the corpus; a document that was nothing else goes."""
+    cut = repeats.without_repeats(docs)
+    left = cut.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the tokens and of what they decode to, for each document of the mix."""
+    return bpe.round_trip_digests(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_tokens", bpe_tokens),
+]
+#: Fingerprints, suffixes and tokens are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on the documents table, each on the staged result of the one before."""
+    docs = documents(spark, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{name}")
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, language_model, mixing, pages, quality, shards, simhash, token_files, topk
+from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, shards, simhash, token_files, topk
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -45,6 +45,10 @@ def op5_quality_divergence(spark, sf_dir):
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_prefix_free_repeats(spark, sf_dir):
+    return repeats.removals(documents(spark, sf_dir))
+
+
 def op7_gru_score(spark, sf_dir):
     return language_model.score_documents(documents(spark, sf_dir))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_rans_token_files": op4_rans_token_files,
     "op5_quality_divergence": op5_quality_divergence,
+    "op6_prefix_free_repeats": op6_prefix_free_repeats,
     "op7_gru_score": op7_gru_score,
     "op8_text_density": op8_text_density,
     "op9_simhash_groups": op9_simhash_groups,
