@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import relational
+from factloom.plans import relational, twins
 
-QUERIES = {**relational.QUERIES}
-ORACLES = {**relational.ORACLES}
+QUERIES = {**relational.QUERIES, **twins.QUERIES}
+ORACLES = {**relational.ORACLES, **twins.ORACLES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,14 +24,23 @@ class Registry:
 
         return put
 
-    def sql(self, name: str, spark_sql: str, tables: str, oracle: str | None = None) -> None:
-        """Register a query that is one Spark SQL text over the named tables, by views of their names."""
+    def sql(self, name: str, text: str, oracle: str | None = None) -> None:
+        """Register a query that is one SQL text, and its twin: the same text if both engines take it."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            views = {t: table(spark, sf_dir, t) for t in tables.split()}
-            return spark.sql(spark_sql, **views)
+            return statement(spark, sf_dir, text)
+
+        self.add(name, oracle or text)(run)
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NAMED = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
+
 
-        self.add(name, oracle)(run)
+def statement(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Run one SQL text in which FROM and JOIN name tables of ``sf_dir``; no view is left behind in the session."""
+    used = {m.group(2) for m in _NAMED.finditer(text)}
+    return spark.sql(_NAMED.sub(r"\1 {\2}", text), **{t: table(spark, sf_dir, t) for t in used})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
