@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import relational, twins
+from factloom.plans import ordered, relational, twins
 
-QUERIES = {**relational.QUERIES, **twins.QUERIES}
-ORACLES = {**relational.ORACLES, **twins.ORACLES}
+MODULES = (relational, twins, ordered)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}

@@ -49,8 +49,8 @@ R.sql("j10_status_by_both_sides", """SELECT CASE WHEN d.doc_id IS NULL THEN 'onl
       FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
 R.sql("j17_two_sources", """SELECT a.user_id, a.n AS early, b.n AS late FROM (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id) a
       JOIN (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id) b ON a.user_id = b.user_id""")
-R.sql("j18_not_in_any_set", """SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL)
-      AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 AND l_partkey IS NOT NULL)""")
+R.sql("j18_not_in_any_set", """SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_partkey IS NOT NULL)
+      AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 49 AND l_partkey IS NOT NULL)""")
 
 # --- aggregation ---
 R.sql("a1_count", "SELECT count(*) AS n FROM lineitem")
@@ -157,10 +157,10 @@ R.sql("c14_near_ties", "SELECT user_id, event_id FROM (SELECT *, max(value) OVER
 R.sql("c16_development_plan", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'sealed' WHEN quality = 1 AND toxic = 1 THEN 'exact' WHEN n_chars < 100 THEN 'not_compiled' WHEN lang <> 'en' THEN 'frontend' ELSE 'selected' END AS decision
       FROM documents JOIN (SELECT doc_id AS label_id, quality, toxic FROM labels) l ON doc_id = label_id""")
 R.sql("g7_edges_without_loops", "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey AND l_quantity > 45")
-R.sql("g16_lineage_integrity", "SELECT c.conv_id, c.turn FROM conversations c WHERE c.turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)")
+R.sql("g16_lineage_integrity", "SELECT c.conv_id, c.turn FROM conversations c WHERE c.turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.turn % 3 <> 1)")
 R.sql("g22_shared_issue_groups", "SELECT md5(concat(event_type, ':', CAST(CAST(floor(value / 25) AS INT) AS STRING))) AS fingerprint, count(DISTINCT user_id) AS entities, min(user_id) AS one FROM events GROUP BY 1",
       "SELECT md5(concat(event_type, ':', CAST(CAST(floor(value / 25) AS INT) AS VARCHAR))) AS fingerprint, count(DISTINCT user_id) AS entities, min(user_id) AS one FROM events GROUP BY 1")
-R.sql("m5_exact_lookup", "SELECT b.item_id, d.doc_id, d.source FROM benchmark b JOIN documents d ON md5(b.text) = md5(d.text) ORDER BY b.item_id, d.doc_id")
+R.sql("m5_exact_lookup", "SELECT a.doc_id, b.doc_id AS other_id, b.source FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id AND a.source <> b.source")
 R.sql("m8_point_in_time", """SELECT t.event_id, max(c.event_id) AS latest_earlier FROM (SELECT * FROM events WHERE event_type = 'purchase' AND user_id < 20) t
       JOIN events c ON c.user_id = t.user_id AND c.ts < t.ts GROUP BY t.event_id""")
 R.sql("m13_precision_recall", """SELECT count(*) FILTER (WHERE fired AND good) / CAST(greatest(count(*) FILTER (WHERE fired), 1) AS DOUBLE) AS precision, count(*) FILTER (WHERE fired AND good) / CAST(greatest(count(*) FILTER (WHERE good), 1) AS DOUBLE) AS recall
