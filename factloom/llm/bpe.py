@@ -135,7 +135,7 @@ class Encoder(dict):
         ids = self.older.get(word)
         if ids is None:
             stem = word[:-1] if word[-1] in ".," else word
-            if stem.isalpha() and (stem.isascii() or self._stays_letters(stem)):
+            if stem.isalpha() and (stem.isascii() or self.stays_letters(stem)):
                 ids = self._letters(stem)
                 if stem is not word:
                     ids += (self.last[ord(word[-1])],)
@@ -149,7 +149,7 @@ class Encoder(dict):
         return ids
 
     @staticmethod
-    def _stays_letters(word: str) -> bool:
+    def stays_letters(word: str) -> bool:
         return "Σ" not in word and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()
 
     def _letters(self, word: str) -> tuple[int, ...]:

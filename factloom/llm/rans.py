@@ -15,9 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bits of a frequency table's total, of a state's renormalisation word, and lanes of a full block.
-TABLE_BITS, WORD_BITS, LANES = 20, 32, 512
+TABLE_BITS, WORD_BITS, LANES = 20, 32, 2048
 #: Ids of a block before it is closed, and rows of lanes between two checkpoints.
-BLOCK_IDS, CHECKPOINT_ROWS = 1 << 19, 256
+BLOCK_IDS, CHECKPOINT_ROWS = 1 << 20, 128
 
 
 @dataclass(frozen=True)

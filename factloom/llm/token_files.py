@@ -6,6 +6,7 @@ library every word that it hasn't met lately, all new words of a batch in one ca
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import rans
-from factloom.llm.bpe import _CHUNK, _SEPARATORS
+from factloom.llm.bpe import _CHUNK, _SEPARATORS, Encoder, byte_symbols
 from factloom.llm.shared import new_path, stage, text_batches, unstage
 
-MEMO_WORDS, MEMO_CHARS = 250_000, 48
+#: Words that are remembered in each of two generations, and the longest such word.
+MEMO_WORDS, MEMO_CHARS = 300_000, 48
+MARK = "\u0663"
 BLOCK_SCHEMA = (
     "part int, block int, before long, doc_ids array<long>, lengths array<int>, n_ids long, lanes int, payload binary, checkpoints binary, bytes_crc32 long, ids_crc32 long"
 )
@@ -26,66 +29,84 @@ _tokenizers: dict[str, LibraryWords] = {}
 
 
 class LibraryWords:
-    """Ids of words as the library has them."""
+    """Ids of words as the library has them, as little-endian bytes: 2 for each id if the vocabulary allows, else 4."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, least_size: int = 0):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.size = max(self.library.get_vocab_size(with_added_tokens=True), least_size)
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a numeral is always a piece of its own, so it marks where a word ends
+        self.mark = np.array(self.one(MARK), np.int64)
+
+        self.symbols = byte_symbols()
+        self.stops = {c: self.pack(self.one(c)) for c in ".,"}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def one(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def words(self, text: str) -> list[str]:
         return _CHUNK.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
     def learn(self, words: set[str]) -> None:
-        """Look up new words in one call, by the place of each token in the joined text."""
+        """Look up words that aren't known, all in one call."""
+        known = words.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
         new = []
-        for word in words:
-            if word in self.old:
-                self.young[word] = self.old[word]
-            elif word not in self.young:
+        tokenize, young = self.library.model.tokenize, self.young
+        for word in words - known:
+            # letters, with at most one stop behind them: the library's model has their ids without its text pipeline
+            stem = word[:-1] if word[-1] in self.stops else word
+            if stem.isascii() and stem.isalpha():
+                young[word] = self.pack([t.id for t in tokenize(stem.lower())]) + (self.stops[word[-1]] if stem is not word else b"")
+            elif stem.isalpha() and Encoder.stays_letters(stem):
+                young[word] = self.pack([t.id for t in tokenize("".join(map(self.symbols.__getitem__, stem.lower().encode())))]) + (self.stops[word[-1]] if stem is not word else b"")
+            else:
                 new.append(word)
-        if not new:
-            return
-        plain = [w for w in new if w.isascii() and "<|" not in w]
+        plain = [w for w in new if "<|" not in w and MARK not in w]
         if plain:
-            got = self.library.encode(" ".join(plain), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in plain])
-            at = np.searchsorted(ends, np.array([o[0] for o in got.offsets]), side="right")
-            cuts = np.searchsorted(at, np.arange(len(plain) + 1)).tolist()
-            ids = got.ids
-            for k, word in enumerate(plain):
-                self.young[word] = tuple(ids[cuts[k] : cuts[k + 1]])
-        rest = [w for w in new if not w.isascii() or "<|" in w]
-        for word, got in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            self.young[word] = tuple(got.ids)
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+            ids = np.array(self.one(f" {MARK} ".join(plain) + f" {MARK}"), np.int64)
+            n, hit = len(self.mark), np.ones(len(ids), bool)
+            for k, x in enumerate(self.mark):  # the last id of each mark
+                hit &= np.roll(ids, n - 1 - k) == x
+            ends = np.flatnonzero(hit)
+            if len(ends) == len(plain):
+                raw, wide = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+                starts = np.concatenate([[0], ends[:-1] + 1]) * wide
+                self.young.update(zip(plain, [raw[a:b] for a, b in zip(starts.tolist(), ((ends - n + 1) * wide).tolist())]))
+            else:
+                plain = []
+        for word in set(new).difference(plain) if len(plain) < len(new) else ():
+            self.young[word] = np.array(self.one(word), self.kind).tobytes()
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t) if t else [] for t in texts]
-        self.learn({w for words in split for w in words if w not in self.young and len(w) <= MEMO_CHARS})
-        out = []
-        for words in split:
-            found = self.young
-            try:
-                ids = list(chain.from_iterable(map(found.__getitem__, words)))
-            except KeyError:  # a long word
-                ids = [i for w in words for i in (found[w] if w in found else self.library.encode(w, add_special_tokens=False).ids)]
-            out.append(np.array(ids, np.uint32))
+        new = set(chain.from_iterable(split)).difference(self.young)
+        long = {w for w in new if len(w) > MEMO_CHARS}
+        self.learn(new - long)
+        found = self.young
+        if long:  # not remembered
+            found = found | {w: np.array(self.one(w), self.kind).tobytes() for w in long}
+        out = [b"".join(map(found.__getitem__, words)) for words in split]
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
         return out
 
 
-def library_words(path: str) -> LibraryWords:
+def library_words(path: str, least_size: int = 0) -> LibraryWords:
     if path not in _tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = LibraryWords(path)
+        _tokenizers[path] = LibraryWords(path, least_size)
     return _tokenizers[path]
 
 
@@ -93,10 +114,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id and the little-endian ids of every document, with the end id; 2 bytes an id if the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = library_words(path)
-        kind = "<u2" if max(words.size, end_id + 1) <= 1 << 16 else "<u4"
+        words = library_words(path, end_id + 1)
+        end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in words.encode_batch(batch.column(1).to_pylist())]
+            ids = [x + end for x in words.encode_batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -128,8 +149,8 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, partiti
     """
     spark = docs.sparkSession
     text_batches(spark)
-    size = max(library_words(path).size, end_id + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    words = library_words(path, end_id + 1)
+    size, kind = words.size, words.kind
     tokens = stage(tokenized(docs, path, end_id), "token-ids")
     table = rans.quantise(vocabulary_counts(tokens, size, kind))
     spark.createDataFrame(list(enumerate(table.freq.tolist())), "id int, freq int").coalesce(1).write.parquet(f"{out}/table")
