@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import ordered, relational, twins
+from factloom.plans import corpora, ordered, relational, twins
 
-MODULES = (relational, twins, ordered)
+MODULES = (relational, twins, ordered, corpora)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: text for m in MODULES for name, text in m.ORACLES.items()}
