@@ -14,11 +14,11 @@ QUERIES, ORACLES = R.queries, R.oracles
 _W = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
 _GRAMS = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i+{k}-1], ' ')) END"
 _SKETCH = f"list_sort(list_distinct(list_transform({_GRAMS.format(k=5)}, lambda g: substring(md5(g), 1, 16))))[1:96]"
-_SKETCHED = f"WITH d AS (SELECT doc_id, source, {_W} AS w FROM documents WHERE doc_id < 400), s AS (SELECT doc_id, source, len(w) AS tokens, {_SKETCH} AS sketch FROM d)"
+_SKETCHED = f"WITH d AS (SELECT doc_id, source, {_W} AS w FROM documents), s AS (SELECT doc_id, source, len(w) AS tokens, {_SKETCH} AS sketch FROM d)"
 
 
 def _sketched(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 400").select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), text.words(F.col("text")).alias("w"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), text.words(F.col("text")).alias("w"))
     return d.select("id", "owner", F.size("w").cast("long").alias("tokens"), text.sketch(F.col("w")).alias("sketch"))
 
 
@@ -38,11 +38,11 @@ def sketch_overlap(spark, sf_dir):
 
 
 @R.add("m3_similar_top_k", _SKETCHED + """, p AS (SELECT x.doc_id AS left_id, y.doc_id AS right_id, round_even(CAST(len(list_intersect(x.sketch, y.sketch)) AS DOUBLE) / least(len(x.sketch), len(y.sketch)), 6) AS similarity,
-    abs(y.tokens - x.tokens) AS far, y.source FROM s x JOIN s y ON x.source <> y.source AND y.tokens >= greatest(1, floor(x.tokens / 3)) AND y.tokens <= greatest(3, 3 * x.tokens) WHERE x.doc_id % 20 = 0 AND len(list_intersect(x.sketch, y.sketch)) > 0),
+    abs(y.tokens - x.tokens) AS far, y.source FROM s x JOIN s y ON x.source <> y.source AND y.tokens >= greatest(1, floor(x.tokens / 3)) AND y.tokens <= greatest(3, 3 * x.tokens) WHERE x.doc_id % 100 = 0 AND len(list_intersect(x.sketch, y.sketch)) > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, far, source, right_id) AS rank FROM p) SELECT left_id, right_id, similarity, rank FROM r WHERE rank <= 5""")
 def similar_top_k(spark, sf_dir):
     s = _sketched(spark, sf_dir)
-    return similarity.similar(s.filter("id % 20 = 0"), s, 5)
+    return similarity.similar(s.filter("id % 100 = 0"), s, 5)
 
 
 @R.add("m4_index_verdict", f"""WITH c AS (SELECT doc_id AS id, {_W} AS w FROM documents), i AS (SELECT item_id AS id, {_W} AS w FROM benchmark),
@@ -65,7 +65,7 @@ def weighted_rerank(spark, sf_dir):
     return x.select("doc_id", F.round(similarity.weighted_mean({"assembly": 0.6, "size": 0.15, "leaf": 0.1}), 6).alias("score"))
 
 
-@R.add("m7_affinity_edges", _SKETCHED + """, e AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(len(list_intersect(x.sketch, y.sketch)) AS DOUBLE) / len(list_distinct(list_concat(x.sketch, y.sketch))) AS j FROM s x JOIN s y ON x.doc_id < y.doc_id AND len(list_intersect(x.sketch, y.sketch)) > 0)
+@R.add("m7_affinity_edges", _SKETCHED + """, h AS (SELECT doc_id, len(sketch) AS n, unnest(sketch) AS h FROM s), e AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(count(*) AS DOUBLE) / (x.n + y.n - count(*)) AS j FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n)
     SELECT a, b, round(j, 9) AS affinity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rn FROM e WHERE j >= 0.45) r WHERE rn <= 4""")
 def affinity_edges(spark, sf_dir):
     from pyspark.sql import Window
@@ -79,12 +79,12 @@ def affinity_edges(spark, sf_dir):
     return top.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("j", 9).alias("affinity"))
 
 
-_NGRAM = f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents WHERE doc_id < 300), g AS (SELECT doc_id, unnest({_GRAMS.format(k=2)}) AS gram FROM d WHERE len(w) >= 2)"
+_NGRAM = f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest({_GRAMS.format(k=2)}) AS gram FROM d WHERE len(w) >= 2)"
 
 
 @R.add("a20_ngram_counts", _NGRAM + " SELECT gram, count(*) AS n, min(doc_id) AS example FROM g GROUP BY gram HAVING count(*) >= 8")
 def ngram_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 2")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 2")
     g = d.select("doc_id", F.explode(text.windows(F.col("w"), 2)).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("example")).filter("n >= 8")
 
@@ -110,46 +110,48 @@ def pattern_census(spark, sf_dir):
     return each.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entities"), F.sum("size").alias("bytes"), examples.alias("examples"))
 
 
-@R.add("a22_multiset_intersection", f"""WITH w AS (SELECT doc_id, unnest({_W}) AS t FROM documents WHERE doc_id < 60), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2)
+@R.add("a22_multiset_intersection", f"""WITH w AS (SELECT doc_id, unnest({_W}) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2)
     SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM c x JOIN c y ON x.t = y.t AND y.doc_id = x.doc_id + 1 GROUP BY 1, 2""")
 def multiset_intersection(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").filter("doc_id < 60").select("doc_id", F.explode(text.words(F.col("text"))).alias("t"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("t"))
     c = w.groupBy("doc_id", "t").agg(F.count("*").alias("n"))
     nxt = c.select((F.col("doc_id") - 1).alias("doc_id"), "t", F.col("n").alias("k"))
     return c.join(nxt, ["doc_id", "t"]).groupBy(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).agg(F.sum(F.least("n", "k")).alias("shared"))
 
 
-@R.add("m11_coverage_of_residuals", f"""WITH d AS (SELECT doc_id, lang, {_W} AS w FROM documents WHERE doc_id < 300), g AS (SELECT DISTINCT doc_id, lang, unnest({_GRAMS.format(k=3)}) AS g FROM d WHERE len(w) >= 3),
-    r AS (SELECT g FROM g GROUP BY g HAVING count(*) <= 0.05 * 300), s AS (SELECT DISTINCT g FROM g WHERE doc_id % 2 = 1), t AS (SELECT doc_id, lang, g, g IN (SELECT g FROM r) AS rare, g IN (SELECT g FROM s) AS hit FROM g WHERE doc_id % 2 = 0)
+@R.add("m11_coverage_of_residuals", f"""WITH d AS (SELECT doc_id, lang, {_W} AS w FROM documents), g AS (SELECT DISTINCT doc_id, lang, unnest({_GRAMS.format(k=3)}) AS g FROM d WHERE len(w) >= 3),
+    r AS (SELECT g FROM g GROUP BY g HAVING count(*) <= 0.05 * (SELECT count(*) FROM documents)), s AS (SELECT DISTINCT g FROM g WHERE doc_id % 2 = 1), t AS (SELECT doc_id, lang, g, g IN (SELECT g FROM r) AS rare, g IN (SELECT g FROM s) AS hit FROM g WHERE doc_id % 2 = 0)
     SELECT doc_id, CASE WHEN count(*) FILTER (WHERE rare) = 0 THEN 'unshaped' WHEN count(*) FILTER (WHERE rare AND hit) >= 1 AND count(*) FILTER (WHERE hit) >= 0.25 * count(*) THEN 'reproduced' ELSE 'gap' END AS verdict FROM t GROUP BY doc_id""")
 def coverage_of_residuals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 3")
+    docs = table(spark, sf_dir, "documents")
+    d, most = docs.select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 3"), 0.05 * docs.count()
     g = d.select("doc_id", F.explode(F.array_distinct(text.windows(F.col("w"), 3))).alias("g"))
-    rare = g.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") <= 0.05 * 300).select("g", F.lit(True).alias("rare"))
+    rare = g.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("g", F.lit(True).alias("rare"))
     sample = g.filter("doc_id % 2 = 1").select("g").distinct().withColumn("hit", F.lit(True))
     t = g.filter("doc_id % 2 = 0").join(rare, "g", "left").join(sample, "g", "left")
     x = t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("rare").alias("r"), F.count_if(F.col("rare") & F.col("hit")).alias("rh"), F.count_if("hit").alias("h"))
     return x.select("doc_id", F.when(F.col("r") == 0, "unshaped").when((F.col("rh") >= 1) & (F.col("h") >= 0.25 * F.col("n")), "reproduced").otherwise("gap").alias("verdict"))
 
 
-@R.add("c10_token_leaks", f"""WITH a AS (SELECT doc_id AS id, {_W} AS w FROM documents WHERE doc_id < 500), p AS (SELECT {_W} AS w FROM benchmark), ag AS (SELECT DISTINCT id, unnest({_GRAMS.format(k=8)}) AS g FROM a WHERE len(w) > 0),
-    common AS (SELECT g FROM ag WHERE id >= 400 GROUP BY g HAVING count(DISTINCT id) >= 2), pg AS (SELECT DISTINCT unnest({_GRAMS.format(k=8)}) AS g FROM p)
-    SELECT a.id, (SELECT count(*) FROM ag WHERE ag.id = a.id AND g IN (SELECT g FROM pg) AND g NOT IN (SELECT g FROM common)) AS shared FROM a WHERE a.id < 400""")
+@R.add("c10_token_leaks", f"""WITH a AS (SELECT item_id AS id, {_W} AS w FROM benchmark), p AS (SELECT {_W} AS w FROM documents), b AS (SELECT conv_id AS id, {_W} AS w FROM conversations), bg AS (SELECT DISTINCT id, unnest({_GRAMS.format(k=8)}) AS g FROM b WHERE len(w) > 0), ag AS (SELECT DISTINCT id, unnest({_GRAMS.format(k=8)}) AS g FROM a WHERE len(w) > 0),
+    common AS (SELECT g FROM bg GROUP BY g HAVING count(DISTINCT id) >= 2), pg AS (SELECT DISTINCT unnest({_GRAMS.format(k=8)}) AS g FROM p)
+    SELECT a.id, (SELECT count(*) FROM ag WHERE ag.id = a.id AND g IN (SELECT g FROM pg) AND g NOT IN (SELECT g FROM common)) AS shared FROM a""")
 def token_leaks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 500").select(F.col("doc_id").alias("id"), text.windows(text.words(F.col("text")), 8).alias("grams"))
-    pages = table(spark, sf_dir, "benchmark").select(text.windows(text.words(F.col("text")), 8).alias("grams"))
-    return similarity.leaks(d.filter("id < 400"), pages, d.filter("id >= 400"))
+    # words are a column of their own, so that no window works them out again
+    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), text.words(F.col("text")).alias("w"))
+    grams = lambda name, key: words(name, key).select("id", text.windows(F.col("w"), 8).alias("grams"))
+    return similarity.leaks(grams("benchmark", "item_id"), grams("documents", "doc_id"), grams("conversations", "conv_id"))
 
 
-@R.add("m14_group_balanced_forecast", """WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 300), p AS (SELECT t.vec_id AS id, k.label AS grp, k.vec_id AS outcome,
-    list_sum(list_transform(list_zip(t.v, k.v), lambda z: abs(z[1] - z[2]))) / 8 AS d FROM v t JOIN v k ON k.vec_id < 100 WHERE t.vec_id >= 100),
+@R.add("m14_group_balanced_forecast", """WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT t.vec_id AS id, k.label AS grp, k.vec_id AS outcome,
+    list_sum(list_transform(list_zip(t.v, k.v), lambda z: abs(z[1] - z[2]))) / 8 AS d FROM v t JOIN v k ON k.vec_id <> t.vec_id WHERE t.vec_id % 100 = 0),
     n AS (SELECT id, grp, min(d) AS d, avg(outcome) AS outcome FROM (SELECT *, rank() OVER (PARTITION BY id, grp ORDER BY d) AS r FROM p WHERE d <= 0.6) x WHERE r = 1 GROUP BY id, grp),
     f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, grp) AS g FROM n), s AS (SELECT id, sum(outcome / (0.05 + d)) / sum(1 / (0.05 + d)) AS f, count(*) AS n FROM f WHERE g <= 5 GROUP BY id)
-    SELECT v.vec_id AS id, CASE WHEN n >= 2 THEN round(f, 6) END AS forecast, coalesce(n, 0) AS groups FROM v LEFT JOIN s ON v.vec_id = s.id WHERE v.vec_id >= 100""")
+    SELECT v.vec_id AS id, CASE WHEN n >= 2 THEN round(f, 6) END AS forecast, coalesce(n, 0) AS groups FROM v LEFT JOIN s ON v.vec_id = s.id WHERE v.vec_id % 100 = 0""")
 def group_balanced_forecast(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 300").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
-    known = v.filter("vec_id < 100").select(F.col("label").alias("grp"), "v", F.col("vec_id").cast("double").alias("outcome"))
-    return similarity.forecast(v.filter("vec_id >= 100").select(F.col("vec_id").alias("id"), "v"), known).withColumn("forecast", F.round("forecast", 6))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    known = v.select(F.col("vec_id").alias("known_id"), F.col("label").alias("grp"), "v", F.col("vec_id").cast("double").alias("outcome"))
+    return similarity.forecast(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "v"), known).withColumn("forecast", F.round("forecast", 6))
 
 
 @R.add("m15_feature_scaling", "WITH m AS (SELECT max(abs(ln(1 + abs(value)))) AS m FROM events) SELECT event_id, round(sign(value) * ln(1 + abs(value)) / m, 9) AS scaled FROM events CROSS JOIN m")
@@ -165,11 +167,12 @@ def hypothesis_lookup(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.exists(F.array(F.lit("wid"), F.lit("econ")), lambda t: hay.contains(t))).select("p_partkey")
 
 
-@R.add("m10_rare_anchor_rate", f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents WHERE doc_id < 300), g AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(k=3)}) AS g FROM d WHERE len(w) >= 3) SELECT g, count(*) / 300.0 AS rate FROM g GROUP BY g HAVING count(*) / 300.0 <= 0.05 AND count(*) >= 3")
+@R.add("m10_rare_anchor_rate", f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest({_GRAMS.format(k=3)}) AS g FROM d WHERE len(w) >= 3), n AS (SELECT count(*) AS n FROM documents) SELECT g, count(*) / CAST(max(n) AS DOUBLE) AS rate FROM g CROSS JOIN n GROUP BY g HAVING count(*) <= 0.05 * max(n) AND count(*) >= 3")
 def rare_anchors(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 3")
+    docs = table(spark, sf_dir, "documents")
+    d, n = docs.select("doc_id", text.words(F.col("text")).alias("w")).filter("size(w) >= 3"), docs.count()
     g = d.select("doc_id", F.explode(F.array_distinct(text.windows(F.col("w"), 3))).alias("g"))
-    return g.groupBy("g").agg(F.count("*").alias("n")).filter((F.col("n") / 300 <= 0.05) & (F.col("n") >= 3)).select("g", (F.col("n") / 300).alias("rate"))
+    return g.groupBy("g").agg(F.count("*").alias("n")).filter((F.col("n") <= 0.05 * n) & (F.col("n") >= 3)).select("g", (F.col("n") / n).alias("rate"))
 
 
 @R.add("m20_permutation_recovery", """WITH a AS (SELECT conv_id, list(role || CAST(turn AS VARCHAR) ORDER BY turn) AS x, list(role || CAST(turn AS VARCHAR) ORDER BY length(text), turn) AS y FROM conversations GROUP BY conv_id)
@@ -186,9 +189,9 @@ def postings(spark, sf_dir):
     return similarity.shared_counts(s, s, "m").filter("left_id < right_id AND shared >= 20")
 
 
-@R.add("f15_jaccard", f"WITH d AS (SELECT doc_id, list_distinct({_W}) AS w FROM documents WHERE doc_id < 400) SELECT a.doc_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
+@R.add("f15_jaccard", f"WITH d AS (SELECT doc_id, list_distinct({_W}) AS w FROM documents) SELECT a.doc_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
 def jaccards(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 400").select("doc_id", text.words(F.col("text")).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return d.join(nxt, "doc_id").select("doc_id", text.jaccard(F.col("w"), F.col("v")).alias("jaccard"))
 
@@ -220,10 +223,10 @@ def distances(spark, sf_dir):
 def alignments(spark, sf_dir):
     from factloom.functions.sequences import aligned, block_distance, change_vector
 
-    d = table(spark, sf_dir, "documents").filter("doc_id < 200 AND n_chars < 600").select("doc_id", text.words(F.col("text")).alias("w"))
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    x = d.join(nxt, "doc_id").select("doc_id", aligned("w", "v").alias("a"), block_distance("w", "v").alias("blocks"), change_vector("w", "v").alias("c"))
-    return x.select("doc_id", "a.cost", "a.ways", "blocks", "c.added", "c.removed", "c.changed")
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "[.\\n]").alias("w"))
+    nxt = d.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    x = d.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", aligned("w", "v").alias("a"), block_distance("w", "v").alias("blocks"), change_vector("w", "v").alias("c"))
+    return x.select("conv_id", "turn", "a.cost", "a.ways", "blocks", "c.added", "c.removed", "c.changed")
 
 
 # --- statistics ---
@@ -299,15 +302,15 @@ def majority(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["a18_majority_with_share"])
 
 
-@R.add("a17_leave_one_out", "SELECT a.l_suppkey AS k, a.l_partkey AS target, count(DISTINCT b.l_returnflag) AS pooled FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey < 20) a LEFT JOIN lineitem b ON b.l_suppkey = a.l_suppkey AND b.l_partkey <> a.l_partkey AND b.l_partkey < 200 GROUP BY 1, 2")
+@R.add("a17_leave_one_out", "SELECT a.l_suppkey AS k, a.l_partkey AS target, count(DISTINCT b.l_returnflag) AS pooled FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a LEFT JOIN lineitem b ON b.l_suppkey = a.l_suppkey AND b.l_partkey <> a.l_partkey GROUP BY 1, 2")
 def leave_one_out(spark, sf_dir):
     """The pool of a key without a target's own rows: distinct values of the key, less those that only the target has."""
     l = table(spark, sf_dir, "lineitem")
-    each = l.filter("l_partkey < 200").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    each = l.select("l_suppkey", "l_partkey", "l_returnflag").distinct()
     owners = each.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("owners"))
     pool = owners.groupBy("l_suppkey").agg(F.count("*").alias("values"))
     only = each.join(owners.filter("owners = 1"), ["l_suppkey", "l_returnflag"]).groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("only"))
-    t = l.filter("l_partkey < 20").select("l_suppkey", "l_partkey").distinct().join(pool, "l_suppkey", "left").join(only, ["l_suppkey", "l_partkey"], "left")
+    t = l.select("l_suppkey", "l_partkey").distinct().join(pool, "l_suppkey", "left").join(only, ["l_suppkey", "l_partkey"], "left")
     return t.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("target"), (F.coalesce("values", F.lit(0)) - F.coalesce("only", F.lit(0))).cast("long").alias("pooled"))
 
 
@@ -356,16 +359,16 @@ def three_way(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["t3_three_way_status"])
 
 
-@R.add("t4_panel_difference", "(SELECT c_custkey AS id, 'left' AS side FROM customer WHERE c_custkey < 300 AND c_custkey NOT IN (SELECT user_id FROM events)) UNION ALL (SELECT DISTINCT user_id, 'right' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50))")
+@R.add("t4_panel_difference", "(SELECT c_custkey AS id, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)) UNION ALL (SELECT DISTINCT user_id, 'right' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))")
 def panel_difference(spark, sf_dir):
-    c, e = table(spark, sf_dir, "customer").filter("c_custkey < 300").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
-    return c.join(e, "id", "left_anti").withColumn("side", F.lit("left")).union(e.join(c.filter("id < 50"), "id", "left_anti").withColumn("side", F.lit("right")))
+    c, e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    return c.join(e, "id", "left_anti").select("id", F.lit("left").alias("side")).union(e.join(c.filter("c_acctbal > 0"), "id", "left_anti").withColumn("side", F.lit("right")))
 
 
-@R.add("t6_union_with_conflicts", "WITH u AS (SELECT o_custkey AS id, o_orderstatus AS payload FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT o_custkey, 'F' FROM orders WHERE o_orderkey >= 14000) SELECT id, CASE WHEN count(DISTINCT payload) = 1 THEN 'agreed' ELSE 'conflict' END AS status, count(*) AS n FROM u GROUP BY id")
+@R.add("t6_union_with_conflicts", "WITH u AS (SELECT o_custkey AS id, o_orderstatus AS payload FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_custkey, 'F' FROM orders WHERE o_orderpriority = '5-LOW') SELECT id, CASE WHEN count(DISTINCT payload) = 1 THEN 'agreed' ELSE 'conflict' END AS status, count(*) AS n FROM u GROUP BY id")
 def union_with_conflicts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    u = o.filter("o_orderkey < 3000").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("payload")).unionByName(o.filter("o_orderkey >= 14000").select(F.col("o_custkey").alias("id"), F.lit("F").alias("payload")))
+    u = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("payload")).unionByName(o.filter("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("id"), F.lit("F").alias("payload")))
     return u.groupBy("id").agg(F.when(F.count_distinct("payload") == 1, "agreed").otherwise("conflict").alias("status"), F.count("*").alias("n"))
 
 
@@ -378,7 +381,7 @@ def closed_mapping(spark, sf_dir):
 
 # --- facts with scoped identity ---
 _FACTS = """SELECT CASE WHEN l_partkey % 2 = 0 THEN 'global:' || CAST(l_partkey AS {s}) ELSE 'param' || CAST(l_partkey % 4 AS {s}) END AS base, CASE WHEN l_partkey % 2 = 0 THEN NULL ELSE l_suppkey END AS func, l_linenumber * 4 AS off,
-    CAST(l_quantity / 10 AS INT) + 1 AS width, l_returnflag AS class, l_linestatus AS sign, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_partkey < 600""".replace("CAST(l_quantity / 10 AS INT)", "CAST(floor(l_quantity / 10) AS INT)")
+    CAST(l_quantity / 10 AS INT) + 1 AS width, l_returnflag AS class, l_linestatus AS sign, l_orderkey * 10 + l_linenumber AS id FROM lineitem""".replace("CAST(l_quantity / 10 AS INT)", "CAST(floor(l_quantity / 10) AS INT)")
 
 
 @R.add("d1_contradictions", f"""WITH f AS ({_FACTS.format(s='VARCHAR')}), g AS (SELECT base, func, off, count(*) AS n, count(DISTINCT width) AS w, count(DISTINCT class) AS c, count(DISTINCT sign) AS s FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 2)

@@ -22,10 +22,10 @@ def _store(spark) -> Store:
     return Store(spark, f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/factloom/store-{uuid.uuid4().hex}")
 
 
-_CLAIMS = "SELECT p_partkey AS id, p_type AS kind, p_name AS subject, p_brand AS value, CASE WHEN p_size = 1 THEN 'human' ELSE 'model' END AS origin FROM part WHERE p_partkey < 600"
+_CLAIMS = "SELECT p_partkey AS id, p_type AS kind, p_name AS subject, p_brand AS value, CASE WHEN p_size = 1 THEN 'human' ELSE 'model' END AS origin FROM part"
 
 
-@R.add("l1_cited_claims", "SELECT origin, count(*) AS claims FROM (SELECT CASE WHEN p_size = 1 THEN 'human' ELSE 'model' END AS origin FROM part WHERE p_partkey < 600) x GROUP BY origin")
+@R.add("l1_cited_claims", "SELECT origin, count(*) AS claims FROM (SELECT CASE WHEN p_size = 1 THEN 'human' ELSE 'model' END AS origin FROM part) x GROUP BY origin")
 def cited_claims(spark, sf_dir):
     s = _store(spark)
     s.publish("evidence", table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
@@ -34,20 +34,20 @@ def cited_claims(spark, sf_dir):
     return s.read("inference").filter("status = 'active'").groupBy("origin").agg(F.count("*").alias("claims"))
 
 
-@R.add("l3_retraction_cascade", """WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node UNION SELECT p_partkey FROM r JOIN part ON CAST(floor(p_partkey / 3) AS BIGINT) = r.node AND p_partkey > 0 AND p_partkey < 600)
-    SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT node FROM r) THEN 'retracted' ELSE 'active' END AS status FROM part WHERE p_partkey < 600""")
+@R.add("l3_retraction_cascade", """WITH RECURSIVE r AS (SELECT CAST(3 AS BIGINT) AS node UNION SELECT p_partkey FROM r JOIN part ON CAST(floor(p_partkey / 3) AS BIGINT) = r.node AND p_partkey > 0)
+    SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT node FROM r) THEN 'retracted' ELSE 'active' END AS status FROM part""")
 def retraction(spark, sf_dir):
     s = _store(spark)
     s.publish("inference", statement(spark, sf_dir, _CLAIMS).withColumn("status", F.lit("active")).withColumn("reason", F.lit(None).cast("string")))
-    s.publish("inference_depends", table(spark, sf_dir, "part").filter("p_partkey > 0 AND p_partkey < 600").select(F.col("p_partkey").alias("inference_id"), F.floor(F.col("p_partkey") / 3).alias("depends_on_id")))
+    s.publish("inference_depends", table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("inference_id"), F.floor(F.col("p_partkey") / 3).alias("depends_on_id")))
     s.retract(spark.createDataFrame([(3,)], "node long"), "contradicted")
     return s.read("inference").select("id", "status")
 
 
-@R.add("l2_insert_or_ignore", "SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey < 100) x")
+@R.add("l2_insert_or_ignore", "SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x")
 def insert_or_ignore(spark, sf_dir):
     s = _store(spark)
-    pairs = table(spark, sf_dir, "lineitem").filter("l_partkey < 100").select("l_suppkey", "l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     s.append_missing("bridge", pairs.filter("l_suppkey % 2 = 0"), ["l_suppkey", "l_partkey"])
     s.append_missing("bridge", pairs, ["l_suppkey", "l_partkey"])
     return s.read("bridge").agg(F.count("*").alias("n"))
@@ -78,10 +78,10 @@ def content_addressed(spark, sf_dir):
     return s.read("objects").agg(F.count("*").alias("objects")).crossJoin(s.read("manifests").filter("commit_id = 2").agg(F.count("*").alias("entries")))
 
 
-@R.add("l8_hydrate", "SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS digest FROM documents WHERE doc_id < 200")
+@R.add("l8_hydrate", "SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS digest FROM documents")
 def hydrate(spark, sf_dir):
     s = _store(spark)
-    s.commit(table(spark, sf_dir, "documents").filter("doc_id < 200").select(F.col("doc_id").cast("string").alias("name"), "text"), "name", "text", 1, None)
+    s.commit(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text"), "name", "text", 1, None)
     return s.hydrate(1).select("name", F.md5("payload").alias("digest"))
 
 
@@ -99,9 +99,9 @@ def beyond_mark(spark, sf_dir):
     return new_rows(table(spark, sf_dir, "events"), 9000, "event_id").select("event_id", "user_id")
 
 
-@R.add("l12_job_import", "SELECT CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) AS BIGINT) AS top FROM events WHERE user_id < 5")
+@R.add("l12_job_import", "SELECT CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) AS BIGINT) AS top FROM events")
 def job_import(spark, sf_dir):
-    s, rows = _store(spark), table(spark, sf_dir, "events").filter("user_id < 5").select("event_id", "value")
+    s, rows = _store(spark), table(spark, sf_dir, "events").select("event_id", "value")
     for job in ("a", "b", "a"):
         s.import_job("log", rows, "event_id", job)
     return s.read("log").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
@@ -126,10 +126,10 @@ def facts_by_kind(spark, sf_dir):
     return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@R.add("s3_overlap_refusal", """WITH n AS (SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part WHERE p_partkey < 300), k AS (SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer WHERE c_custkey < 4)
+@R.add("s3_overlap_refusal", """WITH n AS (SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part), k AS (SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer WHERE c_custkey < 4)
     SELECT grp, count(*) AS n FROM n WHERE grp NOT IN (SELECT grp FROM n JOIN k ON n.lo < k.hi AND k.lo < n.hi) GROUP BY grp""")
 def overlap_refusal(spark, sf_dir):
-    n = statement(spark, sf_dir, "SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part WHERE p_partkey < 300")
+    n = statement(spark, sf_dir, "SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part")
     k = statement(spark, sf_dir, "SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer WHERE c_custkey < 4")
     good, _ = loaders.without_overlaps(n, k, "grp", "lo", "hi")
     return good.groupBy("grp").agg(F.count("*").alias("n"))
@@ -140,10 +140,10 @@ def symbol_identity(spark, sf_dir):
     return loaders.symbol_identity(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("addr")))
 
 
-@R.add("s11_json_lines", "SELECT event_id, value FROM events WHERE user_id < 20")
+@R.add("s11_json_lines", "SELECT event_id, value FROM events")
 def json_lines(spark, sf_dir):
     path = _store(spark).path + "/lines"
-    loaders.write_json_lines(table(spark, sf_dir, "events").filter("user_id < 20").select("event_id", "value"), path)
+    loaders.write_json_lines(table(spark, sf_dir, "events").select("event_id", "value"), path)
     return loaders.json_lines(spark, path, "event_id long, value double", ["event_id"])
 
 
@@ -153,10 +153,10 @@ def any_depth(spark, sf_dir):
     return loaders.values_of_key(nested, "j", "k").groupBy("value").agg(F.count("*").alias("n"))
 
 
-@R.add("s10_corpus_index", """SELECT doc_id, source, md5(lower(text)) AS digest, len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS tokens FROM documents WHERE doc_id < 300""")
+@R.add("s10_corpus_index", """SELECT doc_id, source, md5(lower(text)) AS digest, len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS tokens FROM documents""")
 def corpus_index(spark, sf_dir):
     s = _store(spark)
-    d = table(spark, sf_dir, "documents").filter("doc_id < 300").withColumn("w", text.words(F.col("text")))
+    d = table(spark, sf_dir, "documents").withColumn("w", text.words(F.col("text")))
     s.publish("corpus", d.select("doc_id", "source", F.md5(F.lower("text")).alias("digest"), F.size("w").cast("long").alias("tokens"), text.sketch(F.col("w")).alias("sketch")))
     return s.read("corpus").drop("sketch")
 
@@ -170,10 +170,10 @@ def attempt_with_edge(spark, sf_dir):
     return s.read("attempts").agg(F.count("*").alias("attempts")).crossJoin(s.read("edges").agg(F.count("*").alias("edges")))
 
 
-@R.add("s16_linked_receipts", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id + 1 END AS child FROM events WHERE event_id < 500")
+@R.add("s16_linked_receipts", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id + 1 END AS child FROM events")
 def linked_receipts(spark, sf_dir):
     """A link is a new version of the receipt; readers take the last."""
-    e = table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", F.lit(None).cast("long").alias("child"), F.lit(0).alias("version"))
+    e = table(spark, sf_dir, "events").select("event_id", F.lit(None).cast("long").alias("child"), F.lit(0).alias("version"))
     linked = e.filter("event_id % 3 = 0").withColumn("child", F.col("event_id") + 1).withColumn("version", F.lit(1))
     return loaders.latest_versions(e.unionByName(linked), ["event_id"], "version").select("event_id", "child")
 
@@ -354,12 +354,12 @@ def experiment_memory(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["m22_experiment_memory"])
 
 
-@R.add("j16_similarity_join_top_k", "WITH v AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 300), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding[1:4], b.embedding[1:4]), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM p) x WHERE rn <= 2")
+@R.add("j16_similarity_join_top_k", "WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding[1:4], b.embedding[1:4]), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM p) x WHERE rn <= 2")
 def similarity_join(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 300").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
     b = v.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("w"))
     dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    p = v.join(b, "label").filter("vec_id <> b").withColumn("s", dot)
+    p = v.filter("vec_id % 100 = 0").join(b, "label").filter("vec_id <> b").withColumn("s", dot)
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "b"))).filter("rn <= 2").select(F.col("vec_id").alias("a"), "b")
 
 
@@ -392,14 +392,14 @@ def spelling_variants(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.upper(mixed).alias("k")).agg(F.count("*").alias("n"))
 
 
-@R.add("f6_white_space", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS digest FROM documents WHERE doc_id < 300".replace("\\\\", "\\"))
+@R.add("f6_white_space", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS digest FROM documents".replace("\\\\", "\\"))
 def white_space(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[ \\t\\n]+", " "))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[ \\t\\n]+", " "))).alias("digest"))
 
 
-@R.add("f7_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \\n]')) AS tokens FROM documents WHERE doc_id < 300".replace("\\\\", "\\"))
+@R.add("f7_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \\n]')) AS tokens FROM documents".replace("\\\\", "\\"))
 def tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id < 300").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \\n]"), F.lit(0))).cast("long").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \\n]"), F.lit(0))).cast("long").alias("tokens"))
 
 
 @R.add("f10_word_ngrams", "WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM benchmark) SELECT item_id, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i+5], ' '))) AS gram FROM w WHERE len(w) >= 6")
@@ -408,9 +408,9 @@ def word_ngrams(spark, sf_dir):
     return w.select("item_id", F.explode(text.windows(F.col("w"), 6)).alias("gram"))
 
 
-@R.add("f11_diff_blocks", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id < 200), m AS (SELECT *, line LIKE '%the%' AS hit FROM l), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) AS blk FROM m) SELECT doc_id, min(i) AS first_line, count(*) AS lines FROM g WHERE hit GROUP BY doc_id, blk")
+@R.add("f11_diff_blocks", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT *, line LIKE '%the%' AS hit FROM l), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) AS blk FROM m) SELECT doc_id, min(i) AS first_line, count(*) AS lines FROM g WHERE hit GROUP BY doc_id, blk")
 def diff_blocks(spark, sf_dir):
-    l = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.col("line").contains("the"))
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.col("line").contains("the"))
     blk = (F.col("i") + 1) - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
     return l.withColumn("blk", blk).groupBy("doc_id", "blk").agg((F.min("i") + 1).cast("long").alias("first_line"), F.count("*").alias("lines")).drop("blk")
 
@@ -437,10 +437,10 @@ def local_date(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@R.add("f25_optional_fields", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k, json_extract_string(props, '$.none.x') AS missing FROM events WHERE event_id < 1000")
+@R.add("f25_optional_fields", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k, json_extract_string(props, '$.none.x') AS missing FROM events")
 def optional_fields(spark, sf_dir):
     p = F.from_json("props", "k int, none struct<x:string>")
-    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.coalesce(p["k"], F.lit(-1)).alias("k"), p["none"]["x"].alias("missing"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(p["k"], F.lit(-1)).alias("k"), p["none"]["x"].alias("missing"))
 
 
 @R.add("f16_multiset_metrics", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT coalesce(a.event_type, b.event_type) AS t, a.user_id AS ua, a.n AS x, b.n AS y FROM c a JOIN c b ON b.user_id = a.user_id + 1 AND a.event_type = b.event_type) SELECT ua AS user_id, CAST(sum(least(x, y)) AS BIGINT) AS shared FROM p GROUP BY ua")
@@ -454,13 +454,13 @@ def recent_results(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", "value").orderBy(F.desc("event_id")).limit(40)
 
 
-@R.add("r2_previous_score_stream", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events WHERE user_id < 10")
+@R.add("r2_previous_score_stream", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
 def previous_score_stream(spark, sf_dir):
     """The streaming operator over a log of JSON lines, run to its end; its rows are those of a window over the table."""
     from factloom.streaming import logs
 
     root = _store(spark).path
-    e = table(spark, sf_dir, "events").filter("user_id < 10")
+    e = table(spark, sf_dir, "events")
     e.select(F.col("user_id").cast("string").alias("function"), F.col("event_id").cast("string").alias("status"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.json(root + "/log")
     rows = logs.previous_scores(logs.tail(spark, root + "/log"))
     rows.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/ck").trigger(availableNow=True).start().awaitTermination()

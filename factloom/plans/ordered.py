@@ -48,10 +48,10 @@ def uncovered(spark, sf_dir):
     return intervals.uncovered(statement(spark, sf_dir, _SPANS), ["k"], "s", "e", "id")
 
 
-@R.add("w11_sliding_windows", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t FROM documents WHERE n_chars < 400)
+@R.add("w11_sliding_windows", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS t FROM documents)
     SELECT doc_id, CAST(i AS INT) AS i, array_to_string(t[i:i+2], ' ') AS gram FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 1))) AS i FROM w WHERE len(t) >= 3) x""")
 def sliding_windows(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").filter("n_chars < 400").select("doc_id", F.expr("filter(split(lower(text), '[^a-z]+'), x -> x <> '')").alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.expr("filter(split(lower(text), '[^a-z]+'), x -> x <> '')").alias("t"))
     return t.filter("size(t) >= 3").select("doc_id", F.posexplode(F.expr("transform(sequence(1, size(t) - 2), i -> array_join(slice(t, i, 3), ' '))")).alias("i", "gram")).withColumn("i", F.col("i") + 1)
 
 
@@ -74,11 +74,11 @@ def stopping_budget(spark, sf_dir):
     return intervals.running_budget(table(spark, sf_dir, "events"), ["user_id"], [F.col("event_id")], "value", 500).select("user_id", "event_id")
 
 
-@R.add("w16_skipping_budget", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE user_id < 20),
+@R.add("w16_skipping_budget", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
     f AS (SELECT user_id, event_id, rn, value <= 300 AS keep, CASE WHEN value <= 300 THEN 300 - value ELSE 300 END AS rest FROM e WHERE rn = 1
     UNION ALL SELECT e.user_id, e.event_id, e.rn, e.value <= f.rest, CASE WHEN e.value <= f.rest THEN f.rest - e.value ELSE f.rest END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, event_id FROM f WHERE keep""")
 def skipping_budget(spark, sf_dir):
-    return intervals.skipping_budget(table(spark, sf_dir, "events").filter("user_id < 20"), ["user_id"], "event_id", "value", 300).select("user_id", "event_id")
+    return intervals.skipping_budget(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 300).select("user_id", "event_id")
 
 
 @R.add("w10_hash_chain", """WITH c AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS entry FROM events) SELECT count(*) AS links, count(*) FILTER (WHERE NOT coalesce(prev = expected, true)) AS broken FROM
@@ -130,8 +130,8 @@ def interval_catalog(spark, sf_dir):
 
 
 # --- graphs: a part depends on parts with smaller keys; conversations are chains ---
-_DEPS = "SELECT DISTINCT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_partkey < 900 UNION SELECT p_partkey AS src, p_partkey - p_size AS dst FROM part WHERE p_partkey < 900 AND p_partkey - p_size >= 0 AND p_size > 40"
-_CYCLIC = "SELECT p_partkey AS src, (p_partkey * 7 + 3) % 200 AS dst FROM part WHERE p_partkey < 200 AND p_size % 3 > 0"
+_DEPS = "SELECT DISTINCT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_size > 40"
+_CYCLIC = "SELECT p_partkey AS src, p_partkey - p_partkey % 10 + (p_partkey * 7 + 3) % 10 AS dst FROM part WHERE p_size > 5"
 
 
 @R.add("g1_transitive_closure", f"WITH RECURSIVE e AS ({_DEPS}), r AS (SELECT CAST(5 AS BIGINT) AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r")
@@ -147,10 +147,10 @@ def affected(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(hit, F.col("l_partkey") == F.col("node"), "left_semi").select(F.col("l_suppkey").alias("entity")).distinct()
 
 
-@R.add("g3_stale_propagation", f"WITH RECURSIVE e AS ({_DEPS}), r AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 900 AND p_type = 'PROMO' AND p_size = 50 UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r")
+@R.add("g3_stale_propagation", f"WITH RECURSIVE e AS ({_DEPS}), r AS (SELECT p_partkey AS node FROM part WHERE p_type = 'PROMO' AND p_size = 50 UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r")
 def stale(spark, sf_dir):
     e = statement(spark, sf_dir, _DEPS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graphs.reachable(e, table(spark, sf_dir, "part").filter("p_partkey < 900 AND p_type = 'PROMO' AND p_size = 50").select(F.col("p_partkey").alias("node")))
+    return graphs.reachable(e, table(spark, sf_dir, "part").filter("p_type = 'PROMO' AND p_size = 50").select(F.col("p_partkey").alias("node")))
 
 
 @R.add("g4_strong_components", f"""WITH RECURSIVE e AS ({_CYCLIC}), r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
@@ -180,25 +180,25 @@ def ready(spark, sf_dir):
 
 
 @R.add("g9_work_queue", f"""WITH e AS ({_DEPS}), w AS (SELECT dst AS node, count(DISTINCT src) AS unblocks FROM e GROUP BY dst) SELECT p_partkey, coalesce(unblocks, 0) AS unblocks, p_size FROM part LEFT JOIN w ON p_partkey = node
-    WHERE p_partkey < 900 AND p_size <= 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) ORDER BY unblocks DESC, p_size, p_partkey LIMIT 100""")
+    WHERE p_size <= 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) ORDER BY unblocks DESC, p_size, p_partkey LIMIT 100""")
 def work_queue(spark, sf_dir):
     e, part = statement(spark, sf_dir, _DEPS), table(spark, sf_dir, "part")
     w = e.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("unblocks"))
     tried = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    q = part.filter("p_partkey < 900 AND p_size <= 30").join(tried, "p_partkey", "left_anti").join(w, F.col("p_partkey") == F.col("node"), "left")
+    q = part.filter("p_size <= 30").join(tried, "p_partkey", "left_anti").join(w, F.col("p_partkey") == F.col("node"), "left")
     return q.select("p_partkey", F.coalesce("unblocks", F.lit(0)).alias("unblocks"), "p_size").orderBy(F.desc("unblocks"), "p_size", "p_partkey").limit(100)
 
 
 @R.add("g10_grown_neighbourhood")
 def neighbourhood(spark, sf_dir):
-    weights = table(spark, sf_dir, "part").filter("p_partkey < 900").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("weight"))
+    weights = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("weight"))
     return graphs.grown_neighbourhood(statement(spark, sf_dir, _DEPS), weights, 1, 6)
 
 
-@R.add("g11_wavefront", f"""WITH RECURSIVE e AS ({_DEPS}), ok AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 900 AND p_size % 7 > 0), bad AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 900 AND p_size % 7 = 0 UNION SELECT e.src FROM bad JOIN e ON e.dst = bad.node),
+@R.add("g11_wavefront", f"""WITH RECURSIVE e AS ({_DEPS}), ok AS (SELECT p_partkey AS node FROM part WHERE p_size % 7 > 0), bad AS (SELECT p_partkey AS node FROM part WHERE p_size % 7 = 0 UNION SELECT e.src FROM bad JOIN e ON e.dst = bad.node),
     l AS (SELECT node, 1 AS wave FROM ok WHERE node NOT IN (SELECT src FROM e) UNION SELECT e.src, l.wave + 1 FROM l JOIN e ON e.dst = l.node) SELECT node, max(wave) AS wave FROM l WHERE node NOT IN (SELECT node FROM bad) GROUP BY node""")
 def wavefront(spark, sf_dir):
-    draws = table(spark, sf_dir, "part").filter("p_partkey < 900").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 7 > 0).alias("success"))
+    draws = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 7 > 0).alias("success"))
     return graphs.wavefront(statement(spark, sf_dir, _DEPS), draws, 50)
 
 
