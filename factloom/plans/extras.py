@@ -55,6 +55,20 @@ def file_scan(spark, sf_dir):
     return lines.groupBy("lang").agg(F.count("*").alias("n"))
 
 
+#: An image of each part in hexadecimal digits, in words both engines take: magic, entry, title, code and the name behind them.
+_IMAGE = "concat('8037124000000000', lpad(hex(p_partkey), 8, '0'), repeat('00', 20), hex(rpad(p_brand, 20, ' ')), repeat('00', 7), hex(rpad(substr(p_type, 1, 4), 4, ' ')), '00', hex(rpad(p_name, 64, '.')))"
+
+
+@R.add("s5_image_headers", f"""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'z64' WHEN 1 THEN 'v64' ELSE 'n64' END AS byte_order, CAST(128 AS BIGINT) AS size, sha1(unhex({_IMAGE})) AS sha1,
+    p_partkey AS entry, trim(p_brand) AS title, rpad(substr(p_type, 1, 4), 4, ' ') AS game_code FROM part""")
+def image_headers(spark, sf_dir):
+    """Images of all parts in three byte orders, brought into one."""
+    digits = table(spark, sf_dir, "part").select("p_partkey", F.expr(_IMAGE).alias("d"))
+    stored = F.when(F.col("p_partkey") % 3 == 0, F.col("d")).when(F.col("p_partkey") % 3 == 1, F.regexp_replace("d", "(..)(..)", "$2$1")).otherwise(F.regexp_replace("d", "(..)(..)(..)(..)", "$4$3$2$1"))
+    found = loaders.image_headers(digits.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(stored).alias("content")))
+    return found.select(F.col("path").cast("long").alias("id"), "byte_order", "size", "sha1", "entry", "title", "game_code")
+
+
 @R.add("s13_json_lines_written", "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
 def json_lines_written(spark, sf_dir):
     path = _folder(spark)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.sources.store import Refused
 
@@ -71,6 +74,39 @@ def without_overlaps(new: DataFrame, known: DataFrame, group: str, low: str, hig
     return new.join(refused, group, "left_anti"), refused
 
 
+# The first four bytes of an image in each byte order, and the bytes of a word in that order.
+IMAGE_ORDERS = {"80371240": ("z64", 1), "37804012": ("v64", 2), "40123780": ("n64", 4)}
+
+
+@F.pandas_udf(T.BinaryType())
+def _swapped(content: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([raw if w == 1 else np.frombuffer(raw, f"u{w}").byteswap().tobytes() for raw, w in zip(content, width)])
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the binary files at ``path``."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def image_headers(files: DataFrame) -> DataFrame:
+    """path, byte_order, size, sha1, entry, title, game_code, content (most significant byte first) of images (path, content).
+
+    An image of an unknown byte order, an incomplete last word or without a whole header is an error, as is a null content."""
+    magic = F.hex(F.substring("content", 1, 4))
+    orders = F.create_map(*[F.lit(v) for k, (order, _) in IMAGE_ORDERS.items() for v in (k, order)])
+    widths = F.create_map(*[F.lit(v) for k, (_, n) in IMAGE_ORDERS.items() for v in (k, n)])
+    size, width = F.octet_length("content"), F.element_at(widths, magic)
+    sound = F.coalesce((size >= 64) & (size % width == 0), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("not an image: "), F.coalesce("path", F.lit("no path"))))
+    known = files.select("path", "content", F.element_at(orders, magic).alias("byte_order"), F.when(sound, width).otherwise(refused.cast("int")).alias("_width"))
+    plain = known.select("path", "byte_order", _swapped("content", "_width").alias("content"))
+    ascii_at = lambda first, length: F.decode(F.substring("content", first, length), "US-ASCII")
+    return plain.select(
+        "path", "byte_order", F.octet_length("content").cast("long").alias("size"), F.sha1("content").alias("sha1"), F.conv(F.hex(F.substring("content", 9, 4)), 16, 10).cast("long").alias("entry"),
+        F.trim(ascii_at(33, 20)).alias("title"), ascii_at(60, 4).alias("game_code"), "content",
+    )
+
+
 def values_of_key(rows: DataFrame, column: str, key: str) -> DataFrame:
     """value: every scalar under ``key`` at any depth of a JSON text."""
     pattern = rf'"{key}"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+|true|false|null)'

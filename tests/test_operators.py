@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import sequences
 from factloom.operators import graphs, statistics
+from factloom.sources import loaders
 
 
 def test_sequences(spark):
@@ -38,3 +39,16 @@ def test_cycles_end(spark):
     assert {r.node for r in graphs.reachable(edges, spark.createDataFrame([(2,)], "node long")).collect()} == {1, 2, 3, 4}
     assert {r.node: r.level for r in graphs.levels(edges).collect()} == {1: None, 2: None, 3: None, 4: 0}
     assert {r.node: r.component for r in graphs.strong_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_image_headers(spark, tmp_path):
+    plain = bytes.fromhex("80371240") + bytes(4) + (0x80000400).to_bytes(4, "big") + bytes(20) + b"A TITLE".ljust(20) + bytes(7) + b"NABE\0" + bytes(range(8))
+    swap = lambda raw, w: b"".join(raw[i : i + w][::-1] for i in range(0, len(raw), w))
+    for w, name in ((1, "z64"), (2, "v64"), (4, "n64")):
+        (tmp_path / name).write_bytes(swap(plain, w))
+    rows = loaders.image_headers(loaders.images(spark, str(tmp_path))).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.byte_order) for r in rows} == {(n, n) for n in ("z64", "v64", "n64")}
+    assert {(bytes(r.content), r.size, r.entry, r.title, r.game_code) for r in rows} == {(plain, len(plain), 0x80000400, "A TITLE", "NABE")}
+    for bad in (b"", None, plain[:40], b"\0" + plain[1:], swap(plain, 2) + b"x"):
+        with pytest.raises(Exception, match="not an image: p"):
+            loaders.image_headers(spark.createDataFrame([("p", bad)], "path string, content binary")).collect()
