@@ -76,6 +76,19 @@ def json_lines_written(spark, sf_dir):
     return spark.read.schema("event_id long, user_id long").json(path).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@R.add("s14_commit_history", """SELECT sha1(concat(conv_id, '/', turn)) AS sha, role AS author, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS message,
+    CASE WHEN turn % 2 = 1 THEN concat('a/', conv_id) END AS old_path, concat('b/', turn) AS path, CASE WHEN turn % 2 = 1 THEN 'R100' ELSE 'M' END AS status FROM conversations""")
+def commit_history(spark, sf_dir):
+    """Every turn written as a commit and read back, a row for each change."""
+    sha = F.sha1(F.concat_ws("/", "conv_id", "turn").cast("binary"))
+    change = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("R100\ta/"), "conv_id", F.lit("\tb/"), "turn")).otherwise(F.concat(F.lit("M\tb/"), "turn"))
+    head = F.concat_ws(loaders.FIELD, sha, F.lit("2024-01-01T00:00:00Z"), "role", F.coalesce("text", F.lit("")))
+    path = _folder(spark)
+    table(spark, sf_dir, "conversations").select(F.concat(head, F.lit(f"\n{loaders.MESSAGE_END}\n"), change, F.lit("\n")).alias("value")).write.option("lineSep", loaders.RECORD).text(path)
+    found = loaders.commits(spark, path).select("sha", "author", F.md5("message").alias("message"), F.explode("changes").alias("c"))
+    return found.select("sha", "author", "message", "c.old_path", "c.path", "c.status")
+
+
 @R.add("s17_csv_row", "SELECT p_partkey, p_size, p_name FROM part")
 def csv_row(spark, sf_dir):
     line = F.concat_ws(",", "p_partkey", "p_size", "p_name")

@@ -74,6 +74,25 @@ def without_overlaps(new: DataFrame, known: DataFrame, group: str, low: str, hig
     return new.join(refused, group, "left_anti"), refused
 
 
+# What parts the records of a written history, their fields, and the message from the changes.
+RECORD, FIELD, MESSAGE_END = "\x1e", "\x1f", "\x1d"
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """sha, authored_at, author, message, changes (array of status, old_path, path) of a history that was written as text by
+    ``git log --name-status --format=%x1e%H%x1f%aI%x1f%an%x1f%B%x1d``. Records without all fields and lines without a path
+    are left out; a commit without changes has an empty array."""
+    outer = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    record = F.split("value", MESSAGE_END, 2)
+    field = F.split(record[0], FIELD, 4)
+    whole = spark.read.option("lineSep", RECORD).text(path).filter(F.contains("value", F.lit(MESSAGE_END))).select(field.alias("f"), record[1].alias("changed")).filter(F.size("f") == 4)
+    lines = F.transform(F.split("changed", r"\r?\n"), lambda line: F.split(line, "\t"))
+    moved = lambda c: c[0].rlike("^[RC]") & (F.size(c) >= 3)
+    change = lambda c: F.struct(c[0].alias("status"), F.when(moved(c), c[1]).alias("old_path"), F.when(moved(c), F.get(c, 2)).otherwise(c[1]).alias("path"))
+    changes = F.transform(F.filter(lines, lambda c: F.size(c) >= 2), change)
+    return whole.select(outer(F.col("f")[0]).alias("sha"), outer(F.col("f")[1]).alias("authored_at"), outer(F.col("f")[2]).alias("author"), outer(F.col("f")[3]).alias("message"), changes.alias("changes"))
+
+
 # The first four bytes of an image in each byte order, and the bytes of a word in that order.
 IMAGE_ORDERS = {"80371240": ("z64", 1), "37804012": ("v64", 2), "40123780": ("n64", 4)}
 

@@ -52,3 +52,10 @@ def test_image_headers(spark, tmp_path):
     for bad in (b"", None, plain[:40], b"\0" + plain[1:], swap(plain, 2) + b"x"):
         with pytest.raises(Exception, match="not an image: p"):
             loaders.image_headers(spark.createDataFrame([("p", bad)], "path string, content binary")).collect()
+
+
+def test_commits(spark, tmp_path):
+    (tmp_path / "log").write_text("\x1eaa\x1f2024\x1fme\x1fFirst\n\nbody\n\x1d\n\nM\tx.c\nR090\told.c\tnew.c\nodd\n\x1ebb\x1f2025\x1fyou\x1f\x1d\n\x1ebroken\x1d\n\x1eno end")
+    rows = {r.sha: r for r in loaders.commits(spark, str(tmp_path / "log")).collect()}
+    assert rows.keys() == {"aa", "bb"} and rows["bb"].changes == [] and rows["bb"].message == ""
+    assert rows["aa"].message == "First\n\nbody" and [tuple(c) for c in rows["aa"].changes] == [("M", None, "x.c"), ("R090", "old.c", "new.c")]
