@@ -32,8 +32,8 @@ class Settings:
     rounds: int = 2
     train_lanes: int = 256
     train_steps: int = 16
-    #: Every so many windows take part in the gradient; the state runs through all of them.
-    gradient_every: int = 2
+    #: Every so many windows take part in the gradient; the state runs through all of them. One takes them all.
+    gradient_every: int = 1
     rate: float = 0.02
     score_lanes: int = 512
     score_steps: int = 32

@@ -83,3 +83,13 @@ def test_edge_cases(spark):
     assert score_documents(docs.limit(0)).count() == 0
     only = spark.createDataFrame([(i, "a") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     compare([tuple(r) for r in only.collect()], score_documents(only).collect())
+
+
+def test_every_window_trains_the_model():
+    s = Settings()
+    p = {k: v.astype(np.float32) for k, v in small_model().items()}
+    old = {k: v.copy() for k, v in p.items()}
+    # in one lane each document fills a window of its own
+    docs = [(None, np.append(np.full(s.train_steps - 1, 10 * k), 0).astype(np.int32)) for k in range(1, 5)]
+    assert gru.train(p, iter(docs), 1, s.train_steps, s.gradient_every, s.rate) == 4 * s.train_steps
+    assert all((p["E"][10 * k] != old["E"][10 * k]).any() for k in range(1, 5))
