@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, mixing, quality, repeats, simhash
+from factloom.llm import bpe, mixing, quality, repeats, shingles
 from factloom.llm.shared import documents, stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,10 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one that the group is named by. Rows with the same id and
+    """One document of each group of near-duplicates (sets of 5-word shingles with a similarity of 0.8 or more, by an exact
+    check and not by SimHash): the one that the group is named by. Rows with the same id and
     those of a group without any id are told apart by their texts; of equal rows one stays."""
     keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
-    found = simhash.groups(keyed.select("doc_id", "text", "_digest"))
+    found = shingles.groups(keyed.select("doc_id", "text", "_digest"))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("_digest").alias("_digest"))
     stays = keyed.join(first.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi")
     return stays.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
