@@ -28,6 +28,8 @@ BLOCK = frozenset(
 #: Elements that hold others and so can hold an article.
 HOLDERS = frozenset("html body main article section div td blockquote center details figure dl ul ol table tbody tr form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that are text of their own and not a part of the page's layout.
+FLOW = HEADINGS | frozenset("p pre blockquote ul ol dl table figure details address dir listing plaintext".split())
 #: Elements that are never article text.
 APART = frozenset("head nav aside footer form script style textarea noscript iframe template svg math button select dialog object canvas audio video title noembed noframes xmp menu".split())
 #: Words in class, id or role that mark parts apart from the article.
@@ -70,6 +72,7 @@ class Tree:
 
     def __init__(self, page: str, hints: bool = True):
         self.tag, self.parent, self.apart, self.end = ["html"], [-1], [False], [0]
+        self.attrs = [""]
         self.pieces: list[tuple[int, str] | None] = []
         stack, inside, at, n = [0], 0, 0, len(page)
 
@@ -116,6 +119,7 @@ class Tree:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
+            self.attrs.append(m[3])
             self.apart.append(self.apart[stack[-1]] or _apart(tag, m[3], inside > 0, hints))
             self.end.append(node + 1)
             if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
@@ -139,8 +143,8 @@ class Tree:
             if self.tag[stack[k]] in SCOPE:
                 return
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Density of each node, sum of its children's densities, and characters below it."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Density of each node, sum of its children's densities, characters below it, and those of them in links."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         link = [False] * n
@@ -173,11 +177,11 @@ class Tree:
         sums = [0.0] * n
         for i in range(1, n):
             sums[self.parent[i]] += density[i]
-        return density, sums, chars
+        return density, sums, chars, link_chars
 
     def selected(self) -> list[tuple[int, int]]:
         """Ranges of nodes that are content."""
-        density, sums, chars = self.densities()
+        density, sums, chars, link_chars = self.densities()
         n = len(self.tag)
         holders = [i for i in range(n) if self.tag[i] in HOLDERS and not self.apart[i] and chars[i]]
         if not holders:
@@ -194,37 +198,60 @@ class Tree:
                 break
             node = self.parent[node]
         if self.tag[home] not in ("article", "main"):
-            home = self._with_headings(home, chars)
+            return [(best, self.end[best]), *self._beside(best, least, density, chars, link_chars)]
         ranges = [(home, self.end[home])]
-        if self.tag[home] in ("body", "html"):
-            return ranges
         # parts beside it that are as dense as the least on its way to the body
         for i in holders:
             if not any(a <= i < b for a, b in ranges) and not (i < home < self.end[i]) and density[i] > max(least, 0.5 * density[best]) and sums[i] > 0.25 * sums[best]:
                 ranges.append((i, self.end[i]))
         return ranges
 
-    def _with_headings(self, node: int, chars: list[int]) -> int:
-        """The parent instead, while all that it adds are headings."""
-        while self.parent[node] > 0:
-            parent = self.parent[node]
-            others = [i for i in range(parent + 1, self.end[parent]) if self.parent[i] == parent and i != node and not self.apart[i] and chars[i]]
-            own = chars[parent] - chars[node] - sum(chars[i] for i in others)
-            if own or not others or any(self.tag[i] not in HEADINGS for i in others):
-                if own or others:
-                    return node
-            node = parent
-        return node
+    def _beside(self, best: int, least: float, density: list[float], chars: list[int], link_chars: list[int]) -> list[tuple[int, int]]:
+        """Ranges outside ``best`` that are content too: along its way to the body, headings, paragraphs and bare text; parts
+        of the same kind as the one on the way, if they are prose; and everywhere below the body what is dense enough."""
+        children: dict[int, list[int]] = {}
+        for i in range(1, len(self.tag)):
+            children.setdefault(self.parent[i], []).append(i)
+        prose = lambda i: chars[i] > 0 and 2 * link_chars[i] < chars[i]
+        ranges, node = [], best
+        while self.tag[node] not in ("body", "html"):
+            above, kind = self.parent[node], self._kind(node)
+            inside = self.tag[above] not in ("body", "html")
+            if inside:
+                ranges.append((above, above + 1))  # its bare text
+            todo = []
+            for i in children[above]:
+                if i == node or self.apart[i] or not chars[i]:
+                    continue
+                if prose(i) and (self.tag[i] in FLOW or inside and (self.tag[i] not in BLOCK or self._kind(i) == kind)):
+                    ranges.append((i, self.end[i]))
+                else:
+                    todo.append(i)
+            while todo:
+                i = todo.pop()
+                if (self.tag[i] in HOLDERS or self.tag[i] in FLOW) and prose(i) and density[i] >= least:
+                    ranges.append((i, self.end[i]))
+                else:
+                    todo += [c for c in children.get(i, ()) if chars[c] and not self.apart[c]]
+            node = above
+        return ranges
+
+    def _kind(self, node: int) -> tuple[str, str]:
+        """Element and class."""
+        named = [m for m in _HINTED.finditer(self.attrs[node]) if m[1].lower() == "class"]
+        return self.tag[node], " ".join((m[2] or m[3] or m[4] or "") for m in named)
 
     def text(self) -> str:
-        ranges = self.selected()
+        inside = bytearray(len(self.tag))
+        for a, b in self.selected():
+            inside[a:b] = b"\1" * (b - a)
         blocks, now = [], []
         for piece in [*self.pieces, None]:
             if piece is None:
                 if now and (block := " ".join(html.unescape("".join(now)).split())):
                     blocks.append(block)
                 now = []
-            elif not self.apart[piece[0]] and any(a <= piece[0] < b for a, b in ranges):
+            elif not self.apart[piece[0]] and inside[piece[0]]:
                 now.append(piece[1])
         return "\n\n".join(blocks)
 

@@ -53,3 +53,32 @@ def test_pages_of_the_table_and_edge_cases(spark):
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x</p>", 2), (1, "u", "<p>x</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in extract(odd).collect()) == [(0, ""), (1, "x"), (1, "x")]
     assert extract(odd.limit(0)).count() == 0
+
+
+def paragraphs(n, k=0):
+    return [f"{i}: {P1.strip()}" for i in range(k, k + n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{e(t)}</p>" for t in texts)
+
+
+AROUND = "<body><div id=top><a href=/>Home</a> <a href=/a>About us</a></div>{}<div class=foot><a href=/x>Terms</a> <a href=/y>Contact</a></div></body>"
+
+
+@pytest.mark.parametrize(
+    ("article", "want"),
+    [
+        (f"<div class=content><h1>T</h1><p>A short lead.</p><div class=text>{marked(paragraphs(10))}</div><p>A short end.</p></div>", ["T", "A short lead.", *paragraphs(10), "A short end."]),
+        (f"<h1>T</h1><p>A short lead.</p><div class=text>{marked(paragraphs(10))}</div><p>A short end.</p>", ["T", "A short lead.", *paragraphs(10), "A short end."]),
+        (f"<div class=content><h1>T</h1><p>Lead.</p><div class=wrap><div class=text>{marked(paragraphs(10))}</div></div><pre>x = 1</pre><h2>More</h2><p>End.</p></div>", ["T", "Lead.", *paragraphs(10), "x = 1", "More", "End."]),
+        (
+            f"<div class=content><h1>T</h1><p>Lead.</p><section><h2>One</h2>{marked(paragraphs(12))}</section><section><h2>Two</h2><p>Short.</p></section><section><h2>Three</h2>{marked(paragraphs(2, 20))}</section><p>End.</p></div>",
+            ["T", "Lead.", "One", *paragraphs(12), "Two", "Short.", "Three", *paragraphs(2, 20), "End."],
+        ),
+        (f"<div class=content><div class=part>{marked(paragraphs(12))}</div><div class=part>{marked(paragraphs(1, 30))}</div><div class=last>{marked(paragraphs(2, 40))}</div></div>", [*paragraphs(12), *paragraphs(1, 30), *paragraphs(2, 40)]),
+        (f"<div class=content>Bare <b>lead</b> text.<div class=text>{marked(paragraphs(10))}</div></div>", ["Bare lead text.", *paragraphs(10)]),
+    ],
+)
+def test_whole_article_without_article_element(article, want):
+    assert main_text(AROUND.format(article)) == "\n\n".join(want)
