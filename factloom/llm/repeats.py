@@ -1,59 +1,85 @@
 """Remove repeated byte strings of a corpus by prefix-free parsing.
 
-A rolling hash of a few bytes cuts every text into phrases: a phrase starts where the hash is least among all windows of
-the next ``REACH`` places (so no phrase is longer, whatever the text). Which phrase start belongs to a place depends on
-the bytes behind that place alone, so equal strings are parsed alike wherever they occur. Two strings of ``LENGTH`` bytes
-are equal if and only if they have the same suffix of a phrase (before the phrase start) and the same parse behind it.
-
-1. Dictionary of the parse: each phrase start stands for the run of places that belong to it. It is named by the parse
-   suffix behind it (``suffix``: the bytes that all strings of the run share) and by all bytes of the run (``whole``).
-   Names that occur once end there; runs whose whole name occurs twice are repeated as they are.
-2. Suffix order: what is left shares a parse suffix with another phrase but not the whole run. These phrases are sorted
-   by parse suffix, then for each length by the phrase's suffix before the start and what follows, so that equal strings
-   become neighbours. Whether a string repeats is whether it equals a neighbour.
-
-Names are hashes, so the order among different suffixes is by hash and not alphabetical; only equality is used. Of the
-128 bits that name a run, 64 name its parse suffix.
+A rolling hash cuts every text into phrases. A place of the text is a trigger if its hash is zero modulo ``every``; a
+stretch of ``reach`` places without a trigger is cut at its least hash, which bounds phrases on any text. Which phrase
+start belongs to a place depends on the ``reach + ROLL - 1`` bytes behind it alone, so equal strings are parsed alike
+wherever they occur.
+
+1. Dictionary: a phrase is the run of places that belong to one start. It is named by the bytes behind the start that all
+   strings of the run share (``suffix``: the parse suffix) and by all bytes of the run (``whole``). The names are counted,
+   so that copies of a phrase go on as one row. Runs whose whole name occurs twice are repeated as they are.
+2. Suffix order: what is left shares a parse suffix with another phrase but not the whole run. Phrases of one parse suffix
+   are ranked by what follows (the parse's suffix array). From there the dictionary's suffixes are sorted one byte to the
+   left at a time: a suffix stands where its first byte and the rank of the rest put it, and its common prefix with its
+   neighbour follows from those of the round before. So dictionary and parse give the strings in corpus order, with the
+   length that neighbours share; a string repeats if that is all of it.
+
+Names are 64-bit hashes; of the 128 bits that name a run, 64 name its parse suffix. Within a parse suffix bytes are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.shared import stage, text_batches, unstage
+from factloom.llm.shared import packed, stage, text_batches, unstage
 
-#: Bytes of a repeated string, places among which a phrase start is the least, bytes of the rolling hash.
-LENGTH, REACH, ROLL = 400, 160, 8
-#: Bytes behind a phrase start that all strings of its run share.
-SHARED = LENGTH - REACH + 1
+#: Bytes of the rolling hash.
+ROLL = 8
 #: Places parsed at a time, and phrases of one parse suffix that are ordered in one task; more are ordered by shuffling.
 _STEP, CROWD = 1 << 19, 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def parse(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Strings:
+    """What counts as a repeat: strings of ``length`` bytes (50 at least)."""
+
+    length: int = 400
+
+    @property
+    def reach(self) -> int:
+        """Places among which a phrase start is looked for."""
+        return min(160, 3 * self.length // 5)
+
+    @property
+    def every(self) -> int:
+        """A place in so many is a trigger."""
+        return 4 * self.reach // 5
+
+    @property
+    def shared(self) -> int:
+        """Bytes behind a phrase start that all strings of its run share."""
+        return self.length - self.reach + 1
+
+
+def parse(raw: bytes, s: Strings = Strings()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """First place, last place and phrase start of each run, a stretch of the text at a time. A place is one where a
-    string of LENGTH bytes starts. A run is cut at the end of a stretch; that costs later work but loses nothing."""
+    string of the length starts. A run is cut at the end of a stretch; that costs later work but loses nothing."""
     data = np.frombuffer(raw, np.uint8)
-    places = len(data) - LENGTH + 1
+    places = len(data) - s.length + 1
     for at in range(0, places, _STEP):
         n = min(_STEP, places - at)
-        part = data[at : at + n + REACH + ROLL - 2]
+        part = data[at : at + n + s.reach + ROLL - 2]
         value = np.ascontiguousarray(sliding_window_view(part, ROLL)).view("<u8").ravel()
         value = (value ^ (value >> np.uint64(29))) * _MIX
-        # the place in the lower half makes the first of equal hashes the least
-        least = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(value), dtype=np.uint64)
+        # triggers come before all others; the place in the lower half makes the first of equals the least
+        high = (value >> np.uint64(32)).astype(np.uint32)
+        high[high % np.uint32(s.every) == 0] = 0
+        least = (high.astype(np.uint64) << np.uint64(32)) | np.arange(len(value), dtype=np.uint64)
         have = 1
-        while have < REACH:
-            step = min(have, REACH - have)
+        while have < s.reach:
+            step = min(have, s.reach - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
         start = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[:n]
@@ -68,43 +94,45 @@ def text_key(raw: bytes) -> tuple[int, int]:
     return a, b
 
 
-_PHRASES = "k1 long, k2 long, first int, last int, start int, suffix long, whole long"
-
-
-def phrases(docs: DataFrame) -> DataFrame:
-    """The runs of every text, with the text's key and the two names of each."""
+def phrases(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
+    """The runs of every text, with the text's key and the two names of each. ``place`` holds the phrase start, and from
+    how many bytes before it to how many the run's strings start, in 48, 8 and 8 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(5)]
             for text in batch.column(0):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(raw) < LENGTH:
+                if len(raw) < s.length:
                     continue
                 k1, k2 = text_key(raw)
-                for first, last, start in parse(raw):
+                for first, last, start in parse(raw, s):
                     a, b, c = first.tolist(), last.tolist(), start.tolist()
-                    n = len(a)
-                    cols[0].append(np.full(n, k1))
-                    cols[1].append(np.full(n, k2))
-                    for col, x in zip(cols[2:5], (first, last, start)):
-                        col.append(x.astype(np.int32))
-                    cols[5].append(np.array([digest(raw[t : t + SHARED]) for t in c], "u8").view("i8"))
+                    cols[0].append(np.full(len(a), k1))
+                    cols[1].append(np.full(len(a), k2))
+                    cols[2].append(start << 16 | (start - first) << 8 | (start - last))
+                    cols[3].append(np.array([digest(raw[t : t + s.shared]) for t in c], "u8").view("i8"))
                     # the run's bytes and where the phrase starts in them
-                    cols[6].append(np.array([digest(raw[i : j + LENGTH], t - i) for i, j, t in zip(a, b, c)], "u8").view("i8"))
+                    cols[4].append(np.array([digest(raw[i : j + s.length], t - i) for i, j, t in zip(a, b, c)], "u8").view("i8"))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k1", "k2", "first", "last", "start", "suffix", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k1", "k2", "place", "suffix", "whole"])
+
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, place long, suffix long, whole long")
 
-    return docs.select("text").mapInArrow(run, _PHRASES)
 
+def _ends(place: str = "place") -> list[Column]:
+    """start, far and near of a packed place."""
+    c = F.col(place)
+    return [F.shiftright(c, 16).alias("start"), F.shiftright(c, 8).bitwiseAND(255).alias("far"), c.bitwiseAND(255).alias("near")]
 
-_CONTEXT = "suffix long, k1 long, k2 long, first int, last int, start int, left_bytes binary, right_bytes binary"
 
+_CONTEXT = "suffix long, k1 long, k2 long, place long, left_bytes binary, right_bytes binary"
 
-def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
+
+def _contexts(docs: DataFrame, open_: DataFrame, s: Strings) -> DataFrame:
     """The bytes of each open phrase before its start and behind its shared part."""
-    lists = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("suffix", "first", "last", "start")).alias("runs"))
+    lists = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("suffix", "place")).alias("runs"))  # of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +140,12 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
             for text, k1, k2, runs in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for r in runs:
-                    t = r["start"]
-                    rows.append((r["suffix"], k1, k2, r["first"], r["last"], t, raw[r["first"] : t], raw[t + SHARED : t + LENGTH]))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=["suffix", "k1", "k2", "first", "last", "start", "left_bytes", "right_bytes"])
+                    t, far = r["place"] >> 16, r["place"] >> 8 & 255
+                    rows.append((r["suffix"], k1, k2, r["place"], raw[t - far : t], raw[t + s.shared : t + s.length]))
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["suffix", "k1", "k2", "place", "left_bytes", "right_bytes"])
 
-    return _keyed_texts(docs).join(lists, ["k1", "k2"]).select("text", "k1", "k2", "runs").mapInArrow(run, _CONTEXT)
+    return _keyed_texts(docs, s).join(lists, ["k1", "k2"]).select("text", "k1", "k2", "runs").mapInArrow(run, _CONTEXT)
 
 
 def _key_columns(text) -> list:
@@ -132,13 +160,13 @@ def _key_columns(text) -> list:
     return [halves[0].alias("k1"), halves[1].alias("k2")]
 
 
-def _keyed_texts(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text of at least LENGTH bytes with its key."""
-    long = docs.filter(F.octet_length("text") >= LENGTH)
+def _keyed_texts(docs: DataFrame, s: Strings) -> DataFrame:
+    """One row for each distinct text of at least the length with its key."""
+    long = docs.select("text").filter(F.octet_length("text") >= s.length)
     return long.select("text", *_key_columns(F.col("text"))).dropDuplicates(["k1", "k2"])
 
 
-def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _order(batches: Iterator[pa.RecordBatch], s: Strings) -> Iterator[pa.RecordBatch]:
     """Sorted by parse suffix: the places of each phrase whose string equals another phrase's of the same suffix."""
     held: pa.Table | None = None
     for batch in batches:
@@ -146,110 +174,129 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table if held is None else pa.concat_tables([held, table])
         suffix = held.column("suffix").to_numpy()
         cut = int(np.searchsorted(suffix, suffix[-1], side="left")) if len(suffix) else 0
-        if cut >= 4096:
-            yield from _neighbours(held.slice(0, cut))
+        if cut >= 8192:
+            yield from _neighbours(held.slice(0, cut), s)
             held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield from _neighbours(held)
+        yield from _neighbours(held, s)
+
+
+def _least_between(common: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each pair of places first < last of an order the bytes that the two share; ``common`` has those of each place
+    with the one before."""
+    if not len(first):
+        return np.empty(0, common.dtype)
+    pairs = np.column_stack([first + 1, last + 1]).ravel()
+    return np.minimum.reduceat(np.append(common, 0), pairs)[::2]
 
 
-def _neighbours(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _neighbours(table: pa.Table, s: Strings) -> Iterator[pa.RecordBatch]:
     n = table.num_rows
-    get = lambda c: table.column(c).to_numpy().astype(np.int64)
-    first, last, start = get("first"), get("last"), get("start")
-    near, far = start - last, start - first  # how many bytes before the start the run's strings begin, least and most
-    left, right = np.zeros((n, REACH), np.uint8), np.zeros((n, REACH), np.uint8)
+    suffix, place = table.column("suffix").to_numpy(), table.column("place").to_numpy()
+    start, far, near = place >> 16, place >> 8 & 255, place & 255
+    group = np.cumsum(np.diff(suffix, prepend=suffix[:1]) != 0)
+    width = s.reach - 1
+    left, right, rights = np.zeros((n, s.reach), np.uint8), np.zeros((n, width), np.uint8), np.zeros(n, np.int64)
     for i, (a, b) in enumerate(zip(table.column("left_bytes").to_pylist(), table.column("right_bytes").to_pylist())):
         left[i, : len(a)] = np.frombuffer(a, np.uint8)[::-1]
         right[i, : len(b)] = np.frombuffer(b, np.uint8)
-    # names of each length of what is before the start, and of what follows the shared part
-    names = []
-    for side in (left, right):
-        value = (side.astype(np.uint64) + np.uint64(1)) * _MIX
-        value ^= value >> np.uint64(31)
-        out = np.zeros((n, REACH + 1), np.uint64)
-        for k in range(REACH):
-            out[:, k + 1] = (out[:, k] ^ value[:, k]) * _MIX
-            out[:, k + 1] ^= out[:, k + 1] >> np.uint64(32)
-        names.append(out)
-    suffix = table.column("suffix").to_numpy().view("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
-    found = np.zeros((n, REACH + 1), bool)
-    for d in range(REACH):
-        own = np.flatnonzero((near <= d) & (d <= far))
-        if len(own) < 2:
-            continue
-        name = (names[0][own, d] * np.uint64(3) + names[1][own, LENGTH - d - SHARED]) ^ suffix[own]
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        hit = np.zeros(len(own), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        found[own[hit], d] = True
+        rights[i] = len(b)
+    # ranks of the parse suffixes' ends: what follows the shared part, within each group
+    keyed = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), right], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{8 + width}").ravel(), kind="stable")
+    differ = right[order[1:]] != right[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    common = np.minimum(common, np.minimum(rights[order[1:]], rights[order[:-1]]))
+    # shared bytes with the one before; below zero where nothing can be shared any more
+    common = np.concatenate([[-1], np.where(group[order[1:]] == group[order[:-1]], common, -1)])
+    found = np.zeros((n, s.reach + 1), bool)
+    for d in range(s.reach):
+        # strings that start d bytes before a phrase start
+        own = np.flatnonzero((near[order] <= d) & (d <= far[order]))
+        whole = _least_between(common, own[:-1], own[1:]) >= width
+        found[order[own[1:][whole]], d] = True
+        found[order[own[:-1][whole]], d] = True
+        # one byte to the left: by group and byte, equals in the order they have
+        on = np.flatnonzero(far[order] > d)
+        key = group[order[on]] << 8 | left[order[on], d]
+        to = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[to[1:]] == key[to[:-1]]) + 1
+        after = np.full(len(on), -1)
+        least = _least_between(common, on[to[same - 1]], on[to[same]])
+        after[same] = np.where(least < 0, -1, least + 1)
+        # a suffix that shares nothing with either neighbour never will
+        stays = (after >= 0) | (np.append(after[1:], -1) >= 0)
+        order, common = order[on[to[stays]]], after[stays]
+        if not len(order):
+            break
     edge = np.diff(found.astype(np.int8), axis=1, prepend=0)
     row, begin = np.nonzero(edge == 1)
     _, stop = np.nonzero(edge == -1)
     if len(row):
         k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
-        yield _spans(k1[row], k2[row], start[row] - stop + 1, start[row] - begin)
-
-
-def _spans(k1, k2, first, last) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["k1", "k2", "first", "last"])
+        arrays = [k1[row], k2[row], start[row] - stop + 1, start[row] - begin]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["k1", "k2", "first", "last"])
 
 
-_SPANS = "k1 long, k2 long, first int, last int"
+_SPANS = "k1 long, k2 long, first long, last long"
 
 
-def repeated_places(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """k1, k2, first, last: runs of places, for each distinct text, at which a string of LENGTH bytes starts that also
+def repeated_places(docs: DataFrame, crowd: int = CROWD, s: Strings = Strings()) -> DataFrame:
+    """k1, k2, first, last: runs of places, for each distinct text, at which a string of the length starts that also
     starts elsewhere."""
-    found = stage(phrases(docs), "phrases")
-    # a parse suffix that occurs once belongs to no repeated string
-    twice = found.groupBy("suffix").agg(F.count("*").alias("n")).filter("n > 1").select("suffix")
-    some = stage(found.join(twice, "suffix"), "repeated-phrases")
+    found = stage(phrases(docs, s), "phrases")
+    # copies of a phrase are counted before anything meets by parse suffix
+    names = stage(found.groupBy("suffix", "whole").agg(F.count("*").alias("n")), "phrase-names")
+    # a parse suffix that occurs once belongs to no repeated string; staged, so that the join can divide a common one
+    per = stage(names.groupBy("suffix").agg(F.count("*").alias("names"), F.sum("n").alias("all")).filter("all > 1").drop("all"), "suffix-names")
+    shared = stage(names.join(per, "suffix"), "shared-names")
+    unstage(names)
+    some = stage(found.join(shared, ["suffix", "whole"]), "repeated-phrases")
     unstage(found)
-    wholes = stage(some.groupBy("suffix", "whole").agg(F.count("*").alias("n"), F.first(F.struct("k1", "k2", "first", "last", "start")).alias("one")), "phrase-names")
-    alike = some.join(wholes.filter("n > 1").select("suffix", "whole"), ["suffix", "whole"]).select("k1", "k2", "first", "last").distinct()
+    at = F.shiftright("place", 16)
+    spans = ["k1", "k2", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")]
+    alike = some.filter("n > 1").select(*spans).distinct()
     # suffixes with more than one whole name; one phrase of each name takes part
-    crowds = wholes.groupBy("suffix").agg(F.count("*").alias("names")).filter("names > 1")
-    open_ = wholes.join(crowds, "suffix").select("suffix", "names", "one.*")
-    context = stage(_contexts(docs, open_), "phrase-contexts")
-    few = context.join(crowds.filter(F.col("names") <= crowd), "suffix").drop("names")
-    near = few.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(_order, _SPANS)
+    one = some.filter("names > 1").groupBy("suffix", "whole").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("place").alias("place"), F.first("names").alias("names"))
+    open_ = stage(one, "open-phrases")
+    crowded = open_.filter(F.col("names") > crowd).select("suffix").distinct()
+    context = stage(_contexts(docs, open_, s), "phrase-contexts")
+    few = context.join(crowded, "suffix", "left_anti")
+    near = few.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(partial(_order, s=s), _SPANS)
     # crowded suffixes: each string is a row of its own, keyed by all that tells it apart
-    many = context.join(crowds.filter(F.col("names") > crowd), "suffix").drop("names")
-    d = F.explode(F.sequence(F.col("start") - F.col("last"), F.col("start") - F.col("first"))).alias("d")
-    rows = many.select("*", d)
-    rows = rows.withColumn("string", F.md5(F.concat(F.expr("substring(left_bytes, octet_length(left_bytes) - d + 1, d)"), F.expr(f"substring(right_bytes, 1, {LENGTH - SHARED} - d)"))))
+    rows = context.join(crowded, "suffix", "left_semi").select("*", *_ends())
+    rows = rows.withColumn("d", F.explode(F.sequence("near", "far")))
+    rows = rows.withColumn("string", F.md5(F.concat(F.expr("substring(left_bytes, CAST(octet_length(left_bytes) - d + 1 AS INT), CAST(d AS INT))"), F.expr(f"substring(right_bytes, 1, CAST({s.reach - 1} - d AS INT))"))))
     equal = rows.groupBy("suffix", "d", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     place = (F.col("start") - F.col("d")).alias("first")
-    crowded = rows.join(equal, ["suffix", "d", "string"]).select("k1", "k2", place, place.alias("last"))
-    return alike.unionByName(near).unionByName(crowded)
+    many = rows.join(equal, ["suffix", "d", "string"]).select("k1", "k2", place, place.alias("last"))
+    return alike.unionByName(near).unionByName(many)
 
 
-def cut_spans(n: int, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal stretches of bytes that the strings starting in ``runs`` cover."""
+def cut_spans(raw: bytes, runs: list[dict] | None, s: Strings, least_words: int = 0) -> list[tuple[int, int]]:
+    """Maximal stretches of bytes that the strings starting in ``runs`` cover, those of at least so many words."""
     out: list[list[int]] = []
-    for first, last in sorted(runs):
+    for first, last in sorted((r["first"], r["last"]) for r in runs or []):
         if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + LENGTH)
+            out[-1][1] = max(out[-1][1], last + s.length)
         else:
-            out.append([first, last + LENGTH])
-    return [(a, b) for a, b in out]
+            out.append([first, last + s.length])
+    return [(a, b) for a, b in out if not least_words or len(raw[a:b].split()) >= least_words]
 
 
-def _with_runs(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with the runs of its text, null where nothing is repeated."""
+def _with_runs(docs: DataFrame, s: Strings) -> DataFrame:
+    """row (a struct of the columns of ``docs``), text, runs: every row of ``docs`` with the runs of its text, null where
+    nothing is repeated."""
     text_batches(docs.sparkSession)
-    runs = stage(repeated_places(docs), "repeated-places").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    keyed = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(_key_columns(F.coalesce("text", F.lit(""))), ("k1", "k2"))])
-    return keyed.join(runs, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*docs.columns, "_runs")
+    runs = stage(repeated_places(docs, s=s), "repeated-places").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
+    keyed = docs.select(packed(docs), "text").select("row", "text", *_key_columns(F.coalesce("text", F.lit(""))))
+    return keyed.join(runs, ["k1", "k2"], "left").select("row", "text", "runs")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
-    A byte goes if a string of LENGTH bytes covers it that also starts anywhere else, in the same text or another; what
+    A byte goes if a string of the length covers it that also starts anywhere else, in the same text or another; what
     is equal is judged on the input. So texts of that length that occur twice go wholly. A null text is empty. Rows with
     equal or null ids stay apart. An empty table gives none. Other columns are not read.
     """
@@ -259,7 +306,7 @@ def removals(docs: DataFrame) -> DataFrame:
             rows = []
             for text, runs in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans = cut_spans(len(raw), [(r["first"], r["last"]) for r in runs or []])
+                spans = cut_spans(raw, runs, s)
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(raw[at:a])
@@ -269,26 +316,29 @@ def removals(docs: DataFrame) -> DataFrame:
             n, gone, spans, digest = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_runs(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_runs(docs.select("doc_id", "text"), s).select("row.doc_id", "text", "runs")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with each text cut to the bytes that stay, and ``n_removed``. Cuts fall between characters: a character
-    of which a byte is covered goes wholly. Null texts stay null."""
-    names = [*docs.columns, "n_removed"]
-    at = names.index("text")
+def without_repeats(docs: DataFrame, s: Strings = Strings(), least_words: int = 0) -> DataFrame:
+    """row, n_removed: each row of ``docs`` as a struct, its text cut to the bytes that stay, and how many went.
+
+    Cuts fall between characters: a character of which a byte is covered goes wholly. Stretches of fewer than
+    ``least_words`` words stay. Null texts stay null. An empty table gives none.
+    """
+    inside = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for text, runs in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, runs in zip(batch.column(1), batch.column(2).to_pylist()):
                 if not text.is_valid or not runs:
                     texts.append(text.as_py())
                     gone.append(0)
                     continue
                 raw = text.as_buffer().to_pybytes()
                 kept, done = [], 0
-                for a, b in cut_spans(len(raw), [(r["first"], r["last"]) for r in runs]):
+                for a, b in cut_spans(raw, runs, s, least_words):
                     while a > done and raw[a] & 0xC0 == 0x80:
                         a -= 1
                     while b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -298,9 +348,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(raw[done:])
                 texts.append(b"".join(kept).decode("utf-8"))
                 gone.append(len(raw) - sum(map(len, kept)))
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.int64())], names=names)
-
-    from pyspark.sql import types as T
+            row = batch.column(0)
+            fields = [pa.array(texts, pa.string()) if i == inside else row.field(i) for i in range(row.type.num_fields)]
+            packed_again = pa.StructArray.from_arrays(fields, names=[row.type.field(i).name for i in range(row.type.num_fields)])
+            yield pa.RecordBatch.from_arrays([packed_again, pa.array(gone, pa.int64())], names=["row", "n_removed"])
 
-    return _with_runs(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    return _with_runs(docs, s).mapInArrow(run, T.StructType().add("row", docs.schema).add("n_removed", T.LongType()))

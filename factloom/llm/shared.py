@@ -7,13 +7,15 @@ a temporary one is made only where the session names none, as in tests on one ma
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch for operators that hand whole texts to Python.
-TEXT_BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch for operators that hand whole texts to Python.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 16 << 20
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,10 +70,17 @@ def _remove_all() -> None:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Keep Arrow batches of whole texts small in rows and, as texts may be very long, in bytes. Holds for the session's
+    later queries, which don't depend on it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``, so that no name of theirs clashes with one of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,18 @@ import random
 from collections import Counter
 
 from factloom.llm import repeats
-from factloom.llm.repeats import LENGTH, removals, repeated_places, without_repeats
+from factloom.llm.repeats import Strings, removals, repeated_places, without_repeats
 
 
-def slow(texts):
+def slow(texts, length=400):
     raws = [(t or "").encode() for t in texts]
-    seen = Counter(r[i : i + LENGTH] for r in raws for i in range(len(r) - LENGTH + 1))
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     out = []
     for r in raws:
         gone = bytearray(len(r))
-        for i in range(len(r) - LENGTH + 1):
-            if seen[r[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = b"\1" * LENGTH
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(r, gone) if not g)).hexdigest()))
     return out
@@ -40,11 +40,11 @@ def some_texts(seed):
 
 
 def test_every_covered_byte_goes(spark):
-    for seed in (1, 2):
+    for seed, length in ((1, 400), (2, 400), (1, 200), (2, 60)):
         texts = some_texts(seed)
         docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, k1 int, runs string")
-        out = {r.doc_id: tuple(r[1:]) for r in removals(docs).collect()}
-        assert [out[i] for i in range(len(texts))] == slow(texts)
+        out = {r.doc_id: tuple(r[1:]) for r in removals(docs, Strings(length)).collect()}
+        assert [out[i] for i in range(len(texts))] == slow(texts, length)
 
 
 def test_crowded_suffixes_and_cut_runs_give_the_same(spark, monkeypatch):
@@ -66,5 +66,15 @@ def test_edge_cases_and_the_cut_texts(spark):
     out = Counter((r.doc_id, *tuple(r)[1:]) for r in removals(docs).collect())
     assert out == Counter((d, *s) for (d, _), s in zip(rows, slow([t for _, t in rows])))
     assert removals(docs.limit(0)).count() == 0
-    cut = {(r.doc_id, r.text) for r in without_repeats(docs).collect()}
+    cut = {(r.doc_id, r.text) for r in without_repeats(docs).select("row.*").collect()}
     assert cut == {(None, None), (None, ""), (1, ""), (1, "xy"), (2, "short")}
+
+
+def test_stretches_of_few_words_stay_and_clashing_columns_pass(spark):
+    own = lambda k: " ".join(f"{chr(97 + k)}{i}{chr(97 + k)}" for i in range(60))
+    long, short = " ".join(f"word{i}" for i in range(51)), "x" * 250
+    rows = [(k, f"{own(k)}/{long}/{own(k + 9)} {short} {own(k + 14)}", 7, "s") for k in (1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, suffix string")
+    out = without_repeats(docs, Strings(200), 50).select("row.*").collect()
+    # the slashes are repeated as well
+    assert sorted(map(tuple, out)) == [(k, f"{own(k)}{own(k + 9)} {short} {own(k + 14)}", 7, "s") for k in (1, 2, 3)]
