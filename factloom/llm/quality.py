@@ -2,40 +2,41 @@
 
 A document is compared with its language's reference in two histograms: character classes, and the language's most
 common words (all other words are one more bin). The comparison is the Jensen-Shannon distance (the square root of the
-divergence in bits, 0 to 1). Short documents are not judged. The references come from all documents that pass the base
-rule: the median share of each character class, and the mean share of each common word. Every document counts alike, so
-neither long ones nor a minority of junk moves a reference. Shares are held as whole numbers, so reruns agree exactly.
+divergence in bits, 0 to 1). Short documents are not judged, nor are those of languages with too few documents for a
+reference. The references come from all documents of a language that pass the base rule: the median share of each character
+class, and the mean share of each common word. Every document counts alike, so neither long ones nor a minority of junk
+moves a reference. Shares are held as whole numbers, so reruns agree exactly.
+
+Words are told by 64-bit hashes, here and in the windows of three. A language's common words are looked up in a table of
+slots, of a size at which no two of them meet.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import stage
+from factloom.llm.shared import packed, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-#: Character classes of the histogram, by what is counted; everything else is the last bin.
+#: Character classes of the histogram, in the order in which they are counted; everything else is the last bin.
 CLASSES = {
-    "space": SPACE,
-    "lower": "abcdefghijklmnopqrstuvwxyz",
-    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": "0123456789",
-    "stop": ".,;:!?'\"()-",
-    "symbol": SYMBOLS,
+    "lower": "[a-z]",
+    "space": "[ \\t-\\r]",
+    "upper": "[A-Z]",
+    "stop": "[.,;:!?\\'\"()-]",
+    "digit": "[0-9]",
+    "symbol": "[#*$%&|<>]",
 }
+_AT = list(CLASSES).index
 
 
 @dataclass(frozen=True)
 class Rules:
     common_words: int = 32
-    #: Languages with a reference of their own, the largest first; the rest share one.
-    languages: int = 1000
-    #: Documents that a language needs for a reference of its own.
+    #: Documents that a language needs for a reference; documents of others are judged by the base rule alone.
     least_documents: int = 50
     #: Words that a document needs to be judged by its words, and characters to be judged by its characters.
     least_words: int = 50
@@ -45,83 +46,77 @@ class Rules:
     most_word_distance: float = 0.42
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
-
-
-def _with_words(docs: DataFrame) -> DataFrame:
-    """``_t``: the whole text, empty for null; ``_w``: its words; ``_n``: how many."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.withColumn("_t", text).withColumn("_w", F.expr(r"array_remove(split(_t, '[ \\t-\\r]+'), '')"))
-    return words.withColumn("_n", F.size("_w"))
+_WORDS = r"array_remove(split(coalesce(text, ''), '[ \\t-\\r]+'), '')"
 
 
 def common_words(docs: DataFrame, rules: Rules) -> DataFrame:
-    """lang, common: each language's words of letters only that most documents have, ties to the smaller word.
-
-    Languages are the largest by documents; a row with ``pooled`` true is the reference of all others.
-    """
-    lang = docs.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
-    # at most rules.languages rows; the order makes the choice definite
-    lang = lang.orderBy(F.desc("n"), F.asc_nulls_last("lang")).limit(rules.languages)
-    words = _with_words(docs).select("lang", F.explode(F.array_distinct("_w")).alias("word"))
+    """lang, common: for each language with enough documents the hashes of the words of letters only that most documents
+    have, ties to the smaller word."""
+    enough = docs.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents).select(F.col("lang").alias("_lang"))
+    words = docs.select("lang", F.explode(F.array_distinct(F.expr(_WORDS))).alias("word"))
     seen = words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("word").rlike(r"^\p{L}+$"))
-    own = lang.select(F.col("lang").alias("_lang"), F.lit(True).alias("_own"))
-    seen = seen.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    # the pooled reference has every word, the others only their language's
-    every = seen.select(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("lang"), "word", "n")
-    every = every.groupBy("pooled", "lang", "word").agg(F.sum("n").alias("n"))
-    each = seen.filter("_own").select(F.lit(False).alias("pooled"), "lang", "word", "n").unionByName(every)
+    seen = seen.join(enough, F.col("lang").eqNullSafe(F.col("_lang")), "left_semi")
     # a language's words are first cut down in parts, so that no task ranks them all
     order = [F.desc("n"), F.asc("word")]
-    part = Window.partitionBy("pooled", "lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(*order)
-    top = each.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= rules.common_words)
-    whole = Window.partitionBy("pooled", "lang").orderBy(*order)
-    top = top.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= rules.common_words)
-    return top.groupBy("pooled", "lang").agg(F.sort_array(F.collect_list("word")).alias("common"))
+    part = Window.partitionBy("lang", F.pmod(F.hash("word"), F.lit(64))).orderBy(*order)
+    top = seen.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= rules.common_words)
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= rules.common_words)
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list("word")), lambda w: F.xxhash64(w)).alias("common"))  # of so many words
+
+
+def _slots(commons: DataFrame) -> DataFrame:
+    """``commons`` with the size of a table in which no two common words meet, and each slot's place in ``common``, -1 for none."""
+    sizes = "filter(sequence(1001, 1501, 2), m -> size(array_distinct(transform(common, x -> pmod(x, m)))) = size(common))"
+    out = commons.withColumn("slots", F.coalesce(F.expr(f"get({sizes}, 0)"), F.expr("raise_error('common words that meet in every table')")))
+    return out.withColumn("slot", F.expr("transform(sequence(0, slots - 1), s -> CAST(array_position(transform(common, x -> pmod(x, slots)), s) - 1 AS INT))"))
 
 
 def measures(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with its counts, its two histograms and the reference each row is held against."""
-    commons = stage(common_words(docs, rules), "common-words")  # at most rules.languages + 1 rows
-    own = F.broadcast(commons.filter("NOT pooled").select(F.col("lang").alias("_lang"), F.col("common").alias("_own")))
-    pooled = F.broadcast(commons.filter("pooled").select(F.col("common").alias("_pool")))
-    rows = _with_words(docs).join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(pooled, F.lit(True), "left")
-    rows = rows.withColumn("_common", F.coalesce("_own", "_pool", F.array().cast("array<string>"))).withColumn("_pooled", F.col("_own").isNull())
-    rows = rows.withColumn("_bare", F.translate("_t", SPACE, ""))
-    # hashes of the 3-word windows; two windows of a text count as equal if their 64-bit hashes are
-    rows = rows.withColumn("_g", F.expr("transform(arrays_zip(slice(_w, 1, greatest(_n - 2, 0)), slice(_w, 2, greatest(_n - 2, 0)), slice(_w, 3, greatest(_n - 2, 0))), s -> xxhash64(s))"))
-    sorted_ = "sort_array(transform(_g, (x, i) -> struct(x, i)))"
-    rows = rows.withColumn("_s", F.expr(f"CASE WHEN size(array_distinct(_g)) < size(_g) THEN {sorted_} END"))
-    twice = "array_distinct(flatten(zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s) - 1), (a, b) -> CASE WHEN a.x = b.x THEN array(a.i, b.i) ELSE CAST(array() AS array<int>) END)))"
-    rows = rows.withColumn("n_repeat_words", F.expr(f"CASE WHEN _s IS NULL THEN 0L ELSE CAST(size(array_distinct(flatten(transform({twice}, p -> array(p, p + 1, p + 2))))) AS BIGINT) END"))
-    rows = rows.withColumn("_lines", F.expr(r"filter(split(_t, '\\n'), l -> l rlike '[^ \\t-\\r]')"))
-    rows = rows.withColumn("_hit", F.expr("filter(_w, x -> array_contains(_common, x))"))
-    rows = rows.withColumn("_chars", F.char_length("_t").cast("long"))
-    space = (F.col("_chars") - F.char_length("_bare")).cast("long")
-    counts = [space, *(_count(F.col("_bare"), c) for k, c in CLASSES.items() if k != "space")]
-    rows = rows.withColumn("_classes", F.array(*counts))
-    rows = rows.withColumn("_classes", F.expr("concat(_classes, array(_chars - aggregate(_classes, 0L, (a, x) -> a + x)))"))
-    hits = "transform(_common, c -> CAST(size(_hit) - size(array_remove(_hit, c)) AS BIGINT))"
-    rows = rows.withColumn("_words", F.expr(f"concat({hits}, array(CAST(_n - size(_hit) AS BIGINT)))"))
+    """row, lang, text of ``docs`` in counts: its base measures, its two histograms (``words`` null where the language has no
+    reference) and its number of characters."""
+    commons = stage(_slots(stage(common_words(docs, rules), "common-words")), "common-slots")
+    own = commons.select(F.col("lang").alias("_lang"), "common", "slots", "slot")
+    rows = docs.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("w", F.expr(_WORDS)).withColumn("n_words", F.size("w").cast("long"))
+    rows = rows.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    # equal 3-word windows have equal hashes
+    rows = rows.withColumn("g", F.expr("transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> xxhash64(x, get(h, i + 1), get(h, i + 2)))"))
+    rows = rows.withColumn("s", F.expr("CASE WHEN size(array_distinct(g)) < size(g) THEN sort_array(transform(g, (x, i) -> struct(x, i))) END"))
+    twice = "array_distinct(flatten(zip_with(slice(s, 1, size(s) - 1), slice(s, 2, size(s) - 1), (a, b) -> CASE WHEN a.x = b.x THEN array(a.i, b.i) ELSE CAST(array() AS array<int>) END)))"
+    rows = rows.withColumn("n_repeat_words", F.expr(f"CASE WHEN s IS NULL THEN 0L ELSE CAST(size(array_distinct(flatten(transform({twice}, p -> array(p, p + 1, p + 2))))) AS BIGINT) END"))
+    rows = rows.withColumn("lines", F.expr(r"filter(split(t, '\\n'), l -> l rlike '[^ \\t-\\r]')"))
+    rows = rows.withColumn("n_dup_lines", F.expr("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)"))
+    # each class is taken out of what the ones before it have left
+    rows = rows.withColumn("t0", F.col("t"))
+    for k, one in enumerate(CLASSES.values()):
+        rows = rows.withColumn(f"t{k + 1}", F.expr(f"regexp_replace(t{k}, '{one}+', '')"))
+    lengths = [F.char_length(f"t{k}").cast("long") for k in range(len(CLASSES) + 1)]
+    rows = rows.withColumn("classes", F.array(*[a - b for a, b in zip(lengths, lengths[1:])], lengths[-1])).withColumn("chars", lengths[0])
+    rows = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    # places of the words among the common ones, sorted, with each place once more: counts are the distances of places
+    last = rules.common_words
+    place = "get(slot, CAST(pmod(x, slots) AS INT))"
+    rows = rows.withColumn("at", F.expr(f"sort_array(concat(transform(h, x -> CASE WHEN get(common, {place}) = x THEN {place} ELSE {last} END), sequence(0, {last + 1})))"))
+    counts = [F.expr(f"array_position(at, {k + 1}) - array_position(at, {k}) - 1") for k in range(last + 1)]
+    rows = rows.withColumn("words", F.when(F.col("common").isNotNull(), F.array(*counts)))
+    classes = F.col("classes")
     return rows.select(
-        *docs.columns, F.col("_n").cast("long").alias("n_words"), F.char_length("_bare").cast("long").alias("word_chars"), F.col("_classes")[list(CLASSES).index("symbol")].alias("n_symbols"),
-        F.expr("CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)").alias("n_dup_lines"), "n_repeat_words", "_chars", "_classes", "_words", "_pooled",
+        "row", "lang", "n_words", (F.col("chars") - classes[_AT("space")]).alias("word_chars"), classes[_AT("symbol")].alias("n_symbols"),
+        "n_dup_lines", "n_repeat_words", "chars", "classes", "words",
     )
 
 
 def references(measured: DataFrame, rules: Rules) -> DataFrame:
-    """For each ``_key`` the reference histograms: ``_cref`` in thousandths, ``_wref`` in sums of millionths."""
+    """For each language the reference histograms: ``cref`` in thousandths, ``wref`` in sums of millionths."""
     total = "aggregate({0}, 0L, (s, y) -> s + y)"
-    share = measured.select("_key", F.posexplode(F.expr(f"transform(_classes, x -> CAST(1000 * x DIV {total.format('_classes')} AS INT))")).alias("pos", "share"))
-    counts = share.groupBy("_key", "pos", "share").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("_key", "pos")
+    share = measured.select("lang", F.posexplode(F.expr(f"transform(classes, x -> CAST(1000 * x DIV {total.format('classes')} AS INT))")).alias("pos", "share"))
+    counts = share.groupBy("lang", "pos", "share").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("lang", "pos")
     counts = counts.withColumn("upto", F.sum("n").over(by.orderBy("share"))).withColumn("all", F.sum("n").over(by))
-    medians = counts.filter("2 * upto >= all").groupBy("_key", "pos").agg(F.min("share").alias("m"))
-    classes = medians.groupBy("_key").agg(F.expr("transform(array_sort(collect_list(struct(pos, m))), x -> x.m)").alias("_cref"))
-    parts = measured.select("_key", F.expr(f"transform(_words, x -> CAST(1000000 * x DIV {total.format('_words')} AS BIGINT))").alias("_p"))
-    words = parts.groupBy("_key").agg(F.array(*[F.sum(F.coalesce(F.get("_p", F.lit(i)), F.lit(0))) for i in range(rules.common_words + 1)]).alias("_wref"))
-    return classes.withColumnRenamed("_key", "_of").join(words, F.col("_of").eqNullSafe(F.col("_key"))).select("_of", "_cref", "_wref")
+    medians = counts.filter("2 * upto >= all").groupBy("lang", "pos").agg(F.min("share").alias("m"))
+    classes = medians.groupBy("lang").agg(F.expr("transform(array_sort(collect_list(struct(pos, m))), x -> x.m)").alias("cref"))  # of the classes
+    parts = measured.select("lang", F.expr(f"transform(words, x -> CAST(1000000 * x DIV {total.format('words')} AS BIGINT))").alias("p"))
+    words = parts.groupBy("lang").agg(F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(rules.common_words + 1)]).alias("wref"))
+    return classes.withColumnRenamed("lang", "_lang").join(words, F.col("_lang").eqNullSafe(F.col("lang"))).select("_lang", "cref", "wref")
 
 
 def distance(p: str, q: str) -> str:
@@ -131,30 +126,25 @@ def distance(p: str, q: str) -> str:
         return f"transform({a}, x -> x / nullif(aggregate({a}, 0D, (s, y) -> s + y), 0))"
 
     term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (a + b)) ELSE 0D END"
-    return f"sqrt(greatest(0D, aggregate(zip_with({share(p)}, {share(q)}, (a, b) -> ({term.format('a')} + {term.format('b')}) / 2), 0D, (s, x) -> s + x)))"
+    # abs, as rounding can leave a sum just below zero
+    return f"sqrt(abs(aggregate(zip_with({share(p)}, {share(q)}, (a, b) -> ({term.format('a')} + {term.format('b')}) / 2), 0D, (s, x) -> s + x)))"
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Every row of ``docs`` (text, lang and any others) with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, class_distance, word_distance and kept.
+def judged(docs: DataFrame, rules: Rules = Rules(), carried: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns of ``docs``, or of ``carried`` alone), n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, class_distance, word_distance and kept of every row of ``docs`` (text, lang and any others).
 
     A null text is empty; it fails the base rule. A null language is a language like any other. Repeated rows stay.
     A distance is null where the document or its reference is too short to be judged, and then rejects nothing.
-    An empty table gives none. Columns of these names in ``docs`` are refused.
+    An empty table gives none.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    if clash := [c for c in docs.columns if c in added or c.startswith("_")]:
-        raise ValueError(f"columns exist already: {clash}")
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    # a language with a reference of its own, or null for all others
-    key = F.when(~F.col("_pooled"), F.struct(F.col("lang")))
-    measured = measures(docs, rules).withColumn("base_failed", failed).withColumn("_key", key)
+    narrow = docs.select(packed(docs.select(*carried) if carried else docs), "text", "lang")
+    measured = measures(narrow, rules).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     measured = stage(measured, "quality-measures")
-    # one row for each of at most rules.languages + 1 references
-    reference = stage(references(measured.filter("NOT base_failed"), rules), "quality-references")
-    rows = measured.join(F.broadcast(reference), F.col("_key").eqNullSafe(F.col("_of")), "left")
-    rows = rows.withColumn("_wref", F.expr("slice(_wref, 1, size(_words))"))
-    rows = rows.withColumn("class_distance", F.when(F.col("_chars") >= rules.least_chars, F.expr(distance("_classes", "_cref"))))
-    rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= rules.least_words, F.expr(distance("_words", "_wref"))))
+    reference = stage(references(measured.filter("NOT base_failed AND words IS NOT NULL"), rules), "quality-references")
+    rows = measured.join(reference, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    rows = rows.withColumn("class_distance", F.when(F.col("chars") >= rules.least_chars, F.expr(distance("classes", "cref"))))
+    rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= rules.least_words, F.expr(distance("words", "wref"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.most_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.most_word_distance)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*docs.columns, *added)
+    kept = ~F.col("base_failed") & ~far
+    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept"))

@@ -42,7 +42,7 @@ def op4_rans_token_files(spark, sf_dir):
 
 def op5_quality_divergence(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(docs, carried=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_prefix_free_repeats(spark, sf_dir):
@@ -63,7 +63,7 @@ def op9_simhash_groups(spark, sf_dir):
 
 def op10_entropy_mix(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {

@@ -1,31 +1,35 @@
-"""Near-duplicates by the exact similarity (Jaccard) of their sets of word shingles.
+"""Pairs of texts whose sets of word shingles are similar (Jaccard), each checked by its sets.
 
 Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order that holds for
-all sets (the prefix filter), so no such pair is missed. Shingles are ordered by their hash, very common ones last.
-Of the sets that share a shingle, each is held against the least first; then only sets that are not linked yet are held
+all sets (the prefix filter), so no such pair is missed. Shingles are ordered by their hash, common ones last: they are
+counted twice, as others come to the front when the first ones have gone back. A pair goes on only if the shingles that it
+shares at the front and all that it could share behind reach the similarity; then its sets are compared.
+Of the sets that share a shingle, each is first held against the least; then only sets that are not linked yet are held
 against each other, so a large group of near copies needs no square of pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.llm.components import components
-from factloom.llm.shared import stage, text_batches
+from factloom.llm.shared import stage, unstage
 
 SEED, WIDTH = 42, 5
 #: Least similarity, as a fraction: whole numbers keep its limit exact.
 SIMILARITY = (4, 5)
-#: Sets that share a shingle from which on it counts as common, and common shingles that are sent to the workers. They
-#: only order the shingles; the result doesn't depend on them.
-COMMON, SENT = 64, 100_000
+#: Sets that share a shingle from which on it counts as common, and common shingles that are sent to the workers in each
+#: of the counts (16 bytes each). They only order the shingles; the result doesn't depend on them.
+COMMON, SENT = 32, 500_000
+#: Names of sets that a task remembers, so as not to send copies on; more are forgotten, which costs rows and nothing else.
+_SEEN = 1 << 20
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -37,87 +41,149 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), "u8", n).view("i8"))
 
 
-def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every row of ``docs`` but its text, with its ``shingles`` and ``node``, the name of that set."""
-    text_batches(docs.sparkSession)
-    at = docs.columns.index("text")
+def set_name(hashes: np.ndarray) -> int:
+    """The name of a set: 64 bits of its hashes, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view("i8"))
+
+
+def text_digest(text: str | None) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "replace") if text else b"").digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), width) for t in batch.column(at)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], "u8").view("i8")
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, "i8"), *found])))
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(nodes), lists], names=[*(batch.schema.names[i] for i in keep), "node", "shingles"])
 
-    kind = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("node", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
-    return docs.mapInArrow(run, kind)
+def digest_column(text: str = "text") -> Column:
+    """What :func:`text_digest` gives, in SQL."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _keys(rows: DataFrame, common: dict[int, int], similarity: tuple[int, int]) -> DataFrame:
-    """key, node, n: the first shingles of each set and its size, with the ``common`` ones last."""
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int], width: int) -> DataFrame:
+    """key, node, n, last: the first shingles of each set with its name, its size and the last of them in the order. ``common``
+    has the common shingles in order of their hashes, and the place of each. Copies come once from a task."""
     p, q = similarity
-    sent = rows.sparkSession.sparkContext.broadcast(common)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = sent.value
-        names = np.sort(np.fromiter(last, "i8", len(last)))
-        places = np.array([last[k] for k in names.tolist()], "i8")
+        names, places = sent.value
+        seen: set[int] = set()
         for batch in batches:
-            keys, counts, sizes = [np.empty(0, "i8")], [], []
-            for s in batch.column(1):
-                h = s.values.to_numpy()
-                n = len(h)
-                if n and len(names):
+            keys, nodes, sizes, lasts, counts = [np.empty(0, "i8")], [], [], [], []
+            for text in batch.column(0):
+                h = shingle_set(text.as_py(), width)
+                n, node = len(h), set_name(h)
+                if not n or node in seen:
+                    continue
+                seen.add(node)
+                place = h >> 1
+                if len(names):
                     i = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    h = h[np.argsort(np.where(names[i] == h, places[i], 0), kind="stable")]
-                keys.append(h[: n - (p * n + q - 1) // q + 1])
-                counts.append(len(keys[-1]))
+                    place = np.where(names[i] == h, (1 << 62) + places[i], place)
+                    order = np.argsort(place, kind="stable")
+                    h, place = h[order], place[order]
+                first = n - (p * n + q - 1) // q + 1
+                keys.append(h[:first])
+                nodes.append(node)
                 sizes.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(np.repeat(np.array(sizes, "i8"), counts))], names=["key", "node", "n"])
+                lasts.append(int(place[first - 1]))
+                counts.append(first)
+            each = [pa.array(np.repeat(np.array(c, "i8"), counts)) for c in (nodes, sizes, lasts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *each], names=["key", "node", "n", "last"])
+            if len(seen) > _SEEN:
+                seen.clear()
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n long, last long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and node, each once, those of keys with several nodes, with their key's first (a, m, la)."""
+    key = node = None  # the last row
+    head: tuple[int, int, int] | None = None
+    alone = False
+    for batch in batches:
+        out: list[tuple] = []
+        for k, x, n, last in zip(*(batch.column(i).to_numpy().tolist() for i in range(4))):
+            if k != key:
+                key, node, head, alone = k, x, (x, n, last), True
+            elif x != node:
+                node = x
+                if alone:
+                    out.append((k, *head, *head))
+                    alone = False
+                out.append((k, x, n, last, *head))
+        cols = list(zip(*out)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "n", "last", "a", "m", "la"])
+
+
+def _common(docs: DataFrame, similarity: tuple[int, int], width: int, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order of their hashes and the place of each, the rarest first."""
+    names, counts = np.empty(0, "i8"), np.empty(0, "i8")
+    for _ in range(2):
+        places = np.empty(len(names), "i8")
+        places[np.lexsort((names, counts))] = np.arange(len(names))
+        front = _prefixes(docs, (names, places), similarity, width).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > common)
+        top = front.orderBy(F.desc("n"), "key").limit(SENT).toArrow()  # bounded by SENT
+        key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
+        fresh = ~np.isin(key, names)
+        names, counts = np.append(names, key[fresh]), np.append(counts, n[fresh])
+        order = np.argsort(names)
+        names, counts = names[order], counts[order]
+    places = np.empty(len(names), "i8")
+    places[np.lexsort((names, counts))] = np.arange(len(names))
+    return names, places
+
+
+def _alike(n: str, m: str, similarity: tuple[int, int]) -> Column:
+    """Whether sets of these sizes can be similar."""
+    p, q = similarity
+    return q * F.least(n, m) >= p * F.greatest(n, m)
+
 
-    return rows.select("node", "shingles").mapInArrow(run, "key long, node long, n long").distinct()
+def _likely(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: those of ``pairs`` (a, b, n, m, last, la; one row for each shared key) that can be similar."""
+    p, q = similarity
+    front = lambda n: F.col(n) - F.expr(f"({p} * {n} + {q - 1}) DIV {q}") + 1
+    rest = lambda n: F.col(n) - front(n)
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "m", "last", "la")])
+    # what both have in order up to where the first of the two fronts ends is counted
+    behind = F.when(F.col("last") < F.col("la"), rest("n")).when(F.col("last") > F.col("la"), rest("m")).otherwise(F.greatest(rest("n"), rest("m")))
+    return met.filter((p + q) * (F.col("c") + behind) >= p * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], width: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar, by the sets of the texts (digest, id) that ``nodes`` names."""
     p, q = similarity
-    pairs = stage(pairs.distinct(), "shingle-pairs")
-    taken = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    of = stage(rows.select("node", "shingles").join(taken, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    pairs = stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    taken = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("digest", "id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, "i8"), *found])))
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) for h in found], pa.int64()), lists], names=["node", "shingles"])
+
+    texts = docs.select("text", "digest", "id").join(taken, ["digest", "id"], "left_semi")
+    of = stage(texts.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
     left, right = (of.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
-    return stage(both.filter(q * F.col("o") >= p * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b"), "shingle-links")
+    out = stage(both.filter(q * F.col("o") >= p * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b"), "shingle-links")
+    unstage(of)
+    return out
 
 
-def links(rows: DataFrame, similarity: tuple[int, int] = SIMILARITY, common: int = COMMON) -> DataFrame:
-    """a, b: pairs of similar sets of ``rows`` (node, shingles), enough to join all that are linked."""
-    p, q = similarity
-    counts = _keys(rows, {}, similarity).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > common)
-    top = {r.key: r.n for r in counts.orderBy(F.desc("n"), "key").limit(SENT).collect()}  # bounded by SENT
-    keys = stage(_keys(rows, top, similarity), "shingle-keys")
-    least = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("sets")).filter("sets > 1").select("key", F.col("first.node").alias("a"), F.col("first.n").alias("m"))
-    near = lambda x, y: q * F.least(x, y) >= p * F.greatest(x, y)
-    held = stage(keys.join(least, "key"), "shared-shingles")
-    first = _verified(held.filter((F.col("node") != F.col("a")) & near(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b")), rows, similarity)
+def links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, similarity: tuple[int, int] = SIMILARITY, width: int = WIDTH, common: int = COMMON) -> DataFrame:
+    """a, b: pairs of similar sets, enough to join all that are linked.
+
+    ``docs`` has text, digest and id; ``nodes`` has for each set its name (node) and digest and id of one of its texts;
+    ``likely`` has pairs (a, b) of names to be checked first.
+    """
+    order = _common(docs, similarity, width, common)
+    fronts = _prefixes(docs, order, similarity, width)
+    held = stage(fronts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, node long, n long, last long, a long, m long, la long"), "shared-shingles")
+    stars = held.filter(F.col("node") != F.col("a")).filter(_alike("n", "m", similarity)).withColumnRenamed("node", "b")
+    first = verified(likely.unionByName(_likely(stars, similarity)), docs, nodes, similarity, width)
     roots = components(first)
-    rooted = held.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = held.select("key", "node", "n", "last").join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     open_ = stage(rooted.join(apart, "key", "left_semi"), "open-shingles")
     x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return first.unionByName(_verified(pairs, rows, similarity))
-
-
-def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Every row of ``docs`` but its text, with ``root`` and ``component_id``.
-
-    ``root`` names the group; component_id is its smallest doc_id, null if none of its rows has one. Documents are in one
-    group if a chain of similar ones joins them. Texts without words are one group. An empty table gives none.
-    """
-    rows = stage(sets(docs, width), "shingles")
-    roots = components(links(rows, similarity))
-    keyed = rows.drop("shingles").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    keyed = stage(keyed.withColumn("root", F.coalesce("root", "node")).drop("_node", "node"), "shingle-groups")
-    return keyed.join(keyed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n", similarity)
+    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.last").alias("la"), F.col("y.last").alias("last"))
+    return first.unionByName(verified(_likely(pairs, similarity), docs, nodes, similarity, width))

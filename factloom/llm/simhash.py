@@ -5,6 +5,10 @@ indexed 32 times, each time with another bit wiped out (a wildcard); two halves
 one of these keys. An equality join on the keys gives the candidates, which are then verified by their distance.
 A key with very many fingerprints is divided by the same rule on the bits that it leaves open, until at most
 2**11 fingerprints can share a key.
+
+``near_duplicates`` links by the distance alone. ``similar_groups`` links texts by the similarity of their shingle sets:
+pairs of near fingerprints are checked first, and pairs of similar sets whose fingerprints are further apart (two bits of
+64 are reached from a similarity of about 0.96 on) are found by the sets themselves.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import shingles
 from factloom.llm.components import components
-from factloom.llm.shared import stage, text_batches
+from factloom.llm.shared import packed, stage, text_batches
 
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Fingerprints of one key that are compared at once; more are divided further. At least 2**11.
@@ -71,6 +76,14 @@ def _keys(level: int) -> str:
     return f"array({', '.join(keys)})"
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64 bits; each is 1 if it is set in over half of a set's hashes; signed."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].astype(">i8").view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """a, b: pairs of distinct fingerprints within two bits, enough to join all that are linked."""
     rows = fps.select("fp", F.col("fp").alias("open"), F.lit(0).cast("long").alias("key"))
@@ -159,3 +172,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document; see :func:`groups`."""
     found = groups(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, width: int = shingles.WIDTH, similarity: tuple[int, int] = shingles.SIMILARITY, common: int = shingles.COMMON) -> DataFrame:
+    """row (a struct of the columns of ``docs``), id, digest, root, first: every row with the name of its group, and whether
+    it has the group's smallest id and, of the texts with that id, the smallest digest.
+
+    Texts are in one group if a chain of similar ones joins them: sets of ``width``-word shingles with a Jaccard similarity
+    of at least ``similarity`` (a fraction). Texts without words, null ones included, are one group. ``id`` is doc_id as
+    text, empty for null; null ids come last. Equal rows are all marked. An empty table gives none.
+    """
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, nodes, fps = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingles.shingle_set(text, width)
+                digests.append(shingles.text_digest(text))
+                nodes.append(shingles.set_name(h))
+                fps.append(set_fingerprint(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "digest", "node", "fp"])
+
+    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, node long, fp long"), "set-fingerprints")
+    marks = marks.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "id")
+    nodes = stage(marks.groupBy("node").agg(F.min("fp").alias("fp"), F.min(rank).alias("one")).select("node", "fp", "one"), "set-names")
+    heads = stage(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+    near = links(heads.select("fp"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+    likely = near.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    likely = likely.unionByName(nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    texts = docs.select(packed(docs), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), shingles.digest_column().alias("digest"))
+    of = nodes.select("node", "one.digest", "one.id")
+    roots = components(shingles.links(texts.select("text", "digest", "id"), of, likely, similarity, width, common))
+    grouped = nodes.join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
+    # the least of the groups' texts, and so the name of each text
+    least = grouped.groupBy("root").agg(F.min("one").alias("least"))
+    named = grouped.join(least, "root").select("node", "root", "least")
+    of_text = marks.join(named, "node").select("id", "digest", "root", ((F.col("id") == F.col("least.id")) & (F.col("digest") == F.col("least.digest"))).alias("first")).distinct()
+    return texts.drop("text").join(of_text, ["id", "digest"])

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -20,6 +21,28 @@ def slow_targets(words):
     return {n: min(2 * words[n], high * w[n]) for n in names}
 
 
+def mixed(docs):
+    return mixing.mixed(docs).select("row.*", "size", "source_size", "target", "rate", "copies", "taken").collect()
+
+
+def slow_rates(out):
+    """The dual's optimum by bisection: rates 2 / (1 + exp(-t size)) whose words meet the target."""
+    of = {}
+    for r in out:
+        of.setdefault(r.source, []).append(r)
+    for rows in of.values():
+        target, low, high = rows[0].target, -50.0, 50.0
+        if target >= 2 * rows[0].source_size:
+            assert all(r.rate == 2 for r in rows if r["size"])
+            continue
+        rate = lambda t, n: 2 / (1 + math.exp(max(-700, min(700, -t * n))))
+        for _ in range(200):
+            t = (low + high) / 2
+            low, high = (t, high) if sum(r["size"] * rate(t, r["size"]) for r in rows) < target else (low, t)
+        for r in rows:
+            assert r.rate == pytest.approx(rate(low, r["size"]) if r["size"] else 0, abs=1e-5)
+
+
 def check(rows, out):
     assert len(out) == len(rows)
     words, taken = {}, {}
@@ -42,9 +65,10 @@ def test_targets_are_met_within_half_a_document(spark):
     sources = ["a", "é", "b", None, "B", "c", "tiny"]
     rows = [(i, "w " * int(rnd.paretovariate(0.8) * 3), sources[min(6, int(rnd.expovariate(0.8)))]) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(docs).collect()
+    out = mixed(docs)
     check(rows, out)
-    again = mixing.mix(docs.repartition(7)).collect()
+    slow_rates(out)
+    again = mixed(docs.repartition(7))
     key = lambda r: (r.doc_id, r.copies)
     assert sorted(map(key, out)) == sorted(map(key, again))
 
@@ -52,10 +76,17 @@ def test_targets_are_met_within_half_a_document(spark):
 def test_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c", None), (4, "one", "y"), (4, "one", "y"), (5, "w\x0bx\x1cy\x85z", "y"), (6, "v " * 50_000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(docs).collect()
+    out = mixed(docs)
     assert {(r.doc_id, r["size"]) for r in out} == {(1, 0), (2, 0), (None, 3), (4, 1), (5, 2), (6, 50_000)}
     assert all(r.copies <= 2 for r in out) and all(r.taken == 0 for r in out if not r["size"])
-    assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.mix(docs.limit(2)).count() == 2
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumnRenamed("doc_id", "taken"))
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs.limit(2)).count() == 2
+
+
+def test_many_sources_and_clashing_columns(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randrange(1, 30), f"s{rnd.randrange(400)}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(rows, mixed(docs))
+    clash = mixing.mixed(docs.selectExpr("doc_id", "text", "source", "1 AS size", "2 AS target", "3 AS tilt", "4 AS _name")).select("row.*")
+    assert clash.columns == ["doc_id", "text", "source", "size", "target", "tilt", "_name"] and clash.count() == 2000

@@ -3,14 +3,13 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as cp
 from test_simhash import same_parts
 
-from factloom.llm import shingles
-from factloom.llm.components import components
-from factloom.llm.shared import stage
+from factloom.llm import simhash
 
 
 def by_brute_force(texts):
@@ -59,11 +58,24 @@ def test_one_edited_word_and_an_added_sentence_are_near_copies(spark):
     assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, docs, "").collect()) == [1, 4]
 
 
-@pytest.mark.parametrize("common", [64, 2])
-def test_links_against_brute_force(spark, common):
+@pytest.mark.parametrize("common", [32, 1])
+def test_groups_against_brute_force(spark, common):
     texts = some_texts()
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = stage(shingles.sets(docs), "test-sets")
-    roots = {r.node: r.root for r in components(shingles.links(rows, common=common)).collect()}
-    nodes = {r.doc_id: r.node for r in rows.collect()}
-    assert same_parts([roots.get(nodes[i], nodes[i]) for i in range(len(texts))], by_brute_force(texts))
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, root string")  # a name that clashes
+    rows = simhash.similar_groups(docs, common=common).select("row.doc_id", "row.root", F.col("root").alias("of"), "first").collect()
+    assert len(rows) == len(texts) and all(r.root == "k" for r in rows)
+    of = {r.doc_id: r.of for r in rows}
+    assert same_parts([of[i] for i in range(len(texts))], by_brute_force(texts))
+    least = {}
+    for r in rows:
+        least[r.of] = min(least.get(r.of, r.doc_id), r.doc_id)
+    assert {r.doc_id for r in rows if r.first} == set(least.values())
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a), (None, a), (None, b), (5, b), (5, b), (5, "c d e"), (7, a + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == [(5, b), (5, "c d e"), (7, a + " z")]
+    assert cp.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
