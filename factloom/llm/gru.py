@@ -39,10 +39,11 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(v: np.ndarray, vocabulary: int) -> dict[str, np.ndarray]:
-    p, at = {}, 0
+    """Parameters of a vector, as views of it if it is of 32 bits."""
+    v, p, at = v.astype(np.float32, copy=False), {}, 0
     for name, shape in shapes(vocabulary).items():
         n = int(np.prod(shape))
-        p[name] = v[at : at + n].reshape(shape).astype(np.float32)
+        p[name] = v[at : at + n].reshape(shape)
         at += n
     return p
 
@@ -95,66 +96,96 @@ def run(p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarra
 
 #: Logits of this size neither overflow in exp nor vanish from sums, in 32 bits.
 _SAFE = 80.0
-#: Rows whose logits are worked on at once.
-_ROWS = 1024
+#: Tokens that are scored at once, as their logits should stay in the cache.
+_ROWS = 4096
+
+
+def _blocks(cls: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens in blocks of one class and so many rows each: tokens in the order of their classes, the row of each, the class
+    of each block, and the first block of each class that has any."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # sorted by radix, as it is short
+    counts = np.bincount(cls, minlength=CLASSES)
+    blocks = -(-counts // rows)
+    ends = np.cumsum(blocks)
+    place = np.repeat((ends - blocks) * rows - (np.cumsum(counts) - counts), counts) + np.arange(len(cls))
+    return order, place, np.repeat(np.arange(CLASSES), blocks), (ends - blocks)[counts > 0]
 
 
 def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
     """Natural log-probability of each y after states hs. With ``grads``, adds the gradients of their negative sum there
-    and puts that by hs under "hs"."""
+    and puts that by hs under "hs".
+
+    The classes' logits are one product for all rows. Those of the words within a class are products of blocks of rows with
+    that class; rows that fill a block up are zero, as are their shares in the gradients.
+    """
     size = len(p["bo"]) // CLASSES
     cls, inner = np.divmod(y, size)
-    order = np.argsort(cls.astype(np.int16), kind="stable")  # sorted by radix, as it is short
-    inner = inner[order]
-    h = np.ones((len(y), HIDDEN + 1), hs.dtype)  # the last one is for the biases
-    h[:, :HIDDEN] = hs[order]
-    # for each class, what gives the logits of all classes and of its own words
-    both = np.empty((CLASSES, CLASSES + size, HIDDEN + 1), hs.dtype)
-    both[:, :CLASSES, :HIDDEN], both[:, :CLASSES, HIDDEN] = p["Wc"].T, p["bc"]
-    both[:, CLASSES:, :HIDDEN], both[:, CLASSES:, HIDDEN] = p["Wo"].reshape(CLASSES, size, HIDDEN), p["bo"].reshape(CLASSES, size)
-    safe = np.abs(both).sum(2).max() * np.abs(h).max(initial=1) <= _SAFE
-    halves = np.repeat(np.eye(2, dtype=hs.dtype), (CLASSES, size), axis=0)
-    out, dh = np.empty(len(y), hs.dtype), np.empty(hs.shape, hs.dtype)
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        for start in range(bounds[c], bounds[c + 1], _ROWS):
-            at = slice(start, min(start + _ROWS, bounds[c + 1]))
-            own = CLASSES + inner[at]
-            rows = np.arange(len(own))
-            x = h[at] @ both[c].T
-            if not safe:
-                x[:, :CLASSES] -= x[:, :CLASSES].max(1, keepdims=True)
-                x[:, CLASSES:] -= x[:, CLASSES:].max(1, keepdims=True)
-            lp = x[:, c] + x[rows, own]
-            np.exp(x, out=x)
-            sums = x @ halves
-            out[at] = lp - np.log(sums).sum(1)
-            if grads is not None:
-                x[:, :CLASSES] /= sums[:, :1]
-                x[:, CLASSES:] /= sums[:, 1:]
-                x[:, c] -= 1
-                x[rows, own] -= 1
-                d = x.T @ h[at]
-                words = slice(c * size, (c + 1) * size)
-                grads["Wc"] += d[:CLASSES, :HIDDEN].T
-                grads["bc"] += d[:CLASSES, HIDDEN]
-                grads["Wo"][words] += d[CLASSES:, :HIDDEN]
-                grads["bo"][words] += d[CLASSES:, HIDDEN]
-                dh[at] = x @ both[c][:, :HIDDEN]
-    back = np.empty_like(out)
-    back[order] = out
+    n = len(y)
+    if not n:
+        if grads is not None:
+            grads["hs"] = np.zeros_like(hs)
+        return np.empty(0, hs.dtype)
+    h = np.ones((n, HIDDEN + 1), hs.dtype)  # the last one is for the biases
+    h[:, :HIDDEN] = hs
+    to_class = np.concatenate([p["Wc"], p["bc"][None]]).astype(hs.dtype)
+    to_word = np.empty((CLASSES, HIDDEN + 1, size), hs.dtype)
+    to_word[:, :HIDDEN] = p["Wo"].reshape(CLASSES, size, HIDDEN).transpose(0, 2, 1)
+    to_word[:, HIDDEN] = p["bo"].reshape(CLASSES, size)
+    reach = max(1.0, float(np.abs(hs).max()))
+    safe = max(np.abs(to_class).sum(0).max(), np.abs(to_word).sum(1).max()) * reach <= _SAFE
+    rows = np.arange(n)
+    ones = np.ones(max(size, CLASSES), hs.dtype)
+
+    x = h @ to_class
+    if not safe:
+        x -= x.max(1, keepdims=True)
+    out = x[rows, cls]
+    np.exp(x, out=x)
+    sums = x @ ones[:CLASSES]
+    out -= np.log(sums)
     if grads is not None:
-        grads["hs"] = np.empty_like(dh)
-        grads["hs"][order] = dh
-    return back
+        x /= sums[:, None]
+        x[rows, cls] -= 1
+        d = h.T @ x
+        grads["Wc"] += d[:HIDDEN]
+        grads["bc"] += d[HIDDEN]
+        dh = x @ to_class[:HIDDEN].T
+
+    per = 32
+    order, place, of, starts = _blocks(cls, per)
+    inside = np.zeros((len(of) * per, HIDDEN + 1), hs.dtype)
+    inside[place] = h[order]
+    inside = inside.reshape(len(of), per, HIDDEN + 1)
+    words = to_word[of]
+    x = np.matmul(inside, words)
+    if not safe:
+        x -= x.max(2, keepdims=True)
+    flat_x = x.reshape(-1, size)
+    own = inner[order]
+    lp = flat_x[place, own]
+    np.exp(flat_x, out=flat_x)
+    sums = flat_x @ ones[:size]
+    lp -= np.log(sums[place])
+    out[order] += lp
+    if grads is not None:
+        flat_x /= sums[:, None]
+        flat_x[place, own] -= 1
+        d = np.add.reduceat(np.matmul(inside.transpose(0, 2, 1), x), starts, axis=0)
+        have = of[starts]
+        grads["Wo"].reshape(CLASSES, size, HIDDEN)[have] += d[:, :HIDDEN].transpose(0, 2, 1)
+        grads["bo"].reshape(CLASSES, size)[have] += d[:, HIDDEN]
+        dh[order] += np.matmul(x, words[:, :HIDDEN].transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]
+        grads["hs"] = dh
+    return out
 
 
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """Mean negative log-probability over a window, its gradients, and the state at its end."""
-    g = {name: np.zeros_like(v) for name, v in p.items()}
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-probability over a window, its gradients as one vector (``flat``), and the state at its end."""
+    total = max(1, int(mask.sum()))
+    vector = np.zeros(sum(v.size for v in p.values()), np.float32)
+    g = unflat(vector, len(p["bo"]))
     pasts = np.empty((*x.shape, HIDDEN), h.dtype)
     states, (z, r, c) = run(p, inputs(p), x, h, pasts)
-    total = max(1, int(mask.sum()))
     lp = log_probs(p, states[1:][mask], y[mask], g)
     dhs = np.zeros_like(pasts)
     dhs[mask] = g.pop("hs")
@@ -182,30 +213,37 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     order = np.argsort(ids.astype(np.min_scalar_type(len(p["E"]))), kind="stable")
     starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
     g["E"][ids[order][starts]] += np.add.reduceat(de[order], starts, axis=0)
-    for v in g.values():
-        v /= total
-    return -float(lp.sum()) / total, g, states[-1]
+    vector /= total
+    return -float(lp.sum()) / total, vector, states[-1]
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+    """Adam steps on parameters that are views of one vector."""
+
+    def __init__(self, vector: np.ndarray, rate: float):
+        self.p, self.rate, self.t = vector, np.float32(rate), 0
+        self.m, self.v = np.zeros_like(vector), np.zeros_like(vector)
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
+    def step(self, g: np.ndarray) -> None:
+        """By gradients ``g``, which are used up."""
+        g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
         self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for n, x in g.items():
-            x = x * np.float32(scale)
-            self.m[n] += np.float32(0.1) * (x - self.m[n])
-            self.v[n] += np.float32(0.01) * (x * x - self.v[n])
-            self.p[n] -= np.float32(rate) * self.m[n] / (np.sqrt(self.v[n]) + np.float32(1e-6))
+        rate = self.rate * np.float32(np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        np.multiply(g, g, out=g)
+        g *= np.float32(0.01)
+        self.v *= np.float32(0.99)
+        self.v += g
+        np.sqrt(self.v, out=g)
+        g += np.float32(1e-6)
+        np.divide(self.m, g, out=g)
+        g *= rate
+        self.p -= g
 
 
 #: Tokens of waiting documents that are laid end to end at once.
-_LAID = 1 << 20
+_LAID = 1 << 22
 
 
 def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, stretch: int = 1) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,7 +277,8 @@ def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, s
                 queue.append((found[0], length, length + len(found[1])))
                 length += len(found[1])
                 room -= len(found[1])
-            laid, waiting = np.concatenate(parts), queue[::-1]
+            # the longest first, so that they don't go on by themselves at the end
+            laid, waiting = np.concatenate(parts), sorted(queue, key=lambda x: x[2] - x[1])
         names, fresh = [], np.zeros(lanes, bool)
         for k in free[: len(waiting)].tolist():
             name, at[k], end[k] = waiting.pop()
@@ -260,19 +299,15 @@ def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, s
         yield names, x, y, mask, live, begins
 
 
-def train(p: dict[str, np.ndarray], docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, every: int, rate: float, stretch: int = 1) -> int:
-    """Train ``p`` in place; the state runs through every window, every ``every``-th one has its gradient taken. Returns the
-    tokens that were read."""
-    adam, state, read = Adam(p, rate), np.zeros((lanes, HIDDEN), np.float32), 0
-    for k, (_, x, y, mask, live, begins) in enumerate(windows(docs, lanes, steps, stretch)):
+def train(vector: np.ndarray, vocabulary: int, docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, rate: float, stretch: int = 1) -> int:
+    """Train the parameters of ``vector`` (``flat``) in place, by the gradient of every window. Returns the tokens read."""
+    p = unflat(vector, vocabulary)
+    adam, state, read = Adam(vector, rate), np.zeros((lanes, HIDDEN), np.float32), 0
+    for _, x, y, mask, live, begins in windows(docs, lanes, steps, stretch):
         h = state[live]
         h[begins] = 0
-        if k % every == 0:
-            _, g, last = gradients(p, x, y, mask, h)
-            adam.step(g)
-        else:
-            last = run(p, inputs(p), x, h)[0][-1]
-        state[live] = last
+        _, g, state[live] = gradients(p, x, y, mask, h)
+        adam.step(g)
         read += int(mask.sum())
     return read
 
@@ -291,8 +326,8 @@ def score(p: dict[str, np.ndarray], docs: Iterator[tuple[object, np.ndarray]], l
             before[k], sums[k] = name, 0.0
         states = run(p, table, x, h)[0]
         state[live] = states[-1]
-        lp = np.zeros(x.shape)
-        lp[mask] = log_probs(p, states[1:][mask], y[mask])
+        lp, hs, ys = np.zeros(x.shape), states[1:][mask], y[mask]
+        lp[mask] = np.concatenate([log_probs(p, hs[i : i + _ROWS], ys[i : i + _ROWS]) for i in range(0, len(ys), _ROWS)])
         sums[live] += lp.sum(0) / np.log(10)
     for k, name in before.items():
         yield name, float(sums[k])

@@ -25,15 +25,13 @@ from factloom.llm.shared import stage, text_batches, unstage
 
 @dataclass(frozen=True)
 class Settings:
-    #: Words whose counts are sent to the workers; the rest are joined.
+    #: Words whose counts are sent to the workers, at most; the rest are joined.
     common_words: int = 300_000
     #: Tokens of the model with END and TAIL, a multiple of its classes.
     vocabulary: int = 4096
     rounds: int = 2
     train_lanes: int = 256
     train_steps: int = 16
-    #: Every so many windows take part in the gradient; the state runs through all of them. One takes them all.
-    gradient_every: int = 1
     rate: float = 0.02
     score_lanes: int = 512
     score_steps: int = 32
@@ -76,6 +74,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_common(counts: DataFrame, most: int) -> pa.Table:
+    """The most common words, at most so many, in order; of words with equal counts all or none, so that a count to filter by
+    is enough and no task has to rank them."""
+    found = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()  # bounded by most
+    least, taken = math.inf, 0
+    for r in found:
+        taken += r.words
+        if taken > most:
+            break
+        least = r.n
+    top = counts.filter(F.col("n") >= F.lit(least)).toArrow()
+    return top.sort_by([("n", "descending"), ("word", "ascending")])
+
+
 def _averaged(spark, docs: DataFrame, params: dict[str, np.ndarray], words: dict[bytes, int], s: Settings) -> dict[str, np.ndarray]:
     """Train on each partition of ``docs`` (text) from ``params`` and average, each partition by the tokens it read."""
     size = s.vocabulary
@@ -85,7 +97,7 @@ def _averaged(spark, docs: DataFrame, params: dict[str, np.ndarray], words: dict
         from pyspark import TaskContext
 
         start, vocab = sent.value
-        p = gru.unflat(start, size)
+        p = start.copy()
 
         def each():
             for batch in batches:
@@ -93,9 +105,9 @@ def _averaged(spark, docs: DataFrame, params: dict[str, np.ndarray], words: dict
                     found = split(text.as_py())
                     yield None, np.append(np.fromiter(map(vocab.get, found, repeat(gru.TAIL)), np.int32, len(found)), np.int32(gru.END))
 
-        read = gru.train(p, each(), s.train_lanes, s.train_steps, s.gradient_every, s.rate, s.train_stretch)
+        read = gru.train(p, size, each(), s.train_lanes, s.train_steps, s.rate, s.train_stretch)
         if read:
-            parts = np.array_split(gru.flat(p).astype(np.float64) * read, _PARTS)
+            parts = np.array_split(p.astype(np.float64) * read, _PARTS)
             salt = TaskContext.get().partitionId() % _SALTS
             yield _vectors([(k, salt, float(read), v) for k, v in enumerate(parts)])
 
@@ -135,7 +147,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ends = learn.count()
     total = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_all, distinct = total.n + ends, total.words + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(s.common_words).toArrow()  # bounded by s.common_words
+    top = _most_common(counts, s.common_words)
     common = dict(zip(top.column("word").to_pylist(), range(top.num_rows)))
     n = top.column("n").to_numpy().astype(np.float64)
     in_model = min(len(n), s.vocabulary - gru.FIRST_WORD)

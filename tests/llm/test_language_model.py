@@ -20,7 +20,8 @@ def test_gradients_against_differences():
     rnd = np.random.default_rng(5)
     x, y = rnd.integers(0, 128, (4, 3)), rnd.integers(0, 128, (4, 3))
     mask, h = np.array([[1, 1, 1], [1, 1, 1], [1, 0, 1], [1, 0, 0]], bool), rnd.standard_normal((3, gru.HIDDEN))
-    loss, g, _ = gru.gradients(p, x, y, mask, h)
+    _, vector, _ = gru.gradients(p, x, y, mask, h)
+    g = gru.unflat(vector, 128)
     for name in gru.NAMES:
         for _ in range(4):
             at = tuple(rnd.integers(0, n) for n in p[name].shape)
@@ -69,7 +70,7 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     for common in (300_000, 5000):  # with and without words that are joined
-        out = score_documents(docs, Settings(common_words=common, train_lanes=32, gradient_every=1)).collect()
+        out = score_documents(docs, Settings(common_words=common, train_lanes=32)).collect()
         compare(rows, out)
         held = [r for r in out if r.held_out]
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
@@ -87,9 +88,10 @@ def test_edge_cases(spark):
 
 def test_every_window_trains_the_model():
     s = Settings()
-    p = {k: v.astype(np.float32) for k, v in small_model().items()}
-    old = {k: v.copy() for k, v in p.items()}
+    vector = gru.flat(small_model()).astype(np.float32)
+    old = gru.unflat(vector.copy(), 128)
     # in one lane each document fills a window of its own
     docs = [(None, np.append(np.full(s.train_steps - 1, 10 * k), 0).astype(np.int32)) for k in range(1, 5)]
-    assert gru.train(p, iter(docs), 1, s.train_steps, s.gradient_every, s.rate) == 4 * s.train_steps
+    assert gru.train(vector, 128, iter(docs), 1, s.train_steps, s.rate) == 4 * s.train_steps
+    p = gru.unflat(vector, 128)
     assert all((p["E"][10 * k] != old["E"][10 * k]).any() for k in range(1, 5))
