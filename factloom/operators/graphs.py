@@ -3,60 +3,177 @@ one round, and stops when a round finds nothing new."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.sources.staging import staged
+from factloom.sources.staging import dropped, staged
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node: the seeds and all that follows from them along src -> dst. Cycles end, as each node is taken once."""
-    seen = staged(seeds.select("node").distinct())
-    front, links = seen, edges.select("src", "dst")
+    """node: the seeds and all that follows from them along src -> dst. Cycles end, as each node is taken once. A round
+    writes the nodes that it found and no others."""
+    front = staged(seeds.select("node").distinct())
+    seen, links = front, edges.select("src", "dst")
     while True:
         fresh = links.join(front, links.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct()
         front = staged(fresh.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = staged(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
-def descendants(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """ancestor, descendant: all pairs, a node with itself too. Paths double in length each round, so ``limit`` rounds
-    cover any graph; the result itself may be large where chains are long."""
-    nodes = edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).distinct()
-    pairs = staged(nodes.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant")).unionByName(edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"))).distinct())
-    count = pairs.count()
-    for _ in range(limit):
-        step = pairs.select("ancestor", F.col("descendant").alias("_mid")).join(pairs.select(F.col("ancestor").alias("_mid"), "descendant"), "_mid").select("ancestor", "descendant")
-        pairs = staged(step.distinct())
-        after = pairs.count()
-        if after == count:
-            return pairs
-        count = after
-    raise RuntimeError("closure did not settle")
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that follow from ``start`` by ``step``, which gets the rows that the round before found. Each row is taken
+    once, so the loop ends if there are finitely many."""
+    front = staged(start.distinct())
+    seen = front
+    while True:
+        fresh = step(front).select(*start.columns).distinct()
+        old = seen.toDF(*[f"_{c}" for c in start.columns])
+        match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in start.columns]
+        front = staged(fresh.join(old, match, "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
 
 
 def levels(edges: DataFrame, limit: int = 10_000) -> DataFrame:
-    """node, level: the longest way down to a node without outgoing edges. Nodes on or above a cycle have a null level."""
+    """node, level: the longest way down to a node without outgoing edges. Nodes on or above a cycle have a null level.
+
+    Each node waits for as many as it points to; a round subtracts those that the round before has done."""
+    edges = staged(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    done = staged(nodes.join(edges, nodes.node == edges.src, "left_anti").select("node", F.lit(0).alias("level")))
+    waits = staged(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")))
+    front = staged(nodes.join(waits, "node", "left_anti").select("node", F.lit(0).alias("level")))
+    done = front
     for k in range(1, limit):
-        rest = edges.join(done.select(F.col("node").alias("src")), "src", "left_anti")
-        blocked = rest.join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src").distinct()
-        ready = staged(rest.select("src").distinct().join(blocked, "src", "left_anti").select(F.col("src").alias("node"), F.lit(k).alias("level")))
-        if ready.isEmpty():
+        released = edges.join(front.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("gone"))
+        after = staged(waits.join(released, "node", "left").select("node", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")))
+        front = staged(after.filter("n = 0").select("node", F.lit(k).alias("level")))
+        dropped(waits)
+        if front.isEmpty():
             break
-        done = staged(done.unionByName(ready))
+        done = done.unionByName(front)
+        # those that are done wait no more
+        waits = staged(after.filter("n > 0"))
+        dropped(after)
     return nodes.join(done, "node", "left")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node): nodes that reach each other. By pairs that are reachable both ways, so it is for
-    graphs whose closure is small, such as dependency maps."""
-    pairs = descendants(edges)
-    back = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("ancestor"))
-    return pairs.join(back, ["ancestor", "descendant"]).groupBy(F.col("ancestor").alias("node")).agg(F.min("descendant").alias("component"))
+    """node, component (its least node): nodes that reach each other.
+
+    By colours: every node takes the least node that reaches it, and those that in turn reach that node within its colour are
+    its component. Nodes that nothing of the rest points to, or that point to nothing of it, are components of one; they are
+    taken off first, so only what lies on cycles or between them is coloured. A round writes a row for each node at most."""
+    left = staged(edges.filter("src <> dst").select("src", "dst").distinct())
+    every = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    found = None
+    while True:
+        n = left.count()
+        while n:  # trim
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            inner = inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            after = staged(inner)
+            dropped(left)
+            left, before, n = after, n, after.count()
+            if n == before:
+                break
+        if not n:
+            break
+        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        colours = staged(nodes.select("node", F.col("node").alias("colour")))
+        while True:
+            given = left.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
+            after = staged(colours.join(given, "node", "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("new")))
+            dropped(colours)
+            colours = after
+            if colours.filter("new").isEmpty():
+                break
+            colours = staged(after.drop("new"))
+            dropped(after)
+        of = colours.select("node", "colour")
+        same = left.join(of.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(of.select(F.col("node").alias("dst"), "colour"), "dst").filter("c = colour")
+        inside = staged(same.select("src", "dst"))
+        members = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), of.filter("node = colour").select("node"))
+        part = staged(of.join(members, "node", "left_semi"))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        after = staged(rest)
+        dropped(left)
+        left = after
+    if found is None:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+
+
+def best_below(rows: DataFrame, node: str, parent: str, value: Column) -> DataFrame:
+    """node, best: the largest ``value`` among each node and all below it in a forest. Each round doubles how far below a
+    node has looked: what it has goes to the node so far above it. Rows with a parent that isn't there are roots."""
+    known = rows.select(F.col(node).alias("up"))
+    state = staged(rows.select(F.col(node).alias("node"), F.col(parent).alias("up"), value.alias("best")).join(known, "up", "left_semi").select("node", "up", "best")
+                   .unionByName(rows.join(known, F.col(parent) == F.col("up"), "left_anti").select(F.col(node).alias("node"), F.lit(None).cast(rows.schema[parent].dataType).alias("up"), value.alias("best"))))
+    while not state.filter("up IS NOT NULL").isEmpty():
+        sent = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.max("best").alias("sent"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        after = staged(state.join(sent, "node", "left").join(above, "up", "left").select("node", F.col("further").alias("up"), F.when(F.col("sent") > F.col("best"), F.col("sent")).otherwise(F.col("best")).alias("best")))
+        dropped(state)
+        state = after
+    return state.select("node", "best")
+
+
+def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """grp, dominator, node: all pairs in which every way from the group's entry to the node passes the dominator; a node
+    dominates itself. Nodes that the entry doesn't reach are in none.
+
+    Edges (grp, src, dst) of many small graphs, such as one for each function, with an entry (grp, node) each. What is
+    followed is the opposite: which nodes can be reached around which others; a graph has at most its nodes squared of them."""
+    links = staged(edges.select("grp", "src", "dst").distinct())
+    reached = fixpoint(entries.select("grp", "node"), lambda front: front.join(links, (front.grp == links.grp) & (front.node == links.src)).select(links.grp, F.col("dst").alias("node")))
+    reached = staged(reached)
+    first = entries.select("grp", F.col("node").alias("entry"))
+    start = reached.withColumnRenamed("node", "around").join(first, "grp").filter("around <> entry").select("grp", "around", F.col("entry").alias("node"))
+
+    def on(front: DataFrame) -> DataFrame:
+        met = front.alias("f").join(links.alias("l"), (F.col("f.grp") == F.col("l.grp")) & (F.col("f.node") == F.col("l.src")) & (F.col("f.around") != F.col("l.dst")))
+        return met.select("f.grp", "f.around", F.col("l.dst").alias("node"))
+
+    around = fixpoint(start, on).withColumnRenamed("around", "dominator")
+    every = reached.withColumnRenamed("node", "dominator").join(reached, "grp")
+    return every.join(around, ["grp", "dominator", "node"], "left_anti").select("grp", "dominator", "node")
+
+
+def immediate(pairs: DataFrame) -> DataFrame:
+    """grp, node, n, idom: how many dominate a node, and of the others the nearest: the one that most dominate. Null for an entry."""
+    n = pairs.groupBy("grp", "node").agg(F.count("*").alias("n"))
+    depth = n.select("grp", F.col("node").alias("dominator"), F.col("n").alias("depth"))
+    strict = pairs.filter("dominator <> node").join(depth, ["grp", "dominator"]).groupBy("grp", "node").agg(F.max_by("dominator", "depth").alias("idom"))
+    return n.join(strict, ["grp", "node"], "left")
+
+
+def natural_loops(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """grp, head, node: members of the loop of each head, a node that dominates another which points back to it."""
+    back = edges.join(pairs.select("grp", F.col("dominator").alias("dst"), F.col("node").alias("src")), ["grp", "src", "dst"], "left_semi").select("grp", "src", "dst")
+    links = staged(edges.select("grp", F.col("src").alias("before"), F.col("dst").alias("node")).distinct())
+    start = back.select("grp", F.col("dst").alias("head"), F.explode(F.array("src", "dst")).alias("node"))
+    known = pairs.select("grp", F.col("node").alias("before")).distinct()
+    return fixpoint(start, lambda front: front.filter("node <> head").join(links, ["grp", "node"]).join(known, ["grp", "before"], "left_semi").select("grp", "head", F.col("before").alias("node")))
+
+
+def live_in(edges: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFrame:
+    """grp, node, name: names that are live before each node: it uses them, or one that follows has them live and the node
+    doesn't set them. ``uses`` and ``kills`` have grp, node, name."""
+    links = staged(edges.select("grp", F.col("src").alias("before"), F.col("dst").alias("node")).distinct())
+    kills = staged(kills.select("grp", F.col("node").alias("before"), "name").distinct())
+
+    def back(front: DataFrame) -> DataFrame:
+        met = front.join(links, ["grp", "node"]).select("grp", "before", "name")
+        return met.join(kills, ["grp", "before", "name"], "left_anti").select("grp", F.col("before").alias("node"), "name")
+
+    return fixpoint(uses.select("grp", "node", "name"), back)
 
 
 def forest(rows: DataFrame, node: str, parent: str) -> DataFrame:
@@ -87,7 +204,7 @@ def wavefront(edges: DataFrame, draws: DataFrame, rounds: int) -> DataFrame:
         fresh = staged(nodes.filter("success").join(done, "node", "left_anti").join(waits, "node", "left_anti").select("node", F.lit(k).alias("wave")))
         if fresh.isEmpty():
             break
-        done = staged(done.unionByName(fresh))
+        done = done.unionByName(fresh)
     return done
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators import order
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
 from factloom.sources.staging import staged
@@ -109,7 +110,8 @@ def job_import(spark, sf_dir):
 
 @R.add("l13_snapshot_budget", "SELECT user_id FROM (SELECT user_id, sum(n) OVER (ORDER BY latest DESC, user_id) AS used FROM (SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY user_id) x) y WHERE used <= 2000")
 def snapshot_budget(spark, sf_dir):
-    return statement(spark, sf_dir, ORACLES["l13_snapshot_budget"])
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+    return order.running_sum(users, [F.desc("latest"), F.asc("user_id")], "n", "used").filter("used <= 2000").select("user_id")
 
 
 @R.add("w22_commit_retention", "SELECT event_id AS commit_id FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 5) OR event_id IN (SELECT max_by(event_id, struct_pack(t := ts, i := event_id)) FROM events GROUP BY CAST(ts AS DATE)) OR value > 400")
@@ -370,7 +372,10 @@ def diverse_archive(spark, sf_dir):
 
 @R.add("o9_fair_queue", "WITH e AS (SELECT user_id, count(*) AS visits, max(value) AS best FROM events GROUP BY user_id) SELECT user_id, CAST(floor(visits / 20) AS INT) AS band, row_number() OVER (ORDER BY floor(visits / 20), user_id % 3, best DESC, user_id) AS place FROM e")
 def fair_queue(spark, sf_dir):
-    return statement(spark, sf_dir, ORACLES["o9_fair_queue"])
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("visits"), F.max("value").alias("best"))
+    e = e.withColumn("band", F.floor(F.col("visits") / 20).cast("int"))
+    turn = [F.asc("band"), F.asc(F.col("user_id") % 3), F.desc("best"), F.asc("user_id")]
+    return order.numbered(e, turn).select("user_id", "band", (F.col("place") + 1).alias("place"))
 
 
 @R.add("o6_first_success_in_budget", "WITH o AS (SELECT user_id, event_id, event_type, sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS spent FROM events) SELECT user_id, min(spent) AS cost FROM o WHERE event_type = 'purchase' AND spent <= 800 GROUP BY user_id")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions import sequences, text
-from factloom.operators import statistics
+from factloom.operators import graphs, order, statistics
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
 from factloom.sources.staging import staged
@@ -160,18 +160,44 @@ def remapped_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct((F.col("event_id") + 1_000_000).alias("parent"), r["k"].alias("k"))).alias("record"))
 
 
-@R.add("g20_dominators", """WITH RECURSIVE e AS (SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 0), r AS (SELECT src AS n, dst AS d FROM e UNION SELECT r.n, e.dst FROM r JOIN e ON e.src = r.d) SELECT n, count(*) AS dominators FROM r GROUP BY n""")
-def dominators(spark, sf_dir):
-    """In a tree towards one exit, a node is post-dominated by all that it reaches."""
-    from factloom.operators.graphs import descendants
+#: Small flow graphs with jumps ahead (diamonds) and back (cycles): 16 parts each, from part 0 to part 15.
+_FLOW = """n AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) AS grp, p_partkey % 16 AS node, CAST(p_size AS BIGINT) AS size FROM part),
+    e AS (SELECT grp, node AS src, node + 1 AS dst FROM n WHERE node < 15 UNION SELECT grp, node AS src, (node * 5 + size) % 16 AS dst FROM n)"""
+
 
-    e = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
-    return descendants(e).filter("ancestor <> descendant").groupBy(F.col("ancestor").alias("n")).agg(F.count("*").alias("dominators"))
+def _dominated(name: str, edges: str, entry: int) -> str:
+    """Recursive SQL for the pairs (d, node) of a graph, as :func:`graphs.dominators` has them."""
+    return f"""{name}_r AS (SELECT DISTINCT grp, CAST({entry} AS BIGINT) AS node FROM {edges} UNION SELECT x.grp, x.dst FROM {name}_r r JOIN {edges} x ON x.grp = r.grp AND x.src = r.node),
+    {name}_a AS (SELECT grp, node AS d, CAST({entry} AS BIGINT) AS node FROM {name}_r WHERE node <> {entry} UNION SELECT x.grp, a.d, x.dst FROM {name}_a a JOIN {edges} x ON x.grp = a.grp AND x.src = a.node AND x.dst <> a.d),
+    {name} AS (SELECT x.grp, x.node AS d, y.node FROM {name}_r x JOIN {name}_r y ON x.grp = y.grp LEFT JOIN {name}_a a ON a.grp = x.grp AND a.d = x.node AND a.node = y.node WHERE a.node IS NULL)"""
 
 
-@R.add("g21_liveness", "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) x WHERE event_type = 'click' AND nxt IN ('view', 'purchase')")
+@R.add("g20_dominators", f"""WITH RECURSIVE {_FLOW}, b AS (SELECT grp, dst AS src, src AS dst FROM e), {_dominated('f', 'e', 0)}, {_dominated('p', 'b', 15)},
+    k AS (SELECT grp, node, count(*) AS n FROM f GROUP BY grp, node), i AS (SELECT f.grp, f.node, max_by(f.d, k.n) AS idom FROM f JOIN k ON k.grp = f.grp AND k.node = f.d WHERE f.d <> f.node GROUP BY f.grp, f.node),
+    h AS (SELECT DISTINCT e.grp, e.src, e.dst FROM e JOIN f ON f.grp = e.grp AND f.d = e.dst AND f.node = e.src),
+    l AS (SELECT grp, head, node FROM (SELECT grp, dst AS head, dst AS node FROM h UNION SELECT grp, dst, src FROM h) x UNION SELECT l.grp, l.head, e.src FROM l JOIN e ON e.grp = l.grp AND e.dst = l.node AND l.node <> l.head JOIN f_r ON f_r.grp = e.grp AND f_r.node = e.src),
+    c AS (SELECT grp, node, count(*) AS loops FROM l GROUP BY grp, node), q AS (SELECT grp, node, count(*) AS post FROM p GROUP BY grp, node)
+    SELECT k.grp, k.node, k.n AS dominators, i.idom, coalesce(c.loops, 0) AS loops, q.post AS post_dominators FROM k LEFT JOIN i ON i.grp = k.grp AND i.node = k.node LEFT JOIN c ON c.grp = k.grp AND c.node = k.node LEFT JOIN q ON q.grp = k.grp AND q.node = k.node""")
+def dominators(spark, sf_dir):
+    """Of each node of the flow graphs: how many dominate it, the nearest of them, in how many natural loops it is, and how
+    many dominate it on the way to the exit."""
+    e = statement(spark, sf_dir, f"WITH {_FLOW} SELECT grp, src, dst FROM e")
+    at = lambda k: e.select("grp", F.lit(k).cast("long").alias("node")).distinct()
+    pairs = staged(graphs.dominators(e, at(0)))
+    post = graphs.dominators(e.select("grp", F.col("dst").alias("src"), F.col("src").alias("dst")), at(15)).groupBy("grp", "node").agg(F.count("*").alias("post_dominators"))
+    loops = graphs.natural_loops(e, pairs).groupBy("grp", "node").agg(F.count("*").alias("loops"))
+    out = graphs.immediate(pairs).join(loops, ["grp", "node"], "left").join(post, ["grp", "node"], "left")
+    return out.select("grp", "node", F.col("n").alias("dominators"), "idom", F.coalesce("loops", F.lit(0)).alias("loops"), "post_dominators")
+
+
+@R.add("g21_liveness", f"""WITH RECURSIVE {_FLOW}, l AS (SELECT grp, node, size % 5 AS name FROM n UNION SELECT e.grp, e.src, l.name FROM l JOIN e ON e.grp = l.grp AND e.dst = l.node LEFT JOIN n ON n.grp = e.grp AND n.node = e.src AND (n.size + n.node) % 5 = l.name WHERE n.node IS NULL)
+    SELECT grp, node, count(*) AS live, min(name) AS least, max(name) AS most FROM l GROUP BY grp, node""")
 def liveness(spark, sf_dir):
-    return statement(spark, sf_dir, ORACLES["g21_liveness"])
+    """Names that are live before each node of the flow graphs; each node uses one name and sets one."""
+    e = statement(spark, sf_dir, f"WITH {_FLOW} SELECT grp, src, dst FROM e")
+    uses = statement(spark, sf_dir, f"WITH {_FLOW} SELECT grp, node, size % 5 AS name FROM n")
+    kills = statement(spark, sf_dir, f"WITH {_FLOW} SELECT grp, node, (size + node) % 5 AS name FROM n")
+    return graphs.live_in(e, uses, kills).groupBy("grp", "node").agg(F.count("*").alias("live"), F.min("name").alias("least"), F.max("name").alias("most"))
 
 
 @R.add("x4_sign_test_power")
@@ -225,8 +251,8 @@ def import_once(spark, sf_dir):
 
 @R.add("r8_ordered_import", "SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS place FROM events")
 def ordered_import(spark, sf_dir):
-    ids = table(spark, sf_dir, "events").select("event_id").orderBy("event_id")
-    return ids.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + 1)).toDF("id long, place long")
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return order.numbered(ids, [F.asc("id")]).withColumn("place", F.col("place") + 1)
 
 
 @R.add("f7_windows_of_words", "SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS words FROM benchmark")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from factloom.operators import graphs, intervals
+from factloom.operators import graphs, intervals, order
 from factloom.plans.registry import Registry, statement, table
 
 R = Registry()
@@ -129,6 +131,70 @@ def interval_catalog(spark, sf_dir):
     return p.withColumn("far", far).groupBy("k").agg(F.sum(fresh).alias("covered"), F.sum(F.col("e") - F.col("s")).alias("total"))
 
 
+# --- places in the order of a whole table ---
+@R.add("w15_forward_outcome", """WITH c AS (SELECT ts AS cut FROM (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events) x WHERE rn = CAST(floor(n * 0.7) AS BIGINT) + 1),
+      g AS (SELECT user_id, count(*) FILTER (WHERE ts < cut) AS before_n, max(CASE WHEN ts < cut THEN value END) AS before_best, max(CASE WHEN ts >= cut THEN value END) AS after_best FROM events CROSS JOIN c GROUP BY user_id)
+      SELECT user_id, before_best, after_best, coalesce(after_best > before_best + 1, false) AS improved FROM g WHERE before_n >= 3 AND before_best < 300""")
+def forward_outcome(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    places = order.numbered(e.select("ts", "event_id"), [F.asc("ts"), F.asc("event_id")])
+    at = F.floor(F.lit(e.count()) * 0.7)
+    cut = F.broadcast(places.filter(F.col("place") == at).select(F.col("ts").alias("cut")))  # one row
+    early = F.col("ts") < F.col("cut")
+    g = e.crossJoin(cut).groupBy("user_id").agg(F.count_if(early).alias("n"), F.max(F.when(early, F.col("value"))).alias("before_best"), F.max(F.when(~early, F.col("value"))).alias("after_best"))
+    improved = F.coalesce(F.col("after_best") > F.col("before_best") + 1, F.lit(False))
+    return g.filter("n >= 3 AND before_best < 300").select("user_id", "before_best", "after_best", improved.alias("improved"))
+
+
+@R.add("w17_fixed_cost_cut", """SELECT p_partkey, rn FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) x WHERE rn <= least(CAST(floor(1000 / 15.0) AS INT), 40)""")
+def fixed_cost_cut(spark, sf_dir):
+    most = min(int(1000 / 15.0), 40)
+    best = [F.desc("p_retailprice"), F.asc("p_partkey")]
+    top = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice").orderBy(*best).limit(most)
+    return order.numbered(top, best, "rn").select("p_partkey", (F.col("rn") + 1).cast("int").alias("rn"))
+
+
+@R.add("w18_round_robin", """SELECT p_partkey, p_type, place FROM (SELECT p_partkey, p_type, row_number() OVER (ORDER BY rn, p_type, p_partkey) AS place FROM
+      (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part) x) y WHERE place <= 60""")
+def round_robin(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))
+    # no stratum has more of the first 60 than its own first 60
+    first = table(spark, sf_dir, "part").select("p_partkey", "p_type", place.alias("rn")).filter("rn <= 60")
+    turn = [F.asc("rn"), F.asc("p_type"), F.asc("p_partkey")]
+    return order.numbered(first.orderBy(*turn).limit(60), turn).select("p_partkey", "p_type", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@R.add("w19_quantile_cohorts", """WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS ix, count(*) OVER () AS n FROM part),
+      pick AS (SELECT DISTINCT i, CAST(floor((i + 0.5) * n / 40) AS BIGINT) AS ix FROM o CROSS JOIN (SELECT CAST(ix AS INT) AS i FROM o WHERE ix < 40) k)
+      SELECT o.p_partkey, CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS cohort FROM pick JOIN o ON pick.ix = o.ix""")
+def quantile_cohorts(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    n = part.count()
+    picks = spark.createDataFrame([(i, math.floor((i + 0.5) * n / 40)) for i in range(min(40, n))], "i int, place long")
+    placed = order.numbered(part, [F.asc("p_retailprice"), F.asc("p_partkey")])
+    return placed.join(F.broadcast(picks), "place").select("p_partkey", F.when(F.col("i") % 2 == 0, "a").otherwise("b").alias("cohort"))
+
+
+@R.add("w22_retention", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS newest, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS of_day FROM events) x
+      WHERE newest <= 20 OR of_day = 1 OR event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 300)""")
+def retention(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    newest = e.select("event_id").orderBy(F.desc("event_id")).limit(20)
+    of_day = e.groupBy(F.to_date("ts").alias("day")).agg(F.max(F.struct("ts", "event_id")).alias("last")).select("last.event_id")
+    pinned = e.filter("event_type = 'purchase' AND value > 300").select("event_id")
+    return newest.union(of_day).union(pinned).distinct()
+
+
+@R.add("d6_differential_blame", """WITH s AS (SELECT user_id, count(*) AS support, max(ts) AS latest, max(value) AS worst FROM events GROUP BY user_id)
+      SELECT user_id, rank() OVER (ORDER BY support) + rank() OVER (ORDER BY latest DESC) + rank() OVER (ORDER BY worst DESC) AS blame FROM s""")
+def differential_blame(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("support"), F.max("ts").alias("latest"), F.max("value").alias("worst"))
+    ranked = order.ranks(order.ranks(order.ranks(s, "support", "a"), "latest", "b", descending=True), "worst", "c", descending=True)
+    return ranked.select("user_id", (F.col("a") + F.col("b") + F.col("c")).alias("blame"))
+
+
 # --- graphs: a part depends on parts with smaller keys; conversations are chains ---
 _DEPS = "SELECT DISTINCT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_size > 40"
 _CYCLIC = "SELECT p_partkey AS src, p_partkey - p_partkey % 10 + (p_partkey * 7 + 3) % 10 AS dst FROM part WHERE p_size > 5"
@@ -215,10 +281,8 @@ def forest(spark, sf_dir):
     s AS (SELECT r.a AS id, t.exact, t.score, row_number() OVER (PARTITION BY r.a ORDER BY t.exact DESC, t.score DESC) AS rn FROM r JOIN t ON t.id = r.d) SELECT id, exact AS best_exact, score AS best_score FROM s WHERE rn = 1""")
 def best_in_subtree(spark, sf_dir):
     t = statement(spark, sf_dir, _TURNS)
-    pairs = graphs.descendants(t.filter("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")))
-    alone = t.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"))
-    every = pairs.unionByName(alone).distinct().join(t, F.col("descendant") == F.col("id"))
-    return every.groupBy(F.col("ancestor").alias("id")).agg(F.max(F.struct("exact", "score")).alias("b")).select("id", F.col("b.exact").alias("best_exact"), F.col("b.score").alias("best_score"))
+    best = graphs.best_below(t, "id", "parent", F.struct("exact", "score"))
+    return best.select(F.col("node").alias("id"), F.col("best.exact").alias("best_exact"), F.col("best.score").alias("best_score"))
 
 
 @R.add("g14_on_the_path", f"WITH RECURSIVE t AS ({_TURNS}), r AS (SELECT id FROM t WHERE exact UNION SELECT t.parent FROM r JOIN t ON t.id = r.id WHERE t.parent IS NOT NULL) SELECT id FROM r")

@@ -94,18 +94,7 @@ R.sql("w3_top_k_per_group", "SELECT event_type, event_id, value FROM (SELECT *,
 R.sql("w9_previous_value", "SELECT event_id, user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events")
 R.sql("w14_floor_first_best", """SELECT DISTINCT user_id, min(value) OVER (PARTITION BY user_id) AS lowest, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS first_score,
       max(value) OVER (PARTITION BY user_id) AS best FROM events""")
-R.sql("w15_forward_outcome", """WITH c AS (SELECT ts AS cut FROM (SELECT ts, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events) x WHERE rn = CAST(floor(n * 0.7) AS BIGINT) + 1),
-      g AS (SELECT user_id, count(*) FILTER (WHERE ts < cut) AS before_n, max(CASE WHEN ts < cut THEN value END) AS before_best, max(CASE WHEN ts >= cut THEN value END) AS after_best FROM events CROSS JOIN c GROUP BY user_id)
-      SELECT user_id, before_best, after_best, coalesce(after_best > before_best + 1, false) AS improved FROM g WHERE before_n >= 3 AND before_best < 300""")
-R.sql("w17_fixed_cost_cut", "SELECT p_partkey, rn FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) x WHERE rn <= least(CAST(floor(1000 / 15.0) AS INT), 40)")
-R.sql("w18_round_robin", """SELECT p_partkey, p_type, place FROM (SELECT p_partkey, p_type, row_number() OVER (ORDER BY rn, p_type, p_partkey) AS place FROM
-      (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part) x) y WHERE place <= 60""")
-R.sql("w19_quantile_cohorts", """WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS ix, count(*) OVER () AS n FROM part),
-      pick AS (SELECT DISTINCT i, CAST(floor((i + 0.5) * n / 40) AS BIGINT) AS ix FROM o CROSS JOIN (SELECT CAST(ix AS INT) AS i FROM o WHERE ix < 40) k)
-      SELECT o.p_partkey, CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS cohort FROM pick JOIN o ON pick.ix = o.ix""")
 R.sql("w21_alternate_assignment", "SELECT p_partkey, p_brand, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) % 2 = 1 THEN 'dev' ELSE 'heldout' END AS split FROM part")
-R.sql("w22_retention", """SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS newest, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS of_day FROM events) x
-      WHERE newest <= 20 OR of_day = 1 OR event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 300)""")
 R.sql("w23_class_cap_in_hash_order", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha2(concat('7:', CAST(doc_id AS STRING)), 256), doc_id) AS rn FROM documents) x WHERE rn <= 15",
       "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('7:', CAST(doc_id AS VARCHAR))), doc_id) AS rn FROM documents) x WHERE rn <= 15")
 
@@ -132,8 +121,6 @@ R.sql("d4_location_description", """SELECT l_partkey AS place, count(*) FILTER (
 R.sql("d5_open_questions", """SELECT item, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS questions FROM (
       SELECT l_partkey AS item, 3 AS weight FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) > 2
       UNION ALL SELECT l_partkey, 2 FROM lineitem GROUP BY l_partkey HAVING count(*) < 20 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_size > 45) q GROUP BY item""")
-R.sql("d6_differential_blame", """WITH s AS (SELECT user_id, count(*) AS support, max(ts) AS latest, max(value) AS worst FROM events GROUP BY user_id)
-      SELECT user_id, rank() OVER (ORDER BY support) + rank() OVER (ORDER BY latest DESC) + rank() OVER (ORDER BY worst DESC) AS blame FROM s""")
 R.sql("d3_evidence_validation", """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN d.n_chars < 200 AND l.quality = 0 THEN 'short_bad' WHEN d.n_chars < 200 THEN 'short_good'
       WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 1 THEN 'agrees' ELSE 'conflict' END AS outcome FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY outcome""")
 
