@@ -1,17 +1,21 @@
-"""An append-only store of facts and claims on Parquet, published by moving one pointer.
+"""An append-only store of facts and claims on Parquet, published by numbered versions.
 
-A store is a folder of snapshots and a small text file that names the current one. Writers write a new snapshot and then
-move the pointer, so a reader sees all of a change or nothing. One writer at a time is the contract.
+A table is a folder of parts, each a Parquet folder that is never changed, and of version files. A version lists the parts
+that are the table from then on; the highest one counts. A writer writes its parts and then creates the next version file,
+which must not exist yet: a reader sees all of a change or nothing, there is always a version to read, and of two writers
+at once the second is refused. Adding rows costs the new rows; changing some rewrites the parts that have them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.graphs import reachable
+from factloom.operators.order import numbered
 
 
 class Refused(ValueError):
@@ -33,60 +37,93 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.path}/{table}/CURRENT"
+    def _versions(self, table: str) -> str:
+        return f"{self.path}/{table}/versions"
 
-    def current(self, table: str) -> str | None:
-        fs, path = self._fs(self._pointer(table))
-        if not fs.exists(path):
+    def current(self, table: str) -> tuple[int, list[str]] | None:
+        """Number and parts of the version that counts. A version file without its end is one that is being written."""
+        fs, folder = self._fs(self._versions(table))
+        if not fs.exists(folder):
             return None
-        stream = fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        names = sorted((f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")), reverse=True)
+        for name in names:
+            stream = fs.open(self._fs(f"{self._versions(table)}/{name}")[1])
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            if text.endswith("\n"):
+                return int(name.removesuffix(".json")), json.loads(text)
+        return None
+
+    def parts(self, table: str) -> list[str]:
+        now = self.current(table)
+        return [] if now is None else now[1]
+
+    def _rows(self, table: str, parts: list[str]) -> DataFrame:
+        reader = self.spark.read.option("mergeSchema", str(len(parts) > 1).lower())
+        return reader.parquet(*[f"{self.path}/{table}/{part}" for part in parts])
 
     def read(self, table: str) -> DataFrame:
         now = self.current(table)
         if now is None:
             raise Refused(f"{table}: nothing published")
-        return self.spark.read.parquet(f"{self.path}/{table}/{now}")
-
-    def publish(self, table: str, df: DataFrame) -> str:
-        """Write a snapshot, then point to it; the pointer's file is replaced whole."""
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{table}/{name}")
-        fs, target = self._fs(self._pointer(table))
-        _, fresh = self._fs(f"{self._pointer(table)}.{name}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
+        return self._rows(table, now[1])
+
+    def _publish(self, table: str, seen: tuple[int, list[str]] | None, keep: list[str], fresh: DataFrame | None) -> None:
+        """The version after ``seen``: the parts ``keep`` and one of the rows of ``fresh``."""
+        parts = list(keep)
+        if fresh is not None:
+            parts.append(f"part-{uuid.uuid4().hex}")
+            fresh.write.parquet(f"{self.path}/{table}/{parts[-1]}")
+        number = 1 if seen is None else seen[0] + 1
+        fs, target = self._fs(f"{self._versions(table)}/{number:012d}.json")
+        try:
+            out = fs.create(target, False)
+        except Exception as error:
+            raise Refused(f"{table}: version {number} is another writer's") from error
+        out.write(bytearray((json.dumps(parts) + "\n").encode()))
         out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(fresh, target):
-            raise Refused(f"{table}: the pointer could not be moved")
-        return name
+
+    def publish(self, table: str, df: DataFrame) -> None:
+        """``df`` is the table from now on."""
+        self._publish(table, self.current(table), [], df)
 
     def append(self, table: str, rows: DataFrame, key: list[str]) -> None:
         """Add rows; a key that is there already, or twice among the new ones, is refused, so nothing is overwritten."""
         _refuse_any(rows.groupBy(*key).count().filter("count > 1").select(*key), f"{table}: keys given twice")
-        if self.current(table) is None:
-            self.publish(table, rows)
-            return
-        old = self.read(table)
-        _refuse_any(rows.join(old, key, "left_semi").select(*key), f"{table}: keys that exist")
-        self.publish(table, old.unionByName(rows, allowMissingColumns=True))
+        now = self.current(table)
+        if now is not None:
+            _refuse_any(rows.join(self._rows(table, now[1]).select(*key), key, "left_semi").select(*key), f"{table}: keys that exist")
+        self._publish(table, now, now[1] if now else [], rows)
 
     def append_missing(self, table: str, rows: DataFrame, key: list[str]) -> None:
         """Add the rows whose key isn't there; of new rows with one key any stays."""
-        rows = rows.dropDuplicates(key)
-        old = self.read(table) if self.current(table) else None
-        self.publish(table, rows if old is None else old.unionByName(rows.join(old, key, "left_anti")))
+        rows, now = rows.dropDuplicates(key), self.current(table)
+        if now is not None:
+            rows = rows.join(self._rows(table, now[1]).select(*key), key, "left_anti")
+        self._publish(table, now, now[1] if now else [], rows)
+
+    def _touched(self, table: str, parts: list[str], keys: DataFrame, key: list[str]) -> list[str]:
+        """Those of ``parts`` that have a row with one of the keys."""
+        found = []
+        for part in parts:  # as many as there were changes since the table was compacted
+            if not self._rows(table, [part]).join(keys, key, "left_semi").isEmpty():
+                found.append(part)
+        return found
 
     def upsert(self, table: str, rows: DataFrame, key: list[str]) -> None:
         """Last write wins."""
-        old = self.read(table) if self.current(table) else None
-        self.publish(table, rows if old is None else old.join(rows, key, "left_anti").unionByName(rows))
+        now = self.current(table)
+        if now is None:
+            self._publish(table, None, [], rows)
+            return
+        keys = rows.select(*key)
+        touched = self._touched(table, now[1], keys, key)
+        fresh = rows
+        if touched:
+            fresh = self._rows(table, touched).join(keys, key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        self._publish(table, now, [p for p in now[1] if p not in touched], fresh)
 
     def assert_claims(self, claims: DataFrame, support: DataFrame) -> None:
         """Add claims (id, kind, subject, value, origin) with their citations (inference_id, evidence_id). A claim that cites
@@ -100,13 +137,18 @@ class Store:
 
     def retract(self, seeds: DataFrame, reason: str) -> DataFrame:
         """Retract claims (node) and all that depend on them; they stay, with status and reason. Returns the retracted ids."""
-        claims = self.read("inference")
+        now = self.current("inference")
+        if now is None:
+            raise Refused("inference: nothing published")
         edges = self.read("inference_depends").select(F.col("depends_on_id").alias("src"), F.col("inference_id").alias("dst"))
-        gone = reachable(edges, seeds).withColumnRenamed("node", "id").withColumn("_gone", F.lit(True))
-        marked = claims.join(gone, "id", "left")
-        hit = F.col("_gone") & (F.col("status") == "active")
-        out = marked.withColumn("reason", F.when(hit, reason).otherwise(F.col("reason"))).withColumn("status", F.when(hit, "retracted").otherwise(F.col("status"))).drop("_gone")
-        self.publish("inference", out.select(*claims.columns))
+        gone = reachable(edges, seeds).withColumnRenamed("node", "id")
+        touched = self._touched("inference", now[1], gone, ["id"])
+        if touched:
+            claims = self._rows("inference", touched)
+            marked = claims.join(gone.withColumn("_gone", F.lit(True)), "id", "left")
+            hit = F.col("_gone") & (F.col("status") == "active")
+            out = marked.withColumn("reason", F.when(hit, reason).otherwise(F.col("reason"))).withColumn("status", F.when(hit, "retracted").otherwise(F.col("status")))
+            self._publish("inference", now, [p for p in now[1] if p not in touched], out.select(*claims.columns))
         return gone.select("id")
 
     def ratchet(self, table: str, candidate: DataFrame, matched: str) -> bool:
@@ -144,9 +186,8 @@ class Store:
         if self.current("receipts") and self.read("receipts").filter(F.col("job") == job).count():
             return False
         top = self.read(table).agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0] if self.current(table) else 0
-        # the order of ids is the order of the worker's, without ranking all rows in one task
-        ranked = rows.orderBy(id_col).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*rows.columns, "_n"])
-        self.append(table, ranked.withColumn(id_col, F.col("_n") + top + 1).drop("_n").select(*rows.columns), [id_col])
+        ranked = numbered(rows, [F.asc(id_col)], "_n")
+        self.append(table, ranked.withColumn(id_col, F.col("_n") + top + 1).select(*rows.columns), [id_col])
         self.append("receipts", receipts, ["job"])
         return True
 

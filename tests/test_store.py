@@ -25,6 +25,28 @@ def test_evidence_is_append_only(spark, store):
     assert store.read("evidence").count() == 6
 
 
+def test_changes_write_what_they_change(spark, store, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    size = lambda part: spark.read.parquet(str(tmp_path / "kb" / "t" / part)).count()
+    store.append("t", df([(i, "a") for i in range(100)]), ["id"])
+    old = store.parts("t")
+    store.append("t", df([(200, "b")]), ["id"])
+    store.append_missing("t", df([(1, "x"), (201, "b")]), ["id"])
+    assert store.parts("t")[:1] == old and [size(p) for p in store.parts("t")] == [100, 1, 1]
+    store.upsert("t", df([(200, "c"), (300, "c")]), ["id"])
+    assert store.parts("t")[:1] == old and [size(p) for p in store.parts("t")] == [100, 1, 2]
+    assert store.read("t").count() == 103 and store.read("t").filter("id = 200").first().v == "c"
+    # rows read before a change stay what they were, and a version of another writer is never replaced
+    before, seen = store.read("t"), store.current("t")
+    store.publish("t", df([(1, "z")]))
+    assert before.count() == 103 and store.read("t").count() == 1
+    with pytest.raises(Refused, match="another writer"):
+        store._publish("t", seen, [], df([(2, "z")]))
+    # a version that a writer did not end does not count
+    (tmp_path / "kb" / "t" / "versions" / "000000000099.json").write_text('["part')
+    assert store.read("t").first().v == "z"
+
+
 def test_claims_need_citations_and_retraction_cascades(spark, store):
     support = lambda rows: spark.createDataFrame(rows, "inference_id long, evidence_id long")
     with pytest.raises(Refused):
