@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,18 +17,30 @@ def _ints(*names: str) -> T.StructType:
 
 def align(a: list, b: list, gap: int = 1, change: int = 1, swap: int = 1) -> tuple[int, int]:
     """Least cost of turning ``a`` into ``b`` by insertions, deletions and changes, and in how many ways it is reached
-    (saturating); a change between members of equal length in text costs ``swap``."""
-    costs, ways = list(range(0, gap * (len(b) + 1), gap)) if gap else [0] * (len(b) + 1), [1] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        row, count = [i * gap], [1]
-        for j, y in enumerate(b, 1):
-            step = 0 if x == y else (swap if len(str(x)) == len(str(y)) else change)
-            options = ((costs[j - 1] + step, ways[j - 1]), (costs[j] + gap, ways[j]), (row[-1] + gap, count[-1]))
-            best = min(c for c, _ in options)
-            row.append(best)
-            count.append(min(1 << 30, sum(w for c, w in options if c == best)))
-        costs, ways = row, count
-    return costs[-1], ways[-1]
+    (saturating); a change between members of equal length in text costs ``swap``. One anti-diagonal of the table at a time."""
+    names: dict = {}
+    x, y = (np.array([names.setdefault(t, len(names)) for t in s], np.int64) for s in (a, b))
+    lx, ly = (np.array([len(str(t)) for t in s], np.int64) for s in (a, b))
+    n, m, far = len(a), len(b), np.int64(1 << 40)
+    none = np.full(n + 2, far)
+    before, last = (none.copy(), np.zeros(n + 2, np.int64)), (none.copy(), np.zeros(n + 2, np.int64))  # from place 1 on
+    last[0][1], last[1][1] = 0, 1
+    for k in range(1, n + m + 1):
+        i = np.arange(max(0, k - m), min(n, k) + 1)
+        j = k - i
+        both = (i > 0) & (j > 0)
+        at, to = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        step = np.full(len(i), far)
+        if n and m:
+            step[both] = np.where(x[at] == y[to], 0, np.where(lx[at] == ly[to], swap, change))[both]
+        # from one member less of both, of a, and of b
+        costs = np.stack([before[0][i] + step, np.where(i > 0, last[0][i] + gap, far), np.where(j > 0, last[0][i + 1] + gap, far)])
+        ways = np.stack([before[1][i], last[1][i], last[1][i + 1]])
+        best = costs.min(0)
+        now = (none.copy(), np.zeros(n + 2, np.int64))
+        now[0][i + 1], now[1][i + 1] = best, np.minimum(1 << 30, np.where(costs == best, ways, 0).sum(0))
+        before, last = last, now
+    return int(last[0][n + 1]), int(last[1][n + 1])
 
 
 @F.pandas_udf(_ints("cost", "ways"))

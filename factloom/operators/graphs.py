@@ -177,11 +177,13 @@ def live_in(edges: DataFrame, uses: DataFrame, kills: DataFrame) -> DataFrame:
 
 
 def forest(rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """Each row with whether it is a root (no parent, or one that isn't there) and its children in order."""
+    """Each row with whether it is a root (no parent, or one that isn't there), how many children it has, and the node among
+    its siblings that comes before it."""
     known = rows.select(F.col(node).alias("_p")).distinct()
     linked = rows.join(known, F.col(parent) == F.col("_p"), "left").withColumn("is_root", F.col("_p").isNull()).drop("_p")
-    kids = rows.groupBy(F.col(parent).alias("_of")).agg(F.sort_array(F.collect_list(node)).alias("children"))
-    return linked.join(kids, F.col(node) == F.col("_of"), "left").drop("_of")
+    kids = rows.groupBy(F.col(parent).alias("_of")).agg(F.count("*").alias("n_children"))
+    before = F.when(~F.col("is_root"), F.lag(node).over(Window.partitionBy(parent).orderBy(node)))
+    return linked.withColumn("sibling", before).join(kids, F.col(node) == F.col("_of"), "left").drop("_of").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
 def ready_and_blocked(edges: DataFrame, done: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,12 +77,24 @@ def running_budget(df: DataFrame, keys: list[str], order: list[Column], cost: st
 
 
 def skipping_budget(df: DataFrame, keys: list[str], order: str, cost: str, budget: float) -> DataFrame:
-    """Rows kept while the cost of what is kept stays within the budget; one that doesn't fit is skipped. The decision
-    depends on those before, so it is a fold over a key's ordered costs, inside the JVM."""
-    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("double").alias("c")))).alias("rows"))
-    fold = F.expr(
-        f"aggregate(rows, named_struct('left', {float(budget)}D, 'kept', CAST(array() AS array<struct<o:{dict(df.dtypes)[order]},c:double>>)),"
-        " (s, x) -> CASE WHEN x.c <= s.left THEN named_struct('left', s.left - x.c, 'kept', concat(s.kept, array(x))) ELSE s END).kept"
-    )
-    kept = lists.select(*keys, F.explode(fold).alias("k")).select(*keys, F.col("k.o").alias(order))
-    return df.join(kept, [*keys, order], "left_semi")
+    """Rows kept while the cost of what is kept stays within the budget; one that doesn't fit is skipped, and so is one
+    without a cost. The decision depends on those before, so it is a fold over each key's rows in order; a task reads them
+    as they come and holds one number."""
+    narrow = df.select(*keys, order, F.col(cost).cast("double").alias("_cost"))
+    at = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), 0.0
+        for batch in batches:
+            kept = []
+            for key, c in zip(zip(*(batch.column(i).to_pylist() for i in range(at))), batch.column(at + 1).to_pylist()):
+                if key != now:
+                    now, left = key, budget
+                fits = c is not None and c <= left
+                if fits:
+                    left -= c
+                kept.append(fits)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    kept = narrow.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold, narrow.schema)
+    return df.join(kept.select(*keys, order), [*keys, order], "left_semi")

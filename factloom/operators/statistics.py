@@ -16,10 +16,13 @@ def paired(control: DataFrame, treatment: DataFrame, key: str, value: str) -> Da
     return both.filter(whole).select(key, "control", "treatment")
 
 
+def _log_factorial(x: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+
+
 def binomial_tail(k: Column, n: Column) -> Column:
     """P(X <= k) for n fair coins, as exp of sums of logs, so large n don't overflow."""
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    return F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2)))
+    return F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.exp(_log_factorial(n) - _log_factorial(i) - _log_factorial(n - i) - n * math.log(2)))
 
 
 def sign_test(pairs: DataFrame, group: str, difference: Column) -> DataFrame:
@@ -32,11 +35,14 @@ def sign_test(pairs: DataFrame, group: str, difference: Column) -> DataFrame:
     return signs.select("wins", "losses", p.alias("p"))
 
 
-def sign_test_power(n: int, share: float, alpha: float = 0.05) -> float:
-    """Chance that ``n`` groups, each a win with probability ``share``, give a significant two-sided sign test."""
-    pmf = lambda k, p: math.comb(n, k) * p**k * (1 - p) ** (n - k)
-    low = [k for k in range(n + 1) if min(1.0, 2 * sum(pmf(i, 0.5) for i in range(min(k, n - k) + 1))) <= alpha]
-    return sum(pmf(k, share) for k in low)
+def sign_test_powers(cases: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``cases`` (groups, share) with ``power``: the chance that so many groups, each a win with that probability, give a
+    significant two-sided sign test. Each possible number of wins is a row."""
+    n = F.col("groups").cast("int")
+    wins = cases.withColumn("_k", F.explode(F.sequence(F.lit(0), n))).withColumn("_p", F.least(F.lit(1.0), 2 * binomial_tail(F.least(F.col("_k"), n - F.col("_k")), n)))
+    share, k = F.col("share"), F.col("_k")
+    chance = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)) * F.pow(share, k) * F.pow(1 - share, n - k)
+    return wins.groupBy("groups", "share").agg(F.coalesce(F.sum(F.when(F.col("_p") <= alpha, chance)), F.lit(0.0)).alias("power"))
 
 
 def two_proportions(hits_a: Column, n_a: Column, hits_b: Column, n_b: Column) -> Column:

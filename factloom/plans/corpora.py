@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
@@ -68,15 +69,9 @@ def weighted_rerank(spark, sf_dir):
 @R.add("m7_affinity_edges", _SKETCHED + """, h AS (SELECT doc_id, len(sketch) AS n, unnest(sketch) AS h FROM s), e AS (SELECT x.doc_id AS a, y.doc_id AS b, CAST(count(*) AS DOUBLE) / (x.n + y.n - count(*)) AS j FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n)
     SELECT a, b, round(j, 9) AS affinity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS rn FROM e WHERE j >= 0.45) r WHERE rn <= 4""")
 def affinity_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = _sketched(spark, sf_dir).withColumn("m", F.col("sketch"))
-    pairs = similarity.shared_counts(s, s, "m").filter("left_id < right_id")
-    size = s.select("id", F.size("sketch").alias("n"))
-    both = pairs.join(size.withColumnRenamed("id", "left_id"), "left_id").join(size.select(F.col("id").alias("right_id"), F.col("n").alias("k")), "right_id")
-    scored = both.withColumn("j", F.col("shared") / (F.col("n") + F.col("k") - F.col("shared"))).filter("j >= 0.45")
-    top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("j"), "right_id"))).filter("rn <= 4")
-    return top.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("j", 9).alias("affinity"))
+    pairs = similarity.similar_pairs(_sketched(spark, sf_dir), "sketch", 0.45)
+    top = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("jaccard"), "right_id"))).filter("rn <= 4")
+    return top.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("jaccard", 9).alias("affinity"))
 
 
 _NGRAM = f"WITH d AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest({_GRAMS.format(k=2)}) AS gram FROM d WHERE len(w) >= 2)"
@@ -105,9 +100,11 @@ def idiom_score(spark, sf_dir):
 def pattern_census(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{7}"), F.lit(0))).alias("pattern"), F.col("n_chars").alias("size"))
     each = hits.groupBy("doc_id", "pattern", "size").agg(F.count("*").alias("n"))
-    # the five least ids of a pattern without gathering all: rank within parts first
-    examples = F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5), ",")
-    return each.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entities"), F.sum("size").alias("bytes"), examples.alias("examples"))
+    # the five least ids of a pattern, cut down before they are gathered
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy("doc_id"))
+    first = each.select("pattern", "doc_id", place.alias("r")).filter("r <= 5").groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("examples"))
+    sums = each.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entities"), F.sum("size").alias("bytes"))
+    return sums.join(first, "pattern")
 
 
 @R.add("a22_multiset_intersection", f"""WITH w AS (SELECT doc_id, unnest({_W}) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2)
@@ -143,13 +140,13 @@ def token_leaks(spark, sf_dir):
     return similarity.leaks(grams("benchmark", "item_id"), grams("documents", "doc_id"), grams("conversations", "conv_id"))
 
 
-@R.add("m14_group_balanced_forecast", """WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT t.vec_id AS id, k.label AS grp, k.vec_id AS outcome,
-    list_sum(list_transform(list_zip(t.v, k.v), lambda z: abs(z[1] - z[2]))) / 8 AS d FROM v t JOIN v k ON k.vec_id <> t.vec_id WHERE t.vec_id % 100 = 0),
+@R.add("m14_group_balanced_forecast", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT t.vec_id AS id, k.label AS grp, k.vec_id AS outcome,
+    list_sum(list_transform(list_zip(t.v, k.v), lambda z: abs(z[1] - z[2]))) / len(t.v) AS d FROM v t JOIN v k ON k.vec_id <> t.vec_id WHERE t.vec_id % 100 = 0),
     n AS (SELECT id, grp, min(d) AS d, avg(outcome) AS outcome FROM (SELECT *, rank() OVER (PARTITION BY id, grp ORDER BY d) AS r FROM p WHERE d <= 0.6) x WHERE r = 1 GROUP BY id, grp),
     f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, grp) AS g FROM n), s AS (SELECT id, sum(outcome / (0.05 + d)) / sum(1 / (0.05 + d)) AS f, count(*) AS n FROM f WHERE g <= 5 GROUP BY id)
     SELECT v.vec_id AS id, CASE WHEN n >= 2 THEN round(f, 6) END AS forecast, coalesce(n, 0) AS groups FROM v LEFT JOIN s ON v.vec_id = s.id WHERE v.vec_id % 100 = 0""")
 def group_balanced_forecast(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     known = v.select(F.col("vec_id").alias("known_id"), F.col("label").alias("grp"), "v", F.col("vec_id").cast("double").alias("outcome"))
     return similarity.forecast(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "v"), known).withColumn("forecast", F.round("forecast", 6))
 

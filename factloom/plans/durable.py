@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import order
+from factloom.operators import order, similarity
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
 from factloom.sources.staging import staged
@@ -128,11 +128,11 @@ def facts_by_kind(spark, sf_dir):
     return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@R.add("s3_overlap_refusal", """WITH n AS (SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part), k AS (SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer WHERE c_custkey < 4)
+@R.add("s3_overlap_refusal", """WITH n AS (SELECT concat(p_brand, '/', p_size) AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part), k AS (SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer)
     SELECT grp, count(*) AS n FROM n WHERE grp NOT IN (SELECT grp FROM n JOIN k ON n.lo < k.hi AND k.lo < n.hi) GROUP BY grp""")
 def overlap_refusal(spark, sf_dir):
-    n = statement(spark, sf_dir, "SELECT p_brand AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part")
-    k = statement(spark, sf_dir, "SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer WHERE c_custkey < 4")
+    n = statement(spark, sf_dir, "SELECT concat(p_brand, '/', p_size) AS grp, p_partkey * 100 AS lo, p_partkey * 100 + p_size AS hi FROM part")
+    k = statement(spark, sf_dir, "SELECT c_custkey * 1999 + 17 AS lo, c_custkey * 1999 + 60 AS hi FROM customer")
     good, _ = loaders.without_overlaps(n, k, "grp", "lo", "hi")
     return good.groupBy("grp").agg(F.count("*").alias("n"))
 
@@ -185,9 +185,10 @@ def status_api(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("tries"), F.max("value").alias("best"), F.bool_or(F.col("value") > 300).alias("exact"))
 
 
-@R.add("s22_generated_rows")
+@R.add("s22_generated_rows", """SELECT i AS id, CAST(('0x' || substring(h, 1, 4)) AS BIGINT) % 8 AS family, CAST(('0x' || substring(h, 5, 6)) AS BIGINT) % 500 + 1 AS size
+    FROM (SELECT i, md5('7:' || CAST(i AS VARCHAR)) AS h FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS i) r) x""")
 def generated_rows(spark, sf_dir):
-    return loaders.generated(spark, 1000, 7)
+    return loaders.generated(spark, table(spark, sf_dir, "part").count(), 7)
 
 
 # --- splits and leakage ---
@@ -333,10 +334,26 @@ def edit_abstraction(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["m12_edit_abstraction"])
 
 
-@R.add("m17_repeated_regions", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS region FROM documents) SELECT md5(region) AS region, count(*) AS times, count(DISTINCT doc_id) AS entities FROM l WHERE length(region) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')"
+
+
+@R.add("m17_repeated_regions", f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), g AS (SELECT doc_id, len(w) >= 200 AS large, unnest(range(1, len(w) - 10)) AS p, w FROM d WHERE len(w) >= 12),
+    k AS (SELECT doc_id, large, p, md5(array_to_string(w[p:p + 11], ' ')) AS region FROM g), o AS (SELECT region FROM k GROUP BY region HAVING count(*) > 1),
+    l AS (SELECT region, doc_id, large, list_sort(list(p)) AS ps FROM k WHERE region IN (SELECT region FROM o) GROUP BY region, doc_id, large),
+    t AS (SELECT region, doc_id, large, CASE WHEN len(ps) = 1 THEN 1 ELSE list_reduce(list_prepend(10000000 + ps[1], ps[2:]), lambda a, x: CASE WHEN x >= a % 10000000 + 12 THEN (a // 10000000 + 1) * 10000000 + x ELSE a END) // 10000000 END AS n FROM l)
+    SELECT region, CAST(sum(n) AS BIGINT) AS times, count(*) AS entities FROM t GROUP BY region HAVING sum(n) >= 2 AND bool_or(large)""")
 def repeated_regions(spark, sf_dir):
-    l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("r")).filter("length(r) >= 40")
-    return l.groupBy(F.md5("r").alias("region")).agg(F.count("*").alias("times"), F.count_distinct("doc_id").alias("entities")).filter("entities >= 2")
+    """Runs of 12 words that occur again, in the same text or another, one of 200 words or more among them."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("tokens"))
+    return similarity.repeated_regions(d, 12, 200)
+
+
+@R.add("m17_contained_bodies", f"""WITH b AS (SELECT item_id, {_TOKENS} AS w FROM benchmark), d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+    SELECT item_id AS body_id, doc_id AS host_id, count(*) AS times FROM p JOIN b ON len(b.w) >= 8 AND p.w[p.p] = b.w[1] AND p.w[p.p:p.p + len(b.w) - 1] = b.w GROUP BY 1, 2""")
+def contained_bodies(spark, sf_dir):
+    """Benchmark items whose words stand whole in a document."""
+    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), text.words(F.col("text")).alias("tokens"))
+    return similarity.contained_bodies(words("benchmark", "item_id"), words("documents", "doc_id"), 8)
 
 
 @R.add("m18_history_mining", "SELECT doc_id, CASE WHEN regexp_matches(substring(text, greatest(p - 200, 1), 400), '(?i)the') THEN 'worked' ELSE 'inert' END AS outcome FROM (SELECT doc_id, text, strpos(text, 'license') AS p FROM documents) x WHERE p > 0")
@@ -356,9 +373,9 @@ def experiment_memory(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["m22_experiment_memory"])
 
 
-@R.add("j16_similarity_join_top_k", "WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding[1:4], b.embedding[1:4]), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM p) x WHERE rn <= 2")
+@R.add("j16_similarity_join_top_k", "WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM p) x WHERE rn <= 2")
 def similarity_join(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     b = v.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("w"))
     dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     p = v.filter("vec_id % 100 = 0").join(b, "label").filter("vec_id <> b").withColumn("s", dot)
@@ -466,7 +483,7 @@ def previous_score_stream(spark, sf_dir):
 
     root = _store(spark).path
     e = table(spark, sf_dir, "events")
-    e.select(F.col("user_id").cast("string").alias("function"), F.col("event_id").cast("string").alias("status"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.json(root + "/log")
+    e.select(F.col("user_id").cast("string").alias("function"), F.col("event_id").cast("string").alias("status"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts")).write.json(root + "/log")
     rows = logs.previous_scores(logs.tail(spark, root + "/log"))
     rows.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/ck").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(root + "/out")

@@ -96,7 +96,8 @@ def csv_row(spark, sf_dir):
     return parsed.select("r.*")
 
 
-@R.add("s21_markdown_report")
+@R.add("s21_markdown_report", """SELECT '## brands' AS line UNION ALL SELECT '| p_brand | n |' UNION ALL SELECT '|---|---|'
+    UNION ALL SELECT '| ' || p_brand || ' | ' || CAST(n AS VARCHAR) || ' |' FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10) x""")
 def markdown_report(spark, sf_dir):
     top = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand")
     return spark.createDataFrame([(line,) for line in loaders.report(top, "brands", 10).split("\n")], "line string")
@@ -200,10 +201,13 @@ def liveness(spark, sf_dir):
     return graphs.live_in(e, uses, kills).groupBy("grp", "node").agg(F.count("*").alias("live"), F.min("name").alias("least"), F.max("name").alias("most"))
 
 
-@R.add("x4_sign_test_power")
+@R.add("x4_sign_test_power", """WITH n AS (SELECT count(DISTINCT p_brand) AS n FROM part), t AS (SELECT n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) AS c FROM (SELECT n, unnest(range(n + 1)) AS k FROM n) x),
+    p AS (SELECT a.k, least(1, 2 * sum(b.c * pow(0.5, b.n))) AS p FROM t a JOIN t b ON b.k <= least(a.k, a.n - a.k) GROUP BY a.k), s AS (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS share)
+    SELECT n AS groups, share, round(sum(c * pow(share, t.k) * pow(1 - share, n - t.k)), 9) AS power FROM t JOIN p ON p.k = t.k CROSS JOIN s WHERE p.p <= 0.05 GROUP BY n, share""")
 def power(spark, sf_dir):
-    groups = table(spark, sf_dir, "part").agg(F.count_distinct("p_brand")).first()[0]
-    return spark.createDataFrame([(groups, s, statistics.sign_test_power(groups, s)) for s in (0.5, 0.7, 0.9)], "groups long, share double, power double")
+    groups = table(spark, sf_dir, "part").agg(F.count_distinct("p_brand").alias("groups"))
+    cases = groups.crossJoin(F.broadcast(spark.createDataFrame([(0.5,), (0.7,), (0.9,)], "share double")))  # three rows
+    return statistics.sign_test_powers(cases).withColumn("power", F.round("power", 9))
 
 
 @R.add("c6_explicit_split", "SELECT lang, CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'train' WHEN 'de' THEN 'dev' WHEN 'es' THEN 'test' END AS split, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -235,10 +239,39 @@ def keyed_cache(spark, sf_dir):
     return e.join(s.read("cache").select("key"), "key").groupBy("key").agg(F.count("*").alias("uses"))
 
 
-@R.add("r6_retry_decisions")
+_RUNS = """SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS failures, max(value) > 400 AS paused, min(value) < 0.1 AS changed,
+    CASE WHEN max_by(event_type, event_id) = 'purchase' THEN 0 ELSE 1 END AS code FROM events GROUP BY user_id"""
+
+
+@R.add("r6_retry_decisions", f"SELECT user_id, CASE WHEN paused THEN 'wait' WHEN changed THEN 'restart' WHEN code = 0 THEN 'finish' WHEN failures < 60 THEN 'retry' ELSE 'stop' END AS decision FROM ({_RUNS}) x")
 def retry_decisions(spark, sf_dir):
-    rows = [(p, c, code, n, logs.retry(p, c, code, n)) for p in (True, False) for c in (True, False) for code in (0, 1) for n in (0, 3)]
-    return spark.createDataFrame(rows, "paused boolean, changed boolean, code int, failures int, decision string")
+    runs = statement(spark, sf_dir, _RUNS)
+    return runs.select("user_id", logs.retry_decision(F.col("paused"), F.col("changed"), F.col("code"), F.col("failures"), 60).alias("decision"))
+
+
+@R.add("s4_decoded_rows", "SELECT p_partkey * 4 + 4096 AS addr, p_type AS op, p_name AS args, 'f' || CAST(CAST(floor((p_partkey * 4 + 4096) / 64) AS BIGINT) AS VARCHAR) AS function FROM part")
+def decoded_rows(spark, sf_dir):
+    path = _folder(spark)
+    at = F.col("p_partkey") * 4 + 4096
+    row = F.concat(F.lit("  "), F.lower(F.hex(at)), F.lit(":\t"), F.lpad(F.lower(F.hex("p_size")), 8, "0"), F.lit(" \t"), "p_type", F.lit("\t"), "p_name")
+    # a listing for each 64 KiB of addresses; the functions' first lines may stand anywhere in it
+    part = table(spark, sf_dir, "part").withColumn("section", F.floor(at / 65536))
+    begins = part.select("section", (F.floor(at / 64) * 64).alias("a")).distinct().select("section", F.concat(F.lower(F.hex("a")), F.lit(" <f"), F.floor(F.col("a") / 64).cast("string"), F.lit(">:")).alias("value"))
+    other = part.select("section", F.lit("Disassembly of section .text:").alias("value")).distinct()
+    part.select("section", row.alias("value")).unionByName(begins).unionByName(other).repartition("section").write.partitionBy("section").text(path)
+    return loaders.decoded(spark, path).select("addr", "op", "args", "function")
+
+
+@R.add("s19_status_sink", "SELECT user_id AS function, count(*) AS tries, max(value) AS best FROM events GROUP BY user_id")
+def status_sink(spark, sf_dir):
+    """A log of JSON lines kept as a status table by a stream, batch after batch; a dashboard reads the store."""
+    root = _folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("function"), F.col("event_type").alias("status"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("part"))
+    store = Store(spark, root + "/store")
+    for k in range(3):  # the log grows between the runs
+        e.filter(F.col("part") == k).drop("part").write.mode("append").json(root + "/log")
+        logs.run_to_end(logs.tail(spark, root + "/log"), root + "/ck", logs.status_sink(store, "status"))
+    return store.read("status").select(F.col("function").cast("long").alias("function"), "tries", "best")
 
 
 @R.add("r7_import_once", "SELECT count(*) AS n FROM events WHERE event_type = 'purchase'")

@@ -86,10 +86,9 @@ def skipping_budget(spark, sf_dir):
 @R.add("w10_hash_chain", """WITH c AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS entry FROM events) SELECT count(*) AS links, count(*) FILTER (WHERE NOT coalesce(prev = expected, true)) AS broken FROM
     (SELECT event_id, CASE WHEN event_id % 1000 = 999 THEN 'tampered' ELSE lag(entry) OVER (ORDER BY event_id) END AS prev, lag(entry) OVER (ORDER BY event_id) AS expected FROM c) x""")
 def hash_chain(spark, sf_dir):
-    # event ids are gapless, so the entry before is an equality join and no task sorts the whole ledger
-    c = table(spark, sf_dir, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("entry"))
-    before = c.select((F.col("event_id") + 1).alias("event_id"), F.col("entry").alias("expected"))
-    chain = c.join(before, "event_id", "left").withColumn("prev", F.when(F.col("event_id") % 1000 == 999, F.lit("tampered")).otherwise(F.col("expected")))
+    c = order.numbered(table(spark, sf_dir, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("entry")), [F.asc("event_id")])
+    before = c.select((F.col("place") + 1).alias("place"), F.col("entry").alias("expected"))
+    chain = c.join(before, "place", "left").withColumn("prev", F.when(F.col("event_id") % 1000 == 999, F.lit("tampered")).otherwise(F.col("expected")))
     return chain.agg(F.count("*").alias("links"), F.count_if(~F.coalesce(F.col("prev") == F.col("expected"), F.lit(True))).alias("broken"))
 
 
@@ -273,8 +272,7 @@ _TURNS = "SELECT conv_id * 100 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1
 
 @R.add("g12_forest", f"WITH t AS ({_TURNS}) SELECT a.id, a.parent, p.id IS NULL AS is_root, (SELECT count(*) FROM t c WHERE c.parent = a.id) AS n_children FROM t a LEFT JOIN t p ON a.parent = p.id")
 def forest(spark, sf_dir):
-    f = graphs.forest(statement(spark, sf_dir, _TURNS), "id", "parent")
-    return f.select("id", "parent", "is_root", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_children")).withColumn("n_children", F.greatest("n_children", F.lit(0)))
+    return graphs.forest(statement(spark, sf_dir, _TURNS), "id", "parent").select("id", "parent", "is_root", "n_children")
 
 
 @R.add("g13_best_in_subtree", f"""WITH RECURSIVE t AS ({_TURNS}), r AS (SELECT id AS a, id AS d FROM t UNION SELECT r.a, t.id FROM r JOIN t ON t.parent = r.d),

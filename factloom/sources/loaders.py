@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.intervals import as_of
 from factloom.sources.store import Refused
 
 
@@ -132,10 +133,24 @@ def values_of_key(rows: DataFrame, column: str, key: str) -> DataFrame:
     return rows.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias("value")).withColumn("value", F.trim(F.regexp_replace("value", '^"|"$', "")))
 
 
-def generated(spark: SparkSession, rows: int, seed: int) -> DataFrame:
+def generated(spark: SparkSession, rows: int, seed: int, families: int = 8, largest: int = 500) -> DataFrame:
     """id, family, size: rows that depend on the seed alone."""
-    h = F.xxhash64(F.lit(seed), "id")
-    return spark.range(rows).select("id", F.pmod(h, F.lit(8)).cast("int").alias("family"), (F.pmod(F.shiftright(h, 8), F.lit(500)) + 1).cast("int").alias("size"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    part = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long")
+    return spark.range(rows).select("id", (part(1, 4) % families).alias("family"), (part(5, 6) % largest + 1).alias("size"))
+
+
+def decoded(spark: SparkSession, path: str) -> DataFrame:
+    """path, addr, word, op, args, function of listings of decoded instructions: lines ``addr <name>:`` that begin a function
+    and lines ``addr: word op args``. A line of a file belongs to the function that begins at or last before its address; other
+    lines are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    number = lambda c: F.conv(c, 16, 10).cast("long")
+    head, line = r"^([0-9a-f]{1,15}) <(.+)>:$", r"^\s*([0-9a-f]{1,15}):\s+([0-9a-f]{8})\s+(\S+)(?:\s+(\S.*))?$"
+    get = lambda pattern, k: F.regexp_extract("value", pattern, k)
+    begins = lines.filter(F.col("value").rlike(head)).select("path", number(get(head, 1)).alias("addr"), get(head, 2).alias("name"))
+    rows = lines.filter(F.col("value").rlike(line)).select("path", number(get(line, 1)).alias("addr"), get(line, 2).alias("word"), get(line, 3).alias("op"), get(line, 4).alias("args"))
+    return as_of(rows, begins, ["path"], "addr", "name", "function")
 
 
 def report(df: DataFrame, title: str, rows: int) -> str:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from factloom.sources.staging import staged
+from factloom.sources.store import Store
+
 LOG = "function string, status string, score double, ts timestamp"
 
 
@@ -62,6 +65,21 @@ def heartbeat_state(age_seconds: float, done: bool, limit: float = 45) -> str:
     return "done" if done else ("alive" if age_seconds <= limit else "lost")
 
 
-def retry(paused: bool, inputs_changed: bool, code: int, failures: int, most: int = 3) -> str:
+def retry_decision(paused: Column, inputs_changed: Column, code: Column, failures: Column, most: int = 3) -> Column:
     """What happens after a run, first rule that fits."""
-    return "wait" if paused else "restart" if inputs_changed else "finish" if code == 0 else "retry" if failures < most else "stop"
+    return F.when(paused, "wait").when(inputs_changed, "restart").when(code == 0, "finish").when(failures < most, "retry").otherwise("stop")
+
+
+def status_sink(store: Store, table: str) -> Callable[[DataFrame, int], None]:
+    """For :func:`run_to_end`: keeps function, tries and best up to date. The number of the batch that wrote a row makes a
+    batch that comes twice count once."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("function").agg(F.count("*").alias("tries"), F.max("score").alias("best")).withColumn("batch", F.lit(number).cast("long"))
+        if store.current(table):
+            old = store.read(table).select("function", F.col("tries").alias("_t"), F.col("best").alias("_b"), F.col("batch").alias("_at"))
+            both = fresh.join(old, "function", "left").filter("_at IS NULL OR _at < batch")
+            fresh = both.select("function", (F.col("tries") + F.coalesce("_t", F.lit(0))).alias("tries"), F.greatest("best", "_b").alias("best"), "batch")
+        store.upsert(table, staged(fresh), ["function"])
+
+    return each

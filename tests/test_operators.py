@@ -31,7 +31,9 @@ def test_sign_test_and_power(spark):
     r = statistics.sign_test(pairs, "g", F.col("d")).first()
     assert (r.wins, r.losses) == (9, 1) and abs(r.p - 22 / 1024) < 1e-12
     assert statistics.sign_test(pairs.limit(0), "g", F.col("d")).first().p == 1.0
-    assert 0.9 < statistics.sign_test_power(40, 0.8) < 1
+    cases = spark.createDataFrame([(40, 0.8), (3, 0.9)], "groups long, share double")
+    power = {r.groups: r.power for r in statistics.sign_test_powers(cases).collect()}
+    assert 0.9 < power[40] < 1 and power[3] == 0
 
 
 def test_cycles_end(spark):

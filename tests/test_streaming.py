@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from factloom.streaming import logs
 
 
@@ -32,6 +34,8 @@ def test_windows_and_once_each(spark, tmp_path):
     assert len(uniq) == 4
 
 
-def test_state_machines():
+def test_state_machines(spark):
     assert [logs.heartbeat_state(10, False), logs.heartbeat_state(50, False), logs.heartbeat_state(50, True)] == ["alive", "lost", "done"]
-    assert [logs.retry(True, True, 0, 0), logs.retry(False, True, 0, 0), logs.retry(False, False, 0, 0), logs.retry(False, False, 1, 2), logs.retry(False, False, 1, 3)] == ["wait", "restart", "finish", "retry", "stop"]
+    cases = [(True, True, 0, 0, "wait"), (False, True, 0, 0, "restart"), (False, False, 0, 0, "finish"), (False, False, 1, 2, "retry"), (False, False, 1, 3, "stop")]
+    rows = spark.createDataFrame(cases, "paused boolean, changed boolean, code int, failures int, want string")
+    assert all(r.want == r.got for r in rows.withColumn("got", logs.retry_decision(*map(F.col, ("paused", "changed", "code", "failures")))).collect())
