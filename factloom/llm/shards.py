@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from factloom.llm.ranges import partition_offsets, range_sorted
 from factloom.llm.shared import stage, unstage
 
-#: Hexadecimal digits of the key by which a range is divided at a time, and ranges whose sums are asked for at a time.
-FIRST_DIGITS, DIGITS, ASKED = 3, 2, 4096
+#: Hexadecimal digits of the key by which a range is divided at a time, and ranges whose sums are asked for at a time: the
+#: driver gets at most 16 sums for each of them.
+FIRST_DIGITS, DIGITS, ASKED = 3, 1, 512
 KEY_DIGITS = 32
 
 
