@@ -12,7 +12,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_top_k(spark, sf_dir):
-    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    vectors = topk.finite_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 

@@ -22,23 +22,22 @@ _SAFE, _LONG = float(1 << 53), (1 << 63) - 1
 _TOP = "query_block int, lane int, n int, query_id binary, vec_id binary, score binary"
 
 
-def integer_vectors(embeddings: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id, dim and floor(scale * x) of each component, x as double. Rows without a vec_id, and vectors that are null
+def finite_vectors(embeddings: DataFrame) -> DataFrame:
+    """vec_id, dim and components as doubles. Rows without a vec_id, and vectors that are null
     or hold a null or a component that isn't finite, are left out; they can't be named or scored."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull()).filter(~bad)
-    # floor of a double that no long can hold stays a double in numpy; so scaling is left to the blocks
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), F.transform(x, lambda v: v * scale).alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), x.alias("v"))
 
 
 def pack(vectors: DataFrame, block: Column, name: str) -> DataFrame:
-    """One row for each block and dimension: ids and floored components as bytes, in order of id."""
+    """One row for each block and dimension: ids and components as bytes, in order of id."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id").combine_chunks()
         dim = table.column("dim")[0].as_py()
-        flat = np.floor(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)) if dim else np.empty(0)
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if dim else np.empty(0)
         ids = table.column("vec_id").to_numpy()
         return pa.table({name: table.column(name).slice(0, 1), "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()),
                          f"{name}_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), f"{name}_v": pa.array([flat.astype("<f8").tobytes()], pa.binary())})
@@ -46,15 +45,19 @@ def pack(vectors: DataFrame, block: Column, name: str) -> DataFrame:
     return vectors.withColumn(name, block.cast("int")).groupBy(name, "dim").applyInArrow(run, f"{name} int, dim int, n int, {name}_ids binary, {name}_v binary")
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floats where no sum can pass 2**53, else by whole numbers. A product beyond a
-    long's range counts as the nearest long."""
+def products(q: np.ndarray, c: np.ndarray, scale: int = 1) -> np.ndarray:
+    """Exact inner products of floor(scale * x): by floats where no sum can pass 2**53, else by whole numbers. A product
+    beyond a long's range counts as the nearest long."""
     if not q.size or not c.size:
         return np.zeros((len(q), len(c)), np.int64)
-    if np.abs(q).max() * np.abs(c).max() * q.shape[1] < _SAFE:
-        return (q @ c.T).astype(np.int64)
-    whole = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in c], object).T
-    return np.clip(whole, -_LONG - 1, _LONG).astype(np.int64)
+    with np.errstate(over="ignore"):
+        a, b = np.floor(q * scale), np.floor(c * scale)
+        safe = np.abs(a).max() * np.abs(b).max() * q.shape[1] < _SAFE
+    if safe:
+        return (a @ b.T).astype(np.int64)
+    # a double that overflows when it is scaled is a whole number itself
+    whole = [np.array([[int(s) if np.isfinite(s) else int(x) * scale for x, s in zip(*rows)] for rows in zip(of, scaled)], object) for of, scaled in ((q, a), (c, b))]
+    return np.clip(whole[0] @ whole[1].T, -_LONG - 1, _LONG).astype(np.int64)
 
 
 def best_of_tile(qids: np.ndarray, cids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +83,10 @@ def keep_best(group: np.ndarray, cids: np.ndarray, s: np.ndarray, k: int, names:
     return names[group[top]], cids[top], s[top]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The ``k`` candidates with the highest integer inner product for each query, ties to the smaller vec_id.
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, scale: int = 256) -> DataFrame:
+    """The ``k`` candidates with the highest inner product of floor(scale * x) for each query, ties to the smaller vec_id.
 
-    Both sides are as :func:`integer_vectors` gives them. Returns query_id, rank (from 1), vec_id and score. A
+    Both sides are as :func:`finite_vectors` gives them. Returns query_id, rank (from 1), vec_id and score. A
     candidate with the query's own vec_id doesn't count. Only vectors of equal length have a product. Rows that
     repeat a vec_id each count as candidates; queries that repeat one are answered once, by the best of their products.
     Empty sides give no rows. Scores beyond a long are held at its ends.
@@ -102,7 +105,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK)
             qids, cids = np.frombuffer(a["query_ids"], "<i8"), np.frombuffer(b["lane_ids"], "<i8")
             qv, cv = (np.frombuffer(x, "<f8").reshape(n, a["dim"]) for x, n in ((a["query_v"], a["n"]), (b["lane_v"], b["n"])))
             step = max(1, (1 << 22) // len(cids))  # products held at a time
-            parts = [best_of_tile(qids[i : i + step], cids, products(qv[i : i + step], cv), k) for i in range(0, len(qids), step)]
+            parts = [best_of_tile(qids[i : i + step], cids, products(qv[i : i + step], cv, scale), k) for i in range(0, len(qids), step)]
             found = [np.concatenate(x).astype("<i8") for x in zip(*parts)]
             rows = [(a["query"], a["lane"], len(found[0]), *(x.tobytes() for x in found))]
         return _table(rows)
