@@ -1,10 +1,12 @@
 import html
+import math
+import random
 import re
 
 import duckdb
 import pytest
 
-from factloom.llm.pages import extract, main_text
+from factloom.llm.pages import APART, HOLDERS, Tree, extract, main_text
 
 P1, P2 = "One long paragraph of the article that says a good deal about it. " * 3, "Another paragraph, with more to say about the same thing & others. " * 4
 
@@ -82,3 +84,54 @@ AROUND = "<body><div id=top><a href=/>Home</a> <a href=/a>About us</a></div>{}<d
 )
 def test_whole_article_without_article_element(article, want):
     assert main_text(AROUND.format(article)) == "\n\n".join(want)
+
+
+def slow_densities(tree):
+    """Densities and their sums by going through the whole page for each node."""
+    n = len(tree.tag)
+    above = [[i] for i in range(n)]
+    for i in range(1, n):
+        above[i] += above[tree.parent[i]]
+    shown = [i for i in range(n) if not tree.apart[i]]
+    pieces = [(i, len(t.strip())) for i, t in filter(None, tree.pieces) if i in shown]
+    in_link = lambda i: any(tree.tag[a] == "a" for a in above[i])
+    counts = {}
+    for i in range(n):
+        own = [(j, k) for j, k in pieces if i in above[j]]
+        below = [j for j in shown if j != i and i in above[j]]
+        counts[i] = sum(k for _, k in own), len(below), sum(k for j, k in own if in_link(j)), sum(tree.tag[j] == "a" for j in below)
+    body = tree.tag.index("body") if "body" in tree.tag else 0
+    ratio = counts[body][2] / max(1, counts[body][0])
+    density = []
+    for i in range(n):
+        c, t, lc, lt = counts[i]
+        if not c or tree.apart[i]:
+            density.append(0.0)
+            continue
+        x = c * max(1, t) / (max(1, lc) * max(1, lt))
+        of = math.log(c * lc / max(1, c - lc) + ratio * c + math.e)
+        density.append(c / max(1, t) * (math.log(max(1, x)) / math.log(of) if of > 1 + 1e-9 else math.log(max(1, x)) + 1))
+    return density, [sum(density[j] for j in range(1, n) if tree.parent[j] == i) for i in range(n)], counts
+
+
+def test_densities_sums_and_choice_against_slow_ones():
+    rnd = random.Random(6)
+
+    def some(depth):
+        tag = rnd.choice("div div section p a span ul li nav b table td".split())
+        inner = "".join(some(depth - 1) if depth and rnd.random() < 0.6 else "word " * rnd.randrange(12) for _ in range(rnd.randrange(4)))
+        return f"<{tag} class='{rnd.choice(['x', 'ad', 'post'])}'>{inner}</{tag}>"
+
+    pages = [f"<body>{''.join(some(4) for _ in range(5))}</body>" for _ in range(25)]
+    pages += [p for (p,) in duckdb.sql("select html from '/root/testdata/sf0.001/pages.parquet' limit 10").fetchall()]
+    for page in pages:
+        tree = Tree(page)
+        density, sums, counts = slow_densities(tree)
+        got = tree.densities()
+        assert got[0] == pytest.approx(density) and got[1] == pytest.approx(sums)
+        assert got[2:] == ([counts[i][0] for i in range(len(density))], [counts[i][2] for i in range(len(density))])
+        holders = [i for i in range(len(density)) if tree.tag[i] in HOLDERS and not tree.apart[i] and counts[i][0]]
+        if holders:
+            best = max(holders, key=lambda i: (round(sums[i], 9), round(density[i], 9), -i))
+            assert any(a <= best < b for a, b in tree.selected())
+        assert not any(tree.tag[i] in APART and not tree.apart[i] for i in range(len(density)))
