@@ -45,6 +45,41 @@ def op5_quality_divergence(spark, sf_dir):
     return quality.judged(docs, carried=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The same rules in plain SQL: words and classes are counted as rows, medians and sums taken by language.
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM documents),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) x WHERE c > 1) y GROUP BY rid),
+b AS (
+  SELECT d.rid, doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN r ON r.rid = d.rid),
+k AS (SELECT rid, CAST(unnest([1, 2, 3, 4, 5, 6]) AS INT) AS pos, unnest(['[a-z]', '[ \t-\r]', '[A-Z]', '[.,;:!?''"()-]', '[0-9]', '[#*$%&|<>]']) AS class, t FROM b),
+c AS (SELECT rid, pos, CAST(length(t) - length(regexp_replace(t, class || '+', '', 'g')) AS BIGINT) AS n FROM k),
+cls AS (SELECT rid, pos, n FROM c UNION ALL SELECT b.rid, 7, length(any_value(t)) - sum(n) FROM c JOIN b ON b.rid = c.rid GROUP BY b.rid),
+big AS (SELECT lang FROM b GROUP BY lang HAVING count(*) >= 50),
+each AS (SELECT rid, lang, unnest(w) AS word FROM b WHERE lang IN (SELECT lang FROM big)),
+seen AS (SELECT lang, word, count(DISTINCT rid) AS n FROM each WHERE regexp_full_match(word, '\p{L}+') GROUP BY lang, word),
+common AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS pos FROM seen QUALIFY pos <= 32),
+hit AS (SELECT e.rid, coalesce(m.pos, 33) AS pos, count(*) AS n FROM each e LEFT JOIN common m ON m.lang = e.lang AND m.word = e.word GROUP BY 1, 2),
+wrd AS (SELECT b.rid, p.pos, coalesce(hit.n, 0) AS n FROM b JOIN big ON big.lang = b.lang CROSS JOIN (SELECT unnest(range(1, 34)) AS pos) p LEFT JOIN hit ON hit.rid = b.rid AND hit.pos = p.pos),
+good AS (SELECT b.rid, b.lang, length(t) AS chars, n_words FROM b JOIN big ON big.lang = b.lang WHERE NOT base_failed),
+cref AS (SELECT lang, pos, list_sort(list(s))[(count(*) + 1) // 2] AS ref FROM (SELECT good.lang, pos, 1000 * n // chars AS s FROM good JOIN cls ON cls.rid = good.rid) x GROUP BY lang, pos),
+wref AS (SELECT lang, pos, sum(1000000 * n // n_words) AS ref FROM good JOIN wrd ON wrd.rid = good.rid GROUP BY lang, pos),
+pair AS (
+  SELECT 'c' AS kind, b.rid, n / CAST(sum(n) OVER v AS DOUBLE) AS a, ref / CAST(sum(ref) OVER v AS DOUBLE) AS q FROM b JOIN cls ON cls.rid = b.rid JOIN cref ON cref.lang = b.lang AND cref.pos = cls.pos WHERE length(t) >= 200 WINDOW v AS (PARTITION BY b.rid)
+  UNION ALL
+  SELECT 'w', b.rid, n / CAST(sum(n) OVER v AS DOUBLE), ref / CAST(sum(ref) OVER v AS DOUBLE) FROM b JOIN wrd ON wrd.rid = b.rid JOIN wref ON wref.lang = b.lang AND wref.pos = wrd.pos WHERE n_words >= 50 WINDOW v AS (PARTITION BY b.rid)),
+far AS (
+  SELECT rid FROM (SELECT kind, rid, sqrt(abs(sum((CASE WHEN a > 0 THEN a * log2(2 * a / (a + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (a + q)) ELSE 0 END) / 2))) AS dist FROM pair GROUP BY kind, rid) x
+  WHERE dist > CASE kind WHEN 'c' THEN 0.18 ELSE 0.42 END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM far) AS kept FROM b
+"""
+
+
 def op6_prefix_free_repeats(spark, sf_dir):
     return repeats.removals(documents(spark, sf_dir))
 
@@ -78,4 +113,4 @@ QUERIES = {
     "op9_simhash_groups": op9_simhash_groups,
     "op10_entropy_mix": op10_entropy_mix,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_divergence": OP5_SQL}

@@ -3,12 +3,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import quality
+from factloom.llm import quality, queries
 
 
 def base(text):
@@ -130,3 +131,11 @@ def test_empty_clash_and_labels(spark, sf):
     got = {(r.quality, r.kept): r.n for r in out.filter("NOT base_failed").groupBy("quality", "kept").count().withColumnRenamed("count", "n").collect()}
     assert got.get((1, False), 0) <= 0.02 * got[1, True]
     assert got.get((0, True), 0) <= 0.1 * max(1, got.get((0, False), 0))
+
+
+def test_sql_twin(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.OP5_SQL).fetchall()
+    assert len({r[-1] for r in want}) == 2
+    assert sorted(map(tuple, queries.op5_quality_divergence(spark, sf).collect())) == sorted(want)
