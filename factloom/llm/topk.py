@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import stage
 
-#: Vectors of a block, and lists that one merge takes.
-BLOCK, FAN_IN = 8192, 16
+#: Vectors of a block of candidates, bytes of one of queries, and lists that one merge takes. Candidates are dealt out once for
+#: each block of queries, so those are as large as a task's memory bears.
+BLOCK, QUERY_BYTES, FAN_IN = 8192, 32 << 20, 16
 _SAFE, _LONG = float(1 << 53), (1 << 63) - 1
 _TOP = "query_block int, lane int, n int, query_id binary, vec_id binary, score binary"
 
@@ -83,7 +84,7 @@ def keep_best(group: np.ndarray, cids: np.ndarray, s: np.ndarray, k: int, names:
     return names[group[top]], cids[top], s[top]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, scale: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK, query_bytes: int = QUERY_BYTES, scale: int = 256) -> DataFrame:
     """The ``k`` candidates with the highest inner product of floor(scale * x) for each query, ties to the smaller vec_id.
 
     Both sides are as :func:`finite_vectors` gives them. Returns query_id, rank (from 1), vec_id and score. A
@@ -93,7 +94,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK,
     """
     sides = {"query": queries, "lane": candidates}
     # what a block gets is dealt at random (seeded, so a rerun deals alike), as one id may have many rows
-    counts = {name: max(1, -(-side.count() // block)) for name, side in sides.items()}
+    rows = {name: side.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first() for name, side in sides.items()}
+    per = {"query": max(1, query_bytes // (8 * max(1, rows["query"].dim))), "lane": block}
+    counts = {name: max(1, -(-rows[name].n // per[name])) for name in sides}
     packed = {name: stage(pack(side, F.floor(F.rand(7) * counts[name]), name), f"blocks-{name}", "none") for name, side in sides.items()}
     q = packed["query"].withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(counts["lane"] - 1))))
     c = packed["lane"].withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(counts["query"] - 1))))

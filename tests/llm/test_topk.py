@@ -20,7 +20,7 @@ def brute(rows, every, k):
 def run(spark, rows, k=5, block=64):
     df = spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id long, embedding array<double>, rank string")
     vectors = finite_vectors(df)
-    return sorted(tuple(r) for r in top_k(vectors.filter("vec_id % 5 = 0"), vectors, k, block).collect())
+    return sorted(tuple(r) for r in top_k(vectors.filter("vec_id % 5 = 0"), vectors, k, block, 1024).collect())
 
 
 def test_many_tiles_with_ties(spark):
