@@ -43,9 +43,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Strings:
-    """What counts as a repeat: strings of ``length`` bytes (50 at least)."""
+    """What counts as a repeat: strings of ``length`` bytes (50 at least). Longer strings can be asked for at the same time;
+    they are told apart by the length that neighbours share."""
 
     length: int = 400
+    longer: tuple[int, ...] = ()
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        return (self.length, *self.longer)
 
     @property
     def reach(self) -> int:
@@ -98,6 +104,8 @@ def phrases(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
     """The runs of every text, with the text's key and the two names of each. ``place`` holds the phrase start, and from
     how many bytes before it to how many the run's strings start, in 48, 8 and 8 bits."""
 
+    most = max(s.lengths)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
@@ -114,7 +122,7 @@ def phrases(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
                     cols[2].append(start << 16 | (start - first) << 8 | (start - last))
                     cols[3].append(np.array([digest(raw[t : t + s.shared]) for t in c], "u8").view("i8"))
                     # the run's bytes and where the phrase starts in them
-                    cols[4].append(np.array([digest(raw[i : j + s.length], t - i) for i, j, t in zip(a, b, c)], "u8").view("i8"))
+                    cols[4].append(np.array([digest(raw[i : j + most], t - i) for i, j, t in zip(a, b, c)], "u8").view("i8"))
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["k1", "k2", "place", "suffix", "whole"])
 
@@ -141,7 +149,7 @@ def _contexts(docs: DataFrame, open_: DataFrame, s: Strings) -> DataFrame:
                 raw = text.as_buffer().to_pybytes()
                 for r in runs:
                     t, far = r["place"] >> 16, r["place"] >> 8 & 255
-                    rows.append((r["suffix"], k1, k2, r["place"], raw[t - far : t], raw[t + s.shared : t + s.length]))
+                    rows.append((r["suffix"], k1, k2, r["place"], raw[t - far : t], raw[t + s.shared : t + max(s.lengths)]))
             kinds = [pa.int64()] * 4 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["suffix", "k1", "k2", "place", "left_bytes", "right_bytes"])
 
@@ -195,7 +203,7 @@ def _neighbours(table: pa.Table, s: Strings) -> Iterator[pa.RecordBatch]:
     suffix, place = table.column("suffix").to_numpy(), table.column("place").to_numpy()
     start, far, near = place >> 16, place >> 8 & 255, place & 255
     group = np.cumsum(np.diff(suffix, prepend=suffix[:1]) != 0)
-    width = s.reach - 1
+    width = max(s.lengths) - s.shared
     left, right, rights = np.zeros((n, s.reach), np.uint8), np.zeros((n, width), np.uint8), np.zeros(n, np.int64)
     for i, (a, b) in enumerate(zip(table.column("left_bytes").to_pylist(), table.column("right_bytes").to_pylist())):
         left[i, : len(a)] = np.frombuffer(a, np.uint8)[::-1]
@@ -209,13 +217,15 @@ def _neighbours(table: pa.Table, s: Strings) -> Iterator[pa.RecordBatch]:
     common = np.minimum(common, np.minimum(rights[order[1:]], rights[order[:-1]]))
     # shared bytes with the one before; below zero where nothing can be shared any more
     common = np.concatenate([[-1], np.where(group[order[1:]] == group[order[:-1]], common, -1)])
-    found = np.zeros((n, s.reach + 1), bool)
+    found = {length: np.zeros((n, s.reach + 1), bool) for length in s.lengths}
     for d in range(s.reach):
         # strings that start d bytes before a phrase start
         own = np.flatnonzero((near[order] <= d) & (d <= far[order]))
-        whole = _least_between(common, own[:-1], own[1:]) >= width
-        found[order[own[1:][whole]], d] = True
-        found[order[own[:-1][whole]], d] = True
+        both = _least_between(common, own[:-1], own[1:])
+        for length, at in found.items():
+            whole = both >= length - s.shared
+            at[order[own[1:][whole]], d] = True
+            at[order[own[:-1][whole]], d] = True
         # one byte to the left: by group and byte, equals in the order they have
         on = np.flatnonzero(far[order] > d)
         key = group[order[on]] << 8 | left[order[on], d]
@@ -229,21 +239,22 @@ def _neighbours(table: pa.Table, s: Strings) -> Iterator[pa.RecordBatch]:
         order, common = order[on[to[stays]]], after[stays]
         if not len(order):
             break
-    edge = np.diff(found.astype(np.int8), axis=1, prepend=0)
-    row, begin = np.nonzero(edge == 1)
-    _, stop = np.nonzero(edge == -1)
-    if len(row):
-        k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
-        arrays = [k1[row], k2[row], start[row] - stop + 1, start[row] - begin]
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["k1", "k2", "first", "last"])
+    k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
+    for length, at in found.items():
+        edge = np.diff(at.astype(np.int8), axis=1, prepend=0)
+        row, begin = np.nonzero(edge == 1)
+        _, stop = np.nonzero(edge == -1)
+        if len(row):
+            arrays = [k1[row], k2[row], start[row] - stop + 1, start[row] - begin, np.full(len(row), length)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["k1", "k2", "first", "last", "length"])
 
 
-_SPANS = "k1 long, k2 long, first long, last long"
+_SPANS = "k1 long, k2 long, first long, last long, length long"
 
 
-def repeated_places(docs: DataFrame, crowd: int = CROWD, s: Strings = Strings()) -> DataFrame:
-    """k1, k2, first, last: runs of places, for each distinct text, at which a string of the length starts that also
-    starts elsewhere."""
+def repeated_places(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
+    """k1, k2, first, last, length: runs of places, for each distinct text, at which a string of a length starts that also
+    starts elsewhere. A run may go on beyond the last place of the text where a longer string has room."""
     found = stage(phrases(docs, s), "phrases")
     # copies of a phrase are counted before anything meets by parse suffix
     names = stage(found.groupBy("suffix", "whole").agg(F.count("*").alias("n")), "phrase-names")
@@ -255,69 +266,98 @@ def repeated_places(docs: DataFrame, crowd: int = CROWD, s: Strings = Strings())
     unstage(found)
     at = F.shiftright("place", 16)
     spans = ["k1", "k2", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")]
-    alike = some.filter("n > 1").select(*spans).distinct()
+    each = F.explode(F.array(*[F.lit(n).cast("long") for n in s.lengths])).alias("length")
+    alike = some.filter("n > 1").select(*spans).distinct().select("*", each)
     # suffixes with more than one whole name; one phrase of each name takes part
     one = some.filter("names > 1").groupBy("suffix", "whole").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("place").alias("place"), F.first("names").alias("names"))
     open_ = stage(one, "open-phrases")
-    crowded = open_.filter(F.col("names") > crowd).select("suffix").distinct()
+    crowded = open_.filter(F.col("names") > CROWD).select("suffix").distinct()
     context = stage(_contexts(docs, open_, s), "phrase-contexts")
     few = context.join(crowded, "suffix", "left_anti")
     near = few.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(partial(_order, s=s), _SPANS)
     # crowded suffixes: each string is a row of its own, keyed by all that tells it apart
     rows = context.join(crowded, "suffix", "left_semi").select("*", *_ends())
     rows = rows.withColumn("d", F.explode(F.sequence("near", "far")))
-    rows = rows.withColumn("string", F.md5(F.concat(F.expr("substring(left_bytes, CAST(octet_length(left_bytes) - d + 1 AS INT), CAST(d AS INT))"), F.expr(f"substring(right_bytes, 1, CAST({s.reach - 1} - d AS INT))"))))
-    equal = rows.groupBy("suffix", "d", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = rows.withColumn("length", F.explode(F.array(*[F.lit(n).cast("long") for n in s.lengths])))
+    behind = F.col("length") - s.shared - F.col("d")
+    rows = rows.withColumn("behind", behind).filter("octet_length(right_bytes) >= behind")
+    rows = rows.withColumn("string", F.md5(F.concat(F.expr("substring(left_bytes, CAST(octet_length(left_bytes) - d + 1 AS INT), CAST(d AS INT))"), F.expr("substring(right_bytes, 1, CAST(behind AS INT))"))))
+    equal = rows.groupBy("suffix", "d", "length", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     place = (F.col("start") - F.col("d")).alias("first")
-    many = rows.join(equal, ["suffix", "d", "string"]).select("k1", "k2", place, place.alias("last"))
+    many = rows.join(equal, ["suffix", "d", "length", "string"]).select("k1", "k2", place, place.alias("last"), "length")
     return alike.unionByName(near).unionByName(many)
 
 
-def cut_spans(raw: bytes, runs: list[dict] | None, s: Strings, least_words: int = 0) -> list[tuple[int, int]]:
-    """Maximal stretches of bytes that the strings starting in ``runs`` cover, those of at least so many words."""
+def cut_spans(raw: bytes, runs: list[dict] | None, length: int, least_words: int = 0) -> list[tuple[int, int]]:
+    """Maximal stretches of bytes that the strings of a length starting in ``runs`` cover, those of at least so many words."""
     out: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs or []):
+    for first, last in sorted((r["first"], min(r["last"], len(raw) - length)) for r in runs or [] if r["length"] == length):
+        if first > last:
+            continue
         if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + s.length)
+            out[-1][1] = max(out[-1][1], last + length)
         else:
-            out.append([first, last + s.length])
+            out.append([first, last + length])
     return [(a, b) for a, b in out if not least_words or len(raw[a:b].split()) >= least_words]
 
 
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What stays of a text; a character of which a byte is in a span goes wholly."""
+    kept, done = [], 0
+    for a, b in spans:
+        while a > done and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        kept.append(raw[done:a])
+        done = max(done, b)
+    kept.append(raw[done:])
+    return b"".join(kept)
+
+
 def _with_runs(docs: DataFrame, s: Strings) -> DataFrame:
     """row (a struct of the columns of ``docs``), text, runs: every row of ``docs`` with the runs of its text, null where
     nothing is repeated."""
     text_batches(docs.sparkSession)
-    runs = stage(repeated_places(docs, s=s), "repeated-places").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one text
+    runs = stage(repeated_places(docs, s), "repeated-places").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "length")).alias("runs"))  # of one text
     keyed = docs.select(packed(docs), "text").select("row", "text", *_key_columns(F.coalesce("text", F.lit(""))))
     return keyed.join(runs, ["k1", "k2"], "left").select("row", "text", "runs")
 
 
-def removals(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
+def removals(docs: DataFrame, length: int = 400, passages: int | None = None, least_words: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
-    A byte goes if a string of the length covers it that also starts anywhere else, in the same text or another; what
+    A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in the same text or another; what
     is equal is judged on the input. So texts of that length that occur twice go wholly. A null text is empty. Rows with
     equal or null ids stay apart. An empty table gives none. Other columns are not read.
+
+    With ``passages``, a smaller length, there is ``text`` too: each text as :func:`without_repeats` leaves it for strings of
+    that length and stretches of ``least_words`` words; null texts stay null.
     """
+    s = Strings(length) if passages is None else Strings(passages, (length,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, texts = [], []
             for text, runs in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans = cut_spans(raw, runs, s)
+                spans = cut_spans(raw, runs, length)
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+                if passages is not None:
+                    texts.append(_without(raw, cut_spans(raw, runs, passages, least_words)).decode("utf-8") if text.is_valid else None)
             n, gone, spans, digest = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = {"doc_id": batch.column(0), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            if passages is not None:
+                cols["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     rows = _with_runs(docs.select("doc_id", "text"), s).select("row.doc_id", "text", "runs")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * (passages is not None))
 
 
 def without_repeats(docs: DataFrame, s: Strings = Strings(), least_words: int = 0) -> DataFrame:
@@ -337,17 +377,9 @@ def without_repeats(docs: DataFrame, s: Strings = Strings(), least_words: int =
                     gone.append(0)
                     continue
                 raw = text.as_buffer().to_pybytes()
-                kept, done = [], 0
-                for a, b in cut_spans(raw, runs, s, least_words):
-                    while a > done and raw[a] & 0xC0 == 0x80:
-                        a -= 1
-                    while b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b += 1
-                    kept.append(raw[done:a])
-                    done = max(done, b)
-                kept.append(raw[done:])
-                texts.append(b"".join(kept).decode("utf-8"))
-                gone.append(len(raw) - sum(map(len, kept)))
+                kept = _without(raw, cut_spans(raw, runs, s.length, least_words))
+                texts.append(kept.decode("utf-8"))
+                gone.append(len(raw) - len(kept))
             row = batch.column(0)
             fields = [pa.array(texts, pa.string()) if i == inside else row.field(i) for i in range(row.type.num_fields)]
             packed_again = pa.StructArray.from_arrays(fields, names=[row.type.field(i).name for i in range(row.type.num_fields)])

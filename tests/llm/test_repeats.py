@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from factloom.llm import repeats
@@ -43,16 +44,52 @@ def test_every_covered_byte_goes(spark):
     for seed, length in ((1, 400), (2, 400), (1, 200), (2, 60)):
         texts = some_texts(seed)
         docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, k1 int, runs string")
-        out = {r.doc_id: tuple(r[1:]) for r in removals(docs, Strings(length)).collect()}
+        out = {r.doc_id: tuple(r[1:]) for r in removals(docs, length).collect()}
         assert [out[i] for i in range(len(texts))] == slow(texts, length)
 
 
+def slow_texts(texts, length, words):
+    """Each text without the stretches of so many words that strings with a twin cover; cut characters go wholly."""
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for t, r in zip(texts, raws):
+        gone = [False] * len(r)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        for m in re.finditer(b"\1+", bytes(gone)):
+            if len(r[m.start() : m.end()].split()) < words:
+                gone[m.start() : m.end()] = [False] * (m.end() - m.start())
+        kept, at = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += "" if any(gone[at : at + n]) else c
+            at += n
+        out.append(None if t is None else kept)
+    return out
+
+
+def test_two_lengths_of_one_parse(spark, monkeypatch):
+    for seed, passages, words in ((4, 200, 20), (5, 90, 0)):
+        texts = some_texts(seed)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for crowd in (20_000, 1):
+            monkeypatch.setattr(repeats, "CROWD", crowd)
+            out = {r.doc_id: tuple(r)[1:] for r in removals(docs, 400, passages, words).collect()}
+            assert [out[i][:4] for i in range(len(texts))] == slow(texts)
+            assert [out[i][4] for i in range(len(texts))] == slow_texts(texts, passages, words)
+
+
 def test_crowded_suffixes_and_cut_runs_give_the_same(spark, monkeypatch):
     texts = some_texts(3)
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
 
+    room = {repeats.text_key((t or "").encode()): {n: range(len((t or "").encode()) - n + 1) for n in (90, 200)} for t in texts}
+
     def places(crowd):
-        return {(r.k1, r.k2, i) for r in repeated_places(docs, crowd).collect() for i in range(r["first"], r["last"] + 1)}
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        return {(r.k1, r.k2, r.length, i) for r in repeated_places(docs, Strings(90, (200,))).collect() for i in range(r["first"], r["last"] + 1) if i in room[r.k1, r.k2][r.length]}
 
     assert places(1) == places(20_000) and places(1)
     monkeypatch.setattr(repeats, "_STEP", 100)
