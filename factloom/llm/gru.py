@@ -68,25 +68,40 @@ def _sigmoid(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
+_rooms: dict[tuple, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """An array for a task's own use until the name is asked for again; fresh memory for each window would cost more than
+    what is done in it."""
+    size = int(np.prod(shape))
+    found = _rooms.get((name, kind))
+    if found is None or len(found) < size:
+        found = _rooms[name, kind] = np.empty(size, kind)
+    return found[:size].reshape(shape)
+
+
 def run(p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray, pasts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States (steps + 1, lanes, hidden) before, between and after the steps x (steps, lanes) from h (lanes, hidden), and the
     gates z, r and c of each (3, steps, lanes, hidden). ``table`` is that of ``inputs``; ``pasts`` takes what r is put on."""
-    U = _by_gate(p["U"])
-    gates = table[:, x]
-    states = np.empty((len(x) + 1, *h.shape), h.dtype)
+    U, kind = _by_gate(p["U"]), h.dtype
+    gates = np.take(table, x, axis=1, out=_room("gates", (3, *x.shape, HIDDEN), table.dtype), mode="clip")
+    states = _room("states", (len(x) + 1, *h.shape), kind)
+    u = _room("u", (3, *h.shape), kind)
     states[0] = h
     with np.errstate(over="ignore"):
         for t in range(len(x)):
             h, new, zr, c = states[t], states[t + 1], gates[:2, t], gates[2, t]
-            u = np.matmul(h, U)
+            np.matmul(h, U, out=u)
             zr += u[:2]
             _sigmoid(zr)
+            past = u[2]
             if pasts is not None:
-                np.multiply(u[2], -0.5, out=pasts[t])
-            u[2] *= zr[1]
-            c += u[2]
+                np.multiply(past, -0.5, out=pasts[t])
+            past *= zr[1]
+            c += past
             _sigmoid(c)
-            c *= 2
+            c += c
             c -= 1
             np.subtract(h, c, out=new)
             new *= zr[0]
@@ -100,82 +115,60 @@ _SAFE = 80.0
 _ROWS = 4096
 
 
-def _blocks(cls: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens in blocks of one class and so many rows each: tokens in the order of their classes, the row of each, the class
-    of each block, and the first block of each class that has any."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")  # sorted by radix, as it is short
-    counts = np.bincount(cls, minlength=CLASSES)
-    blocks = -(-counts // rows)
-    ends = np.cumsum(blocks)
-    place = np.repeat((ends - blocks) * rows - (np.cumsum(counts) - counts), counts) + np.arange(len(cls))
-    return order, place, np.repeat(np.arange(CLASSES), blocks), (ends - blocks)[counts > 0]
-
-
 def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
     """Natural log-probability of each y after states hs. With ``grads``, adds the gradients of their negative sum there
     and puts that by hs under "hs".
 
-    The classes' logits are one product for all rows. Those of the words within a class are products of blocks of rows with
-    that class; rows that fill a block up are zero, as are their shares in the gradients.
+    Rows are brought into the order of their classes. Logits of the classes are one product for all rows, those of the words
+    one for each class; all else is done for all rows at once.
     """
-    size = len(p["bo"]) // CLASSES
-    cls, inner = np.divmod(y, size)
-    n = len(y)
-    if not n:
-        if grads is not None:
-            grads["hs"] = np.zeros_like(hs)
-        return np.empty(0, hs.dtype)
-    h = np.ones((n, HIDDEN + 1), hs.dtype)  # the last one is for the biases
-    h[:, :HIDDEN] = hs
-    to_class = np.concatenate([p["Wc"], p["bc"][None]]).astype(hs.dtype)
-    to_word = np.empty((CLASSES, HIDDEN + 1, size), hs.dtype)
-    to_word[:, :HIDDEN] = p["Wo"].reshape(CLASSES, size, HIDDEN).transpose(0, 2, 1)
-    to_word[:, HIDDEN] = p["bo"].reshape(CLASSES, size)
-    reach = max(1.0, float(np.abs(hs).max()))
-    safe = max(np.abs(to_class).sum(0).max(), np.abs(to_word).sum(1).max()) * reach <= _SAFE
+    size, n, kind = len(p["bo"]) // CLASSES, len(y), hs.dtype
+    cls = y // size
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # sorted by radix, as it is short
+    h = _room("h", (n, HIDDEN + 1), kind)
+    h[:, :HIDDEN] = hs[order]
+    h[:, HIDDEN] = 1  # for the biases
+    y = y[order]
+    cls = y // size
+    own = y - cls * size
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    parts = [(c, bounds[c], bounds[c + 1]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+    to_class = np.concatenate([p["Wc"], p["bc"][None]]).astype(kind)
+    to_word = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1).astype(kind, copy=False)
+    reach = max(1.0, float(np.abs(hs).max(initial=0)))
+    safe = max(np.abs(to_class).sum(0).max(), (np.abs(to_word) @ np.ones(HIDDEN + 1, kind)).max()) * reach <= _SAFE
     rows = np.arange(n)
-    ones = np.ones(max(size, CLASSES), hs.dtype)
 
-    x = h @ to_class
-    if not safe:
-        x -= x.max(1, keepdims=True)
-    out = x[rows, cls]
-    np.exp(x, out=x)
-    sums = x @ ones[:CLASSES]
-    out -= np.log(sums)
+    x, words = _room("classes", (n, CLASSES), kind), _room("words", (n, size), kind)
+    np.matmul(h, to_class, out=x)
+    for c, a, b in parts:
+        np.matmul(h[a:b], to_word[c * size : (c + 1) * size].T, out=words[a:b])
+    lp, sums = np.zeros(n, kind), []
+    for logits, at in ((x, cls), (words, own)):
+        if not safe:
+            logits -= logits.max(1, keepdims=True)
+        lp += logits[rows, at]
+        np.exp(logits, out=logits)
+        sums.append(logits @ np.ones(logits.shape[1], kind))
+        lp -= np.log(sums[-1])
+    out = np.empty(n, kind)
+    out[order] = lp
     if grads is not None:
-        x /= sums[:, None]
-        x[rows, cls] -= 1
+        for logits, at, total in ((x, cls, sums[0]), (words, own, sums[1])):
+            logits /= total[:, None]
+            logits[rows, at] -= 1
         d = h.T @ x
         grads["Wc"] += d[:HIDDEN]
         grads["bc"] += d[HIDDEN]
         dh = x @ to_class[:HIDDEN].T
-
-    per = 32
-    order, place, of, starts = _blocks(cls, per)
-    inside = np.zeros((len(of) * per, HIDDEN + 1), hs.dtype)
-    inside[place] = h[order]
-    inside = inside.reshape(len(of), per, HIDDEN + 1)
-    words = to_word[of]
-    x = np.matmul(inside, words)
-    if not safe:
-        x -= x.max(2, keepdims=True)
-    flat_x = x.reshape(-1, size)
-    own = inner[order]
-    lp = flat_x[place, own]
-    np.exp(flat_x, out=flat_x)
-    sums = flat_x @ ones[:size]
-    lp -= np.log(sums[place])
-    out[order] += lp
-    if grads is not None:
-        flat_x /= sums[:, None]
-        flat_x[place, own] -= 1
-        d = np.add.reduceat(np.matmul(inside.transpose(0, 2, 1), x), starts, axis=0)
-        have = of[starts]
-        grads["Wo"].reshape(CLASSES, size, HIDDEN)[have] += d[:, :HIDDEN].transpose(0, 2, 1)
-        grads["bo"].reshape(CLASSES, size)[have] += d[:, HIDDEN]
-        dh[order] += np.matmul(x, words[:, :HIDDEN].transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]
-        grads["hs"] = dh
+        for c, a, b in parts:
+            at = slice(c * size, (c + 1) * size)
+            d = words[a:b].T @ h[a:b]
+            grads["Wo"][at] += d[:, :HIDDEN]
+            grads["bo"][at] += d[:, HIDDEN]
+            dh[a:b] += words[a:b] @ p["Wo"][at]
+        grads["hs"] = np.empty_like(dh)
+        grads["hs"][order] = dh
     return out
 
 
@@ -184,16 +177,37 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     total = max(1, int(mask.sum()))
     vector = np.zeros(sum(v.size for v in p.values()), np.float32)
     g = unflat(vector, len(p["bo"]))
-    pasts = np.empty((*x.shape, HIDDEN), h.dtype)
-    states, (z, r, c) = run(p, inputs(p), x, h, pasts)
+    kind = h.dtype
+    pasts = _room("pasts", (*x.shape, HIDDEN), kind)
+    # what the window's own words add to the gates, each once
+    ids = x.ravel()
+    order = np.argsort(ids.astype(np.min_scalar_type(len(p["E"]))), kind="stable")  # sorted by radix where ids are short
+    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    used = ids[order[starts]]
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.repeat(np.arange(len(used)), np.diff(starts, append=len(ids)))
+    own = p["E"][used]
+    states, (z, r, c) = run(p, _by_gate(own @ p["W"] + p["b"]), place.reshape(x.shape), h, pasts)
     lp = log_probs(p, states[1:][mask], y[mask], g)
-    dhs = np.zeros_like(pasts)
+    dhs = _room("dhs", pasts.shape, kind)
+    dhs[:] = 0
     dhs[mask] = g.pop("hs")
-    by_z, by_c, by_r = (states[:-1] - c) * z * (1 - z), (1 - z) * (1 - c * c), pasts * r * (1 - r)
+    # what a change of a state does by each gate: (h - c) z (1 - z), past r (1 - r), (1 - z) (1 - c c)
+    by_z, by_r, by_c, not_z = (_room(name, pasts.shape, kind) for name in ("by_z", "by_r", "by_c", "not_z"))
+    np.subtract(1, z, out=not_z)
+    np.subtract(states[:-1], c, out=by_z)
+    by_z *= z
+    by_z *= not_z
+    np.subtract(1, r, out=by_r)
+    by_r *= r
+    by_r *= pasts
+    np.multiply(c, c, out=by_c)
+    np.subtract(1, by_c, out=by_c)
+    by_c *= not_z
     # by what the inputs add to the gates, and by what the states add
-    d, du = np.empty((3, *pasts.shape), h.dtype), np.empty((3, *pasts.shape), h.dtype)
+    d, du = _room("d", (3, *pasts.shape), kind), _room("du", (3, *pasts.shape), kind)
     back = np.ascontiguousarray(p["U"].T).reshape(3, HIDDEN, HIDDEN)
-    carry = np.zeros_like(h)
+    carry, three = np.zeros_like(h), _room("three", (3, *h.shape), kind)
     for t in range(len(x) - 1, -1, -1):
         dh = dhs[t]
         dh += carry
@@ -202,17 +216,17 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
         np.multiply(d[2, t], by_r[t], out=d[1, t])
         du[:2, t] = d[:2, t]
         np.multiply(d[2, t], r[t], out=du[2, t])
-        carry = np.matmul(du[:, t], back).sum(0)
-        carry += dh * z[t]
-    ids = x.ravel()
-    d, du, before, words = d.reshape(3, -1, HIDDEN), du.reshape(3, -1, HIDDEN), states[:-1].reshape(-1, HIDDEN), p["E"][ids]
-    g["U"] += np.concatenate(np.matmul(before.T, du), 1)
-    g["W"] += np.concatenate(np.matmul(words.T, d), 1)
-    g["b"] += d.sum(1).ravel()
-    de = np.matmul(d, np.ascontiguousarray(p["W"].T).reshape(3, HIDDEN, HIDDEN)).sum(0)
-    order = np.argsort(ids.astype(np.min_scalar_type(len(p["E"]))), kind="stable")
-    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["E"][ids[order][starts]] += np.add.reduceat(de[order], starts, axis=0)
+        np.matmul(du[:, t], back, out=three)
+        np.multiply(dh, z[t], out=carry)
+        for part in three:
+            carry += part
+    d, du, before = d.reshape(3, -1, HIDDEN), du.reshape(3, -1, HIDDEN), states[:-1].reshape(-1, HIDDEN)
+    for k in range(3):
+        g["U"][:, k * HIDDEN : (k + 1) * HIDDEN] += before.T @ du[k]
+    by_word = np.add.reduceat(np.concatenate([gate[order] for gate in d], axis=1), starts, axis=0)
+    g["W"] += own.T @ by_word
+    g["b"] += by_word.sum(0)
+    g["E"][used] += by_word @ p["W"].T
     vector /= total
     return -float(lp.sum()) / total, vector, states[-1]
 
