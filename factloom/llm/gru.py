@@ -238,11 +238,11 @@ class Adam:
         self.p, self.rate, self.t = vector, np.float32(rate), 0
         self.m, self.v = np.zeros_like(vector), np.zeros_like(vector)
 
-    def step(self, g: np.ndarray) -> None:
-        """By gradients ``g``, which are used up."""
+    def step(self, g: np.ndarray, share: float = 1.0) -> None:
+        """By gradients ``g``, which are used up, and so long a share of a whole step."""
         g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
         self.t += 1
-        rate = self.rate * np.float32(np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        rate = np.float32(share) * self.rate * np.float32(np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         self.m *= np.float32(0.9)
         self.m += np.float32(0.1) * g
         np.multiply(g, g, out=g)
@@ -314,15 +314,18 @@ def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, s
 
 
 def train(vector: np.ndarray, vocabulary: int, docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, rate: float, stretch: int = 1) -> int:
-    """Train the parameters of ``vector`` (``flat``) in place, by the gradient of every window. Returns the tokens read."""
+    """Train the parameters of ``vector`` (``flat``) in place, by the gradient of every window. A step is the shorter the fewer
+    tokens its window has, so that the last long documents, when few lanes are left, don't outweigh all others. Returns the
+    tokens read."""
     p = unflat(vector, vocabulary)
     adam, state, read = Adam(vector, rate), np.zeros((lanes, HIDDEN), np.float32), 0
     for _, x, y, mask, live, begins in windows(docs, lanes, steps, stretch):
         h = state[live]
         h[begins] = 0
         _, g, state[live] = gradients(p, x, y, mask, h)
-        adam.step(g)
-        read += int(mask.sum())
+        tokens = int(mask.sum())
+        adam.step(g, min(1.0, tokens / (lanes * steps)))
+        read += tokens
     return read
 
 
