@@ -288,6 +288,17 @@ def ordered_import(spark, sf_dir):
     return order.numbered(ids, [F.asc("id")]).withColumn("place", F.col("place") + 1)
 
 
+@R.add("r8_parallel_dispatch", """WITH w AS (SELECT user_id % 6 AS job, user_id, count(*) AS n, max(value) AS best FROM events GROUP BY 1, 2)
+    SELECT row_number() OVER (ORDER BY job >= 4, job, user_id) AS id, job, n, best FROM w""")
+def parallel_dispatch(spark, sf_dir):
+    """Jobs worked on side by side, each in tasks of its own; two rounds of results, the second with jobs that came before."""
+    work = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 6).alias("job"), F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.max("value").alias("best"))
+    store = Store(spark, _folder(spark))
+    for jobs in (4, 6):
+        store.import_jobs("log", work.filter(F.col("job") < jobs), "id", "job")
+    return store.read("log").select("id", "job", "n", "best")
+
+
 @R.add("f7_windows_of_words", "SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS words FROM benchmark")
 def words_of_items(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(text.words(F.col("text"))).cast("long").alias("words"))

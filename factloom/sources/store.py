@@ -191,6 +191,18 @@ class Store:
         self.append("receipts", receipts, ["job"])
         return True
 
+    def import_jobs(self, table: str, rows: DataFrame, id_col: str, job_col: str) -> None:
+        """Append what many workers made, under new ids in the order of jobs and of ids within a job, whatever the order in
+        which the workers ended. A job is imported once: the table itself, which keeps the job of each row, is the receipt."""
+        now = self.current(table)
+        top = 0
+        if now is not None:
+            old = self._rows(table, now[1])
+            rows = rows.join(old.select(job_col).distinct(), job_col, "left_anti")
+            top = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+        ranked = numbered(rows, [F.asc(job_col), F.asc(id_col)], "_n")
+        self._publish(table, now, now[1] if now else [], ranked.withColumn(id_col, F.col("_n") + top + 1).drop("_n"))
+
 
 def new_rows(log: DataFrame, mark: int, id_col: str = "id") -> DataFrame:
     """Rows beyond a high-water mark."""
