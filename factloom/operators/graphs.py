@@ -113,9 +113,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def best_below(rows: DataFrame, node: str, parent: str, value: Column) -> DataFrame:
     """node, best: the largest ``value`` among each node and all below it in a forest. Each round doubles how far below a
     node has looked: what it has goes to the node so far above it. Rows with a parent that isn't there are roots."""
-    known = rows.select(F.col(node).alias("up"))
-    state = staged(rows.select(F.col(node).alias("node"), F.col(parent).alias("up"), value.alias("best")).join(known, "up", "left_semi").select("node", "up", "best")
-                   .unionByName(rows.join(known, F.col(parent) == F.col("up"), "left_anti").select(F.col(node).alias("node"), F.lit(None).cast(rows.schema[parent].dataType).alias("up"), value.alias("best"))))
+    own = rows.select(F.col(node).alias("node"), F.col(parent).alias("up"), value.alias("best"))
+    known = rows.select(F.col(node).alias("above"))
+    state = staged(own.join(known, F.col("up") == F.col("above"), "left").select("node", F.col("above").alias("up"), "best"))
     while not state.filter("up IS NOT NULL").isEmpty():
         sent = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.max("best").alias("sent"))
         above = state.select(F.col("node").alias("up"), F.col("up").alias("further"))
