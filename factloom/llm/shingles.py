@@ -1,8 +1,9 @@
 """Pairs of texts whose sets of word shingles are similar (Jaccard), each checked by its sets.
 
 Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order that holds for
-all sets (the prefix filter), so no such pair is missed. Shingles are ordered by their hash, common ones last: they are
-counted twice, as others come to the front when the first ones have gone back. A pair goes on only if the shingles that it
+all sets (the prefix filter), so no such pair is missed; of the smaller set the first n - ceil(2 t n / (1 + t)) + 1 are
+enough. Shingles are ordered by their hash, common ones last: the first half
+of each set is counted, then what is in front, until no common one comes to the front that wasn't known. A pair goes on only if the shingles that it
 shares at the front and all that it could share behind reach the similarity; then its sets are compared.
 Of the sets that share a shingle, each is first held against the least; then only sets that are not linked yet are held
 against each other, so a large group of near copies needs no square of pairs.
@@ -28,6 +29,8 @@ SIMILARITY = (4, 5)
 #: Sets that share a shingle from which on it counts as common, and common shingles that are sent to the workers in each
 #: of the counts (16 bytes each). They only order the shingles; the result doesn't depend on them.
 COMMON, SENT = 32, 500_000
+#: How often they are counted at most.
+_COUNTS = 8
 #: Names of sets that a task remembers, so as not to send copies on; more are forgotten, which costs rows and nothing else.
 _SEEN = 1 << 20
 
@@ -56,8 +59,10 @@ def digest_column(text: str = "text") -> Column:
 
 
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int], width: int) -> DataFrame:
-    """key, node, n, last: the first shingles of each set with its name, its size and the last of them in the order. ``common``
-    has the common shingles in order of their hashes, and the place of each. Copies come once from a task."""
+    """key, node, n, last, short, slast: the first shingles of each set with its name, its size and the last of them in the
+    order: as many as a pair of the similarity (a fraction) has one in common of. ``short`` is 1 for those that are enough of
+    the smaller set of a pair, ``slast`` the last of these. ``common`` has the common shingles in order of their hashes,
+    and the place of each. Copies come once from a task."""
     p, q = similarity
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -65,7 +70,7 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
         names, places = sent.value
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes, lasts, counts = [np.empty(0, "i8")], [], [], [], []
+            keys, shorts, nodes, sizes, lasts, slasts, counts = [np.empty(0, "i8")], [np.empty(0, "i8")], [], [], [], [], []
             for text in batch.column(0):
                 h = shingle_set(text.as_py(), width)
                 n, node = len(h), set_name(h)
@@ -79,52 +84,60 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
                     order = np.argsort(place, kind="stable")
                     h, place = h[order], place[order]
                 first = n - (p * n + q - 1) // q + 1
+                few = n - (2 * p * n + p + q - 1) // (p + q) + 1
                 keys.append(h[:first])
+                shorts.append((np.arange(first) < few).astype("i8"))
+                slasts.append(int(place[few - 1]))
                 nodes.append(node)
                 sizes.append(n)
                 lasts.append(int(place[first - 1]))
                 counts.append(first)
-            each = [pa.array(np.repeat(np.array(c, "i8"), counts)) for c in (nodes, sizes, lasts)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *each], names=["key", "node", "n", "last"])
+            node, n, last, slast = (pa.array(np.repeat(np.array(c, "i8"), counts)) for c in (nodes, sizes, lasts, slasts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node, n, last, pa.array(np.concatenate(shorts)), slast], names=["key", "node", "n", "last", "short", "slast"])
             if len(seen) > _SEEN:
                 seen.clear()
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n long, last long")
+    return docs.select("text").mapInArrow(run, "key long, node long, n long, last long, short long, slast long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of key and node, each once, those of keys with several nodes, with their key's first (a, m, la)."""
     key = node = None  # the last row
-    head: tuple[int, int, int] | None = None
-    alone = False
+    head, rest, alone = (0, 0, 0), (0, 0), False
     for batch in batches:
         out: list[tuple] = []
-        for k, x, n, last in zip(*(batch.column(i).to_numpy().tolist() for i in range(4))):
+        for k, x, n, last, short, slast in zip(*(batch.column(i).to_numpy().tolist() for i in range(6))):
             if k != key:
-                key, node, head, alone = k, x, (x, n, last), True
+                key, node, head, alone, rest = k, x, (x, n, last), True, (short, slast)
             elif x != node:
                 node = x
                 if alone:
-                    out.append((k, *head, *head))
+                    out.append((k, *head, *rest, *head))
                     alone = False
-                out.append((k, x, n, last, *head))
-        cols = list(zip(*out)) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "n", "last", "a", "m", "la"])
+                out.append((k, x, n, last, short, slast, *head))
+        cols = list(zip(*out)) if out else [[]] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "n", "last", "short", "slast", "a", "m", "la"])
 
 
 def _common(docs: DataFrame, similarity: tuple[int, int], width: int, common: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles in order of their hashes and the place of each, the rarest first."""
     names, counts = np.empty(0, "i8"), np.empty(0, "i8")
-    for _ in range(2):
+    for k in range(_COUNTS):
         places = np.empty(len(names), "i8")
         places[np.lexsort((names, counts))] = np.arange(len(names))
-        front = _prefixes(docs, (names, places), similarity, width).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > common)
-        top = front.orderBy(F.desc("n"), "key").limit(SENT).toArrow()  # bounded by SENT
+        # first the half of each set with the least hashes, then what is in front with the common ones behind
+        front = _prefixes(docs, (names, places), (1, 2) if k == 0 else similarity, width)
+        often = front.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > common)
+        top = often.orderBy(F.desc("n"), "key").limit(SENT).toArrow()  # bounded by SENT
         key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
         fresh = ~np.isin(key, names)
+        if k and not fresh.any():
+            break
         names, counts = np.append(names, key[fresh]), np.append(counts, n[fresh])
         order = np.argsort(names)
         names, counts = names[order], counts[order]
+        if k and n[fresh].max() <= 4 * common:  # too few sets each to matter
+            break
     places = np.empty(len(names), "i8")
     places[np.lexsort((names, counts))] = np.arange(len(names))
     return names, places
@@ -136,15 +149,16 @@ def _alike(n: str, m: str, similarity: tuple[int, int]) -> Column:
     return q * F.least(n, m) >= p * F.greatest(n, m)
 
 
-def _likely(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: those of ``pairs`` (a, b, n, m, last, la; one row for each shared key) that can be similar."""
+def _likely(pairs: DataFrame, similarity: tuple[int, int], short: bool = False) -> DataFrame:
+    """a, b: those of ``pairs`` (a, b, n, m, last, la; one row for each shared key) that can be similar. ``short``: of a,
+    with m and la, only what is enough of the smaller set was met."""
     p, q = similarity
-    front = lambda n: F.col(n) - F.expr(f"({p} * {n} + {q - 1}) DIV {q}") + 1
-    rest = lambda n: F.col(n) - front(n)
+    behind = {"n": f"({p} * n + {q - 1}) DIV {q} - 1", "m": f"(2 * {p} * m + {p + q - 1}) DIV {p + q} - 1" if short else f"({p} * m + {q - 1}) DIV {q} - 1"}
+    rest = lambda n: F.expr(behind[n])
     met = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "m", "last", "la")])
     # what both have in order up to where the first of the two fronts ends is counted
-    behind = F.when(F.col("last") < F.col("la"), rest("n")).when(F.col("last") > F.col("la"), rest("m")).otherwise(F.greatest(rest("n"), rest("m")))
-    return met.filter((p + q) * (F.col("c") + behind) >= p * (F.col("n") + F.col("m"))).select("a", "b")
+    most = F.when(F.col("last") < F.col("la"), rest("n")).when(F.col("last") > F.col("la"), rest("m")).otherwise(F.greatest(rest("n"), rest("m")))
+    return met.filter((p + q) * (F.col("c") + most) >= p * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: tuple[int, int], width: int) -> DataFrame:
@@ -176,14 +190,16 @@ def links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, similarity: tupl
     """
     order = _common(docs, similarity, width, common)
     fronts = _prefixes(docs, order, similarity, width)
-    held = stage(fronts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, node long, n long, last long, a long, m long, la long"), "shared-shingles")
+    held = stage(fronts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, node long, n long, last long, short long, slast long, a long, m long, la long"), "shared-shingles")
     stars = held.filter(F.col("node") != F.col("a")).filter(_alike("n", "m", similarity)).withColumnRenamed("node", "b")
     first = verified(likely.unionByName(_likely(stars, similarity)), docs, nodes, similarity, width)
     roots = components(first)
-    rooted = held.select("key", "node", "n", "last").join(roots, "node", "left").select("key", "node", "n", "last", F.coalesce("root", "node").alias("root"))
+    rooted = held.drop("a", "m", "la").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     open_ = stage(rooted.join(apart, "key", "left_semi"), "open-shingles")
-    x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n", similarity)
-    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.last").alias("la"), F.col("y.last").alias("last"))
-    return first.unionByName(verified(_likely(pairs, similarity), docs, nodes, similarity, width))
+    # the smaller set of a pair by its short front, so that what very many sets have is met by few
+    x, y = open_.filter("short = 1").alias("x"), open_.alias("y")
+    smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    met = (F.col("x.key") == F.col("y.key")) & smaller & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n", similarity)
+    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.slast").alias("la"), F.col("y.last").alias("last"))
+    return first.unionByName(verified(_likely(pairs, similarity, short=True), docs, nodes, similarity, width))
