@@ -81,8 +81,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op6_prefix_free_repeats(spark, sf_dir):
-    # beside the 400 bytes, each text without the passages of 50 words that are repeated, few of which have 400 bytes
-    return repeats.removals(documents(spark, sf_dir), 400, passages=200)
+    return repeats.removals(documents(spark, sf_dir), 400)
 
 
 def op7_gru_score(spark, sf_dir):
