@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, shards, simhash, token_files, topk
+from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, resampling, shards, simhash, token_files, topk
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -101,6 +101,33 @@ def op10_entropy_mix(spark, sf_dir):
     return mixing.mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_target_resampling(spark, sf_dir):
+    docs, target = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resampled(docs, target, carried=["doc_id"]).select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by its table, a byte at a time, of distinct words.
+OP13_SQL = r"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+texts AS (SELECT 0 AS target, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+each AS (SELECT target, rid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM each) x),
+bytes AS (SELECT w, list_transform(range(1, length(h), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT)) AS b FROM hexed),
+bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8)), 4294967295) % 10000 AS k FROM bytes, tab),
+seen AS (SELECT target, rid, k, count(*) AS n FROM each JOIN bucket USING (w) GROUP BY ALL),
+per AS (SELECT k, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM seen GROUP BY k),
+size AS (SELECT coalesce(sum(s), 0) AS a, coalesce(sum(t), 0) AS b FROM per),
+gain AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (a + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (b + 10000)::DOUBLE))) AS BIGINT) AS g FROM per, size),
+weighed AS (SELECT rid, sum(n) AS n_features, sum(n * g) AS weight FROM seen JOIN gain USING (k) WHERE target = 0 GROUP BY rid),
+scored AS (
+  SELECT d.rid, doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM texts d LEFT JOIN weighed w ON w.rid = d.rid WHERE target = 0),
+placed AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (rid)
+"""
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -112,5 +139,6 @@ QUERIES = {
     "op8_text_density": op8_text_density,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_entropy_mix": op10_entropy_mix,
+    "op13_target_resampling": op13_target_resampling,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_divergence": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_divergence": OP5_SQL, "op13_target_resampling": OP13_SQL}
