@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, resampling, shards, simhash, token_files, topk
+from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, resampling, shards, simhash, token_files, topk, warc
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -101,6 +101,18 @@ def op10_entropy_mix(spark, sf_dir):
     return mixing.mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_warc_archives(spark, sf_dir):
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) AS place, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 OR payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 AND payload_bytes >= 100 THEN least END AS refers_to FROM o
+"""
+
+
 def op13_target_resampling(spark, sf_dir):
     docs, target = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return resampling.resampled(docs, target, carried=["doc_id"]).select("row.doc_id", "n_features", "weight", "score", "rank")
@@ -139,6 +151,7 @@ QUERIES = {
     "op8_text_density": op8_text_density,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_entropy_mix": op10_entropy_mix,
+    "op12_warc_archives": op12_warc_archives,
     "op13_target_resampling": op13_target_resampling,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_divergence": OP5_SQL, "op13_target_resampling": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op5_quality_divergence": OP5_SQL, "op12_warc_archives": OP12_SQL, "op13_target_resampling": OP13_SQL}
