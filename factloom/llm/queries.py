@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from factloom.llm import bpe, language_model, mixing, pages, quality, repeats, resampling, shards, simhash, token_files, topk, warc
+from factloom.llm import bpe, language_model, mixing, pages, periodic, quality, repeats, resampling, shards, simhash, token_files, topk, warc
 from factloom.llm.shared import documents
 
 #: The vocabulary of the queries; every operator takes its path as a parameter.
@@ -101,6 +101,10 @@ def op10_entropy_mix(spark, sf_dir):
     return mixing.mixed(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_grammar_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.periodic_runs(documents(spark, sf_dir), periodic.repeated_tails, carried=["doc_id"]))
+
+
 def op12_warc_archives(spark, sf_dir):
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -151,6 +155,7 @@ QUERIES = {
     "op8_text_density": op8_text_density,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_grammar_runs": op11_grammar_runs,
     "op12_warc_archives": op12_warc_archives,
     "op13_target_resampling": op13_target_resampling,
 }
