@@ -1,8 +1,8 @@
 """WARC archives: a deterministic sharded writer, and the reader of what it wrote.
 
-Records are numbered in the order of their page ids and dealt into shards of equal compressed bytes by exact running sums,
-so the same table gives the same files, whatever the partitions were. A record's headers, digests and compressed member
-are made before it is dealt out; of records with equal payloads the first is written whole, the others as revisits of it.
+Records are put in the order of their page ids and dealt into shards of equal payload bytes by exact running sums, so the
+same table gives the same files, whatever the partitions were. A record's headers and digests are made anew and its member
+compressed before it is dealt out; of records with equal payloads the first is written whole, the others as revisits of it.
 
 Archives are a Spark data source (``spark.read.format("warc")``, ``df.write.format("warc")``). A task writes under temporary names of its own
 and rolls to a new file where the next member would take it beyond the size; the driver renames the files of the tasks
@@ -34,8 +34,8 @@ from factloom.llm.shared import new_path, stage, text_batches, unstage
 #: A file is rolled before it has more compressed bytes; payloads from so many bytes on can be revisits.
 ROLL_BYTES, LEAST_SHARED = 1 << 30, 100
 DATE = "2024-01-01T00:00:00Z"
-#: About the size of a revisit's member, for even shards.
-_REVISIT_BYTES = 400
+#: Bytes that a record has besides its payload, for even shards.
+_REST_BYTES = 400
 _CHUNK = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "last long, id long, at long, page_id long, url string, payload_bytes long, payload_digest string, record_id string, member binary"
@@ -68,18 +68,12 @@ def _fields(date: str, record_id: str, page_id: int | None, url: str | None, dig
 
 
 def _records(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    """The last column, a payload, gives way to the record's member."""
     for batch in batches:
-        sizes, digests, ids, members = [], [], [], []
-        for page_id, url, html, at in zip(*(c.to_pylist() for c in batch.columns[2:6])):
-            payload = html or b""
-            digest = hashlib.sha256(payload).hexdigest()
-            record_id = str(uuid.UUID(bytes=hashlib.sha256(f"{page_id}|{url}|{digest}|{at}".encode("utf-8", "replace")).digest()[:16]))
-            sizes.append(len(payload))
-            digests.append(digest)
-            ids.append(record_id)
-            members.append(member("response", _fields(date, record_id, page_id, url, digest), http_header(len(payload)), payload))
-        last, key, page_id, url, _, at = batch.columns
-        yield pa.RecordBatch.from_arrays([last, key, at, page_id, url, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(ids, pa.string()), pa.array(members, pa.binary())], names=[f.split()[0] for f in _RECORD.split(", ")])
+        members = []
+        for page_id, url, size, digest, record_id, payload in zip(*(c.to_pylist() for c in batch.columns[3:])):
+            members.append(member("response", _fields(date, record_id, page_id, url, digest), http_header(size), payload))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(members, pa.binary())], names=[f.split()[0] for f in _RECORD.split(", ")])
 
 
 def file_system(path: str):
@@ -291,16 +285,20 @@ def write_archives(pages: DataFrame, out: str, shards: int | None = None, roll_b
     text_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     page_id = F.col("page_id").cast("long")
-    keyed = pages.select(page_id.isNull().cast("long").alias("last"), F.coalesce(page_id, F.lit(0)).alias("id"), page_id.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"), F.monotonically_increasing_id().alias("at"))
-    records = stage(keyed.mapInArrow(partial(_records, date=date), _RECORD), "warc-records", codec="none")  # members are compressed
-    slim = records.select(*_KEY, "page_id", "url", "payload_bytes", "payload_digest", "record_id", F.length("member").alias("size"))
+    keyed = pages.select(page_id.isNull().cast("long").alias("last"), F.coalesce(page_id, F.lit(0)).alias("id"), F.monotonically_increasing_id().alias("at"), page_id.alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    hashed = keyed.select(*_KEY, "page_id", "url", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "payload")
+    hexed = F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "payload_digest", "at"), 256)
+    record_id = F.concat_ws("-", *[F.substring(hexed, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    raw = stage(hashed.select(*_KEY, "page_id", "url", "payload_bytes", "payload_digest", record_id.alias("record_id"), "payload"), "warc-records")
+    slim = raw.drop("payload")
     shared = slim.filter(F.col("payload_bytes") >= least_shared)
     first = shared.groupBy("payload_digest").agg(F.min(F.struct(*_KEY, "page_id", "url", "record_id")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = shared.join(first, "payload_digest").filter(F.col("at") != F.col("first.at"))
     revisits = stage(again.select(*_KEY, F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_id"), F.col("first.url").alias("refers_url")), "warc-revisits")
-    sizes = slim.select(*_KEY, "size").unionByName(revisits.select(*_KEY, F.lit(None).cast("int").alias("size")))
-    sizes = sizes.groupBy(*_KEY).agg(F.when(F.count("*") > F.count("size"), _REVISIT_BYTES).otherwise(F.max("size")).alias("size"))
+    sizes = slim.select(*_KEY, "payload_bytes").unionByName(revisits.select(*_KEY, F.lit(None).cast("long").alias("payload_bytes")))
+    sizes = sizes.groupBy(*_KEY).agg((_REST_BYTES + F.when(F.count("*") > F.count("payload_bytes"), 0).otherwise(F.max("payload_bytes"))).alias("size"))
     bounds = _bounds(range_sorted(sizes, _KEY, shards, "warc-order"), shards)
+    records = raw.mapInArrow(partial(_records, date=date), _RECORD)
 
     @F.pandas_udf("int")
     def shard(last: pd.Series, key: pd.Series, at: pd.Series) -> pd.Series:
@@ -311,7 +309,7 @@ def write_archives(pages: DataFrame, out: str, shards: int | None = None, roll_b
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", *_KEY, F.col("member").isNotNull())
     dealt.select("shard", "page_id", "url", "payload_bytes", "payload_digest", "record_id", "member", "refers_to", "refers_id", "refers_url").write.format("warc").option("path", out).option("roll_bytes", str(roll_bytes)).option("date", date).mode("append").save()
     unstage(revisits)
-    unstage(records)
+    unstage(raw)
 
 
 def _bounds(ordered: DataFrame, shards: int) -> list[tuple[int, int, int]]:
