@@ -13,6 +13,7 @@ from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
 from factloom.sources.staging import staged
 from factloom.sources.store import Store, new_rows, retained
+from factloom.streaming import heartbeat, logs, tail
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -476,29 +477,72 @@ def recent_results(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", "value").orderBy(F.desc("event_id")).limit(40)
 
 
-@R.add("r2_previous_score_stream", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
-def previous_score_stream(spark, sf_dir):
-    """The streaming operator over a log of JSON lines, run to its end; its rows are those of a window over the table."""
-    from factloom.streaming import logs
+def _events_log(spark, sf_dir, root: str) -> str:
+    """The events as log files of JSON lines, the way workers would have appended them."""
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("worker"), "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")))
+    e.select(line.alias("value")).write.text(root + "/log")
+    return root + "/log"
+
+
+def _tailed_events(spark, path: str):
+    """Stream of the lines of :func:`_events_log`, parsed; lines that aren't JSON are left out."""
+    row = F.from_json("line", "worker string, event_id long, event_type string, value double, micros long")
+    return tail.appended_lines(spark, path).select("file", "position", row.alias("r")).filter("r.event_id IS NOT NULL").select("file", "position", "r.*", F.timestamp_micros("r.micros").alias("ts"))
 
+
+def _to_end(rows, root: str, name: str):
+    """What a stream gives until it has read all there is, as a table."""
+    rows.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+
+@R.add("r1_tailed_lines", "SELECT event_id, CAST(user_id AS VARCHAR) AS worker, event_type, value, ts FROM events")
+def tailed_lines(spark, sf_dir):
+    """Every event by way of a log that is tailed by byte offsets."""
     root = _store(spark).path
-    e = table(spark, sf_dir, "events")
-    e.select(F.col("user_id").cast("string").alias("function"), F.col("event_id").cast("string").alias("status"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts")).write.json(root + "/log")
-    rows = logs.previous_scores(logs.tail(spark, root + "/log"))
-    rows.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/ck").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(root + "/out")
-    return out.join(e.select("event_id", F.col("user_id").cast("string").alias("function"), F.col("ts").cast("timestamp").alias("t"), "value"), ["function"]).filter("abs(unix_millis(ts) - unix_millis(t)) < 1 AND score = value").select("event_id", "previous")
+    return _to_end(_tailed_events(spark, _events_log(spark, sf_dir, root)), root, "lines").select("event_id", "worker", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @R.add("r1_windowed_counts", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("event_type").alias("status"), "n")
+    """Counts of the tailed log in windows of a day; the state of the stream is the whole result."""
+    root = _store(spark).path
+    rows = _tailed_events(spark, _events_log(spark, sf_dir, root))
+    counts = rows.groupBy(F.window("ts", "1 day"), F.col("event_type").alias("status")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
+    last = []
 
+    def keep(batch, number):
+        last.append(staged(batch))
 
-@R.add("r5_heartbeat", "SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-30 00:00:00' THEN 'alive' WHEN bool_or(event_type = 'purchase' AND value > 200) THEN 'done' ELSE 'lost' END AS state FROM events WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY user_id")
-def heartbeat(spark, sf_dir):
-    return statement(spark, sf_dir, ORACLES["r5_heartbeat"])
+    counts.writeStream.outputMode("complete").option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return last[-1] if last else spark.createDataFrame([], counts.schema)
+
+
+@R.add("r2_previous_score_stream", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
+def previous_score_stream(spark, sf_dir):
+    """The score before of the same worker, as state over the tailed log."""
+    root = _store(spark).path
+    rows = _tailed_events(spark, _events_log(spark, sf_dir, root)).select(F.col("worker").alias("function"), "ts", F.col("event_id").alias("place"), F.col("value").alias("score"))
+    return _to_end(logs.previous_scores(rows), root, "scores").select(F.col("place").alias("event_id"), "previous")
+
+
+#: A worker of the recorded log is lost after so many hours without a sign; a purchase ends its run, any other event is a sign of life.
+_SILENT_HOURS = 6
+
+
+@R.add("r5_heartbeat", f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS worker, ts, event_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'alive' END AS state FROM events),
+    s AS (SELECT *, ts + INTERVAL {_SILENT_HOURS} HOUR AS due, lead(ts) OVER w AS following, lag(state) OVER w AS before, lag(ts) OVER w AS earlier, max(ts) OVER () AS clock FROM e WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id))
+    SELECT worker, ts AS at, state FROM s WHERE before IS NULL OR before <> state OR (before = 'alive' AND ts > earlier + INTERVAL {_SILENT_HOURS} HOUR)
+    UNION ALL SELECT worker, due, 'lost' FROM s WHERE state = 'alive' AND due < coalesce(following, clock)""")
+def heartbeat_changes(spark, sf_dir):
+    """Every change of a worker's state, by timers on the clock of the recorded log."""
+    root = _store(spark).path
+    rows = _tailed_events(spark, _events_log(spark, sf_dir, root))
+    signs = rows.select("worker", "ts", F.col("event_id").alias("place"), F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"))
+    with heartbeat.timer_settings(spark):
+        out = _to_end(heartbeat.worker_states(signs, _SILENT_HOURS * 3600, recorded=True), root, "changes")
+    return out.select("worker", F.col("at").cast("timestamp_ntz").alias("at"), "state")
 
 
 @R.add("g19_bounded_expansion", "WITH RECURSIVE s AS (SELECT CAST(1 AS BIGINT) AS v, 0 AS d UNION SELECT CASE WHEN k = 0 THEN v * 2 ELSE v + 3 END, d + 1 FROM s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) o WHERE d < 6) SELECT v, min(d) AS depth FROM s GROUP BY v")

@@ -23,20 +23,23 @@ def tail(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:
 
 
 def previous_scores(rows: DataFrame) -> DataFrame:
-    """function, ts, score, previous: the score before of the same function, kept as state between batches."""
+    """function, ts, place, score, previous: the score before of the same function (rows have function, ts, place and score), kept
+    as state between batches. ``place`` orders rows of one time; scores that are null are passed over."""
 
     def step(key, batches, state: GroupState):
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            out = []
-            for ts, score in pdf.sort_values("ts")[["ts", "score"]].itertuples(index=False):
-                out.append((key[0], ts, score, last))
-                if pd.notna(score):
-                    last = float(score)
-            yield pd.DataFrame(out, columns=["function", "ts", "score", "previous"]).astype({"previous": "float64"})
+        # a function's rows of one batch come in pieces, each in any order
+        pdf = pd.concat(batches).sort_values(["ts", "place"])
+        filled = pdf["score"].ffill()
+        previous = filled.shift()
+        pdf["previous"] = previous if last is None else previous.fillna(last)
+        if filled.notna().any():
+            last = float(filled.iloc[-1])
         state.update((last,))
+        yield pdf[["function", "ts", "place", "score", "previous"]].astype({"previous": "float64"})
 
-    return rows.groupBy("function").applyInPandasWithState(step, "function string, ts timestamp, score double, previous double", "last double", "append", "NoTimeout")
+    narrow = rows.select("function", "ts", F.col("place").cast("long").alias("place"), F.col("score").cast("double").alias("score"))
+    return narrow.groupBy("function").applyInPandasWithState(step, "function string, ts timestamp, place long, score double, previous double", "last double", "append", "NoTimeout")
 
 
 def windowed(rows: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -60,11 +63,6 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     query.awaitTermination()
 
 
-def heartbeat_state(age_seconds: float, done: bool, limit: float = 45) -> str:
-    """State of a worker by the age of its last sign of life."""
-    return "done" if done else ("alive" if age_seconds <= limit else "lost")
-
-
 def retry_decision(paused: Column, inputs_changed: Column, code: Column, failures: Column, most: int = 3) -> Column:
     """What happens after a run, first rule that fits."""
     return F.when(paused, "wait").when(inputs_changed, "restart").when(code == 0, "finish").when(failures < most, "retry").otherwise("stop")
