@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import zlib
 
 import numpy as np
@@ -50,24 +49,6 @@ def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["cost", "ways"])
 
 
-@F.pandas_udf(T.DoubleType())
-def block_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 less the share of members in matching blocks, longest first; 0 for two empty arrays."""
-    return pd.Series([1 - difflib.SequenceMatcher(None, [] if x is None else list(x), [] if y is None else list(y), autojunk=False).ratio() for x, y in zip(a, b)])
-
-
-@F.pandas_udf(_ints("added", "removed", "changed"))
-def change_vector(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """How many members are added, removed and changed from one array to the other."""
-    rows = []
-    for x, y in zip(a, b):
-        n = {"insert": 0, "delete": 0, "replace": 0, "equal": 0}
-        for kind, i, j, k, m in difflib.SequenceMatcher(None, [] if x is None else list(x), [] if y is None else list(y), autojunk=False).get_opcodes():
-            n[kind] += max(j - i, m - k)
-        rows.append((n["insert"], n["delete"], n["replace"]))
-    return pd.DataFrame(rows, columns=["added", "removed", "changed"])
-
-
 @F.pandas_udf(T.StringType())
 def renamed_apart(tokens: pd.Series) -> pd.Series:
     """Tokens joined by spaces with every name ($ and letters) renamed in order of first use, so that two sequences that

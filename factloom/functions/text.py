@@ -60,3 +60,18 @@ def l1(a: Column, b: Column) -> Column:
 
 def log_signed(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
+
+
+def name_tokens(line: Column) -> Column:
+    """Runs of letters, digits, dots, dollars and underlines, and every other character for itself."""
+    return F.regexp_extract_all(line, F.lit(r"([A-Za-z_0-9.$]+|[^A-Za-z_0-9.$])"), F.lit(1))
+
+
+def renamed_jointly(old: Column, new: Column, names: str, floats: str) -> Column:
+    """Two arrays of lines as one text in which names are numbered by their first use over both (R0, R1, ...; F for those that
+    match ``floats``). Pairs that differ by a bijection of their names, and no others, become equal."""
+    tokens = name_tokens(F.concat_ws(" => ", F.array_join(old, " ; "), F.array_join(new, " ; ")))
+    plain = lambda t: F.regexp_replace(t, r"^\$", "")
+    used = F.array_distinct(F.transform(F.filter(tokens, lambda t: t.rlike(names)), plain))
+    number = lambda t: F.concat(F.when(t.rlike(floats), "F").otherwise("R"), F.array_position(used, plain(t)) - 1)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(names), number(t)).otherwise(t)), "")

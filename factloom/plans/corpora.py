@@ -93,20 +93,6 @@ def idiom_score(spark, sf_dir):
     return g.select("gram", "n", F.round(F.when(hot == 0, 0.0).otherwise(hot / 2 - 0.3 * dull / 2), 6).alias("score")).orderBy(F.desc("score"), F.desc("n"), "gram")
 
 
-@R.add("a21_pattern_census", """SELECT pattern, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS entities, CAST(sum(size) AS BIGINT) AS bytes, array_to_string(list_sort(list(doc_id))[1:5], ',') AS examples FROM
-    (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7}')) AS pattern, n_chars AS size, count(*) AS n FROM (SELECT DISTINCT doc_id, text, n_chars FROM documents) d GROUP BY 1, 2, 3) x GROUP BY pattern""".replace(
-    "(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7}')) AS pattern, n_chars AS size, count(*) AS n FROM (SELECT DISTINCT doc_id, text, n_chars FROM documents) d GROUP BY 1, 2, 3)",
-    "(SELECT doc_id, pattern, size, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7}')) AS pattern, n_chars AS size FROM documents) d GROUP BY 1, 2, 3)"))
-def pattern_census(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{7}"), F.lit(0))).alias("pattern"), F.col("n_chars").alias("size"))
-    each = hits.groupBy("doc_id", "pattern", "size").agg(F.count("*").alias("n"))
-    # the five least ids of a pattern, cut down before they are gathered
-    place = F.row_number().over(Window.partitionBy("pattern").orderBy("doc_id"))
-    first = each.select("pattern", "doc_id", place.alias("r")).filter("r <= 5").groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("examples"))
-    sums = each.groupBy("pattern").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entities"), F.sum("size").alias("bytes"))
-    return sums.join(first, "pattern")
-
-
 @R.add("a22_multiset_intersection", f"""WITH w AS (SELECT doc_id, unnest({_W}) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY 1, 2)
     SELECT x.doc_id AS a, y.doc_id AS b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared FROM c x JOIN c y ON x.t = y.t AND y.doc_id = x.doc_id + 1 GROUP BY 1, 2""")
 def multiset_intersection(spark, sf_dir):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factloom.functions import sequences, text
+from factloom.functions import matching, sequences, text
 from factloom.operators import graphs, order, statistics
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
@@ -136,18 +136,11 @@ def novelty_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(sequences.renamed_apart(t), 256).alias("novelty"))
 
 
-@R.add("f13_block_distance")
-def block_distances(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "[.\\n]").alias("w"))
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", sequences.block_distance("w", "v").alias("distance"))
-
-
 @R.add("f14_change_vector")
 def change_vectors(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "[.\\n]").alias("w"))
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", sequences.change_vector("w", "v").alias("c")).select("conv_id", "turn", "c.*")
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", matching.change_vector("w", "v").alias("c")).select("conv_id", "turn", "c.*")
 
 
 @R.add("f22_pack_and_unpack", "SELECT item_id, md5(text) AS digest FROM benchmark")

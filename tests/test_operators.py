@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import sequences
+from factloom.functions import matching, sequences
 from factloom.operators import graphs, statistics
 from factloom.sources import loaders
 
@@ -11,7 +11,7 @@ from factloom.sources import loaders
 def test_sequences(spark):
     assert sequences.align(list("kitten"), list("sitting"))[0] == 3 and sequences.align([], ["a", "b"]) == (2, 1)
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c", "d"]), (None, []), (["$x", "add", "$y", "$x"], ["q"])], "a array<string>, b array<string>")
-    out = df.select(sequences.aligned("a", "b").alias("x"), sequences.change_vector("a", "b").alias("c"), sequences.block_distance("a", "b").alias("d"), sequences.renamed_apart("a").alias("r")).collect()
+    out = df.select(sequences.aligned("a", "b").alias("x"), matching.change_vector("a", "b").alias("c"), matching.block_distance("a", "b").alias("d"), sequences.renamed_apart("a").alias("r")).collect()
     assert out[0].x.cost == 2 and out[0].c.changed == 1 and out[0].c.added == 1
     assert out[1].x.cost == 0 and out[1].d == 0 and out[1].r is None
     assert out[2].r == "r0 add r1 r0"
