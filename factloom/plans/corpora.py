@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text
 from factloom.operators import similarity, statistics
 from factloom.plans.registry import Registry, statement, table
+from factloom.sources.staging import staged
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -42,7 +43,7 @@ def sketch_overlap(spark, sf_dir):
     abs(y.tokens - x.tokens) AS far, y.source FROM s x JOIN s y ON x.source <> y.source AND y.tokens >= greatest(1, floor(x.tokens / 3)) AND y.tokens <= greatest(3, 3 * x.tokens) WHERE x.doc_id % 100 = 0 AND len(list_intersect(x.sketch, y.sketch)) > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, far, source, right_id) AS rank FROM p) SELECT left_id, right_id, similarity, rank FROM r WHERE rank <= 5""")
 def similar_top_k(spark, sf_dir):
-    s = _sketched(spark, sf_dir)
+    s = staged(_sketched(spark, sf_dir))
     return similarity.similar(s.filter("id % 100 = 0"), s, 5)
 
 
@@ -168,8 +169,7 @@ def permutations(spark, sf_dir):
 
 @R.add("j15_postings_candidates", _SKETCHED + ", m AS (SELECT doc_id, unnest(sketch) AS h FROM s) SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS shared FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 20")
 def postings(spark, sf_dir):
-    s = _sketched(spark, sf_dir).withColumn("m", F.col("sketch"))
-    return similarity.shared_counts(s, s, "m").filter("left_id < right_id AND shared >= 20")
+    return similarity.overlapping_pairs(_sketched(spark, sf_dir), "sketch", 20)
 
 
 @R.add("f15_jaccard", f"WITH d AS (SELECT doc_id, list_distinct({_W}) AS w FROM documents) SELECT a.doc_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import order, similarity
+from factloom.operators import nearest, order, similarity
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import loaders
 from factloom.sources.staging import staged
@@ -376,11 +376,8 @@ def experiment_memory(spark, sf_dir):
 
 @R.add("j16_similarity_join_top_k", "WITH v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM p) x WHERE rn <= 2")
 def similarity_join(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    b = v.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    p = v.filter("vec_id % 100 = 0").join(b, "label").filter("vec_id <> b").withColumn("s", dot)
-    return p.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "b"))).filter("rn <= 2").select(F.col("vec_id").alias("a"), "b")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
+    return nearest.greatest_products(v.filter("id % 100 = 0"), v, 2).select(F.col("id").alias("a"), F.col("known_id").alias("b"))
 
 
 @R.add("o8_diverse_archive", "WITH k AS (SELECT user_id, event_id, value, md5(event_type || CAST(CAST(floor(value / 20) AS INT) AS VARCHAR)) AS novelty FROM events), d AS (SELECT *, row_number() OVER (PARTITION BY user_id, novelty ORDER BY value DESC, event_id) AS rn FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM d WHERE rn = 1) SELECT user_id, event_id FROM r WHERE place <= 8")
