@@ -167,9 +167,10 @@ def corpus_index(spark, sf_dir):
 @R.add("s15_attempt_with_edge", "SELECT (SELECT count(*) FROM conversations) AS attempts, (SELECT count(*) FROM conversations WHERE turn > 0) AS edges")
 def attempt_with_edge(spark, sf_dir):
     s, c = _store(spark), table(spark, sf_dir, "conversations")
-    s.append("attempts", c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), ["id"])
+    attempts = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     child = (F.col("conv_id") * 100 + F.col("turn")).alias("child")
-    s.append("edges", c.filter("turn > 0").select(child, (F.col("conv_id") * 100 + F.col("turn") - 1).alias("parent")), ["child"])
+    edges = c.filter("turn > 0").select(child, (F.col("conv_id") * 100 + F.col("turn") - 1).alias("parent"))
+    s.append_all({"attempts": (attempts, ["id"]), "edges": (edges, ["child"])})
     return s.read("attempts").agg(F.count("*").alias("attempts")).crossJoin(s.read("edges").agg(F.count("*").alias("edges")))
 
 

@@ -1,15 +1,18 @@
 """An append-only store of facts and claims on Parquet, published by numbered versions.
 
-A table is a folder of parts, each a Parquet folder that is never changed, and of version files. A version lists the parts
-that are the table from then on; the highest one counts. A writer writes its parts and then creates the next version file,
-which must not exist yet: a reader sees all of a change or nothing, there is always a version to read, and of two writers
-at once the second is refused. Adding rows costs the new rows; changing some rewrites the parts that have them.
+A table is a folder of parts, each a Parquet folder that is never changed. A version is one file that lists the parts of every
+table; the highest one counts. A change, of one table or of several, writes its parts and then the next version, so a reader sees
+all of it or nothing, and a writer that dies leaves nothing but parts that no version lists. A version is written aside
+and takes its number in one step that fails if the number is taken; a writer then looks again, and is refused if another one has
+changed a table that it read. Adding rows costs the new rows; changing some rewrites the parts that have them.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,16 @@ def _refuse_any(rows: DataFrame, why: str) -> None:
         raise Refused(f"{why}: {[tuple(r) for r in some]}")
 
 
+@dataclass
+class Change:
+    """A table's parts as they were read (None: no table), those that stay, and rows that come as a new part."""
+
+    table: str
+    seen: list[str] | None
+    keep: list[str]
+    fresh: DataFrame | None
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -37,28 +50,28 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _versions(self, table: str) -> str:
-        return f"{self.path}/{table}/versions"
-
-    def current(self, table: str) -> tuple[int, list[str]] | None:
-        """Number and parts of the version that counts. A version file without its end is one that is being written."""
-        fs, folder = self._fs(self._versions(table))
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """The highest number that is taken, and the parts of each table in the version that counts."""
+        fs, folder = self._fs(f"{self.path}/_versions")
         if not fs.exists(folder):
-            return None
-        names = sorted((f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")), reverse=True)
+            return 0, {}
+        names = sorted((f.getPath().getName() for f in fs.listStatus(folder) if not f.getPath().getName().startswith(".") and f.getPath().getName().endswith(".json")), reverse=True)
         for name in names:
-            stream = fs.open(self._fs(f"{self._versions(table)}/{name}")[1])
+            stream = fs.open(self._fs(f"{self.path}/_versions/{name}")[1])
             try:
                 text = bytes(stream.readAllBytes()).decode()
             finally:
                 stream.close()
-            if text.endswith("\n"):
-                return int(name.removesuffix(".json")), json.loads(text)
-        return None
+            if text.endswith("\n"):  # damaged ones don't count, but their numbers are taken
+                return int(names[0].removesuffix(".json")), json.loads(text)
+        return int(names[0].removesuffix(".json")) if names else 0, {}
+
+    def current(self, table: str) -> list[str] | None:
+        """The parts of a table, None if nothing is published."""
+        return self._state()[1].get(table)
 
     def parts(self, table: str) -> list[str]:
-        now = self.current(table)
-        return [] if now is None else now[1]
+        return self.current(table) or []
 
     def _rows(self, table: str, parts: list[str]) -> DataFrame:
         reader = self.spark.read.option("mergeSchema", str(len(parts) > 1).lower())
@@ -68,72 +81,110 @@ class Store:
         now = self.current(table)
         if now is None:
             raise Refused(f"{table}: nothing published")
-        return self._rows(table, now[1])
-
-    def _publish(self, table: str, seen: tuple[int, list[str]] | None, keep: list[str], fresh: DataFrame | None) -> None:
-        """The version after ``seen``: the parts ``keep`` and one of the rows of ``fresh``."""
-        parts = list(keep)
-        if fresh is not None:
-            parts.append(f"part-{uuid.uuid4().hex}")
-            fresh.write.parquet(f"{self.path}/{table}/{parts[-1]}")
-        number = 1 if seen is None else seen[0] + 1
-        fs, target = self._fs(f"{self._versions(table)}/{number:012d}.json")
-        try:
-            out = fs.create(target, False)
-        except Exception as error:
-            raise Refused(f"{table}: version {number} is another writer's") from error
-        out.write(bytearray((json.dumps(parts) + "\n").encode()))
+        return self._rows(table, now)
+
+    def _take(self, number: int, text: str) -> bool:
+        """Give a version its number; whether that was free. The file is whole before it has its name."""
+        name, aside = f"{self.path}/_versions/{number:012d}.json", f"{self.path}/_versions/.{number:012d}-{uuid.uuid4().hex}"
+        fs, source = self._fs(aside)
+        out = fs.create(source, True)
+        out.write(bytearray(text.encode()))
         out.close()
+        target = self._fs(name)[1]
+        if fs.getUri().getScheme() == "file":
+            # renaming would replace a file on a local disk; a link never does
+            local = lambda path: path.toUri().getPath()
+            try:
+                os.link(local(source), local(target))
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(local(source))
+            return True
+        jvm = self.spark.sparkContext._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, none)
+        except Exception:
+            if not fs.exists(target):
+                raise
+            fs.delete(source, False)
+            return False
+        return True
+
+    def _publish(self, *changes: Change) -> None:
+        """One version with all of the changes, if the tables that they change are what they were when they were read."""
+        parts = {}
+        for c in changes:
+            parts[c.table] = list(c.keep)
+            if c.fresh is not None:
+                parts[c.table].append(f"part-{uuid.uuid4().hex}")
+                c.fresh.write.parquet(f"{self.path}/{c.table}/{parts[c.table][-1]}")
+        while True:
+            number, tables = self._state()
+            for c in changes:
+                if tables.get(c.table) != c.seen:
+                    raise Refused(f"{c.table}: another writer has changed it")
+            if self._take(number + 1, json.dumps(tables | parts) + "\n"):
+                return
 
     def publish(self, table: str, df: DataFrame) -> None:
         """``df`` is the table from now on."""
-        self._publish(table, self.current(table), [], df)
+        self._publish(Change(table, self.current(table), [], df))
 
-    def append(self, table: str, rows: DataFrame, key: list[str]) -> None:
-        """Add rows; a key that is there already, or twice among the new ones, is refused, so nothing is overwritten."""
+    def _added(self, table: str, rows: DataFrame, key: list[str]) -> Change:
         _refuse_any(rows.groupBy(*key).count().filter("count > 1").select(*key), f"{table}: keys given twice")
         now = self.current(table)
         if now is not None:
-            _refuse_any(rows.join(self._rows(table, now[1]).select(*key), key, "left_semi").select(*key), f"{table}: keys that exist")
-        self._publish(table, now, now[1] if now else [], rows)
+            _refuse_any(rows.join(self._rows(table, now).select(*key), key, "left_semi").select(*key), f"{table}: keys that exist")
+        return Change(table, now, now or [], rows)
 
-    def append_missing(self, table: str, rows: DataFrame, key: list[str]) -> None:
-        """Add the rows whose key isn't there; of new rows with one key any stays."""
+    def append(self, table: str, rows: DataFrame, key: list[str]) -> None:
+        """Add rows; a key that is there already, or twice among the new ones, is refused, so nothing is overwritten."""
+        self._publish(self._added(table, rows, key))
+
+    def append_all(self, tables: dict[str, tuple[DataFrame, list[str]]]) -> None:
+        """:meth:`append` to several tables in one version: all of it or nothing."""
+        self._publish(*[self._added(table, rows, key) for table, (rows, key) in tables.items()])
+
+    def _missing(self, table: str, rows: DataFrame, key: list[str]) -> Change:
         rows, now = rows.dropDuplicates(key), self.current(table)
         if now is not None:
-            rows = rows.join(self._rows(table, now[1]).select(*key), key, "left_anti")
-        self._publish(table, now, now[1] if now else [], rows)
+            rows = rows.join(self._rows(table, now).select(*key), key, "left_anti")
+        return Change(table, now, now or [], rows)
+
+    def append_missing(self, table: str, rows: DataFrame, key: list[str]) -> None:
+        """Add the rows whose key isn't there; of new rows with one key any stays."""
+        self._publish(self._missing(table, rows, key))
 
     def _touched(self, table: str, parts: list[str], keys: DataFrame, key: list[str]) -> list[str]:
-        """Those of ``parts`` that have a row with one of the keys."""
-        found = []
-        for part in parts:  # as many as there were changes since the table was compacted
-            if not self._rows(table, [part]).join(keys, key, "left_semi").isEmpty():
-                found.append(part)
-        return found
+        """Those of ``parts`` that have a row with one of the keys, by one job over all of them."""
+        named = self._rows(table, parts).select(*key, F.regexp_extract("_metadata.file_path", "(part-[0-9a-f]{32})/[^/]*$", 1).alias("_part"))
+        found = {r["_part"] for r in named.join(keys, key, "left_semi").select("_part").distinct().collect()}
+        return [part for part in parts if part in found]
 
     def upsert(self, table: str, rows: DataFrame, key: list[str]) -> None:
         """Last write wins."""
         now = self.current(table)
         if now is None:
-            self._publish(table, None, [], rows)
+            self._publish(Change(table, None, [], rows))
             return
         keys = rows.select(*key)
-        touched = self._touched(table, now[1], keys, key)
+        touched = self._touched(table, now, keys, key)
         fresh = rows
         if touched:
             fresh = self._rows(table, touched).join(keys, key, "left_anti").unionByName(rows, allowMissingColumns=True)
-        self._publish(table, now, [p for p in now[1] if p not in touched], fresh)
+        self._publish(Change(table, now, [p for p in now if p not in touched], fresh))
 
     def assert_claims(self, claims: DataFrame, support: DataFrame) -> None:
-        """Add claims (id, kind, subject, value, origin) with their citations (inference_id, evidence_id). A claim that cites
-        nothing is refused unless a human made it, and so is a citation of evidence that isn't there."""
+        """Add claims (id, kind, subject, value, origin) with their citations (inference_id, evidence_id), in one version. A claim that
+        cites nothing is refused unless a human made it, and so is a citation of evidence that isn't there."""
         cited = support.select(F.col("inference_id").alias("id"))
         _refuse_any(claims.filter("origin <> 'human'").join(cited, "id", "left_anti").select("id"), "claims without citation")
         evidence = self.read("evidence").select(F.col("id").alias("evidence_id"))
         _refuse_any(support.join(evidence, "evidence_id", "left_anti"), "citations of missing evidence")
-        self.append("inference", claims.withColumn("status", F.lit("active")).withColumn("reason", F.lit(None).cast("string")), ["id"])
-        self.append_missing("inference_support", support, ["inference_id", "evidence_id"])
+        marked = claims.withColumn("status", F.lit("active")).withColumn("reason", F.lit(None).cast("string"))
+        self._publish(self._added("inference", marked, ["id"]), self._missing("inference_support", support, ["inference_id", "evidence_id"]))
 
     def retract(self, seeds: DataFrame, reason: str) -> DataFrame:
         """Retract claims (node) and all that depend on them; they stay, with status and reason. Returns the retracted ids."""
@@ -142,13 +193,13 @@ class Store:
             raise Refused("inference: nothing published")
         edges = self.read("inference_depends").select(F.col("depends_on_id").alias("src"), F.col("inference_id").alias("dst"))
         gone = reachable(edges, seeds).withColumnRenamed("node", "id")
-        touched = self._touched("inference", now[1], gone, ["id"])
+        touched = self._touched("inference", now, gone, ["id"])
         if touched:
             claims = self._rows("inference", touched)
             marked = claims.join(gone.withColumn("_gone", F.lit(True)), "id", "left")
             hit = F.col("_gone") & (F.col("status") == "active")
             out = marked.withColumn("reason", F.when(hit, reason).otherwise(F.col("reason"))).withColumn("status", F.when(hit, "retracted").otherwise(F.col("status")))
-            self._publish("inference", now, [p for p in now[1] if p not in touched], out.select(*claims.columns))
+            self._publish(Change("inference", now, [p for p in now if p not in touched], out.select(*claims.columns)))
         return gone.select("id")
 
     def ratchet(self, table: str, candidate: DataFrame, matched: str) -> bool:
@@ -160,10 +211,10 @@ class Store:
         return True
 
     def commit(self, rows: DataFrame, name: str, payload: str, commit_id: int, parent: int | None) -> None:
-        """Save objects by their SHA-256, new ones only, and a manifest (name, hash) of all."""
+        """Save objects by their SHA-256, new ones only, and a manifest (name, hash) of all, in one version."""
         hashed = rows.select(F.col(name).alias("name"), F.sha2(payload, 256).alias("hash"), F.col(payload).alias("payload"))
-        self.append_missing("objects", hashed.select("hash", "payload"), ["hash"])
-        self.append("manifests", hashed.select(F.lit(commit_id).cast("long").alias("commit_id"), F.lit(parent).cast("long").alias("parent"), "name", "hash"), ["commit_id", "name"])
+        manifest = hashed.select(F.lit(commit_id).cast("long").alias("commit_id"), F.lit(parent).cast("long").alias("parent"), "name", "hash")
+        self._publish(self._missing("objects", hashed.select("hash", "payload"), ["hash"]), self._added("manifests", manifest, ["commit_id", "name"]))
 
     def hydrate(self, commit_id: int) -> DataFrame:
         """name, payload of a commit; a missing object or a payload that isn't its hash raises."""
@@ -173,22 +224,23 @@ class Store:
 
     def compact(self, keep: DataFrame) -> int:
         """Drop commits that aren't in ``keep`` (commit_id) and objects that no other commit needs. Returns the objects left."""
+        seen = {table: self.current(table) for table in ("objects", "manifests")}
         manifests, objects = self.read("manifests").join(keep, "commit_id", "left_semi"), self.read("objects")
         used = objects.join(manifests.select("hash").distinct(), "hash", "left_semi")
         _refuse_any(manifests.join(used, "hash", "left_anti").select("name"), "kept commits would lose objects")
-        self.publish("objects", used)
-        self.publish("manifests", manifests)
+        self._publish(Change("objects", seen["objects"], [], used), Change("manifests", seen["manifests"], [], manifests))
         return self.read("objects").count()
 
     def import_job(self, table: str, rows: DataFrame, id_col: str, job: str) -> bool:
-        """Append a worker's rows under new ids, once for each job; returns whether it was new."""
-        receipts = self.spark.createDataFrame([(job,)], "job string")
-        if self.current("receipts") and self.read("receipts").filter(F.col("job") == job).count():
+        """Append a worker's rows under new ids, once for each job; returns whether it was new. Rows and receipt are one
+        version, so a writer that dies has left both or neither, and of two that import a job at once one is refused."""
+        receipt = self._missing("receipts", self.spark.createDataFrame([(job,)], "job string"), ["job"])
+        if receipt.fresh.isEmpty():
             return False
-        top = self.read(table).agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0] if self.current(table) else 0
+        now = self.current(table)
+        top = self._rows(table, now).agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0] if now else 0
         ranked = numbered(rows, [F.asc(id_col)], "_n")
-        self.append(table, ranked.withColumn(id_col, F.col("_n") + top + 1).select(*rows.columns), [id_col])
-        self.append("receipts", receipts, ["job"])
+        self._publish(Change(table, now, now or [], ranked.withColumn(id_col, F.col("_n") + top + 1).select(*rows.columns)), receipt)
         return True
 
     def import_jobs(self, table: str, rows: DataFrame, id_col: str, job_col: str) -> None:
@@ -197,11 +249,11 @@ class Store:
         now = self.current(table)
         top = 0
         if now is not None:
-            old = self._rows(table, now[1])
+            old = self._rows(table, now)
             rows = rows.join(old.select(job_col).distinct(), job_col, "left_anti")
             top = old.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
         ranked = numbered(rows, [F.asc(job_col), F.asc(id_col)], "_n")
-        self._publish(table, now, now[1] if now else [], ranked.withColumn(id_col, F.col("_n") + top + 1).drop("_n"))
+        self._publish(Change(table, now, now or [], ranked.withColumn(id_col, F.col("_n") + top + 1).drop("_n")))
 
 
 def new_rows(log: DataFrame, mark: int, id_col: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.sources import loaders
-from factloom.sources.store import Refused, Store, new_rows, retained
+from factloom.sources.store import Change, Refused, Store, new_rows, retained
 
 
 @pytest.fixture
@@ -41,10 +41,72 @@ def test_changes_write_what_they_change(spark, store, tmp_path):
     store.publish("t", df([(1, "z")]))
     assert before.count() == 103 and store.read("t").count() == 1
     with pytest.raises(Refused, match="another writer"):
-        store._publish("t", seen, [], df([(2, "z")]))
-    # a version that a writer did not end does not count
-    (tmp_path / "kb" / "t" / "versions" / "000000000099.json").write_text('["part')
+        store._publish(Change("t", seen, [], df([(2, "z")])))
+    # a version that a writer did not end does not count, and bars nobody
+    (tmp_path / "kb" / "_versions" / "000000000099.json").write_text('{"t": ["part')
     assert store.read("t").first().v == "z"
+    store.append("t", df([(2, "y")]), ["id"])
+    assert store.read("t").count() == 2 and (tmp_path / "kb" / "_versions" / "000000000100.json").exists()
+
+
+def test_writers_at_once(spark, store):
+    """A number is given once; a writer goes on with the next one if nobody has changed its tables, and is refused otherwise."""
+    df = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    store.publish("a", df(1))
+    number, tables = store._state()
+    assert not store._take(number, "{}\n") and store._state() == (number, tables)
+    once, real = [], store._state
+
+    def late():
+        found = real()
+        if not once:  # another writer comes between
+            once.append(1)
+            Store(spark, store.path).publish("b", df(7))
+        return found
+
+    change = store._added("a", df(2), ["id"])
+    store._state = late
+    store._publish(change)
+    assert store.read("a").count() == 2 and store.read("b").count() == 1
+    stale = store._added("a", df(3), ["id"])
+    store.publish("a", df(9))
+    with pytest.raises(Refused):
+        store._publish(stale)
+
+
+@pytest.mark.parametrize("fails_at", [1, 2])
+def test_a_change_of_two_tables_is_whole(spark, store, monkeypatch, fails_at):
+    """A writer dies after its first part, or after both, before the version: nothing of it is seen, and trying again gives it once."""
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    n = []
+
+    def dies(self, number, text):
+        raise RuntimeError("dead")
+
+    import pyspark.sql.readwriter as rw
+
+    write = rw.DataFrameWriter.parquet
+
+    def part(self, path, *a, **k):
+        n.append(path)
+        if "/receipts/" in path and fails_at == 1:
+            raise RuntimeError("dead")
+        return write(self, path, *a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(rw.DataFrameWriter, "parquet", part)
+        if fails_at == 2:
+            m.setattr(Store, "_take", dies)
+        with pytest.raises(RuntimeError):
+            store.import_job("log", rows, "id", "job")
+    assert n and store.current("log") is None and store.current("receipts") is None
+    assert store.import_job("log", rows, "id", "job") and not store.import_job("log", rows, "id", "job")
+    assert store.read("log").count() == 2 and store.read("receipts").count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_take", dies)
+        with pytest.raises(RuntimeError):
+            store.assert_claims(claims(spark, [(1, "k", "s", "v", "model")]), spark.createDataFrame([(1, 0)], "inference_id long, evidence_id long"))
+    assert store.current("inference") is None and store.current("inference_support") is None
 
 
 def test_claims_need_citations_and_retraction_cascades(spark, store):
