@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import similarity, statistics
+from factloom.operators import leakage, similarity, statistics
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources.staging import staged
 
@@ -127,6 +127,35 @@ def token_leaks(spark, sf_dir):
     return similarity.leaks(grams("benchmark", "item_id"), grams("documents", "doc_id"), grams("conversations", "conv_id"))
 
 
+#: Words that keep their place in the skeleton of a text, as keywords do in code.
+_SKELETON = "a an and as at by for from in is it of on or that the to was with de des du en et la le les que un une das dem den der des die ein eine ist und von zu al con del el las los no por se su y".split()
+_TOKENS_SQL = "regexp_extract_all(regexp_replace(coalesce(text, ''), '(?s)/\\*.*?\\*/|//[^\n]*', ' ', 'g'), '(0[xX][0-9a-fA-F]+|[0-9]+(?:\\.[0-9]*)?|[\\p{L}_][\\p{L}\\p{M}\\p{N}_]*|->|<<=|>>=|&&|\\|\\||\\+\\+|--|<<|>>|[-+*/%&|^!=<>]=|[^\\s\\p{L}\\p{N}_])')"
+_MASKED = f"list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '^[\\p{{L}}_]') AND NOT list_contains({_SKELETON}, x) THEN 'ID' ELSE x END)"
+
+
+def _window_sql(kind: str, k: int) -> str:
+    gram = lambda t: f"SELECT id, i, array_to_string({kind}[i:i + {k - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len({kind}) - {k - 2})) AS i FROM {t}) z"
+    return f"""{kind}_b AS (SELECT g FROM (SELECT DISTINCT id, g FROM ({gram('b')}) y) x GROUP BY g HAVING count(*) >= 2), {kind}_a AS (SELECT * FROM ({gram('a')}) y WHERE g NOT IN (SELECT g FROM {kind}_b)),
+    {kind}_p AS (SELECT * FROM ({gram('p')}) y WHERE g IN (SELECT g FROM {kind}_a)), {kind}_m AS (SELECT x.id, y.id AS page, x.i, y.i AS j FROM {kind}_a x JOIN {kind}_p y USING (g)),
+    {kind}_r AS (SELECT id, page, d, i - row_number() OVER (PARTITION BY id, page, d ORDER BY i) AS isl, i FROM (SELECT *, j - i AS d FROM {kind}_m) z), {kind}_l AS (SELECT id, max(n) + {k - 1} AS longest FROM (SELECT id, page, d, isl, count(*) AS n FROM {kind}_r GROUP BY ALL) z GROUP BY id),
+    {kind}_n AS (SELECT id, max(n) AS n FROM (SELECT id, page, count(DISTINCT i) AS n FROM {kind}_m GROUP BY ALL) z GROUP BY id)"""
+
+
+@R.add("c10_structural_leaks", f"""WITH t AS (SELECT 'a' AS kind, item_id AS id, {_TOKENS_SQL} AS raw FROM benchmark UNION ALL SELECT 'p', doc_id, {_TOKENS_SQL} FROM documents UNION ALL SELECT 'b', conv_id * 100 + turn, {_TOKENS_SQL} FROM conversations), s AS MATERIALIZED (SELECT *, {_MASKED} AS structural FROM t),
+    a AS (SELECT * FROM s WHERE kind = 'a'), p AS (SELECT * FROM s WHERE kind = 'p'), b AS (SELECT * FROM s WHERE kind = 'b'), {_window_sql('raw', 12)}, {_window_sql('structural', 24)},
+    f AS (SELECT doc_id AS page, ' ' || trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) || ' ' AS flat FROM documents), ln AS (SELECT id, k, trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')) AS line FROM (SELECT item_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM benchmark) z),
+    lg AS (SELECT * FROM ln WHERE length(line) >= 16 AND len(string_split(line, ' ')) >= 3 AND line NOT LIKE '//%' AND line NOT LIKE '/*%'), lt AS (SELECT id, count(*) AS n FROM lg GROUP BY id),
+    lh AS (SELECT id, max(h) AS h FROM (SELECT id, page, count(*) AS h FROM lg JOIN f ON contains(flat, ' ' || line || ' ') GROUP BY ALL) z GROUP BY id),
+    o AS (SELECT item_id AS id, coalesce(raw_n.n, 0) AS raw, coalesce(raw_l.longest, 0) AS longest_raw, coalesce(structural_n.n, 0) AS structural, coalesce(structural_l.longest, 0) AS longest_structural, coalesce(round(lh.h / CAST(lt.n AS DOUBLE), 3), 0) AS lines
+      FROM benchmark LEFT JOIN raw_n ON raw_n.id = item_id LEFT JOIN raw_l ON raw_l.id = item_id LEFT JOIN structural_n ON structural_n.id = item_id LEFT JOIN structural_l ON structural_l.id = item_id LEFT JOIN lt ON lt.id = item_id LEFT JOIN lh ON lh.id = item_id)
+    SELECT *, raw > 0 OR structural > 0 OR lines >= 0.3 AS leak FROM o""")
+def structural_leaks(spark, sf_dir):
+    """Benchmark items that stand in documents: word for word, with their names changed, or line by line."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    background = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return leakage.leak_report(b.select(F.col("item_id").alias("id"), "text"), d.select(F.col("doc_id").alias("id"), "text"), background, _SKELETON)
+
+
 @R.add("m14_group_balanced_forecast", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT t.vec_id AS id, k.label AS grp, k.vec_id AS outcome,
     list_sum(list_transform(list_zip(t.v, k.v), lambda z: abs(z[1] - z[2]))) / len(t.v) AS d FROM v t JOIN v k ON k.vec_id <> t.vec_id WHERE t.vec_id % 100 = 0),
     n AS (SELECT id, grp, min(d) AS d, avg(outcome) AS outcome FROM (SELECT *, rank() OVER (PARTITION BY id, grp ORDER BY d) AS r FROM p WHERE d <= 0.6) x WHERE r = 1 GROUP BY id, grp),
