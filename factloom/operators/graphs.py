@@ -39,27 +39,69 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFr
         seen = seen.unionByName(front)
 
 
-def levels(edges: DataFrame, limit: int = 10_000) -> DataFrame:
+#: Levels that are found one by one before chains are drawn together.
+_SHALLOW = 8
+
+
+def levels(edges: DataFrame) -> DataFrame:
     """node, level: the longest way down to a node without outgoing edges. Nodes on or above a cycle have a null level.
 
-    Each node waits for as many as it points to; a round subtracts those that the round before has done."""
-    edges = staged(edges.select("src", "dst").distinct())
+    Nodes whose edges all lead to nodes with a level get theirs, a level a round. What is left after ``_SHALLOW`` rounds may be
+    deep, and is drawn together: a node that points to one other node only has its level from that one, and such chains
+    are led on to their ends by doubling, in the logarithm of the longest; the ends take the edges over, which may leave further
+    nodes with one edge. What was drawn together gets its level last, in reverse order. ``least`` is the level that a node has at least by edges that are gone, ``far`` the length of a way."""
+    left = staged(edges.select("src", "dst", F.lit(1).alias("far")).distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    waits = staged(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")))
-    front = staged(nodes.join(waits, "node", "left_anti").select("node", F.lit(0).alias("level")))
-    done = front
-    for k in range(1, limit):
-        released = edges.join(front.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("gone"))
-        after = staged(waits.join(released, "node", "left").select("node", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")))
-        front = staged(after.filter("n = 0").select("node", F.lit(k).alias("level")))
-        dropped(waits)
-        if front.isEmpty():
+    least = staged(nodes.select("node", F.lit(0).alias("least")))
+    done, chains, turn = None, [], 0
+    while True:
+        turn += 1
+        # sinks have their level, and nodes that point to them know how high they are at least
+        sinks = staged(least.join(left.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.col("least").alias("level")))
+        if sinks.isEmpty():
+            break  # all that is left leads to cycles
+        done = sinks if done is None else done.unionByName(sinks)
+        hit = left.join(sinks.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("far") + F.col("level")).alias("by"))
+        least = _replaced(least, least.join(sinks, "node", "left_anti").join(hit, "node", "left").select("node", F.greatest("least", "by").alias("least")))
+        left = _replaced(left, left.join(sinks.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "far"))
+        if turn <= _SHALLOW:
+            continue
+        single = left.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("dst"), F.first("far").alias("far")).filter("n = 1").select(F.col("src").alias("node"), "dst", "far")
+        chain = _drawn_together(staged(single.join(least, "node")))
+        if chain is not None:
+            chains.append(chain)
+            via = chain.select(F.col("node").alias("dst"), F.col("dst").alias("end"), F.col("far").alias("more"), F.col("least").alias("by"))
+            rest = staged(left.join(chain.select(F.col("node").alias("src")), "src", "left_anti").join(via, "dst", "left"))
+            hit = rest.groupBy(F.col("src").alias("node")).agg(F.max(F.col("far") + F.col("by")).alias("by"))
+            least = _replaced(least, least.join(chain.select("node"), "node", "left_anti").join(hit, "node", "left").select("node", F.greatest("least", "by").alias("least")))
+            left = _replaced(left, rest.groupBy("src", F.coalesce("end", "dst").alias("dst")).agg(F.max(F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+    for chain in reversed(chains):
+        ends = done.select(F.col("node").alias("dst"), F.col("level").alias("at"))
+        done = staged(done.unionByName(chain.join(ends, "dst").select("node", F.greatest(F.col("least"), F.col("far") + F.col("at")).alias("level"))))
+    return nodes.join(done, "node", "left") if done is not None else nodes.withColumn("level", F.lit(None).cast("int"))
+
+
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` staged, and the files of ``old`` gone."""
+    after = staged(new)
+    dropped(old)
+    return after
+
+
+def _drawn_together(now: DataFrame) -> DataFrame | None:
+    """node, dst, far, least of nodes with one edge, the edge led on to the end of its chain; None if there is none. Each
+    round goes twice as far; what goes on after as many rounds as the longest chain could need leads to a cycle, and is left out."""
+    n = now.count()
+    for _ in range(n.bit_length() + 1):
+        on = now.select(F.col("node").alias("dst"), F.col("dst").alias("next"), F.col("far").alias("more"), F.col("least").alias("by"))
+        both = now.select("node", "dst", "far", "least").join(on, "dst", "left")
+        after = staged(both.select("node", F.coalesce("next", "dst").alias("dst"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.greatest(F.col("least"), F.col("far") + F.col("by")).alias("least"), F.col("next").isNotNull().alias("went")))
+        dropped(now)
+        now = after
+        if now.filter("went").isEmpty():
             break
-        done = done.unionByName(front)
-        # those that are done wait no more
-        waits = staged(after.filter("n > 0"))
-        dropped(after)
-    return nodes.join(done, "node", "left")
+    ended = staged(now.join(now.select(F.col("node").alias("dst")), "dst", "left_anti").select("node", "dst", "far", "least"))
+    return None if ended.isEmpty() else ended
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.order import numbered
+from factloom.sources.staging import staged
+
 
 def stride_runs(df: DataFrame, keys: list[str], position: str, stride: int, least: int) -> DataFrame:
     """Rows that lie in a run of at least ``least`` distinct positions ``stride`` apart. Repeated positions share a run;
@@ -98,3 +101,79 @@ def skipping_budget(df: DataFrame, keys: list[str], order: str, cost: str, budge
 
     kept = narrow.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(fold, narrow.schema)
     return df.join(kept.select(*keys, order), [*keys, order], "left_semi")
+
+
+#: Blocks of consecutive places that the driver knows sums of, at most, and those that a round looks into at once.
+_BLOCKS, _AT_ONCE = 4096, 64
+
+
+def skipping_budget_of_all(df: DataFrame, order: list[Column], cost: str, budget: int, block_rows: int | None = None) -> DataFrame:
+    """:func:`skipping_budget` over a whole table as one order, with whole costs; rows with a null or negative cost are skipped.
+
+    While 2^k or more is left, every cost below 2^k fits; a cost below 2^(k+1) fits once at most, and then less than 2^k is left. So
+    the fold is a running sum until one of two events: the small costs have used up the budget down to 2^k, or a
+    large cost fits. Blocks of places have the sum of their costs and the least cost for each power of two, a tree of one level whose rows
+    the driver holds; it passes over blocks without an event and has the others looked into. There are two events a power at most."""
+    placed = numbered(df.withColumn("_cost", F.col(cost).cast("long")), order, "_at")
+    # the power of two of a cost by its binary digits; -1 for nothing
+    placed = staged(placed.withColumn("_k", F.when(F.col("_cost") > 0, F.length(F.bin("_cost")) - 1).otherwise(-1)))
+    usable = placed.filter("_cost >= 0")
+    n = placed.agg(F.max("_at")).first()[0]
+    if n is None:
+        return df.limit(0)
+    width = block_rows or max(1 << 12, -(-(n + 1) // _BLOCKS))
+    block = F.floor(F.col("_at") / width).cast("int")
+    summary: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in usable.groupBy(block.alias("b"), "_k").agg(F.sum("_cost").alias("s"), F.min("_cost").alias("m")).collect():  # 64 rows a block at most
+        summary.setdefault(r.b, {})[r["_k"]] = (r.s, r.m)
+    blocks = sorted(summary)
+    left, at, kept = int(budget), 0, []  # what is left before place ``at``
+    while left >= 0 and at <= n:
+        k = left.bit_length() - 1  # 2^k <= left; only costs of nothing fit where nothing is left
+        small = lambda b: sum(s for q, (s, _) in summary[b].items() if q < k)
+        # blocks that may have an event if none before has one, and what is left before each
+        look, ahead, partly = [], left, at % width != 0
+        for b in blocks:
+            if b < at // width or (b == at // width and partly):
+                continue
+            after = ahead - small(b)
+            large = summary[b].get(k)
+            if (k >= 0 and after < 1 << k) or (large and large[1] <= ahead):
+                look.append((b, ahead))
+            if (k >= 0 and after < 1 << k) or (large and large[1] <= after) or len(look) == _AT_ONCE:
+                break
+            ahead = after
+        if partly:  # the rest of a block that has had an event; what it leaves is known when it has been looked into
+            look = [(at // width, left)]
+        event = _first_event(usable.filter(F.col("_at") >= at), look, width, k) if look else None
+        to = event["at"] if event else (look[-1][0] + 1) * width if look else n + 1
+        if event:
+            kept.append((at, event["at"], k, event["at"] if event["large"] else None))
+            left, at = event["left"], event["at"] + 1
+        else:
+            kept.append((at, to - 1, k, None))
+            if partly:
+                left -= usable.filter((F.col("_at") >= at) & (F.col("_at") < to) & (F.col("_k") < k)).agg(F.coalesce(F.sum("_cost"), F.lit(0))).first()[0]
+            else:
+                left -= sum(small(b) for b in blocks if at // width <= b < to // width) if to <= n else 0
+            at = to
+    # places from, to, power below which all is kept, and a large one: as many as there were rounds
+    rule = F.lit(False)
+    for a, to, k, large in kept:
+        rule |= F.col("_at").between(a, to) & (F.col("_k") < k if k >= 0 else F.col("_k") < 0)
+        if large is not None:
+            rule |= F.col("_at") == large
+    return usable.filter(rule).drop("_at", "_cost", "_k")
+
+
+def _first_event(rows: DataFrame, look: list[tuple[int, int]], width: int, k: int) -> dict | None:
+    """The first place in the blocks of ``look`` (block, what is left before it) where less than 2^k is left or a cost of 2^k or more fits."""
+    before = rows.sparkSession.createDataFrame(look, "_b int, _before long")
+    inside = rows.filter((F.col("_at") >= look[0][0] * width) & (F.col("_at") < (look[-1][0] + 1) * width)).withColumn("_b", F.floor(F.col("_at") / width).cast("int")).join(F.broadcast(before), "_b")
+    upto = Window.partitionBy("_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_left", F.col("_before") - F.sum(F.when(F.col("_k") < k, F.col("_cost")).otherwise(0)).over(upto))
+    large = (F.col("_k") == k) & (F.col("_cost") <= F.col("_left")) & F.lit(k >= 0)
+    down = (F.col("_k") < k) & (F.col("_left") < F.lit(1 << max(k, 0)))
+    after = F.when(large, F.col("_left") - F.col("_cost")).otherwise(F.col("_left"))
+    r = inside.filter(large | down).agg(F.min(F.struct(F.col("_at").alias("at"), after.alias("left"), large.alias("large")))).first()[0]
+    return r.asDict() if r else None

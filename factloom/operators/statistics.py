@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.staging import dropped, staged
+
 
 def paired(control: DataFrame, treatment: DataFrame, key: str, value: str) -> DataFrame:
     """key, control, treatment: both arms side by side. An id that one arm lacks raises, as a missing case is no tie."""
@@ -68,3 +70,37 @@ def verdict(pairs: DataFrame) -> DataFrame:
     )
     ladder = F.when(F.col("missing") > 0, "incomplete").when(F.col("lost") > 0, "refuse").when(F.col("gained") > 0, "accept").when(F.col("t") < F.col("c"), "accept_cheaper").otherwise("keep")
     return x.select("missing", "lost", "gained", ladder.alias("verdict"))
+
+
+#: Cuts of a group's values in each round.
+_CUTS = 32
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
+    """``keys`` and ``name``: of each group's n values in order the one at place floor(n * fraction), from 0 (at most the last), exactly.
+    Nulls don't count; a group without values has no row.
+
+    Each round cuts the values that are left by approximate quantiles and counts, exactly, how many are at each cut and between
+    neighbours; then only those between the two around the place are left, or the cut is the value. No group is gathered."""
+    rows = staged(df.select(F.struct(*keys).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL"))
+    place = F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1).cast("long")
+    wanted = staged(rows.groupBy("g").agg(F.count("*").alias("n")).select("g", place.alias("k")))
+    found = None
+    while True:
+        # the least and the greatest are cuts too, so that something is counted at a cut in every round
+        cuts = rows.groupBy("g").agg(F.array_sort(F.array_distinct(F.concat(F.percentile_approx("v", [i / _CUTS for i in range(_CUTS + 1)], 1000), F.array(F.min("v"), F.max("v"))))).alias("cuts"))
+        at = 2 * F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.array_contains("cuts", F.col("v")).cast("int")
+        binned = staged(rows.join(cuts, "g").select("g", "v", at.alias("at")))
+        counts = binned.groupBy("g", "at").agg(F.count("*").alias("n"), F.min("v").alias("least"))  # twice the cuts a group at most
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("at"))
+        here = counts.withColumn("upto", upto).join(wanted, "g").filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+        here = staged(here.select("g", "at", "least", (F.col("k") - (F.col("upto") - F.col("n"))).alias("k")))
+        hit = here.filter("at % 2 = 1").select("g.*", F.col("least").alias(name))
+        found = hit if found is None else found.unionByName(hit)
+        wanted = here.filter("at % 2 = 0").select("g", "k")
+        after = staged(binned.join(here.filter("at % 2 = 0").select("g", "at"), ["g", "at"], "left_semi").select("g", "v"))
+        dropped(binned)
+        dropped(rows)
+        if after.isEmpty():
+            return found
+        rows = after

@@ -354,8 +354,8 @@ def transition_mass(spark, sf_dir):
 
 @R.add("a30_upper_median", "SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median, list_sort(list(value))[CAST(floor(count(*) * 0.7) AS BIGINT) + 1] AS q70 FROM events GROUP BY user_id")
 def upper_median(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return s.select("user_id", F.expr("element_at(v, CAST(floor(size(v) / 2) AS INT) + 1)").alias("upper_median"), F.expr("element_at(v, CAST(floor(size(v) * 0.7) AS INT) + 1)").alias("q70"))
+    e = table(spark, sf_dir, "events")
+    return statistics.order_statistic(e, ["user_id"], "value", 0.5, "upper_median").join(statistics.order_statistic(e, ["user_id"], "value", 0.7, "q70"), "user_id")
 
 
 # --- joins and sets by operators ---

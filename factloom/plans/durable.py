@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import nearest, order, similarity
+from factloom.operators import intervals, nearest, order, similarity
 from factloom.plans.registry import Registry, statement, table
-from factloom.sources import loaders
+from factloom.sources import ledger, loaders
 from factloom.sources.staging import staged
-from factloom.sources.store import Store, new_rows, retained
+from factloom.sources.store import Refused, Store, new_rows, retained
 from factloom.streaming import heartbeat, logs, tail
 
 R = Registry()
@@ -109,10 +109,41 @@ def job_import(spark, sf_dir):
     return s.read("log").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
 
 
-@R.add("l13_snapshot_budget", "SELECT user_id FROM (SELECT user_id, sum(n) OVER (ORDER BY latest DESC, user_id) AS used FROM (SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY user_id) x) y WHERE used <= 2000")
+@R.add("l5_guarded_facts", "SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n, 2 AS refused FROM events GROUP BY event_type")
+def guarded_facts(spark, sf_dir):
+    """Facts as they were, after a writer has tried to change all of them and another to give one twice."""
+    s, e = _store(spark), table(spark, sf_dir, "events").select("event_id", "event_type")
+    s.append("facts", e, ["event_id"])
+    refused = 0
+    for rows in (e.withColumn("event_type", F.lit("changed")), e.select((F.col("event_id") % 7 - 1_000_000).alias("event_id"), "event_type")):
+        try:
+            s.append("facts", rows, ["event_id"])
+        except Refused:
+            refused += 1
+    return s.read("facts").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
+@R.add("l15_chained_ledger", """WITH l AS (SELECT event_id, event_id % 2 AS part, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1 AS pos, count(*) FILTER (WHERE event_id % 2 = 0) OVER () AS evens FROM events WHERE event_type = 'view'),
+    p AS (SELECT event_id, CASE WHEN part = 0 THEN pos ELSE evens + pos END AS place, CASE WHEN part = 0 THEN pos // 50 ELSE (evens + 49) // 50 + pos // 50 END AS segment FROM l)
+    SELECT segment, min(place) AS place, 'entry' AS why FROM p WHERE event_id % 100 = 37 GROUP BY segment""")
+def chained_ledger(spark, sf_dir):
+    """Looks at the data as a hash-chained ledger, written in two changes; some entries are then changed, and found."""
+    s, e = _store(spark), table(spark, sf_dir, "events").filter("event_type = 'view'")
+    looks = e.select("event_id", F.to_json(F.struct("event_id", "user_id", "value")).alias("content"))
+    book = ledger.Ledger(s, "looks", size=50)
+    head = book.append(looks.filter("event_id % 2 = 0"), [F.asc("event_id")], ledger.GENESIS)
+    book.append(looks.filter("event_id % 2 = 1"), [F.asc("event_id")], head)
+    tampered = F.get_json_object("content", "$.event_id").cast("long") % 100 == 37
+    s.publish("looks", s.read("looks").withColumn("content", F.when(tampered, F.lit("{}")).otherwise(F.col("content"))))
+    return book.broken()
+
+
+@R.add("l13_snapshot_budget", """WITH RECURSIVE u AS (SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY user_id), o AS (SELECT user_id, n, row_number() OVER (ORDER BY latest DESC, user_id) AS rn FROM u),
+    f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(2000 AS HUGEINT) AS rest, CAST(NULL AS BIGINT) AS user_id, false AS keep UNION ALL SELECT o.rn, CASE WHEN o.n <= f.rest THEN f.rest - o.n ELSE f.rest END, o.user_id, o.n <= f.rest FROM f JOIN o ON o.rn = f.rn + 1) SELECT user_id FROM f WHERE keep""")
 def snapshot_budget(spark, sf_dir):
+    """What stays within the budget, the latest first; one that doesn't fit is skipped, and smaller ones behind it may stay."""
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
-    return order.running_sum(users, [F.desc("latest"), F.asc("user_id")], "n", "used").filter("used <= 2000").select("user_id")
+    return intervals.skipping_budget_of_all(users, [F.desc("latest"), F.asc("user_id")], "n", 2000).select("user_id")
 
 
 @R.add("w22_commit_retention", "SELECT event_id AS commit_id FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 5) OR event_id IN (SELECT max_by(event_id, struct_pack(t := ts, i := event_id)) FROM events GROUP BY CAST(ts AS DATE)) OR value > 400")
