@@ -267,10 +267,10 @@ def grown_neighbourhood(edges: DataFrame, weights: DataFrame, seeds: int, size:
 
 
 def blocker_edges(steps: DataFrame, entity: str, order: str, classes: str) -> DataFrame:
-    """cleared, revealed, n: for consecutive steps, each class that went with each that was never there before."""
-    by = Window.partitionBy(entity).orderBy(order)
-    before = F.lag(classes).over(by)
-    ever = F.flatten(F.collect_list(classes).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    marked = steps.select(F.array_except(before, classes).alias("gone"), F.array_except(classes, ever).alias("new"), before.isNotNull().alias("_ok"))
-    pairs = marked.filter("_ok").select(F.explode("gone").alias("cleared"), "new").select("cleared", F.explode("new").alias("revealed"))
-    return pairs.groupBy("cleared", "revealed").agg(F.count("*").alias("n"))
+    """cleared, revealed, n: for consecutive steps, each class that went with each that was never there before, which is where its
+    entity has it first. Orders are distinct within an entity."""
+    before = F.lag(classes).over(Window.partitionBy(entity).orderBy(order))
+    gone = steps.withColumn("_before", before).select(entity, order, F.explode(F.array_except("_before", classes)).alias("cleared"))
+    first = F.min(order).over(Window.partitionBy(entity, "revealed"))
+    new = steps.select(entity, order, F.explode(F.array_distinct(classes)).alias("revealed")).withColumn("_first", first).filter(F.col("_first") == F.col(order))
+    return gone.join(new.drop("_first"), [entity, order]).groupBy("cleared", "revealed").agg(F.count("*").alias("n"))

@@ -96,7 +96,9 @@ def hash_chain(spark, sf_dir):
     SELECT p_partkey, CASE WHEN rare THEN 4 * i + 3 ELSE CAST(floor(i / 3) AS BIGINT) * 4 + i % 3 END AS slot FROM r""")
 def exploration_slots(spark, sf_dir):
     """Every fourth slot goes to an exploring candidate while there are any; a slot number, so gaps close when sorted."""
-    return statement(spark, sf_dir, ORACLES["w20_exploration_slots"])
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.coalesce(F.col("p_size") % 3 == 0, F.lit(False)).alias("rare"))
+    placed = [order.numbered(part.filter(F.col("rare") == which), [F.desc("p_retailprice"), F.asc("p_partkey")], "i").select("p_partkey", slot.cast("long").alias("slot")) for which, slot in ((True, 4 * F.col("i") + 3), (False, F.floor(F.col("i") / 3) * 4 + F.col("i") % 3))]
+    return placed[0].unionByName(placed[1])
 
 
 @R.add("j12_containment", "WITH s AS (SELECT p_partkey AS id, p_partkey * 40 AS lo, p_partkey * 40 + p_size AS hi FROM part), p AS (SELECT event_id AS x FROM events) SELECT x, id FROM p JOIN s ON x >= lo AND x <= hi")

@@ -148,7 +148,8 @@ R.sql("g16_lineage_integrity", "SELECT c.conv_id, c.turn FROM conversations c WH
 R.sql("g22_shared_issue_groups", "SELECT md5(concat(event_type, ':', CAST(CAST(floor(value / 25) AS INT) AS STRING))) AS fingerprint, count(DISTINCT user_id) AS entities, min(user_id) AS one FROM events GROUP BY 1",
       "SELECT md5(concat(event_type, ':', CAST(CAST(floor(value / 25) AS INT) AS VARCHAR))) AS fingerprint, count(DISTINCT user_id) AS entities, min(user_id) AS one FROM events GROUP BY 1")
 R.sql("m5_exact_lookup", "SELECT a.doc_id, b.doc_id AS other_id, b.source FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id AND a.source <> b.source")
-R.sql("m8_point_in_time", """SELECT t.event_id, max(c.event_id) AS latest_earlier FROM (SELECT * FROM events WHERE event_type = 'purchase') t
+R.sql("m8_point_in_time", """SELECT event_id, latest_earlier FROM (SELECT event_id, event_type, max(event_id) OVER (PARTITION BY user_id ORDER BY unix_micros(CAST(ts AS TIMESTAMP)) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest_earlier FROM events) x
+      WHERE event_type = 'purchase' AND latest_earlier IS NOT NULL""", oracle="""SELECT t.event_id, max(c.event_id) AS latest_earlier FROM (SELECT * FROM events WHERE event_type = 'purchase') t
       JOIN events c ON c.user_id = t.user_id AND c.ts < t.ts GROUP BY t.event_id""")
 R.sql("m13_precision_recall", """SELECT count(*) FILTER (WHERE fired AND good) / CAST(greatest(count(*) FILTER (WHERE fired), 1) AS DOUBLE) AS precision, count(*) FILTER (WHERE fired AND good) / CAST(greatest(count(*) FILTER (WHERE good), 1) AS DOUBLE) AS recall
       FROM (SELECT d.n_chars > 500 AS fired, l.quality = 1 AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 5 = 0) x""")
