@@ -36,7 +36,14 @@ APART = frozenset("head nav aside footer form script style textarea noscript ifr
 HINTS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside comment comments commentlist respond disqus discussion replies"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations"
-    " breadcrumb breadcrumbs menu nav navbar navigation navi pagination pager footer masthead topbar toolbar widget widgets complementary contentinfo search".split()
+    " breadcrumb breadcrumbs menu nav navbar navigation navi pagination pager footer masthead topbar toolbar widget widgets complementary contentinfo search opinions reactions feedback".split()
+)
+#: Words that say where or how such a part stands, or who made it; a name with any other word is another kind of part.
+PLACES = frozenset(
+    "main site page pages global top bottom left right upper lower mid middle inner outer first last primary secondary tertiary header box boxes block blocks container wrap wrapper holder area zone region section"
+    " panel pane bar rail column col row list lists item items group content contents body text links link icons icon buttons button btn form field input slot unit space frame card cards grid stack tile tiles module modules component part"
+    " post posts entry entries article articles story stories news blog thread threads meta info data author reader readers user users visitor visitors guest by on in of the and for to at more"
+    " trail path list-item toggle trigger close open modal dialog message messages msg tab tabs dropdown drop sub mega mobile desktop sticky fixed floating skip js react wp google dfp gpt id count counter number title titles heading headline label name".split()
 )
 _NEVER = ("has", "no", "with", "without", "not")
 #: Start tags that end an open element of these kinds.
@@ -50,6 +57,15 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _WORD = re.compile(r"[a-z]+")
 
 
+def _named_apart(name: str, in_article: bool) -> bool:
+    """Whether one name of a class, id or role marks its part as none of the article: one of its words does and all others say where it stands."""
+    words = _WORD.findall(name)
+    if not words or words[0] in _NEVER:
+        return False
+    marks = [w in HINTS or (w == "header" and not in_article) for w in words]
+    return any(marks) and all(m or w in PLACES or len(w) < 2 for m, w in zip(marks, words))
+
+
 def _apart(tag: str, attrs: str, in_article: bool, hints: bool) -> bool:
     if tag in APART:
         return True
@@ -59,12 +75,9 @@ def _apart(tag: str, attrs: str, in_article: bool, hints: bool) -> bool:
         return False
     if _HIDDEN.search(attrs):
         return True
-    for m in _HINTED.finditer(attrs):
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
-            words = _WORD.findall(name)
-            if words and words[0] not in _NEVER and (("header" in words and not in_article) or any(w in HINTS for w in words)):
-                return True
-    return False
+    if in_article and tag in FLOW and tag not in ("ul", "ol", "dl", "table", "details"):
+        return False  # headings, paragraphs and code of the article, whatever they are called
+    return any(_named_apart(name, in_article) for m in _HINTED.finditer(attrs) for name in (m[2] or m[3] or m[4] or "").lower().split())
 
 
 class Tree:
@@ -72,6 +85,7 @@ class Tree:
 
     def __init__(self, page: str, hints: bool = True):
         self.tag, self.parent, self.apart, self.end = ["html"], [-1], [False], [0]
+        open_: dict[str, int] = {}
         self.attrs = [""]
         self.pieces: list[tuple[int, str] | None] = []
         stack, inside, at, n = [0], 0, 0, len(page)
@@ -81,6 +95,7 @@ class Tree:
             while len(stack) > k:
                 node = stack.pop()
                 self.end[node] = len(self.tag)
+                open_[self.tag[node]] -= 1
                 inside -= self.tag[node] in ("article", "main")
                 if self.tag[node] in BLOCK:
                     self.pieces.append(None)
@@ -97,7 +112,7 @@ class Tree:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag not in ("html", "body"):
+                if tag not in ("html", "body") and open_.get(tag):
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[k]] == tag:
                             close(k)
@@ -111,8 +126,9 @@ class Tree:
                 close(1)
             if tag in BLOCK:
                 self.pieces.append(None)
-                self._end_of(stack, {"p"}, close)
-            if tag in CLOSES:
+                if open_.get("p"):
+                    self._end_of(stack, {"p"}, close)
+            if tag in CLOSES and any(open_.get(kind) for kind in CLOSES[tag]):
                 self._end_of(stack, CLOSES[tag], close)
             if tag == "br":
                 self.pieces.append((stack[-1], " "))
@@ -120,7 +136,7 @@ class Tree:
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.attrs.append(m[3])
-            self.apart.append(self.apart[stack[-1]] or _apart(tag, m[3], inside > 0, hints))
+            self.apart.append(_apart(tag, m[3], inside > 0, hints))
             self.end.append(node + 1)
             if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
                 continue
@@ -132,8 +148,20 @@ class Tree:
                     at = n if at < 0 else at + 1
                 continue
             stack.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
             inside += tag in ("article", "main")
+        open_["html"] = 1
         close(0)
+        self._keep_headers()
+        for i in range(1, len(self.tag)):
+            self.apart[i] = self.apart[i] or self.apart[self.parent[i]]
+
+    def _keep_headers(self) -> None:
+        """A header that stands beside paragraphs, in a part below the body, has the title of what they say."""
+        prose = {self.parent[i] for i in range(len(self.tag)) if self.tag[i] == "p" and not self.apart[i]}
+        for i in range(1, len(self.tag)):
+            if self.tag[i] == "header" and self.parent[i] in prose and self.tag[self.parent[i]] not in ("html", "body"):
+                self.apart[i] = False
 
     def _end_of(self, stack: list[int], kinds: set[str], close) -> None:
         for k in range(len(stack) - 1, 0, -1):
