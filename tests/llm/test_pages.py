@@ -139,13 +139,13 @@ def test_densities_sums_and_choice_against_slow_ones():
 
 def test_names_and_headers_of_the_article_stay():
     page = "<body><div class=post><header><h1>Title</h1><p class=lead>Lead of it all, a sentence.</p></header><p>Body text is here, and it is long enough to be an article.</p><p>More of the same text, as articles have.</p></div></body>"
-    assert pages.main_text(page).split("\n\n")[:2] == ["Title", "Lead of it all, a sentence."]
+    assert main_text(page).split("\n\n")[:2] == ["Title", "Lead of it all, a sentence."]
     # a header of the page stands above the article, not beside its paragraphs
     page = "<body><div id=page><header><h1>Site</h1></header><div><p>Body text is here, and it is long enough to be an article.</p><p>More of the same text.</p></div></div></body>"
-    assert "Site" not in pages.main_text(page)
+    assert "Site" not in main_text(page)
     inside = '<section id="related-work"><p>Work that is related.</p></section><div class="social-science"><p>On science.</p></div><pre class="search-example">grep x</pre><h2 class="share-title">Shares</h2>'
     outside = '<div class="reader-opinions"><p>I liked it</p></div><div class="comments-area"><p>me too</p></div><div class="related-posts"><p>Other texts</p></div><div id="cookie-banner-2"><p>Cookies</p></div><ul class="share-buttons"><li>Share</li></ul>'
-    text = pages.main_text(f"<body><article><p>A first long paragraph of the article, with words.</p>{inside}{outside}</article></body>")
+    text = main_text(f"<body><article><p>A first long paragraph of the article, with words.</p>{inside}{outside}</article></body>")
     assert text.split("\n\n") == ["A first long paragraph of the article, with words.", "Work that is related.", "On science.", "grep x", "Shares"]
 
 
@@ -153,5 +153,5 @@ def test_many_open_elements_and_end_tags_that_match_none():
     import time
 
     start = time.time()
-    assert pages.main_text("<div>" + "<span>" * 20_000 + "text" + "</b></i></p>" * 20_000 + "<div>x</div>" * 2000).startswith("text")
+    assert main_text("<div>" + "<span>" * 20_000 + "text" + "</b></i></p>" * 20_000 + "<div>x</div>" * 2000).startswith("text")
     assert time.time() - start < 10
