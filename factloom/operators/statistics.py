@@ -72,6 +72,20 @@ def verdict(pairs: DataFrame) -> DataFrame:
     return x.select("missing", "lost", "gained", ladder.alias("verdict"))
 
 
+def backed_off(rows: DataFrame, entity: str, family: str, tiers: list[list[str]], hits: str, tries: str) -> DataFrame:
+    """``rows`` (sums ``hits`` and ``tries``) with tier, support and rate by the other entities: of the contexts ``tiers``, the most
+    particular first, the first in which another entity has tried the row's family; tier is its place, null if there is none. What the
+    others have is the context's sum less the entity's own, so no row meets another."""
+    out, tier, support, hit = rows, F.lit(None).cast("int"), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k, context in reversed(list(enumerate(tiers))):
+        whole, own = Window.partitionBy(family, *context), Window.partitionBy(family, *context, entity)
+        out = out.withColumn(f"_n{k}", F.sum(tries).over(whole) - F.sum(tries).over(own)).withColumn(f"_h{k}", F.sum(hits).over(whole) - F.sum(hits).over(own))
+        some = F.col(f"_n{k}") > 0
+        tier, support, hit = F.when(some, k).otherwise(tier), F.when(some, F.col(f"_n{k}")).otherwise(support), F.when(some, F.col(f"_h{k}")).otherwise(hit)
+    out = out.withColumn("tier", tier).withColumn("support", support).withColumn("rate", F.when(support > 0, hit / support))
+    return out.drop(*[f"_{c}{k}" for c in "nh" for k in range(len(tiers))])
+
+
 #: Cuts of a group's values in each round.
 _CUTS = 32
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import intervals, nearest, order, similarity
+from factloom.operators import intervals, nearest, order, similarity, statistics
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import ledger, loaders
 from factloom.sources.staging import staged
@@ -317,6 +317,19 @@ def backoff(spark, sf_dir):
     return t.select("user_id", "event_type", F.round(F.when(n > 0, k / n).otherwise(0.5), 9).alias("rate"))
 
 
+@R.add("x13_context_backoff", """WITH t AS (SELECT user_id, event_type, hour(ts) AS h, dayofmonth(ts) AS d, count(*) AS n, count(*) FILTER (WHERE value > 50) AS k FROM events GROUP BY ALL),
+    a AS (SELECT a.*, (SELECT struct_pack(n := sum(b.n), k := sum(b.k)) FROM t b WHERE b.event_type = a.event_type AND b.user_id <> a.user_id AND b.h = a.h AND b.d = a.d) AS x, (SELECT struct_pack(n := sum(b.n), k := sum(b.k)) FROM t b WHERE b.event_type = a.event_type AND b.user_id <> a.user_id AND b.d = a.d) AS y,
+      (SELECT struct_pack(n := sum(b.n), k := sum(b.k)) FROM t b WHERE b.event_type = a.event_type AND b.user_id <> a.user_id) AS z FROM t a)
+    SELECT user_id, event_type, CAST(h AS INT) AS hour, CAST(d AS INT) AS day, CASE WHEN x.n > 0 THEN 0 WHEN y.n > 0 THEN 1 WHEN z.n > 0 THEN 2 END AS tier, CAST(coalesce(x.n, y.n, z.n, 0) AS BIGINT) AS support,
+      round(CASE WHEN x.n > 0 THEN x.k / x.n WHEN y.n > 0 THEN y.k / y.n WHEN z.n > 0 THEN z.k / z.n END, 9) AS rate FROM a""")
+def context_backoff(spark, sf_dir):
+    """How often an action of a user paid off for others: on the same day and hour, on the same day, or ever."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day"), "value")
+    t = e.groupBy("user_id", "event_type", "hour", "day").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("k"))
+    out = statistics.backed_off(t, "user_id", "event_type", [["day", "hour"], ["day"], []], "k", "n")
+    return out.select("user_id", "event_type", "hour", "day", "tier", "support", F.round("rate", 9).alias("rate"))
+
+
 @R.add("x14_receipt_ratchet", "WITH a AS (SELECT user_id, max(value) AS l, count(*) FILTER (WHERE event_type = 'error') AS e FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, max(value) AS l, count(*) FILTER (WHERE event_type = 'error') AS e FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT count(*) AS states, count(*) FILTER (WHERE b.l < a.l) AS lost, count(*) FILTER (WHERE b.e > a.e) AS more_errors, count(*) FILTER (WHERE b.l < a.l OR b.e > a.e) = 0 AS holds FROM a JOIN b ON a.user_id = b.user_id")
 def receipt_ratchet(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["x14_receipt_ratchet"])
@@ -574,10 +587,10 @@ def heartbeat_changes(spark, sf_dir):
     return out.select("worker", F.col("at").cast("timestamp_ntz").alias("at"), "state")
 
 
-@R.add("g19_bounded_expansion", "WITH RECURSIVE s AS (SELECT CAST(1 AS BIGINT) AS v, 0 AS d UNION SELECT CASE WHEN k = 0 THEN v * 2 ELSE v + 3 END, d + 1 FROM s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) o WHERE d < 6) SELECT v, min(d) AS depth FROM s GROUP BY v")
+@R.add("g19_bounded_expansion", "WITH RECURSIVE s AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS v, 0 AS d FROM part UNION SELECT CASE WHEN k = 0 THEN v * 2 ELSE v + 3 END, d + 1 FROM s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) o WHERE d < 6) SELECT v, min(d) AS depth FROM s GROUP BY v")
 def bounded_expansion(spark, sf_dir):
-    """States reached by doubling or adding three in at most six steps, each once."""
-    seen = staged(spark.createDataFrame([(1, 0)], "v long, depth int"))
+    """States reached from the sizes of parts by doubling or adding three in at most six steps, each once."""
+    seen = staged(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("v"), F.lit(0).alias("depth")).distinct())
     for d in range(1, 7):
         last = seen.filter(F.col("depth") == d - 1)
         fresh = last.select(F.explode(F.array(F.col("v") * 2, F.col("v") + 3)).alias("v")).distinct().join(seen, "v", "left_anti").withColumn("depth", F.lit(d))

@@ -38,6 +38,18 @@ def linker_map(spark, sf_dir):
     return loaders.sections(spark, path).groupBy("object_path").agg(F.sum("size").alias("size"))
 
 
+@R.add("s6_symbols_of_objects", "SELECT 'part_' || CAST(p_partkey AS VARCHAR) AS name, p_partkey * 64 + 2147483648 AS addr, 'build/' || replace(p_brand, '#', '') || '_' || CAST(p_partkey // 8 AS VARCHAR) || '.o' AS object_path, '.text' AS section FROM part")
+def symbols_of_objects(spark, sf_dir):
+    """Symbols and the object that each stands in, from linker maps in which each section line has its symbols below it."""
+    path = _folder(spark)
+    part = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 8).alias("tu"), F.regexp_replace("p_brand", "#", "").alias("brand"))
+    each = part.groupBy("tu", "brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"))  # of one object
+    section = F.format_string(" .text          0x%08x       0x%x build/%s_%d.o", F.col("keys")[0] * 64 + 0x80000000, F.size("keys") * 64, "brand", "tu")
+    names = F.transform("keys", lambda k: F.format_string("                0x%08x                part_%d", k * 64 + 0x80000000, k))
+    each.select(F.array_join(F.concat(F.array(section), names, F.array(F.lit(" *fill*         0x80000000        0x4 "))), "\n").alias("value")).write.text(path)
+    return loaders.map_symbols(spark, path).select("name", "addr", "object_path", "section")
+
+
 @R.add("s7_symbol_file", "SELECT 'part_' || CAST(p_partkey AS VARCHAR) AS name, p_partkey + 2147483648 AS addr, CASE WHEN p_size % 2 = 0 THEN 'func' END AS kind FROM part")
 def symbol_file(spark, sf_dir):
     path = _folder(spark)

@@ -53,6 +53,21 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("section <> ''")
 
 
+def map_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, addr, object_path, section of the symbol lines of linker maps (an address and a name): a symbol belongs to the
+    section line last above it in its file, and symbols above the first one to none. Lines are numbered by the block of the file that
+    they are read in and their place in it, so a large map is read by several tasks."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    lines = spark.read.text(path).select(*place, "value")
+    part = lambda g: F.regexp_extract("value", r"^\s+(\.\w+)\s+0x([0-9A-Fa-f]+)\s+0x([0-9A-Fa-f]+)\s+(\S+)\s*$", g)
+    name = lambda g: F.regexp_extract("value", r"^\s+0x([0-9A-Fa-f]+)\s+([^\s=]+)\s*$", g)
+    rows = lines.select("file", "_block", "_at", F.nullif(part(4), F.lit("")).alias("object_path"), F.nullif(part(1), F.lit("")).alias("section"), F.nullif(name(2), F.lit("")).alias("name"), F.conv(name(1), 16, 10).cast("long").alias("addr"))
+    above = Window.partitionBy("file").orderBy("_block", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("object_path").isNotNull(), F.struct("object_path", "section")), ignorenulls=True).over(above)
+    rows = rows.filter("object_path IS NOT NULL OR name IS NOT NULL").withColumn("_last", last)
+    return rows.filter("name IS NOT NULL").select("file", "name", "addr", F.col("_last.object_path").alias("object_path"), F.col("_last.section").alias("section"))
+
+
 def symbol_identity(files: DataFrame) -> DataFrame:
     """name, status, addr: one address, a conflict, or unresolved, over all files (name, addr)."""
     found = files.groupBy("name").agg(F.count_distinct("addr").alias("n"), F.min("addr").alias("addr"))

@@ -169,6 +169,10 @@ def test_loaders(spark, tmp_path):
     assert syms == {"main": (0x80001000, "func"), "data_1": (0xFFFFFFFF, None)}
     (tmp_path / "m.map").write_text(" .text          0x80000400       0x1c build/a.o\n junk\n .data  0x80000500 0x10 build/b.o\n")
     assert {(r.object_path, r.size) for r in loaders.sections(spark, str(tmp_path / "m.map")).collect()} == {("build/a.o", 28), ("build/b.o", 16)}
+    (tmp_path / "n.map").write_text("                0x80000000                early\n .text          0x80000400       0x1c build/a.o\n                0x80000400                main\n                0x80000410                helper\n *fill*  0x8000041c 0x4\n"
+                                    " .data          0x80000500 0x10 build/b.o\n                0x80000500                table\n                0x1                _size = 0x10\n")
+    assert sorted((r.name, r.addr, r.object_path, r.section) for r in loaders.map_symbols(spark, str(tmp_path / "n.map")).collect()) == [
+        ("early", 0x80000000, None, None), ("helper", 0x80000410, "build/a.o", ".text"), ("main", 0x80000400, "build/a.o", ".text"), ("table", 0x80000500, "build/b.o", ".data")]
     files = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", None)], "name string, addr long")
     assert {r.name: r.status for r in loaders.symbol_identity(files).collect()} == {"a": "resolved", "b": "conflict", "c": "unresolved"}
     new = spark.createDataFrame([("g", 0, 10), ("g", 50, 60), ("h", 20, 30)], "grp string, lo long, hi long")
