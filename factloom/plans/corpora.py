@@ -233,7 +233,8 @@ def distances(spark, sf_dir):
 
 @R.add("f12_alignment")
 def alignments(spark, sf_dir):
-    from factloom.functions.sequences import aligned, block_distance, change_vector
+    from factloom.functions.matching import block_distance, change_vector
+    from factloom.functions.sequences import aligned
 
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "[.\\n]").alias("w"))
     nxt = d.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
