@@ -40,7 +40,7 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 #: Levels that are found one by one before chains are drawn together.
-_SHALLOW = 8
+_SHALLOW = 12
 
 
 def levels(edges: DataFrame) -> DataFrame:
