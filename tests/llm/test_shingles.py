@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as cp
 from test_simhash import same_parts
 
-from factloom.llm import simhash
+from factloom.llm import shingles, simhash
 
 
 def by_brute_force(texts):
@@ -72,6 +72,25 @@ def test_groups_against_brute_force(spark, common):
     assert {r.doc_id for r in rows if r.first} == set(least.values())
 
 
+@pytest.mark.parametrize("least", [0, 1])
+def test_many_edited_copies_of_one_text(spark, monkeypatch, least):
+    rnd, seen = random.Random(5), []
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for i in rnd.sample(range(150), rnd.randint(least, 6)):
+            w[i] = f"e{rnd.randrange(40)}" if k % 4 else f"own{k}x{i}"
+        texts.append(" ".join(w))
+    crowded = shingles._crowded
+    monkeypatch.setattr(shingles, "_crowded", lambda rows: seen.append(crowded(rows)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.root for r in simhash.similar_groups(docs, common=4).select("row.doc_id", "root").collect()}
+    want = by_brute_force(texts)
+    assert seen == [True] and 2 < len(set(want)) < 160
+    assert same_parts([of[i] for i in range(len(texts))], want)
+
+
 def test_one_row_of_each_group_whatever_the_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(None, a), (None, a), (None, b), (5, b), (5, b), (5, "c d e"), (7, a + " z")]
