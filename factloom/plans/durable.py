@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import intervals, nearest, order, similarity, statistics
+from factloom.operators import intervals, nearest, order, queues, similarity, statistics
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import ledger, loaders
 from factloom.sources.staging import staged
@@ -438,6 +438,20 @@ def fair_queue(spark, sf_dir):
     return order.numbered(e, turn).select("user_id", "band", (F.col("place") + 1).alias("place"))
 
 
+@R.add("o9_projected_queue", """WITH RECURSIVE v AS (SELECT l_partkey AS node, count(*) AS visits FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+      i AS (SELECT p_partkey AS node, p_partkey // 3 AS needs, p_size % 7 <> 0 AS open, coalesce(visits, 0) // 2 AS band, p_size % 6 AS lane, CASE WHEN p_size < 49 THEN p_brand END AS unit, CASE WHEN p_size % 5 <> 0 THEN p_size * 1000 + p_partkey % 1000 END AS address, p_size FROM part LEFT JOIN v ON p_partkey = v.node),
+      o AS (SELECT * FROM i WHERE open), d AS (SELECT o.node, 0 AS depth FROM o WHERE needs = node OR needs NOT IN (SELECT node FROM o) UNION ALL SELECT o.node, depth + 1 FROM d JOIN o ON o.needs = d.node AND o.node <> d.node),
+      c AS (SELECT needs AS node, count(*) AS callers FROM o WHERE needs <> node GROUP BY 1), u AS (SELECT unit, count(*) FILTER (WHERE open) AS in_unit, min(address) AS least FROM i WHERE unit IS NOT NULL GROUP BY 1),
+      r AS (SELECT unit, in_unit, row_number() OVER (ORDER BY least NULLS LAST, unit) - 1 AS unit_rank FROM u WHERE in_unit > 0)
+      SELECT o.node, band, lane, depth, coalesce(callers, 0) AS callers, in_unit, unit_rank, row_number() OVER (ORDER BY band, lane, depth, coalesce(callers, 0) DESC, in_unit NULLS LAST, unit_rank NULLS LAST, p_size, o.node) - 1 AS place
+      FROM o JOIN d ON d.node = o.node LEFT JOIN c ON c.node = o.node LEFT JOIN r ON r.unit = o.unit""")
+def projected_queue(spark, sf_dir):
+    visits = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("visits"))
+    p = table(spark, sf_dir, "part")
+    items = p.selectExpr("p_partkey AS node", "p_size % 7 <> 0 AS open", "p_size % 6 AS lane", "CASE WHEN p_size < 49 THEN p_brand END AS unit", "CASE WHEN p_size % 5 <> 0 THEN p_size * 1000 + p_partkey % 1000 END AS address", "p_size AS size")
+    return queues.projected(items.join(visits, "node", "left"), p.selectExpr("p_partkey AS src", "p_partkey DIV 3 AS dst"))
+
+
 @R.add("o6_first_success_in_budget", "WITH o AS (SELECT user_id, event_id, event_type, sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS spent FROM events) SELECT user_id, min(spent) AS cost FROM o WHERE event_type = 'purchase' AND spent <= 800 GROUP BY user_id")
 def first_success(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["o6_first_success_in_budget"])
