@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import intervals, nearest, order, queues, similarity, statistics
+from factloom.operators import intervals, nearest, order, queues, similarity, statistics, validation
 from factloom.plans.registry import Registry, statement, table
 from factloom.sources import ledger, loaders
 from factloom.sources.staging import staged
@@ -452,6 +452,22 @@ def projected_queue(spark, sf_dir):
     return queues.projected(items.join(visits, "node", "left"), p.selectExpr("p_partkey AS src", "p_partkey DIV 3 AS dst"))
 
 
+@R.add("d3_layout_census", """WITH f AS (SELECT l_suppkey AS func, l_linenumber AS param, l_partkey % 44 - 2 AS off, CAST(l_quantity AS INT) % 5 + 1 AS width, l_returnflag = 'R' AS is_load, l_linestatus = 'F' AND l_discount < 0.02 AS copied FROM lineitem),
+      s AS (SELECT s_suppkey AS func, k AS param, CASE WHEN (s_suppkey + k) % 6 > 0 THEN 'Brand#' || (s_suppkey % 6 + 1) || (k % 5 + 1) END AS struct FROM supplier CROSS JOIN (SELECT unnest(range(1, 6)) AS k) x),
+      y AS (SELECT p_brand AS struct, p_partkey % 42 AS off, p_size % 5 + 1 AS width, p_size % 3 = 0 AS padding FROM part),
+      a AS (SELECT struct, off, count(*) FILTER (WHERE NOT padding) AS fields, max(width) FILTER (WHERE NOT padding) AS widest, list(width) FILTER (WHERE NOT padding) AS widths FROM y GROUP BY 1, 2),
+      h AS (SELECT CASE WHEN s.func IS NULL THEN 'no_signature' WHEN s.struct IS NULL THEN 'param_not_struct' WHEN s.struct NOT IN (SELECT struct FROM y) THEN 'struct_unknown' WHEN f.off < 0 THEN 'negative_offset'
+      WHEN a.off IS NULL THEN 'offset_uncovered' WHEN a.fields = 0 THEN 'offset_in_padding' WHEN f.copied THEN 'bulk_copy_excluded' WHEN list_contains(a.widths, f.width) THEN 'agree' WHEN f.is_load AND f.width < a.widest THEN 'subfield_read' ELSE 'disagree' END AS outcome
+      FROM f LEFT JOIN s ON f.func = s.func AND f.param = s.param LEFT JOIN a ON a.struct = s.struct AND a.off = f.off)
+      SELECT outcome, count(*) AS n, (SELECT CAST(floor(1000.0 * count(*) FILTER (WHERE outcome = 'agree') / count(*)) AS BIGINT) FROM h WHERE outcome IN ('agree', 'subfield_read', 'disagree')) AS accuracy_milli FROM h GROUP BY outcome""")
+def layout_census(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS func", "l_linenumber AS param", "l_partkey % 44 - 2 AS offset", "CAST(l_quantity AS INT) % 5 + 1 AS width", "l_returnflag = 'R' AS is_load", "l_linestatus = 'F' AND l_discount < 0.02 AS copied")
+    params = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+    signatures = params.selectExpr("s_suppkey AS func", "k AS param", "CASE WHEN (s_suppkey + k) % 6 > 0 THEN concat('Brand#', s_suppkey % 6 + 1, k % 5 + 1) END AS struct")
+    layouts = table(spark, sf_dir, "part").selectExpr("p_brand AS struct", "p_partkey % 42 AS offset", "p_size % 5 + 1 AS width", "p_size % 3 = 0 AS padding")
+    return validation.census(validation.held_against_layouts(facts, signatures, layouts))
+
+
 @R.add("o6_first_success_in_budget", "WITH o AS (SELECT user_id, event_id, event_type, sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS spent FROM events) SELECT user_id, min(spent) AS cost FROM o WHERE event_type = 'purchase' AND spent <= 800 GROUP BY user_id")
 def first_success(spark, sf_dir):
     return statement(spark, sf_dir, ORACLES["o6_first_success_in_budget"])
