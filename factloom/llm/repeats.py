@@ -262,8 +262,10 @@ def repeated_places(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
     per = stage(names.groupBy("suffix").agg(F.count("*").alias("names"), F.sum("n").alias("all")).filter("all > 1").drop("all"), "suffix-names")
     shared = stage(names.join(per, "suffix"), "shared-names")
     unstage(names)
+    unstage(per)
     some = stage(found.join(shared, ["suffix", "whole"]), "repeated-phrases")
     unstage(found)
+    unstage(shared)
     at = F.shiftright("place", 16)
     spans = ["k1", "k2", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")]
     each = F.explode(F.array(*[F.lit(n).cast("long") for n in s.lengths])).alias("length")
@@ -271,8 +273,10 @@ def repeated_places(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
     # suffixes with more than one whole name; one phrase of each name takes part
     one = some.filter("names > 1").groupBy("suffix", "whole").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("place").alias("place"), F.first("names").alias("names"))
     open_ = stage(one, "open-phrases")
-    crowded = open_.filter(F.col("names") > CROWD).select("suffix").distinct()
     context = stage(_contexts(docs, open_, s), "phrase-contexts")
+    # few rows; staged, as the table that it is taken from goes
+    crowded = stage(open_.filter(F.col("names") > CROWD).select("suffix").distinct(), "crowded-suffixes")
+    unstage(open_)
     few = context.join(crowded, "suffix", "left_anti")
     near = few.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(partial(_order, s=s), _SPANS)
     # crowded suffixes: each string is a row of its own, keyed by all that tells it apart
@@ -285,7 +289,10 @@ def repeated_places(docs: DataFrame, s: Strings = Strings()) -> DataFrame:
     equal = rows.groupBy("suffix", "d", "length", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     place = (F.col("start") - F.col("d")).alias("first")
     many = rows.join(equal, ["suffix", "d", "length", "string"]).select("k1", "k2", place, place.alias("last"), "length")
-    return alike.unionByName(near).unionByName(many)
+    out = stage(alike.unionByName(near).unionByName(many), "repeated-places")
+    for done in (some, context, crowded):
+        unstage(done)
+    return out
 
 
 def cut_spans(raw: bytes, runs: list[dict] | None, length: int, least_words: int = 0) -> list[tuple[int, int]]:
@@ -319,26 +326,28 @@ def _with_runs(docs: DataFrame, s: Strings) -> DataFrame:
     """row (a struct of the columns of ``docs``), text, runs: every row of ``docs`` with the runs of its text, null where
     nothing is repeated."""
     text_batches(docs.sparkSession)
-    runs = stage(repeated_places(docs, s), "repeated-places").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "length")).alias("runs"))  # of one text
+    runs = repeated_places(docs, s).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "length")).alias("runs"))  # of one text
     keyed = docs.select(packed(docs), "text").select("row", "text", *_key_columns(F.coalesce("text", F.lit(""))))
     return keyed.join(runs, ["k1", "k2"], "left").select("row", "text", "runs")
 
 
-def removals(docs: DataFrame, length: int = 400, passages: int | None = None, least_words: int = 50) -> DataFrame:
+def removals(docs: DataFrame, length: int = 400, passages: int | None = None, least_words: int = 50, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in the same text or another; what
     is equal is judged on the input. So texts of that length that occur twice go wholly. A null text is empty. Rows with
     equal or null ids stay apart. An empty table gives none. Other columns are not read.
 
-    With ``passages``, a smaller length, there is ``text`` too: each text as :func:`without_repeats` leaves it for strings of
-    that length and stretches of ``least_words`` words; null texts stay null.
+    With ``passages``, a smaller length, there are ``text`` too (unless ``texts`` is false): each text as :func:`without_repeats`
+    leaves it for strings of that length and stretches of ``least_words`` words, null texts stay null; and n_passages and
+    n_passage_bytes: how many such stretches the text has, and their bytes.
     """
+    texts = texts and passages is not None
     s = Strings(length) if passages is None else Strings(passages, (length,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = [], []
+            rows, kept_texts, stretches = [], [], []
             for text, runs in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 spans = cut_spans(raw, runs, length)
@@ -349,15 +358,21 @@ def removals(docs: DataFrame, length: int = 400, passages: int | None = None, le
                 kept.update(raw[at:])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
                 if passages is not None:
-                    texts.append(_without(raw, cut_spans(raw, runs, passages, least_words)).decode("utf-8") if text.is_valid else None)
+                    found = cut_spans(raw, runs, passages, least_words)
+                    stretches.append((len(found), sum(b - a for a, b in found)))
+                    if texts:
+                        kept_texts.append(_without(raw, found).decode("utf-8") if text.is_valid else None)
             n, gone, spans, digest = zip(*rows) if rows else ([], [], [], [])
             cols = {"doc_id": batch.column(0), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            if texts:
+                cols["text"] = pa.array(kept_texts, pa.string())
             if passages is not None:
-                cols["text"] = pa.array(texts, pa.string())
+                for k, name in enumerate(("n_passages", "n_passage_bytes")):
+                    cols[name] = pa.array([x[k] for x in stretches], pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     rows = _with_runs(docs.select("doc_id", "text"), s).select("row.doc_id", "text", "runs")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * (passages is not None))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts + ", n_passages long, n_passage_bytes long" * (passages is not None))
 
 
 def without_repeats(docs: DataFrame, s: Strings = Strings(), least_words: int = 0) -> DataFrame:

@@ -115,3 +115,23 @@ def test_stretches_of_few_words_stay_and_clashing_columns_pass(spark):
     out = without_repeats(docs, Strings(200), 50).select("row.*").collect()
     # the slashes are repeated as well
     assert sorted(map(tuple, out)) == [(k, f"{own(k)}{own(k + 9)} {short} {own(k + 14)}", 7, "s") for k in (1, 2, 3)]
+
+
+def test_passages_of_51_words_below_the_length_are_told(spark):
+    own = lambda k: " ".join(f"{chr(97 + k)}{i}{chr(97 + k)}" for i in range(60))
+    passage, short = " ".join(f"w{i}or" for i in range(51)), " ".join(f"longer{i}words" for i in range(20))
+    assert len(passage) < 400 and len(short) > 200
+    rows = [(1, f"{own(1)}/{passage}/{own(2)}"), (2, f"{own(3)}/{passage}/{own(4)}"), (3, f"{own(5)} {short} {own(6)}"), (4, f"{own(7)} {short} {own(8)}"), (5, None), (6, own(9))]
+    out = {r.doc_id: r for r in removals(spark.createDataFrame(rows, "doc_id long, text string"), 400, passages=200, texts=False).collect()}
+    # the contract's columns are about strings of 400 bytes alone; the slashes are repeated as well
+    assert [tuple(out[i])[1:5] for i, _ in rows] == slow([t for _, t in rows])
+    assert {i: (r.n_passages, r.n_passage_bytes) for i, r in out.items()} == {1: (1, len(passage) + 2), 2: (1, len(passage) + 2), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
+
+
+def test_the_query_tells_passages_behind_the_contracts_columns(spark, sf):
+    from factloom.llm.queries import QUERIES
+
+    out = QUERIES["op6_prefix_free_repeats"](spark, sf)
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    # who loses 400 bytes of 50 words has a passage
+    assert out.filter("n_passages > 0").count() > 0 and out.filter("n_passages = 0 AND n_passage_bytes > 0").count() == 0
