@@ -1,14 +1,13 @@
 """Write the token ids of documents to files in id order, and read them back.
 
-The tokens come from the tokenizers library. A word's ids don't depend on the words around it, so each worker hands the
-library every word that it hasn't met lately, all new words of a batch in one call, and looks up the rest.
+The tokens come from the tokenizers library. A word's ids don't depend on the words around it, so each worker asks the
+library for every word that it hasn't met lately, for letters without their case and without what stands behind them.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
-from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +20,34 @@ from factloom.llm.shared import new_path, stage, text_batches, unstage
 
 #: Words that are remembered in each of two generations, and the longest such word.
 MEMO_WORDS, MEMO_CHARS = 300_000, 48
-MARK = "\u0663"
 BLOCK_SCHEMA = (
     "part int, block int, before long, doc_ids array<long>, lengths array<int>, n_ids long, lanes int, payload binary, checkpoints binary, bytes_crc32 long, ids_crc32 long"
 )
 _tokenizers: dict[str, LibraryWords] = {}
 
 
-class LibraryWords:
-    """Ids of words as the library has them, as little-endian bytes: 2 for each id if the vocabulary allows, else 4."""
+class LibraryWords(dict):
+    """Ids of words as the library has them, as little-endian bytes: 2 for each id if the vocabulary allows, else 4. As a
+    mapping it remembers words that it met lately."""
 
     def __init__(self, path: str, least_size: int = 0):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), least_size)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        # a numeral is always a piece of its own, so it marks where a word ends
-        self.mark = np.array(self.one(MARK), np.int64)
-
+        self.older: dict[str, bytes] = {}
+        # ids of small letters and of ASCII punctuation behind them; forgotten with the words
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.symbols = byte_symbols()
-        self.stops = {c: self.pack(self.one(c)) for c in ".,"}
+        self.packed = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.size)]
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+        return b"".join([self.packed[i] for i in ids])
 
     def one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -56,48 +55,39 @@ class LibraryWords:
     def words(self, text: str) -> list[str]:
         return _CHUNK.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
-    def learn(self, words: set[str]) -> None:
-        """Look up words that aren't known, all in one call."""
-        known = words.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        new = []
-        tokenize, young = self.library.model.tokenize, self.young
-        for word in words - known:
-            # letters, with at most one stop behind them: the library's model has their ids without its text pipeline
-            stem = word[:-1] if word[-1] in self.stops else word
-            if stem.isascii() and stem.isalpha():
-                young[word] = self.pack([t.id for t in tokenize(stem.lower())]) + (self.stops[word[-1]] if stem is not word else b"")
-            elif stem.isalpha() and Encoder.stays_letters(stem):
-                young[word] = self.pack([t.id for t in tokenize("".join(map(self.symbols.__getitem__, stem.lower().encode())))]) + (self.stops[word[-1]] if stem is not word else b"")
-            else:
-                new.append(word)
-        plain = [w for w in new if "<|" not in w and MARK not in w]
-        if plain:
-            ids = np.array(self.one(f" {MARK} ".join(plain) + f" {MARK}"), np.int64)
-            n, hit = len(self.mark), np.ones(len(ids), bool)
-            for k, x in enumerate(self.mark):  # the last id of each mark
-                hit &= np.roll(ids, n - 1 - k) == x
-            ends = np.flatnonzero(hit)
-            if len(ends) == len(plain):
-                raw, wide = ids.astype(self.kind).tobytes(), int(self.kind[-1])
-                starts = np.concatenate([[0], ends[:-1] + 1]) * wide
-                self.young.update(zip(plain, [raw[a:b] for a, b in zip(starts.tolist(), ((ends - n + 1) * wide).tolist())]))
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > MEMO_CHARS:
+            return self.pack(self.one(word))
+        ids = self.older.get(word)
+        if ids is None:
+            # letters, with a run of ASCII punctuation behind them at most: two pieces, so the library's model has the ids of the
+            # first without its text pipeline; words that differ in case and in the run share them
+            stem = word.rstrip(punctuation)
+            plain = stem.isascii()
+            if stem.isalpha() and (plain or Encoder.stays_letters(stem)):
+                low = stem.lower()
+                ids = self.stems.get(low)
+                if ids is None:
+                    piece, packed = low if plain else "".join(map(self.symbols.__getitem__, low.encode())), self.packed
+                    ids = self.stems[low] = b"".join([packed[t.id] for t in self.library.model.tokenize(piece)])
+                if len(stem) < len(word):
+                    tail = word[len(stem) :]
+                    if tail not in self.tails:
+                        self.tails[tail] = self.pack(self.one(tail))
+                    ids += self.tails[tail]
             else:
-                plain = []
-        for word in set(new).difference(plain) if len(plain) < len(new) else ():
-            self.young[word] = np.array(self.one(word), self.kind).tobytes()
+                ids = self.pack(self.one(word))
+        self[word] = ids
+        return ids
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.young)
-        long = {w for w in new if len(w) > MEMO_CHARS}
-        self.learn(new - long)
-        found = self.young
-        if long:  # not remembered
-            found = found | {w: np.array(self.one(w), self.kind).tobytes() for w in long}
-        out = [b"".join(map(found.__getitem__, words)) for words in split]
-        if len(self.young) > MEMO_WORDS:
-            self.old, self.young = self.young, {}
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.__getitem__, self.words(text))) if text else b"")
+            if len(self) > MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+                self.stems, self.tails = {}, {}
         return out
 
 
@@ -129,8 +119,11 @@ def vocabulary_counts(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                counts += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=size)
+            # the ids of all rows at once, as they lie one behind the other
+            ids = batch.column(0)
+            ends = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
+            if len(ids):
+                counts += np.bincount(np.frombuffer(ids.buffers()[2].slice(ends[0], ends[-1] - ends[0]), kind), minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["id", "n"])
 

@@ -46,6 +46,29 @@ def test_words_as_the_library_has_them():
         assert np.frombuffer(ids, words.kind).tolist() == lib.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_that_differ_in_case_and_punctuation_ask_the_library_once():
+    lib, words, asked = Tokenizer.from_file(PATH), LibraryWords(PATH), []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return lib.model.tokenize(piece)
+
+    class Library:
+        model = Model()
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return lib.encode(text, **options)
+
+    words.library = Library()
+    texts = ["Sea sea SEA, sea. sea!! Sea&&&", "sea?! (sea) it's sea's sea' É! é!", "a_ a_b _ É\u0301! <| sea<|endoftext|> sea<| ..."]
+    for text, ids in zip(texts, words.encode_batch(texts)):
+        assert np.frombuffer(ids, words.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert asked.count("sea") == 1 and not any(x in asked for x in ("sea!!", "Sea&&&", "sea?!"))
+    assert not any("Sea&&&" in x for x in asked)
+
+
 def test_files_give_back_every_document(spark, sf):
     lib = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
