@@ -115,9 +115,16 @@ _SAFE = 80.0
 _ROWS = 4096
 
 
-def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
+def outputs(p: dict[str, np.ndarray], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, float]:
+    """What makes logits of classes and of words from a state with a 1 behind it, and the largest logit of states within one."""
+    to_class = np.concatenate([p["Wc"], p["bc"][None]]).astype(kind)
+    to_word = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1).astype(kind, copy=False)
+    return to_class, to_word, max(np.abs(to_class).sum(0).max(), (np.abs(to_word) @ np.ones(HIDDEN + 1, kind)).max())
+
+
+def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: dict | None = None, out_of: tuple | None = None) -> np.ndarray:
     """Natural log-probability of each y after states hs. With ``grads``, adds the gradients of their negative sum there
-    and puts that by hs under "hs".
+    and puts that by hs under "hs". ``out_of`` is that of ``outputs``, where many calls have the same parameters.
 
     Rows are brought into the order of their classes. Logits of the classes are one product for all rows, those of the words
     one for each class; all else is done for all rows at once.
@@ -133,10 +140,9 @@ def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: di
     own = y - cls * size
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     parts = [(c, bounds[c], bounds[c + 1]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
-    to_class = np.concatenate([p["Wc"], p["bc"][None]]).astype(kind)
-    to_word = np.concatenate([p["Wo"], p["bo"][:, None]], axis=1).astype(kind, copy=False)
+    to_class, to_word, most = out_of or outputs(p, kind)
     reach = max(1.0, float(np.abs(hs).max(initial=0)))
-    safe = max(np.abs(to_class).sum(0).max(), (np.abs(to_word) @ np.ones(HIDDEN + 1, kind)).max()) * reach <= _SAFE
+    safe = most * reach <= _SAFE
     rows = np.arange(n)
 
     x, words = _room("classes", (n, CLASSES), kind), _room("words", (n, size), kind)
@@ -240,11 +246,13 @@ class Adam:
 
     def step(self, g: np.ndarray, share: float = 1.0) -> None:
         """By gradients ``g``, which are used up, and so long a share of a whole step."""
-        g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
+        size, part = float(np.sqrt(g @ g)), _room("part", g.shape, g.dtype)
+        if size > 1.0:
+            g *= np.float32(1.0 / size)
         self.t += 1
         rate = np.float32(share) * self.rate * np.float32(np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         self.m *= np.float32(0.9)
-        self.m += np.float32(0.1) * g
+        self.m += np.multiply(g, np.float32(0.1), out=part)
         np.multiply(g, g, out=g)
         g *= np.float32(0.01)
         self.v *= np.float32(0.99)
@@ -332,7 +340,7 @@ def train(vector: np.ndarray, vocabulary: int, docs: Iterator[tuple[object, np.n
 def score(p: dict[str, np.ndarray], docs: Iterator[tuple[object, np.ndarray]], lanes: int, steps: int, stretch: int = 1) -> Iterator[tuple[object, float]]:
     """Log10-probability of each whole document, as it ends."""
     table, state = inputs(p), np.zeros((lanes, HIDDEN), np.float32)
-    sums = np.zeros(lanes)
+    sums, out_of = np.zeros(lanes), outputs(p, state.dtype)
     before: dict[int, object] = {}
     for names, x, y, mask, live, begins in windows(docs, lanes, steps, stretch):
         h = state[live]
@@ -344,7 +352,7 @@ def score(p: dict[str, np.ndarray], docs: Iterator[tuple[object, np.ndarray]], l
         states = run(p, table, x, h)[0]
         state[live] = states[-1]
         lp, hs, ys = np.zeros(x.shape), states[1:][mask], y[mask]
-        lp[mask] = np.concatenate([log_probs(p, hs[i : i + _ROWS], ys[i : i + _ROWS]) for i in range(0, len(ys), _ROWS)])
+        lp[mask] = np.concatenate([log_probs(p, hs[i : i + _ROWS], ys[i : i + _ROWS], out_of=out_of) for i in range(0, len(ys), _ROWS)])
         sums[live] += lp.sum(0) / np.log(10)
     for k, name in before.items():
         yield name, float(sums[k])

@@ -49,9 +49,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words in UTF-8: of bytes, only A-Z become small and only ASCII white space parts words."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def split(text: pa.StringScalar) -> list[bytes]:
+    """Words in UTF-8: of bytes, only A-Z become small and only ASCII white space parts words. The text's bytes are taken as they lie."""
+    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(split(text.as_py()))
+                counts.update(split(text))
             if len(counts) > _COUNTED:
                 yield give()
                 counts.clear()
@@ -102,7 +102,7 @@ def _averaged(spark, docs: DataFrame, params: dict[str, np.ndarray], words: dict
         def each():
             for batch in batches:
                 for text in batch.column(0):
-                    found = split(text.as_py())
+                    found = split(text)
                     yield None, np.append(np.fromiter(map(vocab.get, found, repeat(gru.TAIL)), np.int32, len(found)), np.int32(gru.END))
 
         read = gru.train(p, size, each(), s.train_lanes, s.train_steps, s.rate, s.train_stretch)
@@ -177,7 +177,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             nonlocal row
             for batch in batches:
                 for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    found = split(text.as_py())
+                    found = split(text)
                     at = np.fromiter(map(common.get, found, repeat(-1)), np.int32, len(found))
                     rare = np.flatnonzero(at < 0)
                     base = float(logs[at[at >= 0]].sum()) + log_end

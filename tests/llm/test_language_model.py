@@ -95,3 +95,18 @@ def test_every_window_trains_the_model():
     assert gru.train(vector, 128, iter(docs), 1, s.train_steps, s.rate) == 4 * s.train_steps
     p = gru.unflat(vector, 128)
     assert all((p["E"][10 * k] != old["E"][10 * k]).any() for k in range(1, 5))
+
+
+def test_output_weights_are_laid_out_once_for_a_scoring(monkeypatch):
+    made, outputs = [], gru.outputs
+    monkeypatch.setattr(gru, "outputs", lambda *a: made.append(1) or outputs(*a))
+    rnd = np.random.default_rng(4)
+    p = gru.initial(rnd.integers(1, 50, 128).astype(float))
+    p["Wc"][:], p["Wo"][:] = rnd.standard_normal(p["Wc"].shape), rnd.standard_normal(p["Wo"].shape)
+    docs = [(k, rnd.integers(0, 128, 40).astype(np.int32)) for k in range(30)]
+    got = dict(gru.score(p, iter(docs), 4, 8))
+    assert len(made) == 1
+    for name, ids in docs:  # the same from weights laid out anew
+        x = np.append(np.int32(gru.END), ids[:-1])[:, None]
+        states = gru.run(p, gru.inputs(p), x, np.zeros((1, gru.HIDDEN), np.float32))[0]
+        assert abs(got[name] - gru.log_probs(p, states[1:, 0].copy(), ids).sum() / np.log(10)) < 1e-3
