@@ -2,23 +2,25 @@
 
 The tokens come from the tokenizers library. A word's ids don't depend on the words around it, so each worker asks the
 library for every word that it hasn't met lately, for letters without their case and without what stands behind them.
+Words of a batch are cut, told apart and put together again by Arrow, so that Python sees each distinct stem only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import rans
-from factloom.llm.bpe import _CHUNK, _SEPARATORS, Encoder, byte_symbols
+from factloom.llm.bpe import Encoder, byte_symbols
 from factloom.llm.shared import new_path, stage, text_batches, unstage
 
-#: Words that are remembered in each of two generations, and the longest such word.
+#: Stems and other words that are remembered in each of two generations, and the longest such word.
 MEMO_WORDS, MEMO_CHARS = 300_000, 48
 BLOCK_SCHEMA = (
     "part int, block int, before long, doc_ids array<long>, lengths array<int>, n_ids long, lanes int, payload binary, checkpoints binary, bytes_crc32 long, ids_crc32 long"
@@ -26,23 +28,19 @@ BLOCK_SCHEMA = (
 _tokenizers: dict[str, LibraryWords] = {}
 
 
-class LibraryWords(dict):
-    """Ids of words as the library has them, as little-endian bytes: 2 for each id if the vocabulary allows, else 4. As a
-    mapping it remembers words that it met lately."""
+class LibraryWords:
+    """Ids of words as the library has them, as little-endian bytes: 2 for each id if the vocabulary allows, else 4. Remembers
+    stems and other words that it met lately."""
 
     def __init__(self, path: str, least_size: int = 0):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), least_size)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.older: dict[str, bytes] = {}
-        # ids of small letters and of ASCII punctuation behind them; forgotten with the words
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.stems, self.others = Lately(self.stem), Lately(lambda word: self.pack(self.one(word)))
         self.symbols = byte_symbols()
         self.packed = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.size)]
 
@@ -52,43 +50,91 @@ class LibraryWords(dict):
     def one(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def words(self, text: str) -> list[str]:
-        return _CHUNK.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > MEMO_CHARS:
-            return self.pack(self.one(word))
-        ids = self.older.get(word)
-        if ids is None:
-            # letters, with a run of ASCII punctuation behind them at most: two pieces, so the library's model has the ids of the
-            # first without its text pipeline; words that differ in case and in the run share them
-            stem = word.rstrip(punctuation)
-            plain = stem.isascii()
-            if stem.isalpha() and (plain or Encoder.stays_letters(stem)):
-                low = stem.lower()
-                ids = self.stems.get(low)
-                if ids is None:
-                    piece, packed = low if plain else "".join(map(self.symbols.__getitem__, low.encode())), self.packed
-                    ids = self.stems[low] = b"".join([packed[t.id] for t in self.library.model.tokenize(piece)])
-                if len(stem) < len(word):
-                    tail = word[len(stem) :]
-                    if tail not in self.tails:
-                        self.tails[tail] = self.pack(self.one(tail))
-                    ids += self.tails[tail]
-            else:
-                ids = self.pack(self.one(word))
-        self[word] = ids
-        return ids
+    def stem(self, stem: str) -> bytes | None:
+        """Ids of letters alone: one piece, so the library's model has them without its text pipeline. None for all else."""
+        if not stem:
+            return b""
+        plain = stem.isascii()
+        if not stem.isalpha() or not (plain or Encoder.stays_letters(stem)):
+            return None
+        low = stem.lower()
+        piece = low if plain else "".join(map(self.symbols.__getitem__, low.encode()))
+        return b"".join([self.packed[t.id] for t in self.library.model.tokenize(piece)])
+
+    def distinct(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of words that hold no ASCII white space, of each. Letters, with a run of ASCII punctuation behind them at most,
+        are two pieces, so words that differ in case and in the run share the ids of the first."""
+        trimmed = pc.ascii_rtrim(words, characters=punctuation)
+        stems = pc.ascii_lower(trimmed).dictionary_encode()
+        known = self.stems.all(stems.dictionary)
+        whole = np.fromiter((x is None for x in known), bool, len(known))
+        stem_at, known = stems.indices.to_numpy(), [x or b"" for x in known]
+        # a word's second part, behind its stem: a run of punctuation, or the whole word where the stem is more than letters
+        bounds, sizes = _offsets(words), np.diff(_offsets(trimmed))
+        tailed = np.flatnonzero(~whole[stem_at] & (np.diff(bounds) > sizes))
+        tails = _slices(words, bounds[tailed] + sizes[tailed], bounds[tailed + 1]).dictionary_encode()
+        odd = np.flatnonzero(whole[stem_at])
+        second = [b"", *self.others.all(tails.dictionary), *self.others.all(words.take(pa.array(odd)))]
+        parts = np.empty((len(words), 2), np.int32)
+        parts[:, 0], parts[:, 1] = stem_at, len(known)
+        parts[tailed, 1] += 1 + tails.indices.to_numpy()
+        parts[odd, 1] += 1 + len(tails.dictionary) + np.arange(len(odd), dtype=np.int32)
+        return _joined(pa.array([*known, *second], pa.binary()).take(pa.array(parts.ravel())), np.arange(0, 2 * len(words) + 1, 2))
+
+    def encode_array(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
+        """Ids of each text, with ``end`` behind them; a null is empty."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self.distinct(words.dictionary), pa.array([end], pa.binary())])
+        # the words of all texts one behind the other, with one more for each text's end
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy() + 1, dtype=np.int64)
+        order = np.full(len(words) + len(texts), len(ids) - 1, np.int32)
+        inner = np.ones(len(order), bool)
+        inner[stops - 1] = False
+        order[inner] = words.indices.to_numpy()
+        return _joined(ids.take(pa.array(order)), np.append(0, stops))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            out.append(b"".join(map(self.__getitem__, self.words(text))) if text else b"")
-            if len(self) > MEMO_WORDS:
-                self.older = dict(self)
-                self.clear()
-                self.stems, self.tails = {}, {}
-        return out
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+
+class Lately(dict):
+    """What ``make`` gives for words, remembered in two generations."""
+
+    def __init__(self, make: Callable[[str], bytes | None]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        made = self.older[word] if word in self.older else self.make(word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = made
+        return made
+
+    def all(self, words: pa.StringArray) -> list[bytes | None]:
+        found = [self[w] for w in words.to_numpy(zero_copy_only=False)]
+        if len(self) > MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return found
+
+
+def _offsets(array: pa.StringArray | pa.BinaryArray) -> np.ndarray:
+    return np.frombuffer(array.buffers()[1], "<i4")[array.offset : array.offset + len(array) + 1]
+
+
+def _slices(array: pa.StringArray, begins: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """What lies between places of the array's bytes, in order; the stretches between them are laid out too and left."""
+    if not len(begins):
+        return pa.array([], pa.string())
+    bounds = np.stack([begins, ends], axis=1).ravel()
+    laid = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds), array.buffers()[2]])
+    return laid.take(pa.array(np.arange(0, len(laid), 2)))
+
+
+def _joined(array: pa.BinaryArray, bounds: np.ndarray) -> pa.BinaryArray:
+    """Values from each bound to the next as one; they lie one behind the other already."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(_offsets(array)[bounds]), array.buffers()[2] or pa.py_buffer(b"")])
 
 
 def library_words(path: str, least_size: int = 0) -> LibraryWords:
@@ -107,8 +153,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         words = library_words(path, end_id + 1)
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            ids = [x + end for x in words.encode_batch(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), words.encode_array(batch.column(1), end)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from factloom.llm import rans
-from factloom.llm.token_files import LibraryWords, read_token_files, token_file_digests, write_token_files
+from factloom.llm import rans, token_files
+from factloom.llm.token_files import Lately, LibraryWords, read_token_files, token_file_digests, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,6 +70,25 @@ def test_words_that_differ_in_case_and_punctuation_ask_the_library_once():
     assert not any("Sea&&&" in x for x in asked)
 
 
+def test_python_sees_each_stem_of_a_batch_once(monkeypatch):
+    seen, both = [], Lately.all
+    monkeypatch.setattr(Lately, "all", lambda self, words: seen.extend(words.to_pylist()) or both(self, words))
+    lib, words = Tokenizer.from_file(PATH), LibraryWords(PATH)
+    texts = ["Sea sea SEA, sea. " * 500, None, "", "sea?! it's\xa0Sea\u3000. É\u0301 été.", " \t\n\x0b", "<|endoftext|>! <|ENDOFTEXT|> sea<|startoftext|>", "\x85 à\u0300 \u03a3 \u0130."] * 3
+    got = words.encode_array(pa.array(texts, pa.string()).slice(1), b"\2\0")
+    assert [np.frombuffer(x, words.kind).tolist() for x in got.to_pylist()] == [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[1:]]
+    assert seen.count("sea") == 1 and len(seen) < 40
+    assert words.encode_array(pa.array([], pa.string())).to_pylist() == [] and words.encode_array(pa.array([None], pa.string())).to_pylist() == [b""]
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 3)
+    made, memo = [], Lately(lambda w: made.append(w) or (None if w == "c" else w.encode()))
+    for some in (["a", "b", "c", "d"], ["a", "c", "x" * 99], ["x" * 99, "a"]):
+        assert memo.all(pa.array(some)) == [None if w == "c" else w.encode() for w in some]
+    assert made == ["a", "b", "c", "d", "x" * 99, "x" * 99] and set(memo) == {"a", "c"}
+
+
 def test_files_give_back_every_document(spark, sf):
     lib = Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
