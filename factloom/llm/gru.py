@@ -109,8 +109,8 @@ def run(p: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarra
     return states, gates
 
 
-#: Logits of this size neither overflow in exp nor vanish from sums, in 32 bits.
-_SAFE = 80.0
+#: Logits of this size neither overflow in exp, nor when what comes of them meets the weights, nor vanish from sums, in 32 bits.
+_SAFE = 78.0
 #: Tokens that are scored at once, as their logits should stay in the cache.
 _ROWS = 4096
 
@@ -144,35 +144,44 @@ def log_probs(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray, grads: di
     reach = max(1.0, float(np.abs(hs).max(initial=0)))
     safe = most * reach <= _SAFE
     rows = np.arange(n)
-
     x, words = _room("classes", (n, CLASSES), kind), _room("words", (n, size), kind)
     np.matmul(h, to_class, out=x)
     for c, a, b in parts:
         np.matmul(h[a:b], to_word[c * size : (c + 1) * size].T, out=words[a:b])
     lp, sums = np.zeros(n, kind), []
-    for logits, at in ((x, cls), (words, own)):
+    places = [rows * CLASSES + cls, rows * size + own]
+    for logits, at in zip((x, words), places):
         if not safe:
             logits -= logits.max(1, keepdims=True)
-        lp += logits[rows, at]
+        lp += logits.ravel().take(at)
         np.exp(logits, out=logits)
         sums.append(logits @ np.ones(logits.shape[1], kind))
         lp -= np.log(sums[-1])
     out = np.empty(n, kind)
     out[order] = lp
     if grads is not None:
-        for logits, at, total in ((x, cls, sums[0]), (words, own, sums[1])):
-            logits /= total[:, None]
-            logits[rows, at] -= 1
-        d = h.T @ x
+        # a row's gradient is what stands here by its sum; what the rows meet or come to has fewer columns, so that is divided
+        for logits, at, total in zip((x, words), places, sums):
+            logits.ravel()[at] -= total
+        by_class, by_word = (1 / total[:, None] for total in sums)
+        scaled = _room("scaled", h.shape, kind)
+        np.multiply(h, by_class, out=scaled)
+        d = scaled.T @ x
         grads["Wc"] += d[:HIDDEN]
         grads["bc"] += d[HIDDEN]
         dh = x @ to_class[:HIDDEN].T
+        dh *= by_class
+        np.multiply(h, by_word, out=scaled)
+        d, back, weights = _room("of_words", (CLASSES, size, HIDDEN + 1), kind), _room("back", dh.shape, kind), p["Wo"].reshape(CLASSES, size, HIDDEN)
+        d[:] = 0
         for c, a, b in parts:
-            at = slice(c * size, (c + 1) * size)
-            d = words[a:b].T @ h[a:b]
-            grads["Wo"][at] += d[:, :HIDDEN]
-            grads["bo"][at] += d[:, HIDDEN]
-            dh[a:b] += words[a:b] @ p["Wo"][at]
+            own = words[a:b]
+            np.matmul(own.T, scaled[a:b], out=d[c])
+            np.matmul(own, weights[c], out=back[a:b])
+        grads["Wo"].reshape(weights.shape)[:] += d[:, :, :HIDDEN]
+        grads["bo"].reshape(CLASSES, size)[:] += d[:, :, HIDDEN]
+        back *= by_word
+        dh += back
         grads["hs"] = np.empty_like(dh)
         grads["hs"][order] = dh
     return out
@@ -194,10 +203,11 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
     place[order] = np.repeat(np.arange(len(used)), np.diff(starts, append=len(ids)))
     own = p["E"][used]
     states, (z, r, c) = run(p, _by_gate(own @ p["W"] + p["b"]), place.reshape(x.shape), h, pasts)
-    lp = log_probs(p, states[1:][mask], y[mask], g)
+    told = np.flatnonzero(mask)
+    lp = log_probs(p, states[1:].reshape(-1, HIDDEN).take(told, axis=0), y.ravel().take(told), g)
     dhs = _room("dhs", pasts.shape, kind)
     dhs[:] = 0
-    dhs[mask] = g.pop("hs")
+    dhs.reshape(-1, HIDDEN)[told] = g.pop("hs")
     # what a change of a state does by each gate: (h - c) z (1 - z), past r (1 - r), (1 - z) (1 - c c)
     by_z, by_r, by_c, not_z = (_room(name, pasts.shape, kind) for name in ("by_z", "by_r", "by_c", "not_z"))
     np.subtract(1, z, out=not_z)
@@ -227,12 +237,15 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.n
         for part in three:
             carry += part
     d, du, before = d.reshape(3, -1, HIDDEN), du.reshape(3, -1, HIDDEN), states[:-1].reshape(-1, HIDDEN)
+    # sums by word come last, when the gates are one
+    weights, inputs, at_inputs = p["W"].reshape(HIDDEN, 3, HIDDEN), own.take(place, axis=0).T, 0
     for k in range(3):
-        g["U"][:, k * HIDDEN : (k + 1) * HIDDEN] += before.T @ du[k]
-    by_word = np.add.reduceat(np.concatenate([gate[order] for gate in d], axis=1), starts, axis=0)
-    g["W"] += own.T @ by_word
-    g["b"] += by_word.sum(0)
-    g["E"][used] += by_word @ p["W"].T
+        at = slice(k * HIDDEN, (k + 1) * HIDDEN)
+        g["U"][:, at] += before.T @ du[k]
+        g["W"][:, at] += inputs @ d[k]
+        g["b"][at] += np.ones(len(ids), kind) @ d[k]
+        at_inputs += d[k] @ weights[:, k].T
+    g["E"][used] += np.add.reduceat(at_inputs.take(order, axis=0), starts, axis=0)
     vector /= total
     return -float(lp.sum()) / total, vector, states[-1]
 

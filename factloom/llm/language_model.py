@@ -9,13 +9,13 @@ Counts of common words are sent to the workers, within a fixed bound; those of a
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ class Settings:
     score_stretch: int = 64
 
 
-#: Distinct words that a partition counts before it passes them on, and parts in which parameters are averaged.
+#: Distinct words that a partition holds before it passes them on, and parts in which parameters are averaged.
 _COUNTED, _PARTS, _SALTS = 500_000, 16, 64
 
 
@@ -49,27 +49,63 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def split(text: pa.StringScalar) -> list[bytes]:
-    """Words in UTF-8: of bytes, only A-Z become small and only ASCII white space parts words. The text's bytes are taken as they lie."""
-    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+def split(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """Distinct words of a batch, all its words by their numbers, and where each text's begin and end: of bytes, only A-Z become small
+    and only ASCII white space parts words. A null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    found = lists.flatten().dictionary_encode()
+    words, codes = found.dictionary.cast(pa.binary()), found.indices.to_numpy()
+    bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
+    # white space at either end of a text leaves an empty word there
+    empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:
+        kept = codes != empty
+        codes, bounds = codes[kept], np.append(0, np.cumsum(kept))[bounds]
+    return words, codes, bounds
+
+
+def _looked_up(numbers: dict[bytes, int], words: pa.BinaryArray, other: int) -> np.ndarray:
+    return np.fromiter(map(numbers.get, words.to_numpy(zero_copy_only=False), repeat(other)), np.int32, len(words))
+
+
+def _ended(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text, with END behind them."""
+    stops = bounds[1:] + np.arange(1, len(bounds))
+    laid = np.full(len(ids) + len(stops), gru.END, np.int32)
+    inner = np.ones(len(laid), bool)
+    inner[stops - 1] = False
+    laid[inner] = ids
+    return np.split(laid, stops[:-1])
+
+
+def counted(texts: Iterator[pa.StringArray], most: int) -> Iterator[pa.RecordBatch]:
+    """word and n of all texts; once so many distinct words are held, they are passed on and counted anew."""
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    for batch in texts:
+        words, codes, _ = split(batch)
+        n = np.bincount(codes, minlength=len(words))
+        held.append(pa.table({"word": words, "n": pa.array(n, pa.int64())}).filter(pa.array(n > 0)))
+        rows += len(held[-1])
+        if rows > 2 * most:
+            held = [merged()]
+            rows = len(held[0])
+            if rows > most:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def give():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(split(text))
-            if len(counts) > _COUNTED:
-                yield give()
-                counts.clear()
-        yield give()
+        yield from counted((batch.column(0) for batch in batches), _COUNTED)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -101,9 +137,8 @@ def _averaged(spark, docs: DataFrame, params: dict[str, np.ndarray], words: dict
 
         def each():
             for batch in batches:
-                for text in batch.column(0):
-                    found = split(text)
-                    yield None, np.append(np.fromiter(map(vocab.get, found, repeat(gru.TAIL)), np.int32, len(found)), np.int32(gru.END))
+                found, codes, bounds = split(batch.column(0))
+                yield from zip(repeat(None), _ended(_looked_up(vocab, found, gru.TAIL)[codes], bounds))
 
         read = gru.train(p, size, each(), s.train_lanes, s.train_steps, s.rate, s.train_stretch)
         if read:
@@ -176,23 +211,31 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         def each():
             nonlocal row
             for batch in batches:
-                for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    found = split(text)
-                    at = np.fromiter(map(common.get, found, repeat(-1)), np.int32, len(found))
-                    rare = np.flatnonzero(at < 0)
-                    base = float(logs[at[at >= 0]].sum()) + log_end
-                    ids = np.append(np.where((at >= 0) & (at < in_model), at + gru.FIRST_WORD, gru.TAIL), gru.END).astype(np.int32)
-                    own = at[at >= in_model]  # in TAIL, with a count that is here
-                    inside = float(logs[own].sum()) - (len(own) + len(rare)) * log_tail
-                    rest = Counter(found[i] for i in rare.tolist())
-                    info[row] = (doc_id, held, len(found) + 1, len(found) - len(rare) + known_end, base, inside, rest)
-                    yield row, ids
+                found, codes, bounds = split(batch.column(1))
+                at = _looked_up(common, found, -1)
+                # of each distinct word, then of each document: its logarithm, of it what is in TAIL with a count that is here, and whether it is there
+                known = at >= 0
+                tail = ~known | (at >= in_model)
+                log = np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(at))
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+                base, inside, n_known, n_tail = (np.bincount(doc, x[codes], batch.num_rows) for x in (log, np.where(tail, log, 0.0), known, tail))
+                # words that the workers have no counts for, each once for a document
+                at_rare = np.flatnonzero(~known[codes])
+                pairs, times = np.unique(doc[at_rare] * max(1, len(found)) + codes[at_rare], return_counts=True)
+                rare = found.take(pa.array(pairs % max(1, len(found)))).to_numpy(zero_copy_only=False).tolist()
+                cuts = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * max(1, len(found))).tolist()
+                sizes, times = np.diff(bounds).tolist(), times.tolist()
+                ids = _ended(np.where(tail, gru.TAIL, at + gru.FIRST_WORD).astype(np.int32)[codes], bounds)
+                for k, (doc_id, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                    own = slice(cuts[k], cuts[k + 1])
+                    info[row] = (doc_id, held, sizes[k] + 1, int(n_known[k]) + known_end, float(base[k]) + log_end, float(inside[k]) - float(n_tail[k]) * log_tail, rare[own], times[own])
+                    yield row, ids[k]
                     row += 1
 
         out = []
         for name, lp in gru.score(p, each(), s.score_lanes, s.score_steps, s.score_stretch):
-            doc_id, held, tokens, known, base, inside, rest = info.pop(name)
-            out.append((name, doc_id, held, tokens, known, base, lp + inside, list(rest), list(rest.values())))
+            doc_id, held, tokens, known, base, inside, rare, times = info.pop(name)
+            out.append((name, doc_id, held, tokens, known, base, lp + inside, rare, times))
             if len(out) >= 500:
                 yield _rows(out)
                 out = []

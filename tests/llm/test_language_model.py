@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from factloom.llm import gru
-from factloom.llm.language_model import Settings, score_documents
+from factloom.llm.language_model import Settings, counted, score_documents, split
 
 
 def small_model():
@@ -110,3 +111,32 @@ def test_output_weights_are_laid_out_once_for_a_scoring(monkeypatch):
         x = np.append(np.int32(gru.END), ids[:-1])[:, None]
         states = gru.run(p, gru.inputs(p), x, np.zeros((1, gru.HIDDEN), np.float32))[0]
         assert abs(got[name] - gru.log_probs(p, states[1:, 0].copy(), ids).sum() / np.log(10)) < 1e-3
+
+
+def test_words_of_a_batch_are_told_apart_and_counted_at_once():
+    texts = ["The the\x0bsea  THE É é ", None, "", " \t", "sea\x1cx \x85 \xa0sea\u3000y", "q" * 70, "\n the"] * 3
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    words, codes, bounds = split(pa.array(texts, pa.string()).slice(1))
+    known = words.to_pylist()
+    assert len(set(known)) == len(known)
+    assert [[known[c] for c in codes[a:b]] for a, b in zip(bounds, bounds[1:])] == want[1:]
+    for most in (1, 4, 100):  # passed on at once, in between, and at the end
+        got = Counter()
+        for batch in counted((pa.array([t], pa.string()) for t in texts), most):
+            for row in batch.to_pylist():
+                got[row["word"]] += row["n"]
+        assert got == Counter(w for one in want for w in one) and b"" not in got
+    assert sum(b.num_rows for b in counted(iter([pa.array([None], pa.string())]), 9)) == 0 and not list(counted(iter([]), 9))
+
+
+def test_gradients_of_large_logits_are_those_of_64_bits():
+    for scale in (0.05, 1.1, 4.0):  # the middle one's logits are just under what is taken as they are, the last one's over
+        rnd = np.random.default_rng(6)
+        p = {k: (v * 0 + rnd.choice([-1.0, 1.0], v.shape) * scale * 4).astype(np.float32) for k, v in small_model().items()}
+        x, y = rnd.integers(0, 128, (5, 9)), rnd.integers(0, 128, (5, 9))
+        mask, h = rnd.random((5, 9)) < 0.7, np.tanh(rnd.standard_normal((9, gru.HIDDEN)))
+        one, vector, _ = gru.gradients(p, x, y, mask, h.astype(np.float32))
+        vector = vector.copy()
+        two, exact, _ = gru.gradients({k: v.astype(np.float64) for k, v in p.items()}, x, y, mask, h)
+        assert np.isfinite(vector).all() and abs(one - two) < 1e-3 * two
+        assert np.abs(vector - exact).max() < 2e-3 * np.abs(exact).max()
