@@ -83,7 +83,8 @@ class LibraryWords:
 
     def encode_array(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
         """Ids of each text, with ``end`` behind them; a null is empty."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        # a session may have texts with offsets of 64 bits; batches are small
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         words = lists.flatten().dictionary_encode()
         ids = pa.concat_arrays([self.distinct(words.dictionary), pa.array([end], pa.binary())])
         # the words of all texts one behind the other, with one more for each text's end

@@ -78,6 +78,7 @@ def test_python_sees_each_stem_of_a_batch_once(monkeypatch):
     got = words.encode_array(pa.array(texts, pa.string()).slice(1), b"\2\0")
     assert [np.frombuffer(x, words.kind).tolist() for x in got.to_pylist()] == [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[1:]]
     assert seen.count("sea") == 1 and len(seen) < 40
+    assert words.encode_array(pa.array(texts, pa.large_string()).slice(1), b"\2\0") == got
     assert words.encode_array(pa.array([], pa.string())).to_pylist() == [] and words.encode_array(pa.array([None], pa.string())).to_pylist() == [b""]
 
 
