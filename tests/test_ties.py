@@ -23,7 +23,7 @@ def both(spark, folder, name, rows, schema, table):
 EVENTS = "event_id long, user_id long, event_type string, value double"
 
 
-@pytest.mark.parametrize("name", ["a7_row_of_the_extreme"])
+@pytest.mark.parametrize("name", ["a7_row_of_the_extreme", "a14_cluster_rollup"])
 def test_the_first_of_equal_extremes_is_taken(spark, tmp_path, name):
     kinds = ["view", "click", "error", "signup", None]
     rows = [(i, i % 3, kinds[i * 7 % 5], [50.0, 99.5, 99.5, None][i // 3 % 4]) for i in range(120)] + [(200, 5, None, 3.0), (201, 5, "view", 1.0), (202, 6, "view", None)]
