@@ -1,12 +1,11 @@
 """Rows that tie, and values that stand half-way, come out as the twins have them."""
 
-from decimal import Decimal
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from factloom import catalog
+from factloom.functions import text
 
 
 def both(spark, folder, name, rows, schema, table):
@@ -29,3 +28,12 @@ def test_the_first_of_equal_extremes_is_taken(spark, tmp_path, name):
     rows = [(i, i % 3, kinds[i * 7 % 5], [50.0, 99.5, 99.5, None][i // 3 % 4]) for i in range(120)] + [(200, 5, None, 3.0), (201, 5, "view", 1.0), (202, 6, "view", None)]
     got, want = both(spark, tmp_path, name, rows, EVENTS, "events")
     assert got == want
+
+
+def test_halves_are_told_as_doubles(spark, tmp_path):
+    prices = [20108.5, 37588.5, 8660.5, 25323.75, 72276.5, 0.25, 0.75, -0.25, 2.5, 1e17, 1e308, -1e308, float("nan"), float("inf"), None]
+    rows = [(i, k, 1.0, p, d) for i, p in enumerate(prices) for k, d in enumerate([0.1, 0.04, 0.07, 1.0, 10.0, None])]
+    got, want = both(spark, tmp_path, "f24_half_even_rounding", rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double", "lineitem")
+    assert repr(got) == repr(want)
+    near = [2010.8500000000001, 1012.9499999999999, 0.25, 0.35, -0.05]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in near], "x double").select(text.half_even(F.col("x"), 1)).collect()] == [2010.8, 1013.0, 0.2, 0.4, -0.0]
