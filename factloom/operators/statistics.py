@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,12 +93,13 @@ _CUTS = 32
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
     """``keys`` and ``name``: of each group's n values in order the one at place floor(n * fraction), from 0 (at most the last), exactly.
-    Nulls don't count; a group without values has no row.
+    The fraction is the decimal that it is written as, so 0.7 of 90 are 63 (62.99 as doubles). Nulls don't count; a group without
+    values has no row.
 
     Each round cuts the values that are left by approximate quantiles and counts, exactly, how many are at each cut and between
     neighbours; then only those between the two around the place are left, or the cut is the value. No group is gathered."""
     rows = staged(df.select(F.struct(*keys).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL"))
-    place = F.least(F.floor(F.col("n") * F.lit(fraction)), F.col("n") - 1).cast("long")
+    place = F.least(F.floor(F.col("n") * F.lit(Decimal(repr(fraction)))), F.col("n") - 1).cast("long")
     wanted = staged(rows.groupBy("g").agg(F.count("*").alias("n")).select("g", place.alias("k")))
     found = None
     while True:

@@ -37,3 +37,9 @@ def test_halves_are_told_as_doubles(spark, tmp_path):
     assert repr(got) == repr(want)
     near = [2010.8500000000001, 1012.9499999999999, 0.25, 0.35, -0.05]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in near], "x double").select(text.half_even(F.col("x"), 1)).collect()] == [2010.8, 1013.0, 0.2, 0.4, -0.0]
+
+
+def test_seven_tenths_of_ninety_are_63(spark, tmp_path):
+    rows = [(i, n, "view", float(i)) for n in (1, 9, 10, 90, 100, 180, 210) for i in range(n)]
+    got, want = both(spark, tmp_path, "a30_upper_median", rows, EVENTS, "events")
+    assert got == want
